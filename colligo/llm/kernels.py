@@ -16,6 +16,7 @@ SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+MASK = (1 << 64) - 1
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 CHUNK = 1 << 20
@@ -107,7 +108,7 @@ def ngrams(words: np.ndarray, k: int, seed: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    total = np.full(n, U64(k) * BASE, U64)
+    total = np.full(n, k * int(BASE) & MASK, U64)
     for j, c in enumerate(odd_constants(k, seed)):
         total += words[j : j + n] * c
     return mix(total)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.llm import html, topk, warc
+from colligo.llm import html, langid, minhash, quality, topk, warc
 from colligo.llm.common import read_table, scratch_path
 
 
@@ -22,6 +22,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at 0.85."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    fold = langid.remainder(F.col("doc_id"), 5)
+    model = langid.fit(docs.where(fold != 0))
+    return langid.predict(docs, model).select("doc_id", F.coalesce(langid.remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract_pages(read_table(spark, sf_dir, "pages"))
@@ -33,10 +46,21 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels outside the fold."""
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    model = quality.boost(*quality.labelled_features(docs, labels.where(langid.remainder(F.col("doc_id"), 4) != 2)))
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_minhash": op2_minhash,
+    "op3_langid": op3_langid,
     "op8_html": op8_html,
     "op9_topk": op9_topk,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
