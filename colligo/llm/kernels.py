@@ -117,3 +117,10 @@ def ngrams(words: np.ndarray, k: int, seed: int) -> np.ndarray:
 def shingle_set(words: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     """Sorted distinct k-word shingles; with fewer words, the whole sequence as one."""
     return np.unique(ngrams(words, min(k, len(words)), seed)) if len(words) else np.zeros(0, U64)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``limit`` bytes of ``column``, so that Python objects of few rows live at once."""
+    _, offs = utf8(batch[column])
+    for a, b in chunks(offs, limit):
+        yield batch.slice(a, b - a)

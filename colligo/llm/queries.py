@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.llm import html, langid, minhash, quality, topk, warc
+from colligo.llm import bpe, html, langid, minhash, quality, topk, warc
 from colligo.llm.common import read_table, scratch_path
 
 
@@ -35,6 +35,22 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(langid.remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text that they decode to, as digests."""
+    path = tokenizer_path()
+    done = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract_pages(read_table(spark, sf_dir, "pages"))
@@ -58,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
     "op3_langid": op3_langid,
+    "op7_bpe": op7_bpe,
     "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
