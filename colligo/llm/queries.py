@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.llm import bpe, html, langid, minhash, quality, topk, warc
+from colligo.llm import bpe, decontaminate, html, langid, minhash, quality, substrings, topk, warc
 from colligo.llm.common import read_table, scratch_path
 
 
@@ -35,6 +35,18 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(langid.remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the best window of each pair."""
+    docs, benchmark = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontaminate.contaminated(docs, benchmark).drop("doc_key")
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat 50-word windows of earlier ones."""
+    done = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -74,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
     "op3_langid": op3_langid,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_substrings": op5_substrings,
     "op7_bpe": op7_bpe,
     "op8_html": op8_html,
     "op9_topk": op9_topk,
