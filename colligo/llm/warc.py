@@ -63,8 +63,8 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_warc(records: DataFrame, path: str, date: str = DATE) -> None:
-    """Write planned records as uncompressed WARC/1.1 archives, one per task.
+def write_warc(records: DataFrame, path: str, date: str = DATE, compression: str = "gzip") -> None:
+    """Write planned records as WARC/1.1 archives, one per task: one gzip member, or plain with ``none``.
 
     A failed task's files are never committed, so lost executors leave no half
     archives.  A revisit keeps the HTTP head with the payload's length, not the payload.
@@ -83,13 +83,17 @@ def write_warc(records: DataFrame, path: str, date: str = DATE) -> None:
         block_bytes.cast("string"), F.lit(SEPARATOR), http,
     )
     body = F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload")).cast("string")
-    records.select(F.concat(head, body).alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    records.select(F.concat(head, body).alias("value")).write.option("lineSep", SEPARATOR).option("compression", compression).text(path)
 
 
 class Damaged(Exception):
     """A check of a record failed."""
 
 
+class Short(Damaged):
+    """The data ends before the record does."""
+
+
 def _headers(block: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
     for part in block.split(b"\r\n"):
@@ -104,18 +108,18 @@ def _record(data, at: int, whole: bool) -> tuple[dict, int]:
     """The record whose version line starts at ``at``, and where the next one may start."""
     version = VERSION.match(data, at)
     if not version:
-        raise Damaged("version line")
+        raise (Short if len(data) - at < 10 else Damaged)("version line")
     stop = data.find(b"\r\n\r\n", version.end())
     if stop < 0:
-        raise Damaged("header block")
+        raise Short("header block")
     head = _headers(bytes(data[version.end() : stop]))
     if not head.get("content-length", "").isdigit() or "warc-type" not in head or "warc-record-id" not in head:
         raise Damaged("mandatory header")
     begin, end = stop + 4, stop + 4 + int(head["content-length"])
     if end > len(data):
-        raise Damaged("content length")
+        raise Short("content length")
     if bytes(data[end : end + 4]) != b"\r\n\r\n" and not (whole and end == len(data)):
-        raise Damaged("record separator")
+        raise (Short if end + 4 > len(data) else Damaged)("record separator")
     block = bytes(data[begin:end])
     payload, declared = block, None
     if head.get("content-type", "").startswith("application/http"):
@@ -137,51 +141,84 @@ def _record(data, at: int, whole: bool) -> tuple[dict, int]:
     return row, min(end + 4, len(data))
 
 
-def _entry(data: bytes, at: int) -> tuple[list[dict], int]:
-    """Records of the gzip member or plain record at ``at``, and where the next entry may start."""
-    if data[at : at + 3] != GZIP:
-        row, end = _record(data, at, False)
-        return [row], end
-    inflate, plain, k = zlib.decompressobj(31), bytearray(), at
-    while not inflate.eof:
+NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+
+
+def _member(data: bytes, at: int) -> Iterator[tuple[list[dict], int | None, str]]:
+    """(records, end, reason) steps of the gzip member at ``at``.
+
+    Inflated piece by piece; records go out as soon as they are whole, so records
+    before a damaged byte are kept.  The last step has the member's end, or None if its
+    compressed data is damaged.  A record that fails inside a sound member is left out
+    with a reason, and the next version line of the member is searched.
+    """
+    inflate, plain, dropped, pos, k, resync = zlib.decompressobj(31), bytearray(), 0, 0, at, -1
+    while True:
         piece = data[k : k + PIECE]
-        if not piece:
-            raise Damaged("gzip end")
         try:
             plain += inflate.decompress(piece)
-        except zlib.error as e:
-            raise Damaged("gzip data") from e
+        except zlib.error:
+            yield [], None, "gzip data"
+            return
         k += len(piece)
-    end = k - len(inflate.unused_data)
-    rows, k = [], 0
-    while k < len(plain):
-        row, k = _record(plain, k, True)
-        rows.append(row)
-    if not rows:
-        raise Damaged("empty member")
-    return rows, end
-
-
-NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+        rows, lost = [], ""
+        while pos < len(plain):
+            if resync < 0:
+                try:
+                    row, pos = _record(plain, pos, inflate.eof)
+                    rows.append(row)
+                    continue
+                except Damaged as e:
+                    if isinstance(e, Short) and not inflate.eof:
+                        break
+                    resync, lost = dropped + pos, f"{lost}; {e}".lstrip("; ")
+            found = VERSION.search(plain, pos + 1)
+            if not found and not inflate.eof:
+                pos = max(pos, len(plain) - 16)
+                break
+            pos, resync = (found.start() if found else len(plain)), -1
+        del plain[:pos]
+        dropped, pos = dropped + pos, 0
+        if inflate.eof:
+            yield rows, k - len(inflate.unused_data), lost
+            return
+        if rows or lost:
+            yield rows, at, lost
+        if not piece:
+            yield [], None, "gzip end"
+            return
 
 
 def parse_archive(name: str, data: bytes) -> Iterator[dict]:
-    """Records and gaps of one archive, in byte order; together they cover every byte."""
+    """Records and gaps of one archive, in byte order; entries and gaps together cover every byte.
+
+    Records of one gzip member share its offset and length.  A gap inside a sound
+    member has the member's offset and length 0, as none of the archive's bytes is lost.
+    """
     at, bad, reason = 0, None, ""
     while at < len(data):
-        try:
-            rows, end = _entry(data, at)
-        except Damaged as e:
-            if bad is None:
-                bad, reason = at, str(e)
-            found = NEXT.search(data, at + 1)
-            at = found.start() if found else len(data)
-            continue
-        if bad is not None:
+        rows, end, why, held = [], None, "", []
+        if data[at : at + 3] == GZIP:
+            for rows, end, why in _member(data, at):
+                held += [{**r, "archive": name, "offset": at, "length": 0} for r in rows]
+                if why and end is not None:
+                    held.append(_gap(name, at, at, f"inside member: {why}"))
+        else:
+            try:
+                row, end = _record(data, at, False)
+                held = [{**row, "archive": name, "offset": at, "length": 0}]
+            except Damaged as e:
+                why = str(e)
+        if (held or end is not None) and bad is not None:
             yield _gap(name, bad, at, reason)
             bad = None
-        for row in rows:
-            yield {**row, "archive": name, "offset": at, "length": end - at}
+        if held and end is not None:
+            held[0]["length"] = end - at
+        yield from held
+        if end is None:
+            bad, reason = (at, why) if bad is None else (bad, reason)
+            found = NEXT.search(data, at + 1)
+            end = found.start() if found else len(data)
         at = end
     if bad is not None:
         yield _gap(name, bad, len(data), reason)

