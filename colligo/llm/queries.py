@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.llm import bpe, decontaminate, html, langid, minhash, quality, substrings, topk, warc
+from colligo.llm import bpe, decontaminate, html, langid, minhash, ngram_lm, quality, substrings, topk, warc
 from colligo.llm.common import read_table, scratch_path
 
 
@@ -47,6 +47,12 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under counts of all documents."""
+    done = ngram_lm.score(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 3).alias("mean_log_score"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -88,10 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_decontaminate": op4_decontaminate,
     "op5_substrings": op5_substrings,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_bpe": op7_bpe,
     "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_ngram_lm": ngram_lm.oracle_sql(),
+}
