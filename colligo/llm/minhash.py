@@ -8,10 +8,11 @@ of equal bins around the Jaccard similarity at least as well as T independent
 minima, at a cost near |set| + T log T.
 
 Documents with equal sets are one class.  Classes that share a band are candidates.
-Each band's classes are compared with the band's leader, on full sets; what this does
-not connect is compared with a new leader, and at last pair by pair, so no candidate
-pair of different components goes without an exact check, and a band whose members
-are all connected costs no pairs.
+Each band's classes are compared with the band's leader, on full sets; a band whose
+members this connects costs no pairs.  Of the other bands, small ones are compared
+pair by pair, and large ones where their differences from a common centre allow a
+similar pair at all.  So no candidate pair of different components that could be
+similar goes without an exact check.
 """
 
 from __future__ import annotations
@@ -106,7 +107,48 @@ def similar(shared: Column, total: Column, percent: int) -> Column:
     return 100 * shared >= percent * total
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS, leader_rounds: int = 3) -> DataFrame:
+def _pairs_by_difference(members: DataFrame, with_sets, percent: int) -> list[DataFrame]:
+    """Candidate pairs of large bands: (rep, n, c, rep2, n2, c2), complete but for pairs that cannot be similar.
+
+    ``members``: (lead, rep, n, c).  A centre is the leader's set, changed by what most
+    members add or lack.  With A = set - centre and R = centre - set, the difference of
+    two sets has |A xor A'| + |R xor R'| items, at most t in a similar pair.  If
+    |A| + |R| > t ("far") and |A'| >= |R'|, disjoint A and A' would give
+    |A| + |A'| + |R| - |R'| > t: a partner shares an added item.  Likewise if
+    |R'| > |A'|, it shares a missing item.  So far sets meet others by those items, and
+    copies with edits of their own meet nobody.  Sets that are not far are near the
+    centre, and with it near each other; few of those are in different components.
+    """
+    diff = with_sets(members.select("lead", "rep", "n", "c", F.col("rep").alias("a"), F.col("lead").alias("b")))
+    diff = save(diff.select("lead", "rep", "n", "c", F.array_except("x", "y").alias("added"), F.array_except("y", "x").alias("missing")), "differences")
+    size = diff.groupBy("lead").agg(F.count("*").alias("m"))
+
+    def common(column: str, name: str) -> DataFrame:
+        each = diff.select("lead", F.explode(column).alias("item")).groupBy("lead", "item").agg(F.count("*").alias("times"))
+        return each.join(size, "lead").where(2 * F.col("times") > F.col("m")).groupBy("lead").agg(F.collect_list("item").alias(name))
+
+    none = F.array().cast("array<bigint>")
+    moved = diff.join(common("added", "more"), "lead", "left").join(common("missing", "less"), "lead", "left").withColumns({"more": F.coalesce("more", none), "less": F.coalesce("less", none)})
+    moved = moved.select(
+        "lead", "rep", "n", "c", F.array_union(F.array_except("added", "more"), F.array_except("less", "missing")).alias("added"),
+        F.array_union(F.array_except("missing", "less"), F.array_except("more", "added")).alias("missing"),
+    )
+    moved = save(moved.withColumn("far", percent * (F.size("added") + F.size("missing")) > (100 - percent) * F.col("n")), "differences")
+    out = []
+    for column, partner in (("added", F.size("added") >= F.size("missing")), ("missing", F.size("missing") > F.size("added"))):
+        far = moved.where("far").select("lead", "rep", "n", "c", F.explode(column).alias("item"))
+        other = moved.where(partner).select(F.col("lead").alias("l2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.explode(column).alias("item2"))
+        out.append(far.join(other, (F.col("lead") == F.col("l2")) & (F.col("item") == F.col("item2"))))
+    near = moved.where("not far")
+    # only leads whose near sets are of different components pair them
+    split = near.groupBy("lead").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select(F.col("lead").alias("l2"))
+    near = near.join(split, F.col("lead") == F.col("l2"), "left_semi")
+    other = near.select(F.col("lead").alias("l2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    out.append(near.join(other, (F.col("lead") == F.col("l2")) & (F.col("c") != F.col("c2"))))
+    return out
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS, pair_bucket: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their
@@ -119,45 +161,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     usable = sig.where("n_shingles > 0 and doc_id is not null")
     classes = save(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     member = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = member.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    shared = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     # only bands of two classes or more go on
-    buckets = save(member.join(shared.select(other_key("key").alias("k2"), "first"), other_key("key") == F.col("k2")).select("key", "rep", "n", "first"), "buckets")
+    buckets = save(member.join(shared.select(other_key("key").alias("k2"), "size"), other_key("key") == F.col("k2")).select("key", "rep", "n", "size"), "buckets")
+    # the original of many copies shares more bands with them than they do with each other: it leads
+    fame = buckets.groupBy("rep").agg(F.sum("size").alias("fame"), F.first("n").alias("n")).join(classes.select("rep", "set_id"), "rep")
+    fame = save(fame, "fame")
+    famous = buckets.join(fame.select("rep", "fame"), "rep")
+    leaders = famous.groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("r"), "n")).alias("l"))
+    leaders = leaders.select(other_key("key").alias("k2"), (-F.col("l.r")).alias("lead"), F.col("l.n").alias("lead_n"))
+    buckets = save(buckets.join(leaders, other_key("key") == F.col("k2")).drop("k2"), "buckets")
     sized = lambda a, b: similar(F.least(a, b), F.greatest(a, b), percent)
-    tried = buckets.where((F.col("rep") != F.col("first.rep")) & sized(F.col("n"), F.col("first.n"))).select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
-    wanted = save(classes.select("rep", "set_id").join(buckets.select("rep").distinct(), "rep", "left_semi"), "wanted")
-    sets = save(full_sets(docs, wanted, k), "sets")
+    tried = buckets.where((F.col("rep") != F.col("lead")) & sized(F.col("n"), F.col("lead_n"))).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    sets = save(full_sets(docs, fame.select("rep", "set_id"), k), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def with_sets(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
+        return pairs.join(left, "a").join(right, "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = with_sets(pairs).select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
         return both.where(similar(F.col("both"), F.col("nx") + F.col("ny") - F.col("both"), percent)).select("a", "b")
 
     links = save(verified(tried), "links")
     groups = components(links)
-
-    def open_buckets() -> DataFrame:
-        """Members of the bands that hold more than one component, each with its component."""
-        named = buckets.select("key", "rep", "n").join(groups.withColumnRenamed("component", "c"), F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-        return named.join(mixed.select(other_key("key").alias("k2"), "low"), other_key("key") == F.col("k2")).select("key", "rep", "n", "c", "low")
-
-    for _ in range(leader_rounds):
-        # the next leader of a band is its largest member outside the component that holds the band's least one
-        rest = save(open_buckets().where("c != low"), "open")
-        lead = rest.groupBy("key").agg(F.max(F.struct("n", "rep", "c")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-        pairs = rest.join(lead.select(other_key("key").alias("k2"), "lead"), other_key("key") == F.col("k2")).where((F.col("c") != F.col("lead.c")) & sized(F.col("n"), F.col("lead.n")))
-        pairs = save(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        more = save(verified(pairs), "links")
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        groups = components(links)
-    left = save(open_buckets().drop("low"), "open")
-    right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    rest = left.join(right, "key").where((F.col("rep") < F.col("rep2")) & (F.col("c") != F.col("c2")) & sized(F.col("n"), F.col("n2")))
-    more = save(verified(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()), "links")
+    # members of the bands that hold more than one component; a band of two was settled with its leader
+    named = buckets.where("size > 2").join(groups.withColumnRenamed("component", "c"), F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "size", "lead", F.coalesce("c", "rep").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
+    left = save(named.join(mixed.select(other_key("key").alias("k2")), other_key("key") == F.col("k2"), "left_semi").where("rep != lead"), "open")
+    differ = (F.col("c") != F.col("c2")) & sized(F.col("n"), F.col("n2"))
+    second = lambda df, *keys: df.select(*keys, F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    few = left.where(F.col("size") <= pair_bucket)
+    pairs = few.join(second(few, "key"), "key").where((F.col("rep") < F.col("rep2")) & differ).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    for more in _pairs_by_difference(left.where(F.col("size") > pair_bucket).select("lead", "rep", "n", "c").distinct(), with_sets, percent):
+        pairs = pairs.union(more.where(differ).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")))
+    more = save(verified(pairs.distinct()), "links")
     if not more.isEmpty():
         groups = components(links.union(more))
     named = save(classes.select("set_id", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(F.col("set_id").alias("set"), F.coalesce("component", "rep").alias("c")), "classes")

@@ -89,6 +89,34 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_large_families_match_all_pairs(spark, with_base):
+    import random
+
+    rng = random.Random(9 + with_base)
+    rows = []
+    for family in range(2):
+        base = [f"f{family}w{k}" for k in range(150)]
+        kin = [base]
+        for _ in range(70):
+            copy = list(rng.choice(kin) if rng.random() < 0.4 else base)
+            for _ in range(rng.randint(1, 4)):
+                at, how = rng.randrange(len(copy)), rng.random()
+                if how < 0.6:
+                    copy[at] = f"e{rng.randrange(10**9)}"
+                elif how < 0.8:
+                    del copy[at]
+                else:
+                    copy.insert(at, f"e{rng.randrange(10**9)}")
+            kin.append(copy)
+        rows += [(family * 100 + k, " ".join(w)) for k, w in enumerate(kin) if k or with_base]
+    want = brute_components(rows, 85)
+    assert 2 < len(set(want.values())) < len(rows)
+    for bucket in (2, 32):
+        got = minhash.near_duplicates(spark.createDataFrame([(i, t, "en", 1, "z") for i, t in rows], SCHEMA), percent=85, pair_bucket=bucket).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 200), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
