@@ -182,16 +182,18 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = ANCHOR_WORDS, sha
     return spans.select("doc_key", placed_runs.alias("spans")).groupBy("doc_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, **tuning: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, keep: list[str] | None = None, **tuning: int) -> DataFrame:
     """doc_id, text, n_words, n_removed, kept of every row of ``docs`` (doc_id, text).
 
     A word is removed if a window of ``window`` words that covers it starts in a
     document with a smaller doc_id too; ``kept`` is what is left, joined by one space.
     Windows are judged on the input.  Null texts have no words.  Rows with a null doc_id
     keep all words and are no source; rows that repeat a doc_id are no source to each other.
+    The columns named in ``keep`` are passed on.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("doc_key"))
-    spans = repeated_spans(keyed, window, **tuning)
+    others = {f"other_{n}": F.col(c) for n, c in enumerate(keep or [])}
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("doc_key"), F.struct(*[c.alias(n) for n, c in others.items()] or [F.lit(0).alias("none")]).alias("others"))
+    spans = repeated_spans(keyed.select("doc_id", "text", "doc_key"), window, **tuning)
     space = bytes([32])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +214,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, **tuning: int) -> DataFram
                     removed.append(len(s) - int(keep.sum()))
                     kept.append(space.join([raw[x:y] for x, y in zip(s[keep], e[keep], strict=True)]).decode())
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["text"], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "text", "n_words", "n_removed", "kept"]
+                    [part["doc_id"], part["text"], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), part["others"]], names=["doc_id", "text", "n_words", "n_removed", "kept", "others"]
                 )
 
-    joined = keyed.join(spans, "doc_key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept string")
+    joined = keyed.join(spans, "doc_key", "left").select("doc_id", "text", "spans", "others")
+    done = joined.mapInArrow(run, f"doc_id long, text string, n_words long, n_removed long, kept string, others {dict(keyed.dtypes)['others']}")
+    return done.select("doc_id", "text", "n_words", "n_removed", "kept", *[F.col(f"others.other_{n}").alias(c) for n, c in enumerate(keep or [])])
