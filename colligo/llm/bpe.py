@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from colligo.llm.kernels import slices
 
 #: Bounds of the table that every task gets: so many words, each of so many characters at most.
-TABLE_WORDS, TABLE_CHARS = 1 << 17, 64
+TABLE_WORDS, TABLE_CHARS = 1 << 16, 64
 
 
 @dataclass
@@ -98,10 +98,10 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 for text in part["text"].to_pylist():
                     seen.update(rules.words(text or ""))
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     yield emit()
                     seen.clear()
         yield emit()
@@ -109,8 +109,8 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> list[tuple[str, list[int]]]:
-    """The ``most`` frequent distinct words with their ids (ties: the word itself), each encoded once."""
+def word_table(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> pa.Table:
+    """(word, ids): the ``most`` frequent distinct words with their ids (ties: the word itself), each encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = codec(path)
@@ -118,8 +118,7 @@ def word_table(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> list[tupl
             yield pa.RecordBatch.from_arrays([batch["word"], pa.array([rules.ids(w) for w in batch["word"].to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
 
     head = distinct_words(docs, path).where(F.length("word") <= TABLE_CHARS).orderBy(F.desc("n"), "word").limit(most)
-    got = head.select("word").mapInArrow(run, "word string, ids array<int>").toArrow()
-    return list(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True))
+    return head.select("word").mapInArrow(run, "word string, ids array<int>").toArrow().combine_chunks()
 
 
 def encode(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
@@ -130,10 +129,10 @@ def encode(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = codec(path)
-        shared = {w: k for k, (w, _) in enumerate(table.value)}
-        shared_ids = pa.array([ids for _, ids in table.value], pa.list_(pa.int32()))
+        shared = {w: k for k, w in enumerate(table.value["word"].to_pylist())}
+        shared_ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in table.value["ids"].chunks)])
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 new: dict[str, int] = {}
                 codes: list[int] = []
                 ends = [0]
@@ -154,12 +153,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of ``encoded`` and decoded: pieces joined by one space; ids without a piece are left out."""
     columns = encoded.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string"
+    table = encoded.sparkSession.sparkContext.broadcast(pa.array(codec(path).pieces, pa.string()))  # as long as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(codec(path).pieces, pa.string())
+        pieces = table.value
         for batch in batches:
             lists = batch["ids"]
-            step = max(1, int(2_000_000 * len(lists) / max(1, len(lists.flatten()))))
+            step = max(1, int(1_000_000 * len(lists) / max(1, len(lists.flatten()))))
             for a in range(0, len(lists), step):
                 part = batch.slice(a, step)
                 ids = pc.fill_null(pc.list_value_length(part["ids"]), 0).to_numpy(zero_copy_only=False)
