@@ -1,10 +1,623 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries: the library's operators over whole tables, with SQL oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from colligo.functions import vectors as V
+from colligo.operators import explain, linear, metrics, mlp, order, stats, tables, tree
+from colligo.plans import jobs
+from colligo.sources.io import read_table
+from colligo.sources.scratch import materialize
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# data sets ---------------------------------------------------------------------------------------
+
+
+def _month(c: str):
+    return F.month(c).cast("double")
+
+
+def order_party(s: SparkSession, d: str) -> DataFrame:
+    """Party 0: order features and the label, a high total price."""
+    o = read_table(s, d, "orders")
+    return o.select(F.col("o_orderkey").alias("row_id"), F.array((F.substring("o_orderpriority", 1, 1).cast("double") - 1) / 4, (_month("o_orderdate") - 1) / 11).alias("x"), F.when(F.col("o_totalprice") > 250000, 1.0).otherwise(0.0).alias("y"))
+
+
+def customer_party(s: SparkSession, d: str) -> DataFrame:
+    """Party 1: the customer of every order."""
+    o, c = read_table(s, d, "orders"), read_table(s, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("row_id"), F.array(F.col("c_acctbal") / 10000, F.col("c_nationkey") / 24).alias("x"))
+
+
+def aligned(s: SparkSession, d: str) -> DataFrame:
+    return tables.align([order_party(s, d), customer_party(s, d)])
+
+
+ALIGNED = """al as (select o_orderkey as row_id, (cast(substr(o_orderpriority, 1, 1) as double) - 1) / 4 as x0, (cast(month(o_orderdate) as double) - 1) / 11 as x1,
+ c_acctbal / 10000 as x2, c_nationkey / 24.0::double as x3, case when o_totalprice > 250000 then 1.0::double else 0.0::double end as y
+ from orders join customer on o_custkey = c_custkey)"""
+
+
+def baskets(s: SparkSession, d: str) -> DataFrame:
+    """One row an order: scaled quantity, lines and discount, and whether its revenue is large."""
+    per = read_table(s, d, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("c"),
+        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("p"),
+    )
+    return per.select(F.col("l_orderkey").alias("row_id"), F.array(F.col("q") / 100.0, F.col("n") / 4.0, F.col("c") / (F.col("n") * 10.0)).alias("x"), F.when(F.col("p") > 20000000, 1.0).otherwise(0.0).alias("y"), (F.col("p") / 10000000.0).alias("amount"))
+
+
+BASKETS = """pb as (select l_orderkey as row_id, sum(cast(l_quantity as bigint)) as q, count(*) as n, sum(cast(round(l_discount * 100) as bigint)) as c, sum(cast(round(l_extendedprice * 100) as bigint)) as p
+ from lineitem group by l_orderkey),
+bk as (select row_id, q / 100.0::double as x0, n / 4.0::double as x1, c / (n * 10.0::double) as x2, case when p > 20000000 then 1.0::double else 0.0::double end as y, p / 10000000.0::double as amount from pb)"""
+
+
+def lines_long(s: SparkSession, d: str) -> DataFrame:
+    """(feature, v, y, w) of line items: features quantity, discount and tax, label the price, weight the quantity."""
+    li = read_table(s, d, "lineitem")
+    return li.select(F.monotonically_increasing_id().alias("row_id"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("w"), F.posexplode(F.array("l_quantity", "l_discount", "l_tax")).alias("feature", "v"))
+
+
+LONG = "lo as (select l_extendedprice as y, l_quantity as w, unnest([0, 1, 2]) as feature, unnest([l_quantity, l_discount, l_tax]) as v from lineitem)"
+HASH = "((({k}) % 2147483648) * 2654435761 + {s}) % 4294967296"
+
+
+def _hash(key: str, seed: int = 51) -> str:
+    return HASH.format(k=key, s=seed)
+
+
+def r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# projection, sampling, partition -------------------------------------------------------------------
+
+
+@query(f"select o_orderkey as row_id, row_number() over (order by {_hash('o_orderkey')}, o_orderkey) <= floor(0.8 * (select count(*) from orders)) as is_train from orders")
+def split_train_test(s, d):
+    """PRJ-1: exact 80 % in hash order."""
+    o = read_table(s, d, "orders").select(F.col("o_orderkey").alias("row_id"))
+    return order.split_train_test(o, "row_id")
+
+
+@query("select o_orderkey as row_id, 1.0::double as x0, (cast(substr(o_orderpriority, 1, 1) as double) - 1) / 4 as x1 from orders")
+def split_with_bias(s, d):
+    """PRJ-2: a constant before the features."""
+    return order_party(s, d).select("row_id", tables.add_bias(F.col("x")).alias("x")).select("row_id", F.get("x", F.lit(0)).alias("x0"), F.get("x", F.lit(1)).alias("x1"))
+
+
+@query(" union all ".join(f"select {t}::int as iteration, o_orderkey as row_id from (select *, row_number() over (order by {_hash('o_orderkey', 51 + 7919 * (t + 1))}, o_orderkey) as n from orders) where n <= 64" for t in range(3)))
+def mini_batches(s, d):
+    """PRJ-3/4: a batch of 64 of its own order for each of three iterations."""
+    o = read_table(s, d, "orders").select(F.col("o_orderkey").alias("row_id"))
+    parts = [tables.mini_batch(o, "row_id", 64, t).select(F.lit(t).alias("iteration"), "row_id") for t in range(3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(" union all ".join(f"select {t}::int as tree_id, o_orderkey as row_id from (select *, row_number() over (order by {_hash('o_orderkey', 51 + 104729 * (t + 1))}, o_orderkey) as n from orders) where n <= floor(0.6 * (select count(*) from orders))" for t in range(3)))
+def tree_samples(s, d):
+    """PRJ-5: 60 % of the rows for each tree, without replacement."""
+    return tables.tree_samples(read_table(s, d, "orders").select(F.col("o_orderkey").alias("row_id")), "row_id", 3, 0.6).select("tree_id", "row_id")
+
+
+@query("select vec_id, embedding[4]::double as x0, embedding[18]::double as x1, embedding[64]::double as x2 from embeddings")
+def feature_subset(s, d):
+    """PRJ-7: chosen vector entries."""
+    e = read_table(s, d, "embeddings").select("vec_id", V.take(F.transform("embedding", lambda v: v.cast("double")), [3, 17, 63]).alias("x"))
+    return e.select("vec_id", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(3)])
+
+
+@query("select party, local_idx, count(*) as n, round(sum(v), 4) as total from (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as i from embeddings) e join (select i, case when i < 21 then 0 when i < 42 then 1 else 2 end as party, (case when i < 42 then i % 21 else i - 42 end)::int as local_idx from range(64) t(i)) f using (i) group by party, local_idx")
+def vertical_split(s, d):
+    """PRJ-9/10: 64 features over three parties, the remainder to the last."""
+    e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("double").alias("y"))
+    parts = tables.vertical_split(e, tables.equal_sizes(64, 3), 0)
+    out = None
+    for p, t in enumerate(parts):
+        one = t.select(F.lit(p).alias("party"), F.posexplode("x").alias("local_idx", "v"))
+        out = one if out is None else out.union(one)
+    return out.groupBy("party", "local_idx").agg(F.count("*").alias("n"), r(F.sum("v"), 4).alias("total"))
+
+
+@query(f"with {LONG}, m as (select feature, sum(w*v)/sum(w) as mv, sum(w*y)/sum(w) as my from lo group by feature), c as (select l.feature, abs(sum(w*(v-mv)*(y-my))/sqrt(sum(w*(v-mv)*(v-mv)))/sqrt(sum(w*(y-my)*(y-my)))) as corr from lo l join m using (feature) group by l.feature) select feature::int as feature, ((row_number() over (order by corr desc, feature) - 1) % 2)::int as party from c")
+def importance_split(s, d):
+    """PRJ-11: features dealt in turn by weighted correlation."""
+    scores = stats.feature_correlations(lines_long(s, d)).withColumnRenamed("corr", "score")
+    return tables.importance_split(scores, 2).select("feature", "party")
+
+
+@query(f"with k as (select c_custkey, row_number() over (order by c_custkey) - 1 as rank, count(*) over () as n from customer), g as (select i as draw, {_hash('i')} as h from range(2000) t(i)) select draw, c_custkey from g join k on k.rank = g.h % k.n")
+def bootstrap(s, d):
+    """PRJ-12: 2000 draws with replacement."""
+    c = order.with_global_rank(read_table(s, d, "customer").select("c_custkey"), "c_custkey")
+    return tables.bootstrap(c, "rank", c.count(), 2000).select("draw", "c_custkey")
+
+
+@query(f"select o_orderkey, cast(floor(({_hash('o_orderkey')}) / 65536) % 2 as bigint) as label from orders")
+def random_labels(s, d):
+    """PRJ-13: a hash-derived 0/1 label."""
+    return read_table(s, d, "orders").select("o_orderkey", tables.random_label(F.col("o_orderkey")).cast("long").alias("label"))
+
+
+@query("select o_orderkey, cast(floor(o_orderkey / ceil((select count(*) from orders) / 7.0)) as int) as part from orders")
+def even_partition(s, d):
+    """PRJ-14: contiguous chunks."""
+    o = read_table(s, d, "orders")
+    return o.select("o_orderkey", tables.even_partition(F.col("o_orderkey"), o.count(), 7).alias("part"))
+
+
+@query("with f as (select unnest([0,0,0,0,0,0,0,0,0,0,0,1,1,1,1,1,1,1,1,1,1,2,2,2,2,2,2,2,2,2]) as party, unnest(range(30)) as g), l as (select g::int as global_idx, party::int as party, (row_number() over (partition by party order by g) - 1)::int as local_idx, count(*) over (partition by party) as n from f) select global_idx, party, local_idx, cast(floor(local_idx / ceil(n / 2.0)) as int) as part from l")
+def balanced_partition(s, d):
+    """PRJ-15: every party's features over both partitions."""
+    return tables.balanced_partition(tables.feature_dimension(s, [11, 10, 9]), 2).select("global_idx", "party", "local_idx", "part")
+
+
+# joins ---------------------------------------------------------------------------------------------
+
+
+@query(f"with {ALIGNED} select row_id, round(x0, 6) as x0, round(x1, 6) as x1, round(x2, 6) as x2, round(x3, 6) as x3, y from al")
+def align_parties(s, d):
+    """JOIN-1/2: parties joined by row id, features side by side."""
+    return aligned(s, d).select("row_id", *[r(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(4)], "y")
+
+
+@query("with z as (select unnest([0, 1, 2]) as party, unnest([11, 10, 9]) as size) select party::int as party, size::bigint as size, cast(coalesce(sum(size) over (order by party rows between unbounded preceding and 1 preceding), 0) as bigint) as start from z")
+def party_offsets(s, d):
+    """JOIN-3/4/5: global offsets of party-local features."""
+    sizes = tables.feature_dimension(s, [11, 10, 9]).groupBy("party").agg(F.count("*").alias("size"))
+    return tables.party_offsets(sizes).select("party", "size", "start")
+
+
+@query(f"with {LONG}, t as (select feature, v as threshold from (select distinct feature, v, lead(v) over (partition by feature order by v) as nx from (select distinct feature, v from lo)) where nx is not null and feature > 0) select t.feature::int as feature, round(threshold, 6) as threshold, count(*) filter (where v <= threshold) as n_left, count(*) filter (where v > threshold) as n_right from t join lo on lo.feature = t.feature group by t.feature, threshold")
+def split_indicators(s, d):
+    """JOIN-7: rows at or below each candidate, by buckets and prefix sums instead of a range join."""
+    long = lines_long(s, d).where("feature > 0").withColumn("node", F.lit(0))
+    splits = stats.split_candidates(long, 64)
+    out = stats.split_statistics(stats.bucketize(long, splits), splits)
+    return out.select("feature", r("threshold").alias("threshold"), F.col("left_n").alias("n_left"), F.col("right_n").alias("n_right"))
+
+
+# aggregations ----------------------------------------------------------------------------------------
+
+
+@query(f"with {BASKETS} select round((select 1 - sum(n * n) / pow(sum(n), 2) from (select count(*)::double as n from bk group by y)), 6) as gini, round(avg(amount * amount) - avg(amount) * avg(amount), 4) as variance, round(sum(x1 * amount * amount) / sum(x1) - pow(sum(x1 * amount) / sum(x1), 2), 4) as weighted_variance from bk")
+def impurities(s, d):
+    """AGG-1/2: Gini, variance and weighted variance of the root."""
+    b = baskets(s, d).withColumn("w", F.get("x", F.lit(1)))
+    one = lambda df, name, n: df.select(r("impurity", n).alias(name))
+    return one(stats.impurity(b, "y", True), "gini", 6).join(one(stats.impurity(b, "amount", False), "variance", 4)).join(one(stats.impurity(b, "amount", False, "w"), "weighted_variance", 4))
+
+
+@query(f"with {LONG}, m as (select feature, sum(w*v)/sum(w) as mv, sum(w*y)/sum(w) as my from lo group by feature) select l.feature::int as feature, round(any_value(mv), 6) as mean, round(sum(w*(v-mv)*(v-mv))/sum(w), 6) as variance, round(sum(w*(v-mv)*(y-my))/sum(w), 3) as covariance from lo l join m using (feature) group by l.feature")
+def weighted_moments(s, d):
+    """AGG-6/11/12/13."""
+    return lines_long(s, d).groupBy("feature").agg(r(stats.weighted_mean("v", "w")).alias("mean"), r(stats.weighted_variance("v", "w")).alias("variance"), r(stats.weighted_covariance("v", "y", "w"), 3).alias("covariance"))
+
+
+@query(f"with {LONG}, m as (select feature, sum(w*v)/sum(w) as mv, sum(w*y)/sum(w) as my from lo group by feature) select l.feature::int as feature, round(abs(sum(w*(v-mv)*(y-my))/sqrt(sum(w*(v-mv)*(v-mv)))/sqrt(sum(w*(y-my)*(y-my)))), 6) as corr from lo l join m using (feature) group by l.feature")
+def weighted_pearson(s, d):
+    """AGG-7/8/9: absolute weighted correlations."""
+    return stats.feature_correlations(lines_long(s, d)).select("feature", r("corr").alias("corr"))
+
+
+@query(f"with {LONG} select feature::int as feature, round(corr(v, y), 6) as corr, round(covar_pop(v, y), 4) as covariance from lo group by feature")
+def pearson(s, d):
+    """AGG-10: unweighted correlation."""
+    return lines_long(s, d).groupBy("feature").agg(r(F.corr("v", "y")).alias("corr"), r(F.covar_pop("v", "y"), 4).alias("covariance"))
+
+
+@query("with c as (select l_linestatus, l_linenumber, count(*) as n from lineitem group by 1, 2), m as (select l_linestatus, l_linenumber, row_number() over (partition by l_linestatus order by n desc, l_linenumber) as k from c) select l.l_linestatus, any_value(m.l_linenumber) as most, round(median(l_quantity), 6) as middle, round(avg(l_quantity), 6) as mean, max(l_quantity) as largest from lineitem l join m on m.l_linestatus = l.l_linestatus and m.k = 1 group by l.l_linestatus")
+def mode_median_mean(s, d):
+    """AGG-14/15/16: the lowest of equal modes, and the mean of two middles."""
+    return read_table(s, d, "lineitem").groupBy("l_linestatus").agg(F.mode("l_linenumber", True).alias("most"), r(F.median("l_quantity")).alias("middle"), r(F.avg("l_quantity")).alias("mean"), F.max("l_quantity").alias("largest"))
+
+
+RULE = f"ru as (select row_id, y, amount, case when x0 > 0.9 then 1.0 else 0.0 end as p, x0 * 1.5 as guess from bk)"
+
+
+def ruled(s, d):
+    b = baskets(s, d)
+    return b.select("row_id", "y", "amount", F.when(F.get("x", F.lit(0)) > 0.9, 1.0).otherwise(0.0).alias("prediction"), (F.get("x", F.lit(0)) * 1.5).alias("guess"), F.get("x", F.lit(1)).alias("w"))
+
+
+@query(f"with {BASKETS}, {RULE}, c as (select count(*) filter (where p = 1 and y = 1) as tp, count(*) filter (where p = 1 and y = 0) as fp, count(*) filter (where p = 0 and y = 1) as fn, count(*) filter (where p = 0 and y = 0) as tn from ru) select tp, fp, fn, tn, round((tp + tn)::double / nullif(tp + fp + fn + tn, 0), 6) as accuracy, round(tp::double / nullif(tp + fn, 0), 6) as sensitivity, round(tn::double / nullif(tn + fp, 0), 6) as specificity, round((tp::double / nullif(tp + fn, 0) + tn::double / nullif(tn + fp, 0)) / 2, 6) as balanced_accuracy, round(tp::double / nullif(tp + fp, 0), 6) as \"precision\", round(tn::double / nullif(tn + fn, 0), 6) as npv, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1 from c")
+def classification_report(s, d):
+    """AGG-18, MET-1/8/9: confusion cells and rates."""
+    out = metrics.classification_report(ruled(s, d))
+    return out.select(*[r(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query(f"with {BASKETS}, {RULE} select y::int as label, count(*) filter (where p = 0) as predicted_0, count(*) filter (where p = 1) as predicted_1 from ru group by y")
+def confusion_matrix(s, d):
+    """MET-8: the matrix as rows."""
+    return metrics.confusion_matrix(ruled(s, d))
+
+
+@query(f"with {BASKETS}, {RULE} select round(avg(pow(guess - amount, 2)), 5) as mse, round(sqrt(avg(pow(guess - amount, 2))), 5) as rmse, round(avg(pow(ln(1 + guess) - ln(1 + amount), 2)), 5) as msle, round(sqrt(avg(pow(ln(1 + guess) - ln(1 + amount), 2))), 5) as rmsle, round(median(abs(guess - amount)), 5) as median_abs_error, round(avg(abs(guess - amount)), 5) as mean_abs_error, round(max(abs(guess - amount)), 5) as max_error from ru")
+def regression_report(s, d):
+    """AGG-19, MET-2/10, MTH-4/5/6."""
+    out = metrics.regression_report(ruled(s, d), "guess", "amount")
+    return out.select(*[r(c, 5).alias(c) for c in out.columns])
+
+
+@query(f"with {BASKETS} select round(sum(x1 * pow(x0 * 1.5 - amount, 2)) / sum(x1), 5) as mse, round(sqrt(sum(x1 * pow(x0 * 1.5 - amount, 2)) / sum(x1)), 5) as rmse from bk")
+def weighted_regression_report(s, d):
+    """MTH-4 with weights."""
+    return metrics.regression_report(ruled(s, d), "guess", "amount", "w").select(r("mse", 5).alias("mse"), r("rmse", 5).alias("rmse"))
+
+
+@query(f"with {BASKETS}, {RULE} select round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) as log_loss from (select y, least(greatest(case when p = 1 then 0.9 else 0.0 end, 1e-15), 1 - 1e-15) as q from ru)")
+def log_loss(s, d):
+    """MTH-2: clipped log loss."""
+    return metrics.log_loss(ruled(s, d).withColumn("probability", F.col("prediction") * 0.9)).select(r("log_loss").alias("log_loss"))
+
+
+@query(f"with {BASKETS}, v as (select row_id, [case when x0 > 0.8 then 1 else 0 end, case when x1 > 1 then 1 else 0 end, case when x2 > 0.5 then 1 else 0 end] as votes from bk) select row_id, round(len(list_filter(votes, lambda e: e = 0)) / 3.0::double, 6) as p0, round(len(list_filter(votes, lambda e: e = 1)) / 3.0::double, 6) as p1 from v")
+def vote_probabilities(s, d):
+    """AGG-20/21: votes to class shares."""
+    b = baskets(s, d)
+    votes = b.select("row_id", F.explode(F.array(*[F.when(F.get("x", F.lit(i)) > t, 1).otherwise(0) for i, t in enumerate((0.8, 1.0, 0.5))])).alias("prediction"))
+    return metrics.vote_probabilities(votes, 2).select("row_id", r(F.get("probabilities", F.lit(0))).alias("p0"), r(F.get("probabilities", F.lit(1))).alias("p1"))
+
+
+@query(f"with {LONG} select feature::int as feature, min(v) as low, max(v) as high, round(avg(v), 6) as mean, round(var_pop(v), 6) as variance, round(stddev_pop(v), 6) as deviation, count(*) as n from lo group by feature")
+def column_statistics(s, d):
+    """AGG-25/26."""
+    out = stats.column_statistics(lines_long(s, d))
+    return out.select("feature", "low", "high", r("mean").alias("mean"), r("variance").alias("variance"), r("deviation").alias("deviation"), "n")
+
+
+@query("select label, round(ln(p / (1 - p)), 6) as log_odds, round(ln(p), 6) as log_share from (select label, least(greatest(count(*)::double / (select count(*) from embeddings), 1e-3), 1 - 1e-3) as p from embeddings group by label)")
+def class_priors(s, d):
+    """AGG-27/28: clipped priors of boosting."""
+    e = read_table(s, d, "embeddings")
+    shares = e.groupBy("label").agg((F.count("*") / F.lit(e.count())).alias("p")).withColumn("p", F.least(F.greatest("p", F.lit(1e-3)), F.lit(1 - 1e-3)))
+    return shares.select("label", r(F.ln(F.col("p") / (1 - F.col("p")))).alias("log_odds"), r(F.ln("p")).alias("log_share"))
+
+
+# sort and top-k ---------------------------------------------------------------------------------------
+
+
+@query("select event_id, row_number() over (order by value, event_id) - 1 as rank from events")
+def global_rank(s, d):
+    """SRT-1: a total order without one sorting task."""
+    return order.with_global_rank(read_table(s, d, "events").select("event_id", "value"), "value", "event_id").select("event_id", "rank")
+
+
+@query("with k as (select value as v, row_number() over (order by value) - 1 as i, count(*) over () as n from events), c as (select t.i::int as split_id, least((t.i + 1) * (n // 16), n - 1) as a, least((t.i + 1) * (n // 16) + 1, n - 1) as b from range(15) t(i), (select distinct n from k)) select split_id, round((x.v + y.v) / 2, 6) as threshold from c join k x on x.i = c.a join k y on y.i = c.b")
+def quantile_splits(s, d):
+    """SRT-3: midpoints at equal rank steps."""
+    long = read_table(s, d, "events").select(F.col("event_id").alias("row_id"), F.lit(0).alias("feature"), F.col("value").alias("v"))
+    return stats.split_candidates(long, 16).select("split_id", r("threshold").alias("threshold"))
+
+
+@query("select feature::int as feature, (row_number() over (partition by feature order by v) - 1)::int as split_id, v as threshold from (select feature, v, lead(v) over (partition by feature order by v) as nx from (select distinct unnest([0, 1]) as feature, unnest([l_discount, l_tax]) as v from lineitem)) where nx is not null")
+def distinct_splits(s, d):
+    """SRT-2/3: few distinct values are their own candidates."""
+    li = read_table(s, d, "lineitem").select(F.monotonically_increasing_id().alias("row_id"), F.posexplode(F.array("l_discount", "l_tax")).alias("feature", "v"))
+    return stats.split_candidates(li, 64).select("feature", "split_id", "threshold")
+
+
+@query("select vec_id, rank, i from (select vec_id, (i - 1)::int as i, (row_number() over (partition by vec_id order by v desc, i))::int as rank from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)) where rank <= 5")
+def top_k_entries(s, d):
+    """SRT-4/5: indices of the five largest entries."""
+    e = read_table(s, d, "embeddings").select("vec_id", F.posexplode(V.top_k_indices(F.col("embedding"), 5)).alias("p", "i"))
+    return e.select("vec_id", (F.col("p") + 1).alias("rank"), "i")
+
+
+@query(f"with {LONG}, m as (select feature, sum(w*v)/sum(w) as mv, sum(w*y)/sum(w) as my from lo group by feature), c as (select l.feature, abs(sum(w*(v-mv)*(y-my))/sqrt(sum(w*(v-mv)*(v-mv)))/sqrt(sum(w*(y-my)*(y-my)))) as corr from lo l join m using (feature) group by l.feature) select feature::int as feature, round(corr, 6) as corr from c order by c.corr desc, feature limit 2")
+def top_features(s, d):
+    """SRT-6/7, PRE-3/5: the two most correlated features."""
+    return stats.top_features(stats.feature_correlations(lines_long(s, d)), 2).select("feature", r("corr").alias("corr"))
+
+
+@query("select vec_id, (list_position(embedding, list_max(embedding)) - 1)::bigint as best, coalesce(list_position(embedding, embedding[7]) - 1, -1)::bigint as at, round(list_max(embedding)::double, 6) as top from embeddings")
+def argmax_and_search(s, d):
+    """SRT-8/9/10."""
+    e = F.col("embedding")
+    return read_table(s, d, "embeddings").select("vec_id", V.argmax(e).cast("long").alias("best"), V.index_of(e, F.get(e, F.lit(6))).cast("long").alias("at"), r(F.array_max(e).cast("double")).alias("top"))
+
+
+# scalar and vector functions ----------------------------------------------------------------------------
+
+
+@query("select event_id, round(1 / (1 + exp(-(value - 10) / 5)), 6) as p, abs(value - round(value, 2)) <= 1e-3 as close from events")
+def logistic_values(s, d):
+    """MTH-1/7."""
+    v = F.col("value")
+    return read_table(s, d, "events").select("event_id", r(V.logistic((v - 10) / 5)).alias("p"), V.close_to(v, F.round(v, 2)).alias("close"))
+
+
+_E = "list_transform(embedding, lambda e: e::double)"
+
+
+@query(f"select vec_id, round(list_dot_product({_E}, {_E}), 5) as dot, round(list_sum({_E}), 5) as total, round(list_sum(list_transform({_E}, lambda e: (e - e * 2) * (e - e * 2))), 5) as distance, round(exp(embedding[1]::double) / list_sum(list_transform({_E}, lambda e: exp(e))), 6) as soft, round(embedding[1]::double / nullif(list_sum({_E}), 0), 3) as share from embeddings")
+def vector_algebra(s, d):
+    """MTH-3, AGG-17, LA-4..12, LA-16, LA-19."""
+    v = F.transform("embedding", lambda e: e.cast("double"))
+    e = read_table(s, d, "embeddings").select("vec_id", v.alias("v"))
+    first = lambda c: F.get(c, F.lit(0))
+    v = F.col("v")
+    return e.select("vec_id", r(V.dot(v, v), 5).alias("dot"), r(V.vector_sum(v), 5).alias("total"), r(V.squared_distance(v, V.add(v, v)), 5).alias("distance"), r(first(V.softmax(v))).alias("soft"), r(first(V.sum_normalize(v)), 3).alias("share"))
+
+
+@query("with n as (select unnest(range(1, 31)) as d), z as (select d, unnest(range(0, d + 1)) as z from n), c as (select d, z, factorial(d::int) / (factorial(z::int) * factorial((d - z)::int)) as c from z) select d::bigint as d, z::bigint as z, round(case when z in (0, d) then 1e-6 else greatest(1e-6, (d - 1) / (c * z * (d - z))::double) end, 9) as w from c where d <= 15")
+def kernel_shap_weights(s, d):
+    """MTH-8/9."""
+    n = s.range(1, 16).select(F.col("id").alias("d")).select("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d"))).alias("z"))
+    return n.select("d", "z", r(V.kernel_shap_weight(F.col("d"), F.col("z")), 9).alias("w"))
+
+
+@query("select event_id, cast(trunc(value * 65536) as double) as mantissa, round(trunc(value * 65536) / 65536, 6) as decoded, cast(trunc(trunc(value * 65536) / 256) as double) as shorter, round(2 * trunc(value * 65536) / 65536, 6) as doubled from events")
+def fixed_point(s, d):
+    """MTH-11..15/17, LA-5/7/25: encode, decode, add and shorten."""
+    e = read_table(s, d, "events").select("event_id", V.encode_fixed(F.col("value")).alias("c"))
+    c = F.col("c")
+    return e.select("event_id", c["mantissa"].cast("double").alias("mantissa"), r(V.decode_fixed(c)).alias("decoded"), V.rescale_fixed(c, -8)["mantissa"].cast("double").alias("shorter"), r(V.decode_fixed(V.add_fixed(c, c))).alias("doubled"))
+
+
+@query("select event_id, case when h < 0 or h >= 30000 then 'invalid' when 3 * h <= 30000 then 'positive' when 3 * h >= 60000 then 'negative' else 'overflow' end as state from (select event_id, event_id % 31000 as h from events)")
+def residue_states(s, d):
+    """MTH-16."""
+    return read_table(s, d, "events").select("event_id", V.residue_sign(F.col("event_id") % 31000, 30000).alias("state"))
+
+
+@query(f"select event_id, round(value, 6) as value, cast(({_hash('event_id', 52)}) % 32767 as double) as share1, cast(({_hash('event_id', 53)}) % 32767 as double) as share2 from events")
+def additive_shares(s, d):
+    """LA-22/23/24: shares that sum to the value."""
+    e = read_table(s, d, "events").select("event_id", V.split_shares(F.col("value"), F.col("event_id"), 3).alias("s"))
+    return e.select("event_id", r(V.join_shares(F.col("s"))).alias("value"), F.get("s", F.lit(1)).alias("share1"), F.get("s", F.lit(2)).alias("share2"))
+
+
+@query("with a as (select l_returnflag, l_linestatus, sum(l_quantity) as v from lineitem group by 1, 2), b as (select l_linestatus, l_linenumber, sum(l_quantity) as v from lineitem group by 1, 2) select l_returnflag, l_linenumber, round(sum(a.v * b.v), 2) as v from a join b using (l_linestatus) group by 1, 2")
+def matrix_product(s, d):
+    """LA-13/14/15/18: a product of coordinate matrices."""
+    li = read_table(s, d, "lineitem")
+    a = li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("a"))
+    b = li.groupBy("l_linestatus", "l_linenumber").agg(F.sum("l_quantity").alias("b"))
+    return a.join(b, "l_linestatus").groupBy("l_returnflag", "l_linenumber").agg(r(F.sum(F.col("a") * F.col("b")), 2).alias("v"))
+
+
+@query("select vec_id, round(embedding[1]::double, 6) as a, round(embedding[9]::double, 6) as b, round(0.5 * embedding[1]::double - embedding[2]::double + 0.25, 6) as z, 8 as width from embeddings")
+def reshape_and_affine(s, d):
+    """MTH-10, LA-17, LA-27: rows of eight, transposed, and an affine layer."""
+    e = read_table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    m = V.transpose(V.reshape(F.col("v"), 8))
+    z = V.affine(F.slice("v", 1, 2), [[0.5, -1.0]], [0.25])
+    return e.select("vec_id", m.alias("m"), z.alias("z")).select("vec_id", r(F.get(F.get("m", F.lit(0)), F.lit(0))).alias("a"), r(F.get(F.get("m", F.lit(0)), F.lit(1))).alias("b"), r(F.get("z", F.lit(0))).alias("z"), F.size("m").alias("width"))
+
+
+# preprocessing ------------------------------------------------------------------------------------------
+
+
+@query("select event_id, round((value - lo + 0.5) / (hi - lo + 0.5), 6) as scaled, round((value - mean) / dev, 6) as z from events, (select min(value) as lo, max(value) as hi, avg(value) as mean, stddev_pop(value) as dev from events)")
+def scaling(s, d):
+    """PRE-1/2/15: min-max with a smoother, and population z-scores."""
+    long = read_table(s, d, "events").select(F.col("event_id").alias("row_id"), F.lit(0).alias("feature"), F.col("value").alias("v"))
+    a, b = stats.min_max(long, 0.5).select("row_id", F.col("v").alias("a")), stats.standardize(long).select("row_id", F.col("v").alias("b"))
+    return a.join(b, "row_id").select(F.col("row_id").alias("event_id"), r("a").alias("scaled"), r("b").alias("z"))
+
+
+@query("select c_custkey, dense_rank() over (order by c_mktsegment) - 1 as code from customer")
+def label_codes(s, d):
+    """PRE-14: labels numbered in their order."""
+    return stats.label_encode(read_table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment").select("c_custkey", F.col("c_mktsegment_code").alias("code"))
+
+
+@query("select label, count(*) as n, sum(case when label = 3 then 1.0 else 0.0 end)::double as three, sum(label * label)::double as squares from embeddings group by label")
+def label_helpers(s, d):
+    """PRE-11/13: one-hot labels and label moments."""
+    e = read_table(s, d, "embeddings").select("label", V.one_hot(F.col("label"), 10).alias("o"), V.label_moments(F.col("label").cast("double")).alias("m"))
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.get("o", F.lit(3))).alias("three"), F.sum(F.get("m", F.lit(1))).alias("squares"))
+
+
+# training -------------------------------------------------------------------------------------------------
+
+
+def _steps(source: str, features: int, kind: str, steps: int, rate: float, penalty: float = 0.0, weight: str = "1.0", label: str = "y") -> str:
+    """Unrolled gradient steps in SQL: one CTE a step."""
+    names = [f"w{j}" for j in range(features + 1)]
+    inputs = ["1.0"] + [f"x{j}" for j in range(features)]
+    ctes = ["s0 as (select " + ", ".join(f"0.0::double as {w}" for w in names) + ")"]
+    for t in range(steps):
+        z = " + ".join(f"{w} * {i}" for w, i in zip(names, inputs, strict=True))
+        p = f"1 / (1 + exp(-({z})))" if kind == "logistic" else z
+        c = 1.0 if kind == "logistic" else 2.0
+        sums = ", ".join(f"any_value({w}) - {rate} * ({c} * sum({weight} * (({p}) - {label}) * {i}) / count(*) + {2 * penalty} * any_value({w})) as {w}" for w, i in zip(names, inputs, strict=True))
+        ctes.append(f"s{t + 1} as (select {sums} from {source}, s{t})")
+    return ", ".join(ctes)
+
+
+@query(f"with {BASKETS}, {_steps('bk', 3, 'logistic', 4, 0.5, 0.01)} select " + " union all select ".join(f"{j}::int as global_idx, round(w{j}, 6) as w from s4" for j in range(4)))
+def logistic_regression(s, d):
+    """TRN-1..6: four full steps with an L2 penalty."""
+    return linear.fit(baskets(s, d), "logistic", 3, 4, 0.5, "l2", 0.01).table(s).select("global_idx", r("w").alias("w"))
+
+
+@query(f"with {BASKETS}, {_steps('bk', 3, 'linear', 4, 0.1, label='amount')} select " + " union all select ".join(f"{j}::int as global_idx, round(w{j}, 6) as w from s4" for j in range(4)))
+def linear_regression(s, d):
+    """TRN-7/8/10."""
+    b = baskets(s, d).withColumn("y", F.col("amount"))
+    return linear.fit(b, "linear", 3, 4, 0.1).table(s).select("global_idx", r("w").alias("w"))
+
+
+@query(f"with {BASKETS}, {_steps('bk', 3, 'linear', 3, 0.05, weight='x1', label='amount')} select " + " union all select ".join(f"{j}::int as global_idx, round(w{j}, 6) as w from s3" for j in range(4)))
+def weighted_linear_regression(s, d):
+    """TRN-9/11/12: sample weights."""
+    b = baskets(s, d).withColumns({"y": F.col("amount"), "w": F.get("x", F.lit(1))})
+    return linear.fit(b, "linear", 3, 3, 0.05, weight="w").table(s).select("global_idx", r("w").alias("w"))
+
+
+@query(f"with {BASKETS} select round(regr_slope(amount, x0), 5) as slope, round(regr_intercept(amount, x0), 5) as intercept from bk")
+def least_squares(s, d):
+    """TRN-7/54: one pass over products, solved on the driver."""
+    b = baskets(s, d).select("row_id", F.slice("x", 1, 1).alias("x"), F.col("amount").alias("y"))
+    w = linear.least_squares(b, 1).weights
+    return s.createDataFrame([(w[1], w[0])], "slope double, intercept double").select(r("slope", 5).alias("slope"), r("intercept", 5).alias("intercept"))
+
+
+@query(f"with {BASKETS}, {_steps('bk', 3, 'logistic', 3, 0.5)}, p as (select row_id, y, 1 / (1 + exp(-(w0 + w1 * x0 + w2 * x1 + w3 * x2))) as p from bk, s3) select row_id, round(p, 5) as p1, round(1 - p, 5) as p0, round(p - y, 5) as residual from p")
+def logistic_scores(s, d):
+    """PRD-1..4/20, TRN-14."""
+    b = baskets(s, d)
+    model = linear.fit(b, "logistic", 3, 3, 0.5)
+    p = b.select("row_id", "y", model.probabilities().alias("p"))
+    return p.select("row_id", r(F.get("p", F.lit(1)), 5).alias("p1"), r(F.get("p", F.lit(0)), 5).alias("p0"), r(F.get("p", F.lit(1)) - F.col("y"), 5).alias("residual"))
+
+
+@query(f"with {ALIGNED}, tr as (select *, row_number() over (order by {_hash('row_id')}, row_id) <= floor(0.8 * count(*) over ()) as is_train from al), tt as (select * from tr where is_train), {_steps('tt', 4, 'logistic', 5, 0.5)}, p as (select y, case when 1 / (1 + exp(-(w0 + w1 * x0 + w2 * x1 + w3 * x2 + w4 * x3))) >= 0.5 then 1.0 else 0.0 end as p from tr, s5 where not is_train), c as (select count(*) filter (where p = 1 and y = 1) as tp, count(*) filter (where p = 1 and y = 0) as fp, count(*) filter (where p = 0 and y = 1) as fn, count(*) filter (where p = 0 and y = 0) as tn from p) select tp, fp, fn, tn, round((tp + tn)::double / (tp + fp + fn + tn), 6) as accuracy from c")
+def flagship_order_value(s, d):
+    """Align two parties, split, train logistic regression, and evaluate on the held-out rows."""
+    rows = order.split_train_test(aligned(s, d), "row_id").persist()
+    model = linear.fit(rows.where("is_train"), "logistic", 4, 5, 0.5)
+    scored = rows.where("not is_train").withColumn("prediction", model.label())
+    return metrics.classification_report(scored).select("tp", "fp", "fn", "tn", r("accuracy").alias("accuracy"))
+
+
+def _stump(value: str, kind: str) -> str:
+    """Best first split over quantile candidates, in SQL."""
+    bins = 8
+    cand = (
+        "k as (select unnest([0, 1, 2]) as f, unnest([x0, x1, x2]) as v from bk), dn as (select f, list_sort(list(v)) as o, count(distinct v) as d, count(*) as n from k group by f), "
+        f"q as (select distinct f, (o[least((j + 1) * (n // {bins}), n - 1) + 1] + o[least((j + 1) * (n // {bins}) + 1, n - 1) + 1]) / 2 as t from dn, range({bins - 1}) g(j) where d >= {bins} "
+        f"union select k.f, k.v from k join dn using (f) where dn.d < {bins} and k.v < dn.o[dn.n])"
+    )
+    w = "n - (s * s + (n - s) * (n - s)) / n" if kind == "gini" else "q - s * s / n"
+    f = lambda p: w.replace("n", f"{p}n").replace("s", f"{p}s").replace("q", f"{p}q")
+    return f"""with {BASKETS}, {cand},
+l as (select q.f, q.t, count(*)::double as an, sum({value}) as "as", sum({value} * {value}) as aq from q join (select unnest([0, 1, 2]) as f, unnest([x0, x1, x2]) as v, unnest([{value}, {value}, {value}]) as {value} from bk) z on z.f = q.f and z.v <= q.t group by q.f, q.t),
+a as (select count(*)::double as tn, sum({value}) as ts, sum({value} * {value}) as tq from bk),
+g as (select f, t, ({f('t')} - ({f('a').replace('as', '"as"')}) - ({f('(t').replace('(tn', '(tn - an)').replace('(ts', '(ts - "as")').replace('(tq', '(tq - aq)')})) / tn as gain from l, a where an < tn)
+select f::int as feature, round(t, 6) as threshold, round(gain, 6) as gain from g order by round(gain, 9) desc, f, t limit 1"""
+
+
+@query(_stump("y", "gini"))
+def best_split_gini(s, d):
+    """TRN-18, AGG-3/24/30: the root's best split for classes."""
+    root = tree.grow(baskets(s, d), 2, 1, 8).nodes[0, 0]
+    return s.createDataFrame([(root.feature, root.threshold, root.gain)], "feature int, threshold double, gain double").select("feature", r("threshold").alias("threshold"), r("gain").alias("gain"))
+
+
+@query(_stump("amount", "variance"))
+def best_split_variance(s, d):
+    """TRN-15/18: the root's best split for values."""
+    root = tree.grow(baskets(s, d).withColumn("y", F.col("amount")), 0, 1, 8).nodes[0, 0]
+    return s.createDataFrame([(root.feature, root.threshold, root.gain)], "feature int, threshold double, gain double").select("feature", r("threshold").alias("threshold"), r("gain").alias("gain"))
+
+
+@query()
+def decision_tree(s, d):
+    """TRN-15/17/20, PRD-6..8, MET-4: the node table of a tree of depth three."""
+    return tree.grow(baskets(s, d), 2, 3, 8).table(s)
+
+
+@query()
+def tree_importance(s, d):
+    """AGG-29."""
+    return tree.grow(baskets(s, d), 2, 3, 8).importance(s)
+
+
+@query()
+def random_forest(s, d):
+    """TRN-23/48, PRD-9, MET-5: a forest's report."""
+    b = baskets(s, d)
+    model = tree.forest(b, 5, 0.7, classes=2, max_depth=3)
+    return metrics.classification_report(b.withColumn("prediction", model.predict()))
+
+
+@query()
+def gbdt_regression(s, d):
+    """TRN-25/28/29/33, PRD-10."""
+    b = baskets(s, d).withColumn("y", F.col("amount"))
+    return metrics.regression_report(b.withColumn("prediction", tree.boost(b, "ls", rounds=3, rate=0.3).predict()))
+
+
+@query()
+def gbdt_binary(s, d):
+    """TRN-26/30/32/34, MET-6."""
+    b = baskets(s, d)
+    return metrics.classification_report(b.withColumn("prediction", tree.boost(b, "deviance", 2, rounds=2, rate=0.3).predict()))
+
+
+@query()
+def gbdt_multiclass(s, d):
+    """TRN-26/31, PRD-11: three classes of revenue."""
+    b = baskets(s, d).withColumn("y", F.least(F.floor(F.col("amount") / 1.2), F.lit(2)).cast("double"))
+    return metrics.accuracy(b.withColumn("prediction", tree.boost(b, "deviance", 3, rounds=2, rate=0.3, max_depth=2).predict()))
+
+
+@query()
+def mlp_classifier(s, d):
+    """TRN-35..42, PRD-12..14, MET-7."""
+    b = baskets(s, d)
+    model = mlp.fit(b, mlp.Mlp.initial([3, 6, 1], ["relu", "logistic"]), 15, 0.5)
+    return metrics.classification_report(b.withColumn("prediction", model.label()))
+
+
+# explanations ---------------------------------------------------------------------------------------------
+
+
+@query()
+def lime_explanation(s, d):
+    """LIM-1..13: samples around a row, scored, weighted, selected and fitted."""
+    b = baskets(s, d)
+    model = linear.fit(b, "logistic", 3, 4, 0.5)
+    row = [0.4, 0.5, 0.5]
+    samples = explain.distance_weights(explain.gaussian_samples(s, row, [0.2] * 3, 2000), row).withColumn("y", model.predict())
+    samples = materialize(samples, "samples")
+    return explain.explain(samples, explain.select_features(samples, 2))
+
+
+@query()
+def shap_weights(s, d):
+    """LIM-1/8: coalitions with kernel weights."""
+    return explain.coalition_weights(explain.coalition_samples(s, [0.1, 0.2, 0.3, 0.4], [0.5] * 4, 500), 4)
+
+
+@query(f"with {BASKETS} select row_id, round(sqrt(exp(-(pow(x0 - 0.4, 2) + pow(x1 - 0.5, 2) + pow(x2 - 0.5, 2)) / pow(0.75 * sqrt(3), 2))), 6) as w from bk")
+def distance_weights(s, d):
+    """LIM-6/7: exponential kernel weights of all rows."""
+    return explain.distance_weights(baskets(s, d), [0.4, 0.5, 0.5]).select("row_id", r("w").alias("w"))
+
+
+@query()
+def tree_surrogate(s, d):
+    """LIM-12/14: importance of a weighted regression tree."""
+    row = [0.4, 0.5, 0.5]
+    samples = explain.distance_weights(baskets(s, d), row).select("row_id", "x", "w", F.col("amount").alias("y"))
+    return explain.explain(samples, [0, 1, 2], "tree")
+
+
+@query()
+def job_run(s, d):
+    """Jobs: a declarative specification over two parties, with a report for both halves."""
+    spec = {"name": "orders", "algorithm": "logistic_regression", "params": {"iterations": 3, "rate": 0.5, "convergence_threshold": 1e-4}}
+    return jobs.run(jobs.Job.parse(spec), [order_party(s, d), customer_party(s, d)])[1]
+
+
+@query("select round(avg(pow(a.value - b.value, 2)), 4) as mse from events a join events b on b.event_id = (a.event_id + 1) % (select count(*) from events)")
+def table_mse(s, d):
+    """MET-11: two tables compared cell by cell."""
+    e = read_table(s, d, "events")
+    n = e.count()
+    a = e.select(F.col("event_id").alias("k"), F.col("value").alias("v"))
+    b = e.select(F.pmod(F.col("event_id") - 1, F.lit(n)).alias("k"), F.col("value").alias("v"))
+    return metrics.table_mse(a, b, ["k"]).select(r("mse", 4).alias("mse"))
