@@ -51,6 +51,11 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
     return F.array(*[F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once for each row: as a generator's output it is not copied into the expressions that use it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def item_table(benchmark: DataFrame, k: int, radius: int) -> DataFrame:
     """item_id, its shingle width (fewer than k for a shorter item), hashes, keys and blocks; wordless items are left out."""
     base = benchmark.select("item_id", words("text").alias("w")).where(F.size("w") > 0).withColumn("m", F.size("w"))
@@ -61,6 +66,7 @@ def item_table(benchmark: DataFrame, k: int, radius: int) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
+    out = _once(out.withColumnRenamed("item_hashes", "h0"), "item_hashes", F.col("h0")).drop("h0")
     out = out.withColumns({"n": F.size("item_hashes"), "item_print": simhash(F.col("item_hashes"))})
     return out.select("item_id", "m", "n", "width", "item_hashes", _numbered(F.col("item_hashes")).alias("item_keys"), "item_print", _blocks(F.col("item_print"), radius).alias("item_blocks"))
 
@@ -96,8 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: in
         starts = F.sequence(F.greatest(F.col("begin"), F.coalesce(F.col("before") + 1, F.lit(0))), F.col("pos"))
         windows = seeds.withColumn("start_word", F.explode(starts)).withColumn("offset", F.col("start_word") - F.col("begin"))
         count = F.least(F.col("n"), F.size("around") - F.col("offset") - width + 1)
-        windows = windows.withColumn("hashes", _shingles(F.col("around"), F.col("offset"), count, width)).drop("around")
-        windows = windows.withColumn("print", simhash(F.col("hashes")))
+        windows = _once(windows, "hashes", _shingles(F.col("around"), F.col("offset"), count, width)).drop("around")
+        windows = _once(windows, "print", simhash(F.col("hashes")))
         block = windows.select("doc_id", "doc_key", "item", "start_word", "hashes", "print", F.posexplode(_blocks(F.col("print"), radius)).alias("block", "value"))
         theirs = items.where(F.col("width") == width).select("item", "item_id", "n", "item_keys", "item_print", "item_blocks", F.posexplode("item_blocks").alias("block", "value"))
         met = block.join(hint(theirs), ["item", "block", "value"])
@@ -105,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: in
         first = F.array_position(F.zip_with(_blocks(F.col("print"), radius), "item_blocks", lambda a, b: a == b), True) - 1
         near = met.where((first == F.col("block")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius))
         both = F.size(F.array_intersect(_numbered(F.col("hashes")), "item_keys"))
-        exact = near.select("doc_id", "doc_key", "item_id", "start_word", "n", F.size("hashes").alias("nw"), both.alias("both"))
+        exact = _once(near, "both", both).select("doc_id", "doc_key", "item_id", "start_word", "n", F.size("hashes").alias("nw"), "both")
         exact = exact.where(100 * F.col("both") >= percent * (F.col("n") + F.col("nw") - F.col("both")))
         exact = exact.select("doc_id", "doc_key", "item_id", "start_word", (F.col("both") / (F.col("n") + F.col("nw") - F.col("both"))).alias("similarity"))
         found = exact if found is None else found.union(exact)
