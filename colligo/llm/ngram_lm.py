@@ -111,6 +111,8 @@ def _cut(counts: DataFrame, most: int) -> int:
 
 
 ROW = "row long, pair long, n int, both long, w1 long, w2 long, c1 long, c2 long, base double, n_words long, doc_id long"
+#: What is shuffled by bigram; columns that differ from row to row stand together, which compresses well.
+PARTS = ("row", "n", "base", "n_words", "doc_id", "pair", "both")
 ROW_ARROW = pa.schema([(a, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[b]) for a, b in (x.split() for x in ROW.split(", "))])
 
 
@@ -125,7 +127,9 @@ def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS) -
     total = counts.agg(F.sum("n")).first()[0] or 0
     heavy = _table(counts.where(F.col("n") * HEAVY >= max(total, 1)))[0]
     pairs = _table(heavy_pair_counts(docs, heavy))
-    known = _table(counts.where(F.col("n") >= _cut(counts, table_words)))
+    cut = _cut(counts, table_words)
+    known = _table(counts.where(F.col("n") >= cut))
+    absent = 1 if cut <= 2 else 0  # where all words that occur twice are in the table, others occur once
     shared = spark.sparkContext.broadcast((known, heavy, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +138,7 @@ def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS) -
             row, ids = batch["row"].to_numpy(), batch["doc_id"]
             for a, b, words, first in kernels.documents(batch["text"]):
                 kinds, place = np.unique(words, return_inverse=True)
-                count, big = _find(table, kinds), np.isin(kinds, often)
+                count, big = np.maximum(_find(table, kinds), absent), np.isin(kinds, often)
                 grams, out = _pairs(words), []
                 bases, sizes = np.zeros(b - a), np.diff(first)
                 for r in np.flatnonzero(sizes):
@@ -150,7 +154,8 @@ def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS) -
                     seen = np.where(direct, _find(often_pairs, g), 0) if direct.any() else np.zeros(len(g), np.int64)
                     better = direct & (seen >= min_count)
                     bases[r] += (n[better] * np.log(seen[better] * (total / BACKOFF) / (c1[better] * c2[better]))).sum()
-                    left = ~direct
+                    # a bigram occurs at most as often as its words
+                    left = ~direct & ~(done & (np.minimum(c1, c2) < min_count))
                     rest = left & ~done
                     out.append((np.full(left.sum(), a + r), g[left], n[left], np.where(done, c1 * c2, 0)[left], *(np.where(rest, w, U64(0))[left] for w in (words[s + at], words[s + at + 1])), c1[left], c2[left], rest[left]))
                     if not c[0]:  # the first word's own count is to be joined
@@ -174,7 +179,7 @@ def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS) -
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
     rows = numbered.mapInArrow(run, ROW)
-    plain = rows.where("w1 is null").select("row", "pair", "n", "both", "base", "n_words", "doc_id")
+    plain = rows.where("w1 is null").select(*PARTS)
     rare = rows.where("w1 is not null")
     for w, c in (("w1", "c1"), ("w2", "c2")):
         theirs = counts.select(F.col("key").alias(w), F.col("n").alias("found"))
@@ -183,7 +188,7 @@ def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS) -
     first = F.log(F.col("c1") / total_lit)  # n = 0 marks a first word
     base = F.when(F.col("n") == 0, first).otherwise(F.col("n") * F.log(F.lit(BACKOFF) * F.col("c2") / total_lit))
     nothing = F.lit(None).cast("long")
-    rare = rare.select("row", "pair", "n", F.when(F.col("n") == 0, 0).otherwise(F.col("c1") * F.col("c2")).alias("both"), base.alias("base"), nothing.alias("n_words"), nothing.alias("doc_id"))
+    rare = rare.select("row", "pair", "n", F.when(F.col("n") == 0, 0).otherwise(F.col("c1") * F.col("c2")).alias("both"), base.alias("base"), nothing.alias("n_words"), nothing.alias("doc_id")).select(*PARTS)
     counted = plain.union(rare).withColumn("seen", F.sum("n").over(Window.partitionBy("pair")))
     gain = F.when((F.col("seen") >= min_count) & (F.col("both") > 0), F.col("n") * F.log(F.col("seen") * F.lit(max(total, 1) / BACKOFF) / F.col("both"))).otherwise(0.0)
     parts = counted.select("row", (gain + F.coalesce("base", F.lit(0.0))).alias("part"), "n_words", "doc_id")
