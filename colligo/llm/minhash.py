@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colligo.llm import kernels
@@ -107,8 +107,8 @@ def similar(shared: Column, total: Column, percent: int) -> Column:
     return 100 * shared >= percent * total
 
 
-def _pairs_by_difference(members: DataFrame, with_sets, percent: int) -> list[DataFrame]:
-    """Candidate pairs of large bands: (rep, n, c, rep2, n2, c2), complete but for pairs that cannot be similar.
+def _links_by_difference(members: DataFrame, with_sets, percent: int) -> DataFrame:
+    """Links (a, b) between components within large bands; pairs that cannot be similar are not made.
 
     ``members``: (lead, rep, n, c).  A centre is the leader's set, changed by what most
     members add or lack.  With A = set - centre and R = centre - set, the difference of
@@ -134,21 +134,36 @@ def _pairs_by_difference(members: DataFrame, with_sets, percent: int) -> list[Da
         F.array_union(F.array_except("missing", "less"), F.array_except("more", "added")).alias("missing"),
     )
     moved = save(moved.withColumn("far", percent * (F.size("added") + F.size("missing")) > (100 - percent) * F.col("n")), "differences")
-    out = []
+    pairs = None
+    # |A and A'| (or |R and R'|) is (|A| + |R| - t) / 2 at least, so some shared item is among the rarest size - that + 1
+    least = F.greatest(F.ceil((F.size("added") + F.size("missing") - F.col("n") * ((100 - percent) / percent)) / 2), F.lit(1))
     for column, partner in (("added", F.size("added") >= F.size("missing")), ("missing", F.size("missing") > F.size("added"))):
-        far = moved.where("far").select("lead", "rep", "n", "c", F.explode(column).alias("item"))
         other = moved.where(partner).select(F.col("lead").alias("l2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.explode(column).alias("item2"))
-        out.append(far.join(other, (F.col("lead") == F.col("l2")) & (F.col("item") == F.col("item2"))))
+        times = other.groupBy("l2", "item2").agg(F.count("*").alias("times")).where("times > 0")
+        far = moved.where("far").select("lead", "rep", "n", "c", (F.size(column) - least + 1).alias("prefix"), F.explode(column).alias("item"))
+        far = far.join(times, (F.col("lead") == F.col("l2")) & (F.col("item") == F.col("item2")), "left").drop("l2", "item2")
+        rarest = Window.partitionBy("lead", "rep").orderBy(F.coalesce("times", F.lit(0)), "item")
+        far = far.withColumn("place", F.row_number().over(rarest)).where((F.col("place") <= F.col("prefix")) & F.col("times").isNotNull())
+        met = far.join(other, (F.col("lead") == F.col("l2")) & (F.col("item") == F.col("item2"))).select("lead", "rep", "n", "c", "rep2", "n2", "c2")
+        pairs = met if pairs is None else pairs.union(met)
     near = moved.where("not far")
     # only leads whose near sets are of different components pair them
     split = near.groupBy("lead").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select(F.col("lead").alias("l2"))
     near = near.join(split, F.col("lead") == F.col("l2"), "left_semi")
     other = near.select(F.col("lead").alias("l2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    out.append(near.join(other, (F.col("lead") == F.col("l2")) & (F.col("c") != F.col("c2"))))
-    return out
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS, pair_bucket: int = 32) -> DataFrame:
+    pairs = pairs.union(near.join(other, (F.col("lead") == F.col("l2")) & (F.col("c") != F.col("c2"))).select("lead", "rep", "n", "c", "rep2", "n2", "c2"))
+    sized = similar(F.least("n", "n2"), F.greatest("n", "n2"), percent)
+    pairs = pairs.where((F.col("c") != F.col("c2")) & sized).select("lead", F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")).distinct()
+    # sizes of the differences give the exact similarity
+    left = moved.select(F.col("lead").alias("l1"), F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("added").alias("a1"), F.col("missing").alias("m1"))
+    right = moved.select(F.col("lead").alias("l2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("added").alias("a2"), F.col("missing").alias("m2"))
+    both = pairs.join(left, (F.col("lead") == F.col("l1")) & (F.col("rep") == F.col("r1"))).join(right, (F.col("lead") == F.col("l2")) & (F.col("rep2") == F.col("r2")))
+    apart = sum((F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)) for x, y in (("a1", "a2"), ("m1", "m2"))), F.lit(0))
+    total = F.col("n1") + F.col("n2")
+    return both.where(similar(total - apart, total + apart, percent)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS, pair_bucket: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their
@@ -193,9 +208,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     second = lambda df, *keys: df.select(*keys, F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     few = left.where(F.col("size") <= pair_bucket)
     pairs = few.join(second(few, "key"), "key").where((F.col("rep") < F.col("rep2")) & differ).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    for more in _pairs_by_difference(left.where(F.col("size") > pair_bucket).select("lead", "rep", "n", "c").distinct(), with_sets, percent):
-        pairs = pairs.union(more.where(differ).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")))
-    more = save(verified(pairs.distinct()), "links")
+    wide = left.where(F.col("size") > pair_bucket).select("lead", "rep", "n", "c").distinct()
+    more = save(verified(pairs.distinct()).union(_links_by_difference(wide, with_sets, percent)), "links")
     if not more.isEmpty():
         groups = components(links.union(more))
     named = save(classes.select("set_id", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(F.col("set_id").alias("set"), F.coalesce("component", "rep").alias("c")), "classes")
