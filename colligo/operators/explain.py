@@ -8,15 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.functions.vectors import hash32, kernel_shap_weight
+from colligo.functions.vectors import kernel_shap_weight
 from colligo.operators import linear, stats, tree
 from colligo.operators.tables import to_long
 
 
 def _noise(cell: Column, seed: int) -> Column:
     """A standard normal number from two hashes of a cell."""
-    u = (hash32(cell, seed) + 1) / float(2**32 + 1)
-    v = hash32(cell * 31 + 17, seed + 1) / float(2**32)
+    u, v = ((F.pmod(F.xxhash64(cell, F.lit(seed + k)), F.lit(2**32)) + 1) / float(2**32 + 1) for k in (0, 1))
     return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
 
 
@@ -30,7 +29,7 @@ def gaussian_samples(spark: SparkSession, row: Sequence[float], deviation: Seque
 def coalition_samples(spark: SparkSession, row: Sequence[float], mean: Sequence[float], n: int, seed: int = 51) -> DataFrame:
     """(row_id, z, x): 0/1 coalitions; an absent feature takes its mean. Row 0 has all features."""
     d = len(row)
-    bits = [F.when(F.col("row_id") == 0, 1).otherwise((F.floor(hash32(F.col("row_id") * d + j, seed) / 65536) % 2).cast("int")) for j in range(d)]
+    bits = [F.when(F.col("row_id") == 0, 1).otherwise(F.pmod(F.xxhash64(F.col("row_id") * d + j, F.lit(seed)), F.lit(2)).cast("int")) for j in range(d)]
     out = spark.range(n).withColumnRenamed("id", "row_id").select("row_id", F.array(*bits).alias("z"))
     return out.withColumn("x", F.array(*[F.when(F.get("z", F.lit(j)) == 1, float(a)).otherwise(float(b)) for j, (a, b) in enumerate(zip(row, mean, strict=True))]))
 
