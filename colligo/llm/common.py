@@ -44,8 +44,3 @@ def other_key(column: str):
     expression makes Spark shuffle both sides for the join, and hot keys are split.
     """
     return F.col(column).bitwiseXOR(F.lit(1))
-
-
-def text_partitions(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` only; clashing extra columns go no further."""
-    return docs.select("doc_id", "text")
