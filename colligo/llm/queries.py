@@ -32,7 +32,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fold = langid.remainder(F.col("doc_id"), 5)
     model = langid.fit(docs.where(fold != 0))
-    return langid.predict(docs, model).select("doc_id", F.coalesce(langid.remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
+    return langid.predict(docs, model).select("doc_id", F.coalesce(langid.remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
