@@ -3,15 +3,19 @@
 S(w | v) is count(v w) / count(v) where the bigram was seen ``min_count`` times, else
 0.4 count(w) / N; a document's first word has count(w) / N.  A document's score is
 the sum of the logarithms.  All is relational: words are counted into one table,
-bigrams are exploded per document and shuffled by their hash, a window over each hash
-partition counts them next to the rows that need the count (the count table and its
-join in one shuffle), and the parts are summed per document.
+bigrams are exploded per document and shuffled by their hash, each hash bucket's count
+table meets the rows that need it where both lie (the count table and its join in one
+shuffle), and the parts are summed per document.  In the shuffle the exploded rows of
+a block of documents stand by column, sorted by hash, which takes a half of the bytes
+that single rows take.
 
 Skew has proven bounds.  Words with at least 1/512 of all occurrences are 512 at most;
 bigrams of two such words are counted apart, into a table of 512^2 rows at most that
 every task gets.  Any other bigram has a word below that share, so its group holds
-1/512 of all rows at most.  Counts of the most frequent words, up to ``TABLE_WORDS``,
-reach the tasks as two arrays; rows with a rarer word get its count by a join.
+1/512 of all rows at most.  A bucket is held in compressed form; bigrams of two words
+that both occur ``LARGE`` times, and those with a word of unknown count, go as single
+rows through a window, which Spark spills.  Counts of the most frequent words, up to
+``TABLE_WORDS``, reach the tasks as two arrays; rows with a rarer word get its count by a join.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +36,8 @@ U64 = kernels.U64
 BACKOFF, HEAVY = 0.4, 512
 #: Words whose counts every task gets (16 bytes each); the table is cut at a count, so that ties stay together.
 TABLE_WORDS = 4_000_000
+#: Words of the corpus to one bucket of bigrams, and occurrences from which both words of a bigram make its group too large to hold.
+BUCKET_WORDS, LARGE = 2_000_000, 1 << 26
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -110,13 +117,72 @@ def _cut(counts: DataFrame, most: int) -> int:
     return cut if cut is not None else (bins[0]["low"] * 4 if bins else 1)
 
 
-ROW = "row long, pair long, n int, both long, w1 long, w2 long, c1 long, c2 long, base double, n_words long, doc_id long"
-#: What is shuffled by bigram; columns that differ from row to row stand together, which compresses well.
-PARTS = ("row", "n", "base", "n_words", "doc_id", "pair", "both")
-ROW_ARROW = pa.schema([(a, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[b]) for a, b in (x.split() for x in ROW.split(", "))])
+def pack(pair: np.ndarray, row: np.ndarray, n: np.ndarray, both: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, entries, data) of the entries of each bucket: sorted by pair, by column and byte, compressed."""
+    order = np.argsort(pair)
+    columns = np.stack([pair[order], row[order].view(U64), n[order].astype(U64), both[order].astype(U64)])
+    place = ((columns[0] >> U64(32)) * U64(buckets)) >> U64(32)
+    cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
+    codec = pa.Codec("zstd", 1)
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        if e > s:
+            part = columns[:, s:e].copy()
+            part[0, 1:] -= columns[0, s : e - 1]
+            yield int(place[s]), int(e - s), codec.compress(part.view(np.uint8).reshape(4, e - s, 8).transpose(0, 2, 1).tobytes(), asbytes=True)
+
+
+def unpack(entries: int, data: bytes, columns: int = 4) -> np.ndarray:
+    """The first columns (pair, row, n, both) of packed entries."""
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=32 * entries, asbytes=True), np.uint8).reshape(4, 8, entries)[:columns]
+    out = raw.transpose(0, 2, 1).copy().view(U64)[..., 0]
+    out[0] = np.cumsum(out[0], dtype=U64)
+    return out
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key, in order, with the sum of its values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(values[order], starts) if len(keys) else values
+
+
+def _gains(held: list[tuple[int, bytes]], min_count: int, scale: float, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, gain): what the counts of a bucket's bigrams add to the rows, above backing off."""
+    counts = [_sums(x[0], x[2].view(np.int64)) for x in (unpack(*h, columns=3) for h in held)]
+    keys, seen = _sums(np.concatenate([k for k, _ in counts]), np.concatenate([n for _, n in counts]))
+    table = keys[seen >= min_count], seen[seen >= min_count]
+    rows, gains, size = [], [], 0
+    for h in held:
+        pair, row, n, both = unpack(*h)
+        found = _find(table, pair)
+        at = found > 0
+        rows.append(row[at])
+        gains.append(n[at] * np.log(found[at] * scale / both[at]))
+        size += len(rows[-1])
+        if size >= most:
+            yield _sums(np.concatenate(rows), np.concatenate(gains))
+            rows, gains, size = [], [], 0
+    if size:
+        yield _sums(np.concatenate(rows), np.concatenate(gains))
+
+
+PACKED = "bucket long, entries long, data binary, row long, base double, n_words long, doc_id long"
+PART = "row long, part double, n_words long, doc_id long"
+ROW = "row long, pair long, n int, both long, w1 long, w2 long, c1 long, c2 long"
+
 
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.schema([(a, kinds[b]) for a, b in (x.split() for x in schema.split(", "))])
 
-def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS) -> DataFrame:
+
+def _batch(schema: str, size: int, **columns: object) -> pa.RecordBatch:
+    """Columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _arrow(schema)], schema=_arrow(schema))
+
+
+def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS, bucket_words: int = BUCKET_WORDS, large: int = LARGE) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of every row of ``docs`` (doc_id, text), under counts of all of them.
 
     Words are those between white space, unchanged.  A null or wordless text has 0 words,
@@ -131,67 +197,98 @@ def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS) -
     known = _table(counts.where(F.col("n") >= cut))
     absent = 1 if cut <= 2 else 0  # where all words that occur twice are in the table, others occur once
     shared = spark.sparkContext.broadcast((known, heavy, pairs))
+    scale = max(total, 1) / BACKOFF
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket_words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exploded(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """For blocks of documents: rows, what is known of their scores, numbers of words, and columns of their bigrams that need a count."""
         table, often, often_pairs = shared.value
+        for a, b, words, first in kernels.documents(batch["text"]):
+            kinds, place = np.unique(words, return_inverse=True)
+            count, big = np.maximum(_find(table, kinds), absent), np.isin(kinds, often)
+            grams, out = _pairs(words), []
+            bases, sizes = np.zeros(b - a), np.diff(first)
+            for r in np.flatnonzero(sizes):
+                s, e = first[r], first[r + 1]
+                c = count[place[s:e]]
+                if c[0]:
+                    bases[r] = np.log(c[0] / total)
+                g, at, n = np.unique(grams[s : e - 1], return_index=True, return_counts=True)
+                c1, c2 = c[at], c[at + 1]
+                done = (c1 > 0) & (c2 > 0)
+                bases[r] += (n[done] * np.log(BACKOFF * c2[done] / total)).sum()
+                direct = big[place[s + at]] & big[place[s + at + 1]]
+                seen = np.where(direct, _find(often_pairs, g), 0) if direct.any() else np.zeros(len(g), np.int64)
+                better = direct & (seen >= min_count)
+                bases[r] += (n[better] * np.log(seen[better] * scale / (c1[better] * c2[better]))).sum()
+                # a bigram occurs at most as often as its words
+                left = ~direct & ~(done & (np.minimum(c1, c2) < min_count))
+                at = at[left]
+                out.append((np.full(len(at), a + r), g[left], n[left], words[s + at], words[s + at + 1], c1[left], c2[left]))
+                if not c[0]:  # the first word's own count is to be joined
+                    out.append((np.array([a + r]), words[s : s + 1], np.array([0]), words[s : s + 1], words[s : s + 1], np.array([0]), np.array([0])))
+            yield a, b, bases, sizes, [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, ids = batch["row"].to_numpy(), batch["doc_id"]
-            for a, b, words, first in kernels.documents(batch["text"]):
-                kinds, place = np.unique(words, return_inverse=True)
-                count, big = np.maximum(_find(table, kinds), absent), np.isin(kinds, often)
-                grams, out = _pairs(words), []
-                bases, sizes = np.zeros(b - a), np.diff(first)
-                for r in np.flatnonzero(sizes):
-                    s, e = first[r], first[r + 1]
-                    c = count[place[s:e]]
-                    if c[0]:
-                        bases[r] = np.log(c[0] / total)
-                    g, at, n = np.unique(grams[s : e - 1], return_index=True, return_counts=True)
-                    c1, c2 = c[at], c[at + 1]
-                    done = (c1 > 0) & (c2 > 0)
-                    bases[r] += (n[done] * np.log(BACKOFF * c2[done] / total)).sum()
-                    direct = big[place[s + at]] & big[place[s + at + 1]]
-                    seen = np.where(direct, _find(often_pairs, g), 0) if direct.any() else np.zeros(len(g), np.int64)
-                    better = direct & (seen >= min_count)
-                    bases[r] += (n[better] * np.log(seen[better] * (total / BACKOFF) / (c1[better] * c2[better]))).sum()
-                    # a bigram occurs at most as often as its words
-                    left = ~direct & ~(done & (np.minimum(c1, c2) < min_count))
-                    rest = left & ~done
-                    out.append((np.full(left.sum(), a + r), g[left], n[left], np.where(done, c1 * c2, 0)[left], *(np.where(rest, w, U64(0))[left] for w in (words[s + at], words[s + at + 1])), c1[left], c2[left], rest[left]))
-                    if not c[0]:  # the first word's own count is to be joined
-                        out.append((np.array([a + r]), words[s : s + 1], np.array([0]), np.array([0]), words[s : s + 1], words[s : s + 1], np.array([0]), np.array([0]), np.array([True])))
-                if out:
-                    who, g, n, both, w1, w2, c1, c2, rest = (np.concatenate(x) for x in zip(*out, strict=True))
-                    missing = lambda x: pa.array(x, pa.int64(), mask=~rest)  # noqa: B023, E731
-                    nulls = pa.nulls(len(g), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(row[who]), pa.array(g.view(np.int64)), pa.array(n, pa.int32()), pa.array(both), missing(w1.view(np.int64)), missing(w2.view(np.int64)), missing(c1), missing(c2), pa.nulls(len(g), pa.float64()), nulls, nulls],
-                        schema=ROW_ARROW,
-                    )
+            row = batch["row"].to_numpy()
+            for a, b, bases, sizes, columns in exploded(batch):
                 # a row of its own for each document holds what is known already
-                zero = np.zeros(b - a, np.int64)
-                own = row[a:b]
-                nulls = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(kernels.mix(own.astype(U64)).view(np.int64)), pa.array(zero, pa.int32()), pa.array(zero), nulls, nulls, nulls, nulls, pa.array(bases), pa.array(sizes, pa.int64()), ids.slice(a, b - a)],
-                    schema=ROW_ARROW,
-                )
+                yield _batch(PACKED, b - a, bucket=row[a:b] % buckets, row=row[a:b], base=bases, n_words=sizes, doc_id=batch["doc_id"].slice(a, b - a))
+                if columns:
+                    who, g, n, _, _, c1, c2 = columns
+                    held = (c1 > 0) & (c2 > 0) & (np.minimum(c1, c2) < large)
+                    if packed := list(pack(g[held], row[who[held]], n[held], (c1 * c2)[held], buckets)):
+                        bucket, entries, data = zip(*packed, strict=True)
+                        yield _batch(PACKED, len(packed), bucket=bucket, entries=entries, data=data)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for row, gain in _gains(held, min_count, scale) if held else ():
+                yield _batch(PART, len(row), row=row.view(np.int64), part=gain)
+
+        for batch in batches:
+            own = batch.filter(pc.is_null(batch["data"]))
+            yield pa.RecordBatch.from_arrays([own[c] for c in ("row", "base", "n_words", "doc_id")], schema=_arrow(PART))
+            rest = batch.filter(pc.is_valid(batch["data"]))
+            for at, entries, data in zip(*(rest[c].to_pylist() for c in ("bucket", "entries", "data")), strict=True):
+                if at != bucket:
+                    yield from close()
+                    bucket, held = at, []
+                held.append((entries, data))
+        yield from close()
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch["row"].to_numpy()
+            for _, _, _, _, columns in exploded(batch):
+                if columns:
+                    who, g, n, w1, w2, c1, c2 = columns
+                    rare = (c1 == 0) | (c2 == 0)
+                    keep = rare | (np.minimum(c1, c2) >= large)
+                    who, g, n, w1, w2, c1, c2, rare = (x[keep] for x in (who, g, n, w1, w2, c1, c2, rare))
+                    w1, w2 = (pa.array(x.view(np.int64), mask=~rare) for x in (w1, w2))
+                    yield _batch(ROW, len(g), row=row[who], pair=g.view(np.int64), n=n, both=c1 * c2, w1=w1, w2=w2, c1=c1, c2=c2)
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
-    rows = numbered.mapInArrow(run, ROW)
-    plain = rows.where("w1 is null").select(*PARTS)
-    rare = rows.where("w1 is not null")
-    for w, c in (("w1", "c1"), ("w2", "c2")):
-        theirs = counts.select(F.col("key").alias(w), F.col("n").alias("found"))
-        rare = rare.join(theirs, w).withColumn(c, F.when(F.col(c) > 0, F.col(c)).otherwise(F.col("found"))).drop("found")
-    total_lit = F.lit(float(max(total, 1)))
-    first = F.log(F.col("c1") / total_lit)  # n = 0 marks a first word
-    base = F.when(F.col("n") == 0, first).otherwise(F.col("n") * F.log(F.lit(BACKOFF) * F.col("c2") / total_lit))
-    nothing = F.lit(None).cast("long")
-    rare = rare.select("row", "pair", "n", F.when(F.col("n") == 0, 0).otherwise(F.col("c1") * F.col("c2")).alias("both"), base.alias("base"), nothing.alias("n_words"), nothing.alias("doc_id")).select(*PARTS)
-    counted = plain.union(rare).withColumn("seen", F.sum("n").over(Window.partitionBy("pair")))
-    gain = F.when((F.col("seen") >= min_count) & (F.col("both") > 0), F.col("n") * F.log(F.col("seen") * F.lit(max(total, 1) / BACKOFF) / F.col("both"))).otherwise(0.0)
-    parts = counted.select("row", (gain + F.coalesce("base", F.lit(0.0))).alias("part"), "n_words", "doc_id")
+    parts = numbered.mapInArrow(run, PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(joined, PART)
+    if not absent or total >= large * HEAVY:  # else every word's count is known, and words that occur ``large`` times are heavy
+        rows = numbered.mapInArrow(single, ROW)
+        rare = rows.where("w1 is not null")
+        for w, c in (("w1", "c1"), ("w2", "c2")):
+            theirs = counts.select(F.col("key").alias(w), F.col("n").alias("found"))
+            rare = rare.join(theirs, w).withColumn(c, F.when(F.col(c) > 0, F.col(c)).otherwise(F.col("found"))).drop("found")
+        total_lit = F.lit(float(max(total, 1)))
+        first = F.log(F.col("c1") / total_lit)  # n = 0 marks a first word
+        base = F.when(F.col("n") == 0, first).otherwise(F.col("n") * F.log(F.lit(BACKOFF) * F.col("c2") / total_lit))
+        rare = rare.select("row", "pair", "n", F.when(F.col("n") == 0, 0).otherwise(F.col("c1") * F.col("c2")).alias("both"), base.alias("base"))
+        rows = rows.where("w1 is null").select("row", "pair", "n", "both", F.lit(0.0).alias("base")).union(rare)
+        rows = rows.withColumn("seen", F.sum("n").over(Window.partitionBy("pair")))
+        gain = F.when((F.col("seen") >= min_count) & (F.col("both") > 0), F.col("n") * F.log(F.col("seen") * F.lit(scale) / F.col("both"))).otherwise(0.0)
+        nothing = F.lit(None).cast("long")
+        parts = parts.union(rows.select("row", (gain + F.col("base")).alias("part"), nothing, nothing))
     done = parts.groupBy("row").agg(F.sum("part").alias("log_score"), F.max("n_words").alias("n_words"), F.max("doc_id").alias("doc_id"))
     return done.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 

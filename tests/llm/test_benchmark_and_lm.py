@@ -73,11 +73,11 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
-@pytest.mark.parametrize("table_words", [ngram_lm.TABLE_WORDS, 20])
-def test_lm_scores(spark, table_words):
+@pytest.mark.parametrize(("table_words", "large"), [(ngram_lm.TABLE_WORDS, ngram_lm.LARGE), (20, ngram_lm.LARGE), (20, 3), (ngram_lm.TABLE_WORDS, 3)])
+def test_lm_scores(spark, table_words, large):
     texts = ["the cat sat on the mat", "the cat sat", "a dog", "dog", "", None, "the " * 3000, "the cat sat on the mat", "rare unseen words only here", "x y x y x y x z"]
     rows = [(None if k == 3 else k, t, 1, "h", 1) for k, t in enumerate(texts)]
-    got = ngram_lm.score(spark.createDataFrame(rows, DOCS), table_words=table_words).collect()
+    got = ngram_lm.score(spark.createDataFrame(rows, DOCS), table_words=table_words, large=large).collect()
     split = [WORD.findall(t or "") for t in texts]
     one, two = Counter(w for t in split for w in t), Counter(p for t in split for p in zip(t, t[1:], strict=False))
     total = sum(one.values())
