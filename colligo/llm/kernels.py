@@ -93,10 +93,10 @@ def chunks(offs: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-def documents(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, word hashes, first word of each row) for ranges of rows."""
+def documents(column: pa.Array, lower: bool = False, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, word hashes, first word of each row) for ranges of rows of about ``limit`` bytes."""
     data, offs = utf8(column)
-    for a, b in chunks(offs):
+    for a, b in chunks(offs, limit):
         part = data[offs[a] : offs[b]]
         part = LOWER[part] if lower else part
         starts, ends, first = spans(part, offs[a : b + 1] - offs[a])

@@ -203,7 +203,7 @@ def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS, b
     def exploded(batch: pa.RecordBatch) -> Iterator[tuple]:
         """For blocks of documents: rows, what is known of their scores, numbers of words, and columns of their bigrams that need a count."""
         table, often, often_pairs = shared.value
-        for a, b, words, first in kernels.documents(batch["text"]):
+        for a, b, words, first in kernels.documents(batch["text"], limit=1 << 20):
             kinds, place = np.unique(words, return_inverse=True)
             count, big = np.maximum(_find(table, kinds), absent), np.isin(kinds, often)
             grams, out = _pairs(words), []
@@ -252,12 +252,12 @@ def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS, b
         for batch in batches:
             own = batch.filter(pc.is_null(batch["data"]))
             yield pa.RecordBatch.from_arrays([own[c] for c in ("row", "base", "n_words", "doc_id")], schema=_arrow(PART))
-            rest = batch.filter(pc.is_valid(batch["data"]))
-            for at, entries, data in zip(*(rest[c].to_pylist() for c in ("bucket", "entries", "data")), strict=True):
-                if at != bucket:
-                    yield from close()
-                    bucket, held = at, []
-                held.append((entries, data))
+            for at, entries, data in zip(*(batch[c] for c in ("bucket", "entries", "data")), strict=True):
+                if data.is_valid:
+                    if at != bucket:
+                        yield from close()
+                        bucket, held = at, []
+                    held.append((entries.as_py(), data.as_py()))
         yield from close()
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
