@@ -1,7 +1,7 @@
 """WARC archives: a writer that marks repeated payloads, and a salvage reader.
 
-Writing is plain DataFrame work: records are built with SQL functions and committed
-by Spark's text writer, whose line separator is WARC's record separator.  The reader
+Records are built with SQL functions, packed into one gzip member each, so that damage
+stays in the record that it hits, and committed by Spark's text writer.  The reader
 parses every archive in Spark tasks.  Where a check fails (version line, header
 block, length, record separator, gzip CRC, payload digest) it searches for the next
 byte position at which a gzip member or a version line starts and passes all checks,
@@ -63,8 +63,27 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
+#: A gzip member of no bytes, and the byte that ends every member written: the high byte of the length of under 16 MB.
+EMPTY, LAST = zlib.compress(b"", wbits=31), "\x00"
+
+
+def gzip_member(record: bytes) -> bytes:
+    """The record as one gzip member, without its last byte, ``LAST``.
+
+    The text writer needs a separator, and puts that byte back.  Where a record is so long
+    that its member ends otherwise, an empty member follows.
+    """
+    member = zlib.compress(record, wbits=31)
+    return member[:-1] if member.endswith(LAST.encode()) else member + EMPTY[:-1]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([gzip_member(r.as_py()) for r in batch["value"]], pa.binary())], names=["value"])
+
+
 def write_warc(records: DataFrame, path: str, date: str = DATE, compression: str = "gzip") -> None:
-    """Write planned records as WARC/1.1 archives, one per task: one gzip member, or plain with ``none``.
+    """Write planned records as WARC/1.1 archives, one per task: one gzip member a record, or plain with ``none``.
 
     A failed task's files are never committed, so lost executors leave no half
     archives.  A revisit keeps the HTTP head with the payload's length, not the payload.
@@ -83,7 +102,11 @@ def write_warc(records: DataFrame, path: str, date: str = DATE, compression: str
         block_bytes.cast("string"), F.lit(SEPARATOR), http,
     )
     body = F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload")).cast("string")
-    records.select(F.concat(head, body).alias("value")).write.option("lineSep", SEPARATOR).option("compression", compression).text(path)
+    out, separator = records.select(F.concat(head, body).alias("value")), SEPARATOR
+    if compression == "gzip":
+        members = out.select(F.concat("value", F.lit(SEPARATOR)).cast("binary").alias("value")).mapInArrow(_members, "value binary")
+        out, separator, compression = members.select(F.col("value").cast("string")), LAST, "none"  # the cast keeps all bytes
+    out.write.option("lineSep", separator).option("compression", compression).text(path)
 
 
 class Damaged(Exception):

@@ -90,6 +90,31 @@ def test_salvage_inside_one_member():
     assert [r["kind"] for r in out].count("gap") == 1
 
 
+def test_warc_damage_stays_in_its_record(spark):
+    rows = [(k, f"u{k}", f"page {k} " * 400, "x") for k in range(40)]
+    path = scratch_path(spark, "test-warc")
+    warc.write_warc(warc.plan_records(spark.createDataFrame(rows, PAGES).coalesce(1)).coalesce(1), path)
+    (file,) = [r.content for r in spark.read.format("binaryFile").load(path).collect() if r.length]
+    whole = list(warc.parse_archive("a", bytes(file)))
+    assert [r["kind"] for r in whole] == ["record"] * 40 and sum(r["length"] for r in whole) == len(file)
+    assert len(gzip.decompress(bytes(file))) > sum(len(r[2]) for r in rows)
+    hit = whole[10]
+    for at in (0, hit["length"] // 2, hit["length"] - 6):  # magic, compressed data, checksum
+        broken = bytearray(file)
+        broken[hit["offset"] + at] ^= 255
+        out = list(warc.parse_archive("a", bytes(broken)))
+        assert [r["record_id"] for r in out if r["kind"] == "record"] == [r["record_id"] for r in whole if r is not hit]
+        assert [(r["offset"], r["length"]) for r in out if r["kind"] == "gap"] == [(hit["offset"], hit["length"])]
+
+
+def test_warc_member_of_a_long_record():
+    for size in (10, 1 << 24):
+        record = member(1, b"a" * size)
+        data = (warc.gzip_member(record) + warc.LAST.encode()) * 2
+        assert gzip.decompress(data) == record * 2
+        assert [(r["kind"], r["payload_bytes"]) for r in warc.parse_archive("a", data)] == [("record", size)] * 2
+
+
 def article(page):
     body = re.search(r"<article>(.*)</article>", page or "", re.S)
     parts = re.split(r"</?(?:p|h1)>", body[1]) if body else []
