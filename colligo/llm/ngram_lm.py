@@ -2,7 +2,9 @@
 
 S(w | v) is count(v w) / count(v) where the bigram was seen ``min_count`` times, else
 0.4 count(w) / N; a document's first word has count(w) / N.  A document's score is
-the sum of the logarithms.  All is relational: words are counted into one table,
+the sum of the logarithms.  ``min_count`` 1 is stupid backoff proper, which backs off
+from unseen n-grams only; at 2, what bigrams that occur once say is not used, and those
+with a word that occurs once are not shuffled.  All is relational: words are counted into one table,
 bigrams are exploded per document and shuffled by their hash, each hash bucket's count
 table meets the rows that need it where both lie (the count table and its join in one
 shuffle), and the parts are summed per document.  In the shuffle the exploded rows of
@@ -16,10 +18,17 @@ every task gets.  Any other bigram has a word below that share, so its group hol
 that both occur ``LARGE`` times, and those with a word of unknown count, go as single
 rows through a window, which Spark spills.  Counts of the most frequent words, up to
 ``TABLE_WORDS``, reach the tasks as two arrays; rows with a rarer word get its count by a join.
+
+From ``order`` 3 on, an n-gram x1..xk backs off to x2..xk times 0.4.  As an n-gram is
+never seen more often than its parts, a seen one changes the score by the same amount
+wherever it stands: log of count(x1..xk) count(x2..xk-1) / (count(x1..xk-1) count(x2..xk) 0.4).
+So each order adds a table of distinct n-grams with that amount, made from count tables
+by joins, and one join of the documents' n-grams with it.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colligo.llm import kernels
-from colligo.llm.common import save
+from colligo.llm.common import other_key, save
 
 U64 = kernels.U64
 BACKOFF, HEAVY = 0.4, 512
@@ -167,6 +176,61 @@ def _gains(held: list[tuple[int, bytes]], min_count: int, scale: float, most: in
         yield _sums(np.concatenate(rows), np.concatenate(gains))
 
 
+def _hashes(words: np.ndarray, k: int) -> np.ndarray:
+    return words if k == 1 else kernels.ngrams(words, k, 31)
+
+
+def _blocks(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, words, positions of k-grams, their rows) of blocks of documents."""
+    for a, b, words, first in kernels.documents(column, limit=1 << 20):
+        owner = np.repeat(np.arange(a, b), np.diff(first))
+        at = np.flatnonzero(owner[: len(owner) - k + 1] == owner[k - 1 :]) if len(owner) >= k else np.zeros(0, np.int64)
+        yield a, words, at, owner[at]
+
+
+def gram_counts(docs: DataFrame, k: int) -> DataFrame:
+    """(key, n, head, tail, inner): occurrences of each k-gram, and the hashes of its words but the last, but the first, and but both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, words, at, _ in _blocks(batch["text"], k):
+                keys, first, n = np.unique(_hashes(words, k)[at], return_index=True, return_counts=True)
+                at, less = at[first], _hashes(words, k - 1)
+                inner = _hashes(words, k - 2)[at + 1] if k > 2 else np.zeros(len(at), U64)
+                yield _batch(GRAM, len(n), n=n, **{c: x.view(np.int64) for c, x in (("key", keys), ("head", less[at]), ("tail", less[at + 1]), ("inner", inner))})
+
+    parts = docs.select("text").mapInArrow(run, GRAM)
+    return parts.groupBy("key").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("head", "tail", "inner")))
+
+
+def _longer(numbered: DataFrame, words: DataFrame, order: int, min_count: int) -> DataFrame:
+    """(row, part): what n-grams of three words up to ``order`` add to the rows, above backing off."""
+
+    def run(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch["row"].to_numpy()
+            for _, held, at, owner in _blocks(batch["text"], k):
+                keys = _hashes(held, k)[at]
+                by = np.lexsort((keys, owner))
+                keys, owner = keys[by], owner[by]
+                new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else by
+                yield _batch("row long, key long, times long", len(new), row=row[owner[new]], key=keys[new].view(np.int64), times=np.diff(np.append(new, len(keys))))
+
+    tables = [words, *(save(gram_counts(numbered, k).where(F.col("n") >= min_count), f"grams{k}") for k in range(2, order + 1))]
+    out = None
+    for k in range(3, order + 1):
+        gains = tables[k - 1]
+        for name, table in (("head", tables[k - 2]), ("tail", tables[k - 2]), ("inner", tables[k - 3])):
+            gains = gains.join(table.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}")), name)
+        gain = F.log(F.col("n").cast("double") * F.col("n_inner") / (F.col("n_head").cast("double") * F.col("n_tail") * F.lit(BACKOFF)))
+        gains = gains.select(other_key("key").alias("key"), gain.alias("gain"))
+        grams = numbered.mapInArrow(functools.partial(run, k), "row long, key long, times long")
+        parts = grams.withColumn("key", other_key("key")).join(gains, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("gain")).alias("part"))
+        out = parts if out is None else out.union(parts)
+    return out
+
+
+GRAM = "key long, n long, head long, tail long, inner long"
 PACKED = "bucket long, entries long, data binary, row long, base double, n_words long, doc_id long"
 PART = "row long, part double, n_words long, doc_id long"
 ROW = "row long, pair long, n int, both long, w1 long, w2 long, c1 long, c2 long"
@@ -182,12 +246,16 @@ def _batch(schema: str, size: int, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _arrow(schema)], schema=_arrow(schema))
 
 
-def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS, bucket_words: int = BUCKET_WORDS, large: int = LARGE) -> DataFrame:
+def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS, bucket_words: int = BUCKET_WORDS, large: int = LARGE, order: int = 2) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of every row of ``docs`` (doc_id, text), under counts of all of them.
 
+    N-grams have ``order`` words at most, and two at least.
+
     Words are those between white space, unchanged.  A null or wordless text has 0 words,
     log_score 0 and a null mean.  Repeated rows all count and are all scored.
     """
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     spark = docs.sparkSession
     counts = save(word_counts(docs), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -289,7 +357,13 @@ def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS, b
         gain = F.when((F.col("seen") >= min_count) & (F.col("both") > 0), F.col("n") * F.log(F.col("seen") * F.lit(scale) / F.col("both"))).otherwise(0.0)
         nothing = F.lit(None).cast("long")
         parts = parts.union(rows.select("row", (gain + F.col("base")).alias("part"), nothing, nothing))
+    backed = F.lit(0.0)
+    if order > 2:
+        nothing = F.lit(None).cast("long")
+        parts = parts.union(_longer(numbered, counts, order, min_count).select("row", "part", nothing, nothing))
+        backed = sum((F.greatest(F.col("n_words") - k + 1, F.lit(0)) * F.log(F.lit(BACKOFF)) for k in range(3, order + 1)), backed)
     done = parts.groupBy("row").agg(F.sum("part").alias("log_score"), F.max("n_words").alias("n_words"), F.max("doc_id").alias("doc_id"))
+    done = done.withColumn("log_score", F.col("log_score") + backed)
     return done.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
 

@@ -91,6 +91,24 @@ def test_lm_scores(spark, table_words, large):
     assert ngram_lm.score(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize(("order", "min_count"), [(2, 1), (3, 1), (3, 2), (4, 1)])
+@pytest.mark.parametrize("table_words", [ngram_lm.TABLE_WORDS, 20])
+def test_lm_orders_and_single_ngrams(spark, order, min_count, table_words):
+    texts = ["the cat sat on the mat", "the cat sat", "a dog", "dog", "", None, "the " * 300, "the cat sat on the mat", "rare unseen words only here", "x y x y x y x z", "the cat saw the dog"]
+    got = ngram_lm.score(spark.createDataFrame([(k, t, 1, "h", 1) for k, t in enumerate(texts)], DOCS), min_count=min_count, table_words=table_words, order=order).collect()
+    split = [WORD.findall(t or "") for t in texts]
+    seen = Counter(tuple(t[i : i + k]) for t in split for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    seen[()] = sum(len(t) for t in split)
+
+    def s(gram):
+        if len(gram) == 1 or seen[gram] >= min_count:
+            return seen[gram] / seen[gram[:-1]]
+        return 0.4 * s(gram[1:])
+
+    want = {k: round(sum(math.log(s(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(len(t))), 6) for k, t in enumerate(split)}
+    assert {r.doc_id: round(r.log_score, 6) for r in got} == want
+
+
 def test_lm_whole_table(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
