@@ -3,8 +3,10 @@
 A page is a sequence of words and tags.  Words score positive, tags negative; the
 weights come from labelled pages, which are pages whose own markup names the main
 part (one article or main element).  One linear scan finds the region with the
-largest sum.  Words in blocks that labelled pages never have in their main part
-(menus, notices, adverts, ...) lose their positive score and so bound the region.
+largest sum.  Words in menus, forms and the like, and in blocks with a name as of
+notices or adverts, lose their positive score and so bound the region.  Names are a
+guess: words of a named block inside the region stay, and a block that holds most of
+the text is not taken for one.  Menus and forms inside the region are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ BLOCK = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 MAIN = frozenset("article main".split())
-#: Names in class, id or role that mark a block as no part of the text.
+#: Words of which a class, id or role consists that marks a block as probably no part of the text.
 MARKED = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice alert popup modal newsletter subscribe "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead toolbar widget share sharing social related "
@@ -40,26 +42,62 @@ TOKEN = re.compile(
 )
 #: For tags whose quotes are not closed.
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>()?")
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMED = frozenset("class id role".split())
+#: Elements that hold the text, whatever their names.
+HOLDS = MAIN | {"html", "body"}
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, inside a main element, inside a marked block); kind is tag, end or text."""
-    stack: list[tuple[str, bool, bool]] = []
-    at, main, marked = 0, False, False
+def has_marked_name(attributes: str) -> bool:
+    """Whether a whole class, id or role, as ``cookie-notice``, consists of marked words."""
+    values = [m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in NAMED]
+    parts = ([w for w in SPLIT.split(name) if w] for v in values for name in v.lower().split())
+    return any(p and MARKED.issuperset(p) for p in parts)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
+    """(kind, value, inside a main element, inside a marked block, inside an aside element); kind is tag, end or text.
+
+    A named block that holds more than half of the words (of those in main elements, if any), menus
+    and the like apart, is not marked by its name.
+    """
+    parents = [0]
+    parts = list(_scan(page, parents))
+    marked = [False] * len(parents)
+    if len(parents) > 1:
+        words, inner = [0] * len(parents), [0] * len(parents)
+        for kind, value, main, aside, block in parts:
+            if kind == "text" and not aside:
+                n = len(value.split())
+                words[block] += n
+                inner[block] += n if main else 0
+        for k in range(len(parents) - 1, 0, -1):
+            words[parents[k]] += words[k]
+            inner[parents[k]] += inner[k]
+        held = inner if inner[0] else words
+        for k in range(1, len(parents)):
+            marked[k] = marked[parents[k]] or 2 * held[k] <= held[0]
+    for kind, value, main, aside, block in parts:
+        yield kind, value, main, aside or marked[block], aside
+
+
+def _scan(page: str, parents: list[int]) -> Iterator[tuple[str, str, bool, bool, int]]:
+    """(kind, value, inside a main element, inside an aside element, innermost named block); ``parents`` gets each named block's outer one."""
+    stack: list[tuple[str, bool, bool, int]] = []
+    at, main, aside, block = 0, False, False, 0
     while at < len(page):
         found = TOKEN.match(page, at) or LOOSE.match(page, at)
         if not found:
             if re.match(r"</?[a-zA-Z]", page[at : at + 3]):  # a tag that never ends
                 return
-            yield "text", "<", main, marked
+            yield "text", "<", main, aside, block
             at += 1
             continue
         at = found.end()
         closing, name, rest, text = found.groups()
         if text is not None:
-            yield "text", text, main, marked
+            yield "text", text, main, aside, block
             continue
         if name is None:
             continue
@@ -67,37 +105,39 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    _, main, marked = stack[k]
+                    _, main, aside, block = stack[k]
                     del stack[k:]
                     break
-            yield "end", name, main, marked
+            yield "end", name, main, aside, block
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if not rest.rstrip().endswith("/"):
                 at = close.end() if close else len(page)
-            yield "tag", name, main, marked
+            yield "tag", name, main, aside, block
             continue
-        names = {w for m in NAMED.finditer(rest) for w in SPLIT.split((m[1] or m[2] or m[3] or "").lower())} if "=" in rest else ()
         if name == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             for k in range(len(stack) - 1, -1, -1):  # these end without an end tag
                 if stack[k][0] == name:
-                    _, main, marked = stack[k]
+                    _, main, aside, block = stack[k]
                     del stack[k:]
                     break
                 if stack[k][0] in BLOCK:
                     break
-        yield "tag", name, main, marked
+        yield "tag", name, main, aside, block
         if name in VOID:
             continue
-        stack.append((name, main, marked))
+        stack.append((name, main, aside, block))
         main = main or name in MAIN
-        marked = marked or (name in ASIDE and not (name == "header" and main)) or any(n in MARKED for n in names)
+        aside = aside or (name in ASIDE and not (name == "header" and main))
+        if "=" in rest and name not in HOLDS and has_marked_name(rest):
+            parents.append(block)
+            block = len(parents) - 1
 
 
 def features(page: str) -> Iterator[tuple[str, int, bool]]:
     """(feature, how often, inside the main element): words, words in marked blocks, and tags by name."""
-    for kind, value, main, marked in tokens(page):
+    for kind, value, main, marked, _ in tokens(page):
         if kind == "text":
             n = len(entities.unescape(value).split())
             if n:
@@ -151,14 +191,14 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     """
     best, best_at, score, start = 0.0, (0, 0), 0.0, 0
     parts: list[tuple[str, str, bool]] = []
-    for kind, value, _, marked in tokens(page or ""):
+    for kind, value, _, marked, aside in tokens(page or ""):
         if kind == "text":
             n = len(value.split())
             gain = n * weights["marked word" if marked else "word"]
         else:
             name = f"<{value}>"
             gain = weights.get(name, weights.get("<other>", weights[""]))
-        parts.append((kind, value, marked))
+        parts.append((kind, value, aside))
         if score <= 0:
             score, start = 0.0, len(parts) - 1
         score += gain
@@ -166,9 +206,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             best, best_at = score, (start, len(parts))
     blocks: list[str] = []
     held: list[str] = []
-    for kind, value, marked in parts[best_at[0] : best_at[1]]:
+    for kind, value, aside in parts[best_at[0] : best_at[1]]:
         if kind == "text":
-            if not marked:
+            if not aside:
                 held.append(value)
         elif value in BLOCK or value in RAW:
             blocks.append("".join(held))

@@ -146,6 +146,33 @@ def test_html_odd_pages():
     assert html.extract("<p>" + "w " * 100000, w) == " ".join(["w"] * 100000)
 
 
+WORDY = "one two three four five six seven eight nine ten eleven twelve"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='single right-sidebar'><p>{WORDY}</p></body>",
+        f"<html class=modal><body id=form><main class='content no-sidebar comments'><p>{WORDY}</p></main></body></html>",
+        f"<article class='post comments-open widget' role=search><p>{WORDY}</p></article>",
+        f"<div class=widget><p>{WORDY}</p></div>",
+        f"<div class=modal><main><p>{WORDY}</p></main></div><div class=comments><p>{WORDY} {WORDY}</p></div>",
+        f"<p data-post-id='comment' data-grid=ad title='a class=ad'>{WORDY}</p>",
+        "<article><p>one two three four five six <span class=notice>seven</span> eight nine ten eleven twelve</p></article>",
+        f"<div class=search-result>{WORDY}</div>",
+        f"<div class='cookie-notice'>we bake them here</div><p>{WORDY}</p><div id=related>more to read</div>",
+    ],
+)
+def test_html_names_only_lower_scores(page):
+    assert html.extract(page, {"word": 1.0, "marked word": -1.0, "": -1.0}) == WORDY
+    assert sum(n for f, n, _ in html.features(page) if f == "word") >= 11
+
+
+def test_html_many_nested_names():
+    page = "<div class=ad>" * 20000 + "x " * 30000 + "</div>" * 20000
+    assert html.extract(page, {"word": 1.0, "marked word": -1.0, "": -1.0}) == " ".join(["x"] * 30000)
+
+
 def test_html_tables(spark):
     schema = "page_id long, url string, html string, text string"
     assert html.extract_pages(spark.createDataFrame([], schema)).count() == 0
