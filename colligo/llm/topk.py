@@ -3,8 +3,9 @@
 Every vector is cut into cells of one byte a dimension.  Phase one scans only those
 cells: each block of queries meets each block of cells, and bounds of the inner
 product tell which vectors of the block can still be among the best k.  Phase two
-keeps what the best k lower bounds over all blocks leave, reads those exact vectors
-in the order of their bounds, and stops where no bound can beat the kth result.
+keeps what the best k lower bounds over all blocks leave, and joins all of those to
+their exact vectors.  It does not read them in the order of their bounds, so it does not
+stop early: results are exact, but more vectors are read than a stop would leave.
 """
 
 from __future__ import annotations
