@@ -3,9 +3,10 @@
 A window of a document, as long as a benchmark item, is contaminated if its multiset
 of k-word shingles is similar to the item's.  Such a window shares shingles with the
 item, so positions that hold an item's shingle are found first; every window that
-contains one gets a SimHash fingerprint.  Fingerprints meet the item's through
-radius + 1 Hamming blocks: two that differ in at most ``radius`` bits agree in a block,
-so none within the radius is missed.  Candidates are verified by exact weighted
+contains one gets a SimHash fingerprint.  That join on shingles is the search: it
+already pairs windows with items.  Fingerprints then meet the paired item's through
+radius + 1 Hamming blocks, which can only drop pairs: two that differ in at most
+``radius`` bits agree in a block, so none within the radius is dropped.  Candidates are verified by exact weighted
 similarity, the sum of least over the sum of greatest multiplicities.
 """
 
