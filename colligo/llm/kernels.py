@@ -84,7 +84,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def chunks(offs: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``limit`` bytes together; a longer one stands alone."""
     a, n = 0, len(offs) - 1
     while a < n:
@@ -93,7 +93,7 @@ def chunks(offs: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-def documents(column: pa.Array, lower: bool = False, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def documents(column: pa.Array, lower: bool = False, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, first word of each row) for ranges of rows of about ``limit`` bytes."""
     data, offs = utf8(column)
     for a, b in chunks(offs, limit):

@@ -9,10 +9,10 @@ minima, at a cost near |set| + T log T.
 
 Documents with equal sets are one class.  Classes that share a band are candidates.
 Each band's classes are compared with the band's leader, on full sets; a band whose
-members this connects costs no pairs.  Of the other bands, small ones are compared
-pair by pair, and large ones where their differences from a common centre allow a
-similar pair at all.  So no candidate pair of different components that could be
-similar goes without an exact check.
+members this connects costs no pairs.  In the other bands, the members' differences
+from a common centre tell which pairs can be similar at all, and those are compared.
+So no candidate pair of different components that could be similar goes without an
+exact check.
 """
 
 from __future__ import annotations
@@ -70,34 +70,38 @@ def _set_id(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32), np.concatenate(values or [np.zeros(0, np.int64)]))
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal for equal sets) and bands of every row."""
+    """doc_id, text_key, n_shingles, set_id (equal for equal sets) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in kernels.slices(batch, "text")):
             n, ids, keys = [], [], []
-            for items in _sets(batch["text"], k):
+            for items in _sets(part["text"], k):
                 n.append(len(items))
                 ids.append(_set_id(items))
                 keys.append(band_keys(sketch(items, bands * rows), bands, rows).view(np.int64) if len(items) else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32), np.concatenate(keys or [np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "n_shingles", "set_id", "bands"])
+            columns = [part["doc_id"], part["text_key"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_id", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows_of.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(rep, items) for the classes in ``wanted`` (rep, set_id), from their representatives' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in kernels.slices(batch, "text")):
             keep, items = [], []
-            for r, (one, sid) in enumerate(zip(_sets(batch["text"], k), batch["set_id"].to_pylist(), strict=True)):
+            for r, (one, sid) in enumerate(zip(_sets(part["text"], k), part["set_id"].to_pylist(), strict=True)):
                 if _set_id(one) == sid:
                     keep.append(r)
                     items.append(one.view(np.int64))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32), np.concatenate(items or [np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(keep, pa.int64())), lists], names=["rep", "items"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(keep, pa.int64())), _lists(items)], names=["rep", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("rep"))
     return texts.select("doc_id", "text", "set_id").mapInArrow(run, "rep long, items array<long>")
@@ -107,70 +111,93 @@ def similar(shared: Column, total: Column, percent: int) -> Column:
     return 100 * shared >= percent * total
 
 
-def _links_by_difference(members: DataFrame, with_sets, percent: int) -> DataFrame:
-    """Links (a, b) between components within large bands; pairs that cannot be similar are not made.
+def _placed(rows: DataFrame, items: str, size: str) -> DataFrame:
+    """(lead, item, me, place): items that two members of a lead have, placed from rare to frequent among all of the member's items.
 
-    ``members``: (lead, rep, n, c).  A centre is the leader's set, changed by what most
-    members add or lack.  With A = set - centre and R = centre - set, the difference of
-    two sets has |A xor A'| + |R xor R'| items, at most t in a similar pair.  If
-    |A| + |R| > t ("far") and |A'| >= |R'|, disjoint A and A' would give
-    |A| + |A'| + |R| - |R'| > t: a partner shares an added item.  Likewise if
-    |R'| > |A'|, it shares a missing item.  So far sets meet others by those items, and
-    copies with edits of their own meet nobody.  Sets that are not far are near the
-    centre, and with it near each other; few of those are in different components.
+    ``me`` is the member's row without its items.  Items that one member has alone come first; they meet nobody and are left out.
     """
+    me = F.struct(*[c for c in rows.columns if c not in ("lead", "added", "missing")])
+    each = rows.select("lead", me.alias("me"), F.explode(items).alias("item"))
+    times = each.groupBy("lead", "item").agg(F.count("*").alias("times")).where("times > 1").select(F.col("lead").alias("l2"), other_key("item").alias("i2"), "times")
+    each = each.join(times, (F.col("lead") == F.col("l2")) & (other_key("item") == F.col("i2"))).drop("l2", "i2")
+    mine = Window.partitionBy("lead", "me.rep", "me.n", "me.na", "me.nr")
+    place = F.col(f"me.{size}") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("times", "item"))
+    return each.select("lead", "item", "me", place.alias("place"))
+
+
+def _meet(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """Pairs (lead, x, y) of members of different components that share an item, of sizes that allow a similar pair."""
+    right = right.select(F.col("lead").alias("l2"), F.col("item").alias("i2"), F.col("me").alias("y"), F.col("place").alias("place2"))
+    met = left.withColumnRenamed("me", "x").join(right, (F.col("lead") == F.col("l2")) & (F.col("item") == F.col("i2")) & (F.col("x.c") != F.col("y.c")) & condition)
+    return met.select("lead", F.col("x.rep").alias("r1"), F.col("y.rep").alias("r2"))
+
+
+def links_by_difference(members: DataFrame, with_sets, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members of each lead; pairs that cannot be similar are not made.
+
+    ``members``: (lead, rep, n, c).  With p = 100 + percent and q = 100 - percent, x and y
+    are similar if p |x xor y| <= q (n_x + n_y).  The lead's set is a centre: A = x - centre
+    and R = centre - x.  Let excess = p (|A| + |R|) - q n and slack = 2 p |R| - excess.
+
+    1. excess_x + excess_y <= 0: the pair is similar, and both are similar to the member with the least excess.
+    2. Else the differences overlap: 2 p (|A_x and A_y| + |R_x and R_y|) >= excess_x + excess_y.
+       If they share an added item, they share (excess_x - slack_y) / 2p of them at least, as |R_x and R_y| <= |R_y|.
+    3. If they share none, they share (excess_x + excess_y) / 2p missing ones; so excess_x <= slack_y and excess_y <= slack_x.
+
+    Two sets that share m items meet at an item that is in both among the rarest
+    size - m + 1.  In 2 the slack of most members bounds m; the odd ones beyond it meet
+    others by all of their items.  Members of a lead's largest component meet others only.
+    """
+    p, q = 100 + percent, 100 - percent
     diff = with_sets(members.select("lead", "rep", "n", "c", F.col("rep").alias("a"), F.col("lead").alias("b")))
-    diff = save(diff.select("lead", "rep", "n", "c", F.array_except("x", "y").alias("added"), F.array_except("y", "x").alias("missing")), "differences")
-    size = diff.groupBy("lead").agg(F.count("*").alias("m"))
-
-    def common(column: str, name: str) -> DataFrame:
-        each = diff.select("lead", F.explode(column).alias("item")).groupBy("lead", "item").agg(F.count("*").alias("times"))
-        return each.join(size, "lead").where(2 * F.col("times") > F.col("m")).groupBy("lead").agg(F.collect_list("item").alias(name))
-
-    none = F.array().cast("array<bigint>")
-    moved = diff.join(common("added", "more"), "lead", "left").join(common("missing", "less"), "lead", "left").withColumns({"more": F.coalesce("more", none), "less": F.coalesce("less", none)})
-    moved = moved.select(
-        "lead", "rep", "n", "c", F.array_union(F.array_except("added", "more"), F.array_except("less", "missing")).alias("added"),
-        F.array_union(F.array_except("missing", "less"), F.array_except("more", "added")).alias("missing"),
-    )
-    moved = save(moved.withColumn("far", percent * (F.size("added") + F.size("missing")) > (100 - percent) * F.col("n")), "differences")
-    pairs = None
-    # |A and A'| (or |R and R'|) is (|A| + |R| - t) / 2 at least, so some shared item is among the rarest size - that + 1
-    least = F.greatest(F.ceil((F.size("added") + F.size("missing") - F.col("n") * ((100 - percent) / percent)) / 2), F.lit(1))
-    for column, partner in (("added", F.size("added") >= F.size("missing")), ("missing", F.size("missing") > F.size("added"))):
-        other = moved.where(partner).select(F.col("lead").alias("l2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.explode(column).alias("item2"))
-        times = other.groupBy("l2", "item2").agg(F.count("*").alias("times")).where("times > 0")
-        far = moved.where("far").select("lead", "rep", "n", "c", (F.size(column) - least + 1).alias("prefix"), F.explode(column).alias("item"))
-        far = far.join(times, (F.col("lead") == F.col("l2")) & (F.col("item") == F.col("item2")), "left").drop("l2", "item2")
-        rarest = Window.partitionBy("lead", "rep").orderBy(F.coalesce("times", F.lit(0)), "item")
-        far = far.withColumn("place", F.row_number().over(rarest)).where((F.col("place") <= F.col("prefix")) & F.col("times").isNotNull())
-        met = far.join(other, (F.col("lead") == F.col("l2")) & (F.col("item") == F.col("item2"))).select("lead", "rep", "n", "c", "rep2", "n2", "c2")
-        pairs = met if pairs is None else pairs.union(met)
-    near = moved.where("not far")
-    # only leads whose near sets are of different components pair them
-    split = near.groupBy("lead").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select(F.col("lead").alias("l2"))
-    near = near.join(split, F.col("lead") == F.col("l2"), "left_semi")
-    other = near.select(F.col("lead").alias("l2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    pairs = pairs.union(near.join(other, (F.col("lead") == F.col("l2")) & (F.col("c") != F.col("c2"))).select("lead", "rep", "n", "c", "rep2", "n2", "c2"))
-    sized = similar(F.least("n", "n2"), F.greatest("n", "n2"), percent)
-    pairs = pairs.where((F.col("c") != F.col("c2")) & sized).select("lead", F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")).distinct()
+    diff = diff.select("lead", "rep", "n", "c", F.array_except("x", "y").alias("added"), F.array_except("y", "x").alias("missing"))
+    diff = diff.withColumns({"na": F.size("added"), "nr": F.size("missing")}).withColumn("excess", p * (F.col("na") + F.col("nr")) - q * F.col("n"))
+    diff = save(diff.withColumn("slack", 2 * p * F.col("nr") - F.col("excess")), "differences")
+    centre = diff.groupBy("lead").agg(F.min(F.struct("excess", "rep", "c")).alias("core"), F.max("slack").alias("top"), (F.percentile_approx("slack", 0.9) + 4 * p).alias("usual"))
+    main = diff.groupBy("lead", "c").agg(F.count("*").alias("m")).groupBy("lead").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts"))
+    centre = centre.join(main.where("parts > 1").drop("parts"), "lead").select(other_key("lead").alias("l2"), "core", "top", "usual", "main")
+    known = diff.join(centre, other_key("lead") == F.col("l2")).drop("l2")
+    # one of the two is outside the largest component, and a pair is met once
+    once = (F.col("x.c") != F.col("x.main")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+    sized = similar(F.least("x.n", "y.n"), F.greatest("x.n", "y.n"), percent)
+    enough = F.col("x.excess") + F.col("y.excess") <= 2 * p * (F.least("x.na", "y.na") + F.least("x.nr", "y.nr"))
+    least = lambda need: F.greatest(F.ceil(need / (2 * p)), F.lit(1))
+
+    known = save(known.withColumn("low", F.col("core.excess")), "differences")
+    core = known.where("excess + low <= 0 and c != core.c").select("lead", F.col("core.rep").alias("r1"), F.col("rep").alias("r2"))
+    known = known.drop("core")
+    added = save(_placed(known.withColumn("far", F.col("na") - least(F.col("excess") - F.col("usual")) + 1), "added", "na"), "items")
+    early, odd = added.where(F.col("place") <= F.col("me.far")), F.col("me.slack") > F.col("me.usual")
+    pairs = _meet(early, early, once & sized & enough)
+    reach = ((F.col("place") <= F.col("x.far")) | (F.col("y.slack") > F.col("y.usual"))) & ((F.col("place2") <= F.col("y.far")) | (F.col("x.slack") > F.col("x.usual")))
+    pairs = pairs.union(_meet(added.where(odd), added, sized & enough & reach & ((F.col("x.c") != F.col("x.main")) | (F.col("y.c") != F.col("y.main")))))
+
+    asks = known.where("c != main and excess <= top").groupBy("lead").agg(F.max("slack").alias("reach")).select(other_key("lead").alias("l2"), "reach")
+    meets = known.join(asks, other_key("lead") == F.col("l2")).where("excess <= greatest(top, reach)").drop("l2", "reach")
+    missing = _placed(meets.withColumn("far", F.col("nr") - least(F.col("excess") + F.col("low")) + 1), "missing", "nr")
+    missing = save(missing.where(F.col("place") <= F.col("me.far")), "items")
+    fits = (F.col("x.excess") <= F.col("y.slack")) & (F.col("y.excess") <= F.col("x.slack"))
+    pairs = pairs.union(_meet(missing, missing, once & sized & enough & fits)).union(core)
+    pairs = pairs.select("lead", F.least("r1", "r2").alias("r1"), F.greatest("r1", "r2").alias("r2")).distinct()
+
     # sizes of the differences give the exact similarity
-    left = moved.select(F.col("lead").alias("l1"), F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("added").alias("a1"), F.col("missing").alias("m1"))
-    right = moved.select(F.col("lead").alias("l2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("added").alias("a2"), F.col("missing").alias("m2"))
-    both = pairs.join(left, (F.col("lead") == F.col("l1")) & (F.col("rep") == F.col("r1"))).join(right, (F.col("lead") == F.col("l2")) & (F.col("rep2") == F.col("r2")))
+    side = lambda i: known.select(F.col("lead").alias(f"l{i}"), F.col("rep").alias(f"rep{i}"), F.col("n").alias(f"n{i}"), F.col("added").alias(f"a{i}"), F.col("missing").alias(f"m{i}"))
+    both = pairs.join(side(1), (F.col("lead") == F.col("l1")) & (F.col("r1") == F.col("rep1"))).join(side(2), (F.col("lead") == F.col("l2")) & (F.col("r2") == F.col("rep2")))
     apart = sum((F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)) for x, y in (("a1", "a2"), ("m1", "m2"))), F.lit(0))
-    total = F.col("n1") + F.col("n2")
-    return both.where(similar(total - apart, total + apart, percent)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    return both.where(p * apart <= q * (F.col("n1") + F.col("n2"))).select(F.col("r1").alias("a"), F.col("r2").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS, pair_bucket: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_key of every row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their
     sets of k-word shingles (A-Z lower-cased; with fewer words, the whole sequence as
     one shingle).  component_id is the smallest doc_id reachable.  Texts that are null
     or have no word link with nothing.  Rows with a null doc_id link with nothing, have
-    a null component and are kept.  Rows that repeat a doc_id are one document.
+    a null component and are kept.  Rows that repeat a doc_id are one node of the links,
+    but each row has the component of its own text's class; ``text_key`` is xxhash64 of the
+    text and tells them apart.  Other columns, whatever their names, are not read.  An
+    empty table gives an empty result.
     """
     sig = save(signatures(docs, k, bands, rows), "signatures")
     usable = sig.where("n_shingles > 0 and doc_id is not null")
@@ -184,11 +211,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     fame = save(fame, "fame")
     famous = buckets.join(fame.select("rep", "fame"), "rep")
     leaders = famous.groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("r"), "n")).alias("l"))
-    leaders = leaders.select(other_key("key").alias("k2"), (-F.col("l.r")).alias("lead"), F.col("l.n").alias("lead_n"))
+    leaders = leaders.select(other_key("key").alias("k2"), (-F.col("l.r")).alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.fame").alias("lead_fame"))
     buckets = save(buckets.join(leaders, other_key("key") == F.col("k2")).drop("k2"), "buckets")
     sized = lambda a, b: similar(F.least(a, b), F.greatest(a, b), percent)
     tried = buckets.where((F.col("rep") != F.col("lead")) & sized(F.col("n"), F.col("lead_n"))).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    sets = save(full_sets(docs, fame.select("rep", "set_id"), k), "sets")
+    sets = full_sets(docs, fame.select("rep", "set_id"), k)
+    if not usable.groupBy("doc_id", "set_id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates()  # rows that repeat an id and a set
+    sets = save(sets, "sets")
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
@@ -204,15 +234,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     named = buckets.where("size > 2").join(groups.withColumnRenamed("component", "c"), F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "size", "lead", F.coalesce("c", "rep").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
     left = save(named.join(mixed.select(other_key("key").alias("k2")), other_key("key") == F.col("k2"), "left_semi").where("rep != lead"), "open")
-    differ = (F.col("c") != F.col("c2")) & sized(F.col("n"), F.col("n2"))
-    second = lambda df, *keys: df.select(*keys, F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    few = left.where(F.col("size") <= pair_bucket)
-    pairs = few.join(second(few, "key"), "key").where((F.col("rep") < F.col("rep2")) & differ).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    wide = left.where(F.col("size") > pair_bucket).select("lead", "rep", "n", "c").distinct()
-    more = save(verified(pairs.distinct()).union(_links_by_difference(wide, with_sets, percent)), "links")
+    # leads of one family are led by the most famous lead that they share a band with, so that a member has few centres
+    up = buckets.join(left.select(F.col("lead").alias("l2")).distinct(), F.col("rep") == F.col("l2"), "left_semi")
+    up = save(up.groupBy("rep").agg(F.max(F.struct("lead_fame", (-F.col("lead")).alias("r"))).alias("u")).select("rep", (-F.col("u.r")).alias("up")), "leads")
+    for _ in range(2):
+        left = left.join(up.select(F.col("rep").alias("l2"), "up"), F.col("lead") == F.col("l2"), "left").withColumn("lead", F.coalesce("up", "lead")).drop("l2", "up")
+    members = left.where("rep != lead").select("lead", "rep", "n", "c").distinct()
+    more = save(links_by_difference(members, with_sets, percent), "links")
     if not more.isEmpty():
         groups = components(links.union(more))
     named = save(classes.select("set_id", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(F.col("set_id").alias("set"), F.coalesce("component", "rep").alias("c")), "classes")
-    out = sig.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
-    out = out.join(named, F.col("set_id") == F.col("set"), "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = sig.select("doc_id", "text_key", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+    out = out.join(named, F.col("set_id") == F.col("set"), "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), "text_key")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")

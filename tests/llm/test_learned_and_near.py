@@ -112,9 +112,63 @@ def test_large_families_match_all_pairs(spark, with_base):
         rows += [(family * 100 + k, " ".join(w)) for k, w in enumerate(kin) if k or with_base]
     want = brute_components(rows, 85)
     assert 2 < len(set(want.values())) < len(rows)
-    for bucket in (2, 8):
-        got = minhash.near_duplicates(spark.createDataFrame([(i, t, "en", 1, "z") for i, t in rows], SCHEMA), percent=85, pair_bucket=bucket).collect()
-        assert {r.doc_id: r.component_id for r in got} == want
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, "en", 1, "z") for i, t in rows], SCHEMA), percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_links_by_difference_match_all_pairs(spark):
+    """Every kind of difference: own words, cut ends, replaced places, a centre that is an outlier or belongs to nobody."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for k in range(90):
+        kind, w = k % 5, list(base)
+        if kind == 0:
+            w = w[: rng.randint(120, 200)]
+        elif kind == 1:
+            w = w[rng.randint(0, 70) :]
+        elif kind == 2:
+            for at in rng.sample(range(200), rng.randint(1, 8)):
+                w[at] = f"o{rng.randrange(10**9)}"
+        elif kind == 3:
+            for at in rng.sample(range(0, 200, 20), rng.randint(1, 5)):
+                w[at] = f"c{rng.randrange(2)}"
+        else:
+            w += [f"x{rng.randrange(3)}"] * rng.randint(1, 3) + [f"y{k}z{j}" for j in range(rng.randint(0, 50))]
+        rows.append((k, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    number = {x: n for n, x in enumerate(sorted(set().union(*sets.values())))}
+    for lead in (0, 1, 4, 22, 63):
+        for grouped in (False, True):
+            c = {i: i // 4 if grouped else i for i in sets}
+            frame = spark.createDataFrame([(i, [number[x] for x in s]) for i, s in sets.items()], "i long, items array<long>")
+
+            def with_sets(pairs, frame=frame):
+                return pairs.join(frame.select(frame.i.alias("a"), frame.items.alias("x")), "a").join(frame.select(frame.i.alias("b"), frame.items.alias("y")), "b")
+
+            members = spark.createDataFrame([(lead, i, len(s), c[i]) for i, s in sets.items() if i != lead], "lead long, rep long, n int, c long")
+            got = {(r.a, r.b) for r in minhash.links_by_difference(members, with_sets, 85).collect()}
+            want = {(a, b) for a in sets for b in sets if a < b and lead not in (a, b) and c[a] != c[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+            assert got <= {(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+            # pairs inside one component may be left out, and so may similar pairs that the least excess already joins
+            assert joined(want, c) == joined(got, c)
+
+
+def joined(links, c):
+    """The components that links between members of components ``c`` make."""
+    part = {v: v for v in c.values()}
+
+    def root(v):
+        while part[v] != v:
+            v = part[v]
+        return v
+
+    for a, b in links:
+        x, y = root(c[a]), root(c[b])
+        part[max(x, y)] = min(x, y)
+    return {i: root(v) for i, v in c.items()}
 
 
 def test_components_of_paths_and_stars(spark):
