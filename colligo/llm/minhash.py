@@ -215,7 +215,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     buckets = save(buckets.join(leaders, other_key("key") == F.col("k2")).drop("k2"), "buckets")
     sized = lambda a, b: similar(F.least(a, b), F.greatest(a, b), percent)
     tried = buckets.where((F.col("rep") != F.col("lead")) & sized(F.col("n"), F.col("lead_n"))).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    sets = full_sets(docs, fame.select("rep", "set_id"), k)
+    tried = save(tried, "tried")
+    # only members of bands that may hold a link need their sets
+    wanted = tried.select(F.col("a").alias("w")).union(tried.select("b")).union(buckets.where("size > 2").select("rep")).distinct()
+    sets = full_sets(docs, fame.join(wanted, F.col("rep") == F.col("w"), "left_semi").select("rep", "set_id"), k)
     if not usable.groupBy("doc_id", "set_id").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates()  # rows that repeat an id and a set
     sets = save(sets, "sets")
