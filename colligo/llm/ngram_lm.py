@@ -1,29 +1,28 @@
-"""Stupid-backoff scores of documents under bigram counts of the whole corpus.
-
-S(w | v) is count(v w) / count(v) where the bigram was seen ``min_count`` times, else
-0.4 count(w) / N; a document's first word has count(w) / N.  A document's score is
-the sum of the logarithms.  ``min_count`` 1 is stupid backoff proper, which backs off
-from unseen n-grams only; at 2, what bigrams that occur once say is not used, and those
-with a word that occurs once are not shuffled.  All is relational: words are counted into one table,
-bigrams are exploded per document and shuffled by their hash, each hash bucket's count
-table meets the rows that need it where both lie (the count table and its join in one
-shuffle), and the parts are summed per document.  In the shuffle the exploded rows of
-a block of documents stand by column, sorted by hash, which takes a half of the bytes
-that single rows take.
-
-Skew has proven bounds.  Words with at least 1/512 of all occurrences are 512 at most;
-bigrams of two such words are counted apart, into a table of 512^2 rows at most that
-every task gets.  Any other bigram has a word below that share, so its group holds
-1/512 of all rows at most.  A bucket is held in compressed form; bigrams of two words
-that both occur ``LARGE`` times, and those with a word of unknown count, go as single
-rows through a window, which Spark spills.  Counts of the most frequent words, up to
-``TABLE_WORDS``, reach the tasks as two arrays; rows with a rarer word get its count by a join.
-
-From ``order`` 3 on, an n-gram x1..xk backs off to x2..xk times 0.4.  As an n-gram is
-never seen more often than its parts, a seen one changes the score by the same amount
-wherever it stands: log of count(x1..xk) count(x2..xk-1) / (count(x1..xk-1) count(x2..xk) 0.4).
-So each order adds a table of distinct n-grams with that amount, made from count tables
-by joins, and one join of the documents' n-grams with it.
+"""Stupid-backoff scores of documents under n-gram counts of the whole corpus.
+
+S(w | context) is count(context w) / count(context) where the n-gram was seen, else 0.4
+times S with the context less its first word; a word alone has count(w) / N.  A
+document's score is the sum of the logarithms.
+
+Documents scored under their own counts have seen all of their n-grams.  Their score is
+the sum over n-grams of log count(n-gram) - log count(head), the head being all words but
+the last; of the lower orders at the start, only log count(first head) - log N is left.
+So one table will do: n-grams are exploded per document with their heads and shuffled by
+the head's hash.  There lie all rows of a head and of its n-grams: the counts are sums
+over the partition, they join the rows where both lie, and the logarithms are summed per
+document.  A document's last head, which begins no n-gram, is a row too, so that
+count(head) is whole.  A row whose two counts are equal adds nothing and goes no further.
+
+Documents scored under another corpus back off.  As an n-gram is never seen more often
+than its parts, a seen x1..xk changes the score by the same amount wherever it stands:
+log of count(x1..xk) count(x2..xk-1) / (count(x1..xk-1) count(x2..xk) 0.4), above
+0.4^(order - 1) count(w) / N for each word.  So every order is a table of the corpus' n-grams
+with that amount, made from count tables by joins, and joined to the exploded n-grams.
+
+A head with 1/512 of all n-grams would make one task large.  Its words have such a share
+too, so there are 512 such words, heads and n-grams at most: they are counted first, in
+tables of 512^2 rows at most, and every task gets those that pass.  Rows of such a head
+are shuffled by the n-gram instead, and such n-grams not at all.
 """
 
 from __future__ import annotations
@@ -33,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,15 +41,31 @@ from colligo.llm.common import other_key, save
 
 U64 = kernels.U64
 BACKOFF, HEAVY = 0.4, 512
-#: Words whose counts every task gets (16 bytes each); the table is cut at a count, so that ties stay together.
-TABLE_WORDS = 4_000_000
-#: Words of the corpus to one bucket of bigrams, and occurrences from which both words of a bigram make its group too large to hold.
-BUCKET_WORDS, LARGE = 2_000_000, 1 << 26
+#: What a row of the exploded table stands for: an n-gram under its head, a last head, a first head, an n-gram of a frequent head, a document.
+GRAM, LAST, FIRST, ALONE, DOCUMENT = range(5)
+COUNTED = "key long, n long, head long, tail long, inner long"
+EXPLODED = "row long, head long, gram long, n int, kind int, doc_id long, n_words long, base double, short long"
+Table = tuple[np.ndarray, np.ndarray]
 
 
-def _pairs(words: np.ndarray) -> np.ndarray:
-    """Hash of each word with the next one."""
-    return kernels.ngrams(words, 2, 31)
+def _batch(schema: str, size: int, **columns: object) -> pa.RecordBatch:
+    """Columns that are not given are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    fields = pa.schema([(a, kinds[b]) for a, b in (x.split() for x in schema.split(", "))])
+    signed = lambda x: x.view(np.int64) if isinstance(x, np.ndarray) and x.dtype == U64 else x
+    return pa.RecordBatch.from_arrays([pa.array(signed(columns[f.name]), f.type) if f.name in columns else pa.nulls(size, f.type) for f in fields], schema=fields)
+
+
+def _hashes(words: np.ndarray, k: int) -> np.ndarray:
+    return words if k == 1 else kernels.ngrams(words, k, 31)
+
+
+def _blocks(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, words, first word of each row, positions of k-grams, their rows) of blocks of documents."""
+    for a, b, words, first in kernels.documents(column):
+        owner = np.repeat(np.arange(b - a), np.diff(first))
+        at = np.flatnonzero(owner[: len(owner) - k + 1] == owner[k - 1 :]) if len(owner) >= k else np.zeros(0, np.int64)
+        yield a, words, first, at, owner[at]
 
 
 def _tally(parts: Iterator[np.ndarray], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -61,7 +75,7 @@ def _tally(parts: Iterator[np.ndarray], most: int = 2_000_000) -> Iterator[pa.Re
 
     def emit() -> pa.RecordBatch:
         keys, n = np.unique(np.concatenate(held or [np.zeros(0, U64)]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+        return _batch("key long, n long", len(n), key=keys, n=n)
 
     for part in parts:
         held.append(part)
@@ -81,32 +95,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def heavy_pair_counts(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(key, n) of bigrams of two heavy words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for _, _, words, first in kernels.documents(batch["text"]):
-                    inside = np.isin(words, heavy)
-                    both = inside[:-1] & inside[1:]
-                    ends = first[1:-1] - 1  # a document's last word has no next one
-                    both[ends[(ends >= 0) & (ends < len(both))]] = False
-                    yield _pairs(words)[both]
-
-        yield from _tally(parts())
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.toArrow()
-    keys, n = (np.array(got[c].combine_chunks().to_numpy(zero_copy_only=False), np.int64) for c in ("key", "n"))
-    order = np.argsort(keys.view(U64))
-    return keys.view(U64)[order], n[order]
+def _table(df: DataFrame) -> Table:
+    """At most ``HEAVY`` keys, in order, with their counts."""
+    got = sorted((r["key"] & kernels.MASK, r["n"]) for r in df.collect())
+    return np.array([k for k, _ in got], U64), np.array([n for _, n in got], np.int64)
 
 
-def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+def _find(table: Table, keys: np.ndarray) -> np.ndarray:
     """Counts of the keys, 0 for those not in the table."""
     if not len(table[0]):
         return np.zeros(len(keys), np.int64)
@@ -114,78 +109,72 @@ def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return np.where(table[0][at] == keys, table[1][at], 0)
 
 
-def _cut(counts: DataFrame, most: int) -> int:
-    """Least count such that ``most`` words at most have it: from a histogram with 16 bins an octave."""
-    bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("low")).orderBy(F.desc("bin")).collect()
-    total, cut = 0, None
-    for b in bins:
-        total += b["words"]
-        if total > most:
-            break
-        cut = b["low"]
-    return cut if cut is not None else (bins[0]["low"] * 4 if bins else 1)
-
-
-def pack(pair: np.ndarray, row: np.ndarray, n: np.ndarray, both: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, entries, data) of the entries of each bucket: sorted by pair, by column and byte, compressed."""
-    order = np.argsort(pair)
-    columns = np.stack([pair[order], row[order].view(U64), n[order].astype(U64), both[order].astype(U64)])
-    place = ((columns[0] >> U64(32)) * U64(buckets)) >> U64(32)
-    cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
-    codec = pa.Codec("zstd", 1)
-    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-        if e > s:
-            part = columns[:, s:e].copy()
-            part[0, 1:] -= columns[0, s : e - 1]
-            yield int(place[s]), int(e - s), codec.compress(part.view(np.uint8).reshape(4, e - s, 8).transpose(0, 2, 1).tobytes(), asbytes=True)
-
-
-def unpack(entries: int, data: bytes, columns: int = 4) -> np.ndarray:
-    """The first columns (pair, row, n, both) of packed entries."""
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=32 * entries, asbytes=True), np.uint8).reshape(4, 8, entries)[:columns]
-    out = raw.transpose(0, 2, 1).copy().view(U64)[..., 0]
-    out[0] = np.cumsum(out[0], dtype=U64)
-    return out
+def frequent(docs: DataFrame, counts: DataFrame, total: int, order: int) -> dict[int, Table]:
+    """For each k up to ``order``, the k-grams with at least 1 / ``HEAVY`` of all words, and their counts."""
+    often = F.col("n") * HEAVY >= max(total, 1)
+    tables = {1: _table(counts.where(often))}
+    for k in range(2, order + 1):
+        shared = docs.sparkSession.sparkContext.broadcast((tables[1], tables[k - 1]))
 
+        def run(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
+            def parts() -> Iterator[np.ndarray]:
+                one, less = shared.value
+                for batch in batches:
+                    for _, words, _, at, _ in _blocks(batch["text"], k):
+                        at = at[_find(one, words[at + k - 1]) > 0]
+                        at = at[_find(less, _hashes(words, k - 1)[at]) > 0]
+                        yield _hashes(words, k)[at]
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key, in order, with the sum of its values."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(values[order], starts) if len(keys) else values
-
-
-def _gains(held: list[tuple[int, bytes]], min_count: int, scale: float, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, gain): what the counts of a bucket's bigrams add to the rows, above backing off."""
-    counts = [_sums(x[0], x[2].view(np.int64)) for x in (unpack(*h, columns=3) for h in held)]
-    keys, seen = _sums(np.concatenate([k for k, _ in counts]), np.concatenate([n for _, n in counts]))
-    table = keys[seen >= min_count], seen[seen >= min_count]
-    rows, gains, size = [], [], 0
-    for h in held:
-        pair, row, n, both = unpack(*h)
-        found = _find(table, pair)
-        at = found > 0
-        rows.append(row[at])
-        gains.append(n[at] * np.log(found[at] * scale / both[at]))
-        size += len(rows[-1])
-        if size >= most:
-            yield _sums(np.concatenate(rows), np.concatenate(gains))
-            rows, gains, size = [], [], 0
-    if size:
-        yield _sums(np.concatenate(rows), np.concatenate(gains))
+            yield from _tally(parts())
 
+        tables[k] = _table(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(often))
+    return tables
 
-def _hashes(words: np.ndarray, k: int) -> np.ndarray:
-    return words if k == 1 else kernels.ngrams(words, k, 31)
 
+def exploded(docs: DataFrame, order: int, total: int, known: dict[int, Table]) -> DataFrame:
+    """The rows of ``EXPLODED`` for ``docs`` (row, doc_id, text); ``base`` is what needs no count from other rows."""
+    shared = docs.sparkSession.sparkContext.broadcast((known[order - 1], known[order]))
+    h = order - 1
 
-def _blocks(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, words, positions of k-grams, their rows) of blocks of documents."""
-    for a, b, words, first in kernels.documents(column, limit=1 << 20):
-        owner = np.repeat(np.arange(a, b), np.diff(first))
-        at = np.flatnonzero(owner[: len(owner) - k + 1] == owner[k - 1 :]) if len(owner) >= k else np.zeros(0, np.int64)
-        yield a, words, at, owner[at]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, often_grams = shared.value
+        for batch in batches:
+            names = batch["row"].to_numpy()
+            for a, words, first, at, owner in _blocks(batch["text"], order):
+                size = np.diff(first)
+                row = names[a : a + len(size)]
+                heads, grams = _hashes(words, h), _hashes(words, order)
+                base = np.where(size > 0, -np.log(max(total, 1)), 0.0)
+                by = np.lexsort((grams[at], owner))
+                at, owner = at[by], owner[by]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (grams[at][1:] != grams[at][:-1])])) if len(at) else by
+                n = np.diff(np.append(new, len(at)))
+                head, gram, owner = heads[at[new]], grams[at[new]], owner[new]
+                of_head, of_gram = _find(often, head), _find(often_grams, gram)
+                # an n-gram as frequent has a head as frequent
+                np.add.at(base, owner, n * (np.log(np.maximum(of_gram, 1)) - np.log(np.maximum(of_head, 1))))
+                plain, alone = of_head == 0, (of_head > 0) & (of_gram == 0)
+                whole = np.flatnonzero(size >= h)
+                start, end = heads[first[whole]], heads[first[whole + 1] - h]
+                of_start = _find(often, start)
+                base[whole] += np.log(np.maximum(of_start, 1))
+                starts, ends = of_start == 0, _find(often, end) == 0
+                short = np.zeros(len(size), U64)
+                for r in np.flatnonzero((size > 0) & (size < h)):
+                    short[r] = _hashes(words[first[r] : first[r + 1]], int(size[r]))[0]
+                yield _batch(
+                    EXPLODED, len(row), row=row, head=kernels.mix(row.view(U64)), n=np.zeros(len(row), np.int32), kind=np.full(len(row), DOCUMENT),
+                    doc_id=batch["doc_id"].slice(a, len(row)), n_words=size, base=base, short=short,
+                )
+                parts = [
+                    (row[owner[plain]], head[plain], gram[plain], n[plain], GRAM), (row[owner[alone]], gram[alone], gram[alone], n[alone], ALONE),
+                    (row[whole[starts]], start[starts], start[starts], np.zeros(int(starts.sum()), np.int64), FIRST), (row[whole[ends]], end[ends], end[ends], np.ones(int(ends.sum()), np.int64), LAST),
+                ]
+                columns = [np.concatenate([p[j] for p in parts]) for j in range(4)]
+                kinds = np.repeat([p[4] for p in parts], [len(p[0]) for p in parts])
+                yield _batch(EXPLODED, len(kinds), row=columns[0], head=columns[1], gram=columns[2], n=columns[3], kind=kinds)
+
+    return docs.mapInArrow(run, EXPLODED)
 
 
 def gram_counts(docs: DataFrame, k: int) -> DataFrame:
@@ -193,190 +182,120 @@ def gram_counts(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, words, at, _ in _blocks(batch["text"], k):
+            for _, words, _, at, _ in _blocks(batch["text"], k):
                 keys, first, n = np.unique(_hashes(words, k)[at], return_index=True, return_counts=True)
-                at, less = at[first], _hashes(words, k - 1)
+                at, less = at[first], _hashes(words, max(k - 1, 1))
                 inner = _hashes(words, k - 2)[at + 1] if k > 2 else np.zeros(len(at), U64)
-                yield _batch(GRAM, len(n), n=n, **{c: x.view(np.int64) for c, x in (("key", keys), ("head", less[at]), ("tail", less[at + 1]), ("inner", inner))})
+                yield _batch(COUNTED, len(n), n=n, key=keys, head=less[at], tail=less[at + min(k - 1, 1)], inner=inner)
 
-    parts = docs.select("text").mapInArrow(run, GRAM)
+    parts = docs.select("text").mapInArrow(run, COUNTED)
     return parts.groupBy("key").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("head", "tail", "inner")))
 
 
-def _longer(numbered: DataFrame, words: DataFrame, order: int, min_count: int) -> DataFrame:
-    """(row, part): what n-grams of three words up to ``order`` add to the rows, above backing off."""
+def _own_scores(keyed: DataFrame, order: int) -> DataFrame:
+    """row, doc_id, n_words, log_score, copies: documents under their own counts."""
+    counts = save(word_counts(keyed), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = exploded(keyed, order, total, frequent(keyed, counts, total, order)).repartition("head")
+    of_head = F.sum("n").over(Window.partitionBy("head"))
+    of_gram = F.sum("n").over(Window.partitionBy("head", "gram"))
+    part = F.when(F.col("kind") == GRAM, F.col("n") * (F.log("of_gram") - F.log("of_head"))).when(F.col("kind") == ALONE, F.col("n") * F.log("of_head"))
+    # a first head counts in its last or its n-grams' rows, so of_head is 1 at least
+    part = part.when(F.col("kind") == FIRST, F.log("of_head")).when(F.col("kind") == DOCUMENT, F.col("base")).otherwise(0.0)
+    rows = rows.withColumns({"of_gram": of_gram, "of_head": of_head}).withColumn("part", part).where((F.col("part") != 0) | (F.col("kind") == DOCUMENT))
+    done = rows.groupBy("row").agg(
+        F.sum("part").alias("log_score"), F.max("n_words").alias("n_words"), F.max("doc_id").alias("doc_id"), F.max("short").alias("short"), F.count_if(F.col("kind") == DOCUMENT).alias("copies"),
+    )
+    done = save(done.withColumn("log_score", F.col("log_score") / F.col("copies")), "scores")
+    out = done.where(f"n_words = 0 or n_words >= {order - 1}").drop("short")
+    for m in range(1, order - 1):  # texts shorter than a head are one m-gram
+        table = (counts if m == 1 else gram_counts(keyed, m)).select(F.col("key").alias("short"), "n")
+        mine = done.where(F.col("n_words") == m).join(table, "short").withColumn("log_score", F.col("log_score") + F.log("n"))
+        out = out.unionByName(mine.drop("short", "n"))
+    return out
+
+
+def _exploded_grams(keyed: DataFrame, k: int) -> DataFrame:
+    """(row, key, times) of each document's k-grams."""
 
-    def run(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch["row"].to_numpy()
-            for _, held, at, owner in _blocks(batch["text"], k):
-                keys = _hashes(held, k)[at]
+            for a, words, _, at, owner in _blocks(batch["text"], k):
+                keys = _hashes(words, k)[at]
                 by = np.lexsort((keys, owner))
                 keys, owner = keys[by], owner[by]
                 new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else by
-                yield _batch("row long, key long, times long", len(new), row=row[owner[new]], key=keys[new].view(np.int64), times=np.diff(np.append(new, len(keys))))
-
-    tables = [words, *(save(gram_counts(numbered, k).where(F.col("n") >= min_count), f"grams{k}") for k in range(2, order + 1))]
-    out = None
-    for k in range(3, order + 1):
-        gains = tables[k - 1]
-        for name, table in (("head", tables[k - 2]), ("tail", tables[k - 2]), ("inner", tables[k - 3])):
-            gains = gains.join(table.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}")), name)
-        gain = F.log(F.col("n").cast("double") * F.col("n_inner") / (F.col("n_head").cast("double") * F.col("n_tail") * F.lit(BACKOFF)))
-        gains = gains.select(other_key("key").alias("key"), gain.alias("gain"))
-        grams = numbered.mapInArrow(functools.partial(run, k), "row long, key long, times long")
-        parts = grams.withColumn("key", other_key("key")).join(gains, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("gain")).alias("part"))
-        out = parts if out is None else out.union(parts)
-    return out
-
-
-GRAM = "key long, n long, head long, tail long, inner long"
-PACKED = "bucket long, entries long, data binary, row long, base double, n_words long, doc_id long"
-PART = "row long, part double, n_words long, doc_id long"
-ROW = "row long, pair long, n int, both long, w1 long, w2 long, c1 long, c2 long"
-
-
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
-    return pa.schema([(a, kinds[b]) for a, b in (x.split() for x in schema.split(", "))])
+                yield _batch("row long, key long, times long", len(new), row=row[a + owner[new]], key=keys[new], times=np.diff(np.append(new, len(keys))))
+
+    return keyed.mapInArrow(run, "row long, key long, times long")
+
+
+def _backed_scores(keyed: DataFrame, corpus: DataFrame, order: int) -> DataFrame:
+    """The same under the counts of ``corpus``; a word that it lacks counts as seen once."""
+    counts = [save(gram_counts(corpus, k), f"grams{k}") for k in range(1, order + 1)]
+    total = counts[0].agg(F.sum("n")).first()[0] or 0
+    log_total = F.log(F.lit(float(max(total, 1))))
+    parts = None
+    for k, table in enumerate(counts, 1):
+        gains = table
+        for name, size in (("head", k - 1), ("tail", k - 1), ("inner", k - 2)):
+            if size > 0:
+                gains = gains.join(counts[size - 1].select(other_key("key").alias("k2"), F.col("n").alias(f"n_{name}")), other_key(name) == F.col("k2")).drop("k2")
+        known = lambda c: F.log(c) if c in gains.columns else log_total  # noqa: B023, E731
+        gain = F.log("n") if k == 1 else F.log("n") + known("n_inner") - F.log("n_head") - F.log("n_tail") - F.log(F.lit(BACKOFF))
+        seen = _exploded_grams(keyed, k).join(gains.select(other_key("key").alias("k2"), gain.alias("gain")), other_key("key") == F.col("k2"))
+        one = seen.select("row", (F.col("times") * F.col("gain")).alias("part"))
+        parts = one if parts is None else parts.union(one)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.diff(first) for _, _, _, first in kernels.documents(batch["text"])]
+            yield _batch("row long, doc_id long, n_words long", batch.num_rows, row=batch["row"], doc_id=batch["doc_id"], n_words=np.concatenate(n or [np.zeros(0, np.int64)]))
 
+    own = keyed.mapInArrow(sizes, "row long, doc_id long, n_words long").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
+    floor = F.col("n_words") * ((order - 1) * F.log(F.lit(BACKOFF)) - log_total) - F.greatest(F.lit(0), *_missing(order)) * F.log(F.lit(BACKOFF))
+    sums = parts.groupBy("row").agg(F.sum("part").alias("part"))
+    scored = own.join(sums, "row", "left").withColumn("log_score", floor + F.coalesce(F.col("part") / F.col("copies"), F.lit(0.0)))
+    return scored.drop("part")
 
-def _batch(schema: str, size: int, **columns: object) -> pa.RecordBatch:
-    """Columns that are not given are null."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _arrow(schema)], schema=_arrow(schema))
 
+def _missing(order: int) -> list:
+    """How many factors 0.4 the words at a text's start, which have less context, do not take."""
+    return [functools.reduce(lambda a, b: a + b, [F.least(F.col("n_words"), F.lit(k)) for k in range(1, order)])]
 
-def score(docs: DataFrame, min_count: int = 2, table_words: int = TABLE_WORDS, bucket_words: int = BUCKET_WORDS, large: int = LARGE, order: int = 2) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log_score of every row of ``docs`` (doc_id, text), under counts of all of them.
 
-    N-grams have ``order`` words at most, and two at least.
+def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3) -> DataFrame:
+    """doc_id, n_words, log_score, mean_log_score of every row of ``docs`` (doc_id, text).
 
-    Words are those between white space, unchanged.  A null or wordless text has 0 words,
-    log_score 0 and a null mean.  Repeated rows all count and are all scored.
+    The counts are those of all rows of ``corpus`` (text), or of ``docs`` itself.  N-grams have
+    ``order`` words at most, and two at least.  Words are those between white space,
+    unchanged.  A null or wordless text has 0 words, log_score 0 and a null mean.  Rows
+    that repeat an id and a text all count, and get the same score.  Null ids stay
+    null.  Other columns, whatever their names, are not read.  An empty table gives an
+    empty result; an empty corpus scores every word as seen once.
     """
     if order < 2:
         raise ValueError("order must be 2 at least")
-    spark = docs.sparkSession
-    counts = save(word_counts(docs), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = _table(counts.where(F.col("n") * HEAVY >= max(total, 1)))[0]
-    pairs = _table(heavy_pair_counts(docs, heavy))
-    cut = _cut(counts, table_words)
-    known = _table(counts.where(F.col("n") >= cut))
-    absent = 1 if cut <= 2 else 0  # where all words that occur twice are in the table, others occur once
-    shared = spark.sparkContext.broadcast((known, heavy, pairs))
-    scale = max(total, 1) / BACKOFF
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket_words)
-
-    def exploded(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """For blocks of documents: rows, what is known of their scores, numbers of words, and columns of their bigrams that need a count."""
-        table, often, often_pairs = shared.value
-        for a, b, words, first in kernels.documents(batch["text"], limit=1 << 20):
-            kinds, place = np.unique(words, return_inverse=True)
-            count, big = np.maximum(_find(table, kinds), absent), np.isin(kinds, often)
-            grams, out = _pairs(words), []
-            bases, sizes = np.zeros(b - a), np.diff(first)
-            for r in np.flatnonzero(sizes):
-                s, e = first[r], first[r + 1]
-                c = count[place[s:e]]
-                if c[0]:
-                    bases[r] = np.log(c[0] / total)
-                g, at, n = np.unique(grams[s : e - 1], return_index=True, return_counts=True)
-                c1, c2 = c[at], c[at + 1]
-                done = (c1 > 0) & (c2 > 0)
-                bases[r] += (n[done] * np.log(BACKOFF * c2[done] / total)).sum()
-                direct = big[place[s + at]] & big[place[s + at + 1]]
-                seen = np.where(direct, _find(often_pairs, g), 0) if direct.any() else np.zeros(len(g), np.int64)
-                better = direct & (seen >= min_count)
-                bases[r] += (n[better] * np.log(seen[better] * scale / (c1[better] * c2[better]))).sum()
-                # a bigram occurs at most as often as its words
-                left = ~direct & ~(done & (np.minimum(c1, c2) < min_count))
-                at = at[left]
-                out.append((np.full(len(at), a + r), g[left], n[left], words[s + at], words[s + at + 1], c1[left], c2[left]))
-                if not c[0]:  # the first word's own count is to be joined
-                    out.append((np.array([a + r]), words[s : s + 1], np.array([0]), words[s : s + 1], words[s : s + 1], np.array([0]), np.array([0])))
-            yield a, b, bases, sizes, [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
+    # rows are named by content, so that a task that runs again names them alike
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    done = _own_scores(keyed, order) if corpus is None else _backed_scores(keyed, corpus, order)
+    done = done.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return done.drop("col")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch["row"].to_numpy()
-            for a, b, bases, sizes, columns in exploded(batch):
-                # a row of its own for each document holds what is known already
-                yield _batch(PACKED, b - a, bucket=row[a:b] % buckets, row=row[a:b], base=bases, n_words=sizes, doc_id=batch["doc_id"].slice(a, b - a))
-                if columns:
-                    who, g, n, _, _, c1, c2 = columns
-                    held = (c1 > 0) & (c2 > 0) & (np.minimum(c1, c2) < large)
-                    if packed := list(pack(g[held], row[who[held]], n[held], (c1 * c2)[held], buckets)):
-                        bucket, entries, data = zip(*packed, strict=True)
-                        yield _batch(PACKED, len(packed), bucket=bucket, entries=entries, data=data)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            for row, gain in _gains(held, min_count, scale) if held else ():
-                yield _batch(PART, len(row), row=row.view(np.int64), part=gain)
 
-        for batch in batches:
-            own = batch.filter(pc.is_null(batch["data"]))
-            yield pa.RecordBatch.from_arrays([own[c] for c in ("row", "base", "n_words", "doc_id")], schema=_arrow(PART))
-            for at, entries, data in zip(*(batch[c] for c in ("bucket", "entries", "data")), strict=True):
-                if data.is_valid:
-                    if at != bucket:
-                        yield from close()
-                        bucket, held = at, []
-                    held.append((entries.as_py(), data.as_py()))
-        yield from close()
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch["row"].to_numpy()
-            for _, _, _, _, columns in exploded(batch):
-                if columns:
-                    who, g, n, w1, w2, c1, c2 = columns
-                    rare = (c1 == 0) | (c2 == 0)
-                    keep = rare | (np.minimum(c1, c2) >= large)
-                    who, g, n, w1, w2, c1, c2, rare = (x[keep] for x in (who, g, n, w1, w2, c1, c2, rare))
-                    w1, w2 = (pa.array(x.view(np.int64), mask=~rare) for x in (w1, w2))
-                    yield _batch(ROW, len(g), row=row[who], pair=g.view(np.int64), n=n, both=c1 * c2, w1=w1, w2=w2, c1=c1, c2=c2)
-
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
-    parts = numbered.mapInArrow(run, PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(joined, PART)
-    if not absent or total >= large * HEAVY:  # else every word's count is known, and words that occur ``large`` times are heavy
-        rows = numbered.mapInArrow(single, ROW)
-        rare = rows.where("w1 is not null")
-        for w, c in (("w1", "c1"), ("w2", "c2")):
-            theirs = counts.select(F.col("key").alias(w), F.col("n").alias("found"))
-            rare = rare.join(theirs, w).withColumn(c, F.when(F.col(c) > 0, F.col(c)).otherwise(F.col("found"))).drop("found")
-        total_lit = F.lit(float(max(total, 1)))
-        first = F.log(F.col("c1") / total_lit)  # n = 0 marks a first word
-        base = F.when(F.col("n") == 0, first).otherwise(F.col("n") * F.log(F.lit(BACKOFF) * F.col("c2") / total_lit))
-        rare = rare.select("row", "pair", "n", F.when(F.col("n") == 0, 0).otherwise(F.col("c1") * F.col("c2")).alias("both"), base.alias("base"))
-        rows = rows.where("w1 is null").select("row", "pair", "n", "both", F.lit(0.0).alias("base")).union(rare)
-        rows = rows.withColumn("seen", F.sum("n").over(Window.partitionBy("pair")))
-        gain = F.when((F.col("seen") >= min_count) & (F.col("both") > 0), F.col("n") * F.log(F.col("seen") * F.lit(scale) / F.col("both"))).otherwise(0.0)
-        nothing = F.lit(None).cast("long")
-        parts = parts.union(rows.select("row", (gain + F.col("base")).alias("part"), nothing, nothing))
-    backed = F.lit(0.0)
-    if order > 2:
-        nothing = F.lit(None).cast("long")
-        parts = parts.union(_longer(numbered, counts, order, min_count).select("row", "part", nothing, nothing))
-        backed = sum((F.greatest(F.col("n_words") - k + 1, F.lit(0)) * F.log(F.lit(BACKOFF)) for k in range(3, order + 1)), backed)
-    done = parts.groupBy("row").agg(F.sum("part").alias("log_score"), F.max("n_words").alias("n_words"), F.max("doc_id").alias("doc_id"))
-    done = done.withColumn("log_score", F.col("log_score") + backed)
-    return done.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
-
-
-def oracle_sql(min_count: int = 2) -> str:
-    return rf"""
+def oracle_sql() -> str:
+    return r"""
 with t as (select row_number() over (order by doc_id) as r, doc_id, coalesce(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) as w from documents),
 e as (select r, unnest(w) as w, generate_subscripts(w, 1) as i from t),
-p as (select r, i, w, lag(w) over (partition by r order by i) as v from e),
-u as (select w, count(*) as c from e group by w),
-b as (select v, w, count(*) as c from p where v is not null group by v, w),
+p as (select r, i, w, lag(w) over (partition by r order by i) as v, lag(w, 2) over (partition by r order by i) as u from e),
+c1 as (select w, count(*) as c from e group by w),
+c2 as (select v, w, count(*) as c from p where v is not null group by v, w),
+c3 as (select u, v, w, count(*) as c from p where u is not null group by u, v, w),
 n as (select count(*) as n from e),
-s as (select p.r, case when p.v is null then ln(uw.c / n.n) when b.c >= {min_count} then ln(b.c / uv.c) else ln({BACKOFF} * uw.c / n.n) end as s
-      from p cross join n join u uw on uw.w = p.w left join u uv on uv.w = p.v left join b on b.v = p.v and b.w = p.w),
+s as (select p.r, case when p.v is null then ln(a.c / n.n) when p.u is null then ln(b.c / h.c) else ln(g.c / k.c) end as s
+      from p cross join n join c1 a on a.w = p.w left join c1 h on h.w = p.v left join c2 b on b.v = p.v and b.w = p.w
+      left join c2 k on k.v = p.u and k.w = p.v left join c3 g on g.u = p.u and g.v = p.v and g.w = p.w),
 d as (select r, sum(s) as s from s group by r)
 select t.doc_id, cast(len(t.w) as bigint) as n_words, round(coalesce(d.s, 0.0), 3) as log_score, round(d.s / nullif(len(t.w), 0), 3) as mean_log_score
 from t left join d on d.r = t.r"""

@@ -73,40 +73,43 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
-@pytest.mark.parametrize(("table_words", "large"), [(ngram_lm.TABLE_WORDS, ngram_lm.LARGE), (20, ngram_lm.LARGE), (20, 3), (ngram_lm.TABLE_WORDS, 3)])
-def test_lm_scores(spark, table_words, large):
-    texts = ["the cat sat on the mat", "the cat sat", "a dog", "dog", "", None, "the " * 3000, "the cat sat on the mat", "rare unseen words only here", "x y x y x y x z"]
-    rows = [(None if k == 3 else k, t, 1, "h", 1) for k, t in enumerate(texts)]
-    got = ngram_lm.score(spark.createDataFrame(rows, DOCS), table_words=table_words, large=large).collect()
-    split = [WORD.findall(t or "") for t in texts]
-    one, two = Counter(w for t in split for w in t), Counter(p for t in split for p in zip(t, t[1:], strict=False))
-    total = sum(one.values())
-    want = {}
-    for (i, *_), t in zip(rows, split, strict=True):
-        s = math.log(one[t[0]] / total) if t else 0.0
-        for v, w in zip(t, t[1:], strict=False):
-            s += math.log(two[v, w] / one[v]) if two[v, w] >= 2 else math.log(0.4 * one[w] / total)
-        want[i] = (len(t), round(s, 6))
-    assert {r.doc_id: (r.n_words, round(r.log_score, 6)) for r in got} == want
-    assert ngram_lm.score(spark.createDataFrame([], DOCS)).count() == 0
-
-
-@pytest.mark.parametrize(("order", "min_count"), [(2, 1), (3, 1), (3, 2), (4, 1)])
-@pytest.mark.parametrize("table_words", [ngram_lm.TABLE_WORDS, 20])
-def test_lm_orders_and_single_ngrams(spark, order, min_count, table_words):
-    texts = ["the cat sat on the mat", "the cat sat", "a dog", "dog", "", None, "the " * 300, "the cat sat on the mat", "rare unseen words only here", "x y x y x y x z", "the cat saw the dog"]
-    got = ngram_lm.score(spark.createDataFrame([(k, t, 1, "h", 1) for k, t in enumerate(texts)], DOCS), min_count=min_count, table_words=table_words, order=order).collect()
-    split = [WORD.findall(t or "") for t in texts]
-    seen = Counter(tuple(t[i : i + k]) for t in split for k in range(1, order + 1) for i in range(len(t) - k + 1))
-    seen[()] = sum(len(t) for t in split)
+TEXTS = ["the cat sat on the mat", "the cat sat", "a dog", "dog", "", None, "the " * 3000, "the cat sat on the mat", "rare unseen words only here", "x y x y x y x z", "the cat saw the dog", "a b c", "a b c"]
+
+
+def stupid_backoff(texts, corpus, order):
+    split, learned = ([WORD.findall(t or "") for t in x] for x in (texts, corpus))
+    seen = Counter(tuple(t[i : i + k]) for t in learned for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    seen[()] = max(1, sum(len(t) for t in learned))
 
     def s(gram):
-        if len(gram) == 1 or seen[gram] >= min_count:
-            return seen[gram] / seen[gram[:-1]]
-        return 0.4 * s(gram[1:])
+        if len(gram) == 1:
+            return max(seen[gram], 1) / seen[()]
+        return seen[gram] / seen[gram[:-1]] if seen[gram] else 0.4 * s(gram[1:])
+
+    return [(len(t), round(sum(math.log(s(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(len(t))), 6)) for t in split]
+
+
+def scored(df):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 6)) for r in df.collect())
+
+
+@pytest.mark.parametrize(("order", "heavy"), [(2, 4), (3, 512), (4, 4)])
+def test_lm_scores_under_own_counts(spark, monkeypatch, order, heavy):
+    monkeypatch.setattr(ngram_lm, "HEAVY", heavy)
+    ids = [None if k == 3 else min(k, 11) for k in range(len(TEXTS))]  # a null id, and a row that repeats id and text
+    got = ngram_lm.score(spark.createDataFrame([(i, t, 1, "h", 1) for i, t in zip(ids, TEXTS, strict=True)], DOCS), order=order)
+    want = stupid_backoff(TEXTS, TEXTS, order)
+    assert scored(got) == sorted((i is None, i or 0, *w) for i, w in zip(ids, want, strict=True))
+    assert ngram_lm.score(spark.createDataFrame([], DOCS), order=order).count() == 0
+
 
-    want = {k: round(sum(math.log(s(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(len(t))), 6) for k, t in enumerate(split)}
-    assert {r.doc_id: round(r.log_score, 6) for r in got} == want
+@pytest.mark.parametrize("order", [3])
+def test_lm_backs_off_under_another_corpus(spark, order):
+    corpus = ["the cat sat on a mat", "a dog sat", None, "the dog", "x y x z"]
+    docs = spark.createDataFrame([(k, t, 1, "h", 1) for k, t in enumerate(TEXTS)], DOCS)
+    for learned in (corpus, []):
+        got = ngram_lm.score(docs, spark.createDataFrame([(t, 1) for t in learned], "text string, row int"), order)
+        assert scored(got) == sorted((False, k, *w) for k, w in enumerate(stupid_backoff(TEXTS, learned, order)))
 
 
 def test_lm_whole_table(spark, sf):
