@@ -1,4 +1,9 @@
-"""A compressed full-text index over integer words: a wavelet matrix over the Burrows-Wheeler transform."""
+"""A full-text index over integer words: a wavelet matrix over the Burrows-Wheeler transform.
+
+What it keeps of its sequences are the matrix' bit rows, one for each bit of a word's
+number, and of every group of suffixes with the same first words where it begins and
+the least mark of its sequences; no text, no suffix array.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +12,28 @@ import numpy as np
 U64 = np.uint64
 
 
-def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes of sequences that each end with code 0, in order; and the ranks at depth 1, 2, 4, ...
+def suffix_array(codes: np.ndarray, depth_kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of sequences that each end with code 0, in order; and the ranks at depth ``depth_kept``, a power of two, or at the last depth.
 
     A comparison ends with a sequence's 0; equal suffixes stand in order of position.
     """
     n = len(codes)
-    place = np.arange(n)
-    ends = np.flatnonzero(codes == 0)
+    place = np.arange(n, dtype=np.int32)
+    ends = np.flatnonzero(codes == 0).astype(np.int32)
     left = ends[np.searchsorted(ends, place)] - place + 1  # words to the end of the sequence, its 0 included
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    ranks, depth, longest = [rank], 1, int(left.max())
+    rank = codes.astype(np.int64)
+    kept, depth, longest = rank.astype(np.int32), 1, int(left.max())
     while depth < longest:
         ahead = np.zeros(n, np.int64)
         inside = np.flatnonzero(left > depth)
-        ahead[inside] = rank[inside + depth]
-        key = rank * (int(rank.max()) + 1) + ahead
+        ahead[inside] = rank[inside + depth] + 1
+        key = rank * (int(rank.max()) + 2) + ahead
         order = np.argsort(key)
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], (np.diff(key[order]) != 0).astype(np.int64)]))
-        rank, depth = new, depth * 2
-        ranks.append(rank)
-    return np.argsort(rank, kind="stable"), ranks
+        rank[order] = np.cumsum(np.concatenate([[1], (np.diff(key[order]) != 0).astype(np.int64)]))
+        depth *= 2
+        if depth <= depth_kept:
+            kept = rank.astype(np.int32)
+    return np.argsort(rank, kind="stable").astype(np.int32), kept
 
 
 class WaveletMatrix:
@@ -59,35 +64,31 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search over sequences of words, with suffixes grouped by their first ``length`` words."""
 
-    def __init__(self, sequences: list[np.ndarray], length: int):
-        """sequences: non-empty arrays of word hashes."""
+    def __init__(self, sequences: list[np.ndarray], length: int, marks: list[int] | None = None):
+        """sequences: non-empty arrays of word hashes; marks: a number for each, 0 without."""
         sizes = np.array([len(s) for s in sequences])
         self.words, inverse = np.unique(np.concatenate(sequences), return_inverse=True)
-        self.begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-        codes = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
+        begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        codes = np.zeros(int(sizes.sum()) + len(sizes), np.int32)
         kept = np.ones(len(codes), bool)
-        kept[self.begins + sizes] = False
+        kept[begins + sizes] = False
         codes[kept] = inverse + 1
-        self.codes, self.length = codes, length
-        self.suffixes, ranks = suffix_array(codes)
-        bwt = codes[self.suffixes - 1]
-        bwt[self.suffixes == 0] = 0
+        self.size, self.length = len(codes), length
+        half = 1 << max(0, (length - 1).bit_length() - 1)
+        suffixes, ranks = suffix_array(codes, half)
+        bwt = codes[suffixes - 1]
+        bwt[suffixes == 0] = 0
         self.matrix = WaveletMatrix(bwt, max(1, int(len(self.words)).bit_length()))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.words) + 1))])
         every = np.arange(len(self.words) + 1)
         self.origin = self.matrix.descend(every, np.zeros(len(every), np.int64))
-        self.groups = self._groups(ranks)
-
-    def _groups(self, ranks: list[np.ndarray]) -> np.ndarray:
-        """Group number of every row of the suffix array: rows share one if their first ``length`` words are equal."""
-        n, level = len(self.codes), (self.length - 1).bit_length() - 1 if self.length > 1 else 0
-        level = min(level, len(ranks) - 1)
-        half = ranks[level]
-        later = np.minimum(np.arange(n) + self.length - (1 << level), n - 1)
-        a, b = half[self.suffixes], half[later][self.suffixes]
-        new = np.ones(n, bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return np.cumsum(new) - 1
+        # the first ``length`` words are equal if the first ``half`` and the ``half`` before place ``length`` are
+        later = np.minimum(suffixes + (length - half), len(codes) - 1)
+        a, b = ranks[suffixes], ranks[later]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        self.group_first = np.concatenate([np.flatnonzero(new), [len(codes)]])
+        owner = np.repeat(np.array(marks or [0] * len(sequences), np.int64), sizes + 1)
+        self.least = np.minimum.reduceat(owner[suffixes], self.group_first[:-1])
 
     def step(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Row before which the suffixes ``code`` + (rows before ``at``) end."""
@@ -107,9 +108,8 @@ class FMIndex:
         flat = np.concatenate(sequences)
         found = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
         code = np.where(self.words[found] == flat, found + 1, -1)
-        lengths, groups = np.zeros(len(flat), np.int64), np.full(len(flat), -1)
-        group_first = np.concatenate([np.flatnonzero(np.diff(self.groups, prepend=-1)), [len(self.codes)]])
-        low, high, have = np.zeros(count, np.int64), np.full(count, len(self.codes)), np.zeros(count, np.int64)
+        lengths, groups = np.zeros(len(flat), np.int32), np.full(len(flat), -1, np.int32)
+        low, high, have = np.zeros(count, np.int64), np.full(count, self.size), np.zeros(count, np.int64)
         order = np.argsort(-sizes, kind="stable")
         for t in range(int(sizes.max())):
             lanes = order[: int(np.searchsorted(-sizes[order], -t, "left"))]
@@ -121,27 +121,31 @@ class FMIndex:
             low[lanes], high[lanes] = 0, 0
             low[go], high[go] = lo, hi
             have[lanes] += 1
-            for lane, a in zip(lanes[low[lanes] >= high[lanes]], at[low[lanes] >= high[lanes]], strict=True):
-                low[lane], high[lane], have[lane] = self._restart(code, int(a), int(min(have[lane], self.length)))
+            lost = low[lanes] >= high[lanes]
+            again = lanes[lost]
+            if len(again):
+                low[again], high[again], have[again] = self._restart(code, at[lost], np.minimum(have[again], self.length))
             full = lanes[have[lanes] >= self.length]
-            g = self.groups[low[full]]
-            low[full], high[full], have[full] = group_first[g], group_first[g + 1], self.length
+            g = np.searchsorted(self.group_first, low[full], "right") - 1
+            low[full], high[full], have[full] = self.group_first[g], self.group_first[g + 1], self.length
             lengths[at] = have[lanes]
             groups[grid_at[full] + sizes[full] - 1 - t] = g
         return [(lengths[a:b], groups[a:b]) for a, b in zip(grid_at, grid_at[1:], strict=False)]
 
-    def _restart(self, code: np.ndarray, at: int, most: int) -> tuple[int, int, int]:
-        """Longest match of fewer than ``most`` words that starts at ``at``, by bisection over its length."""
-        good, bad, best = 0, most, (0, len(self.codes))
-        while bad - good > 1:
-            m = (good + bad) // 2
-            lo, hi = np.zeros(1, np.int64), np.full(1, len(self.codes))
-            for k in range(at + m - 1, at - 1, -1):
-                if code[k] < 0:
-                    hi = lo
-                    break
-                lo, hi = self.step(code[k : k + 1], lo), self.step(code[k : k + 1], hi)
-                if lo[0] >= hi[0]:
-                    break
-            good, bad, best = (m, bad, (int(lo[0]), int(hi[0]))) if lo[0] < hi[0] else (good, m, best)
-        return best[0], best[1], good
+    def _restart(self, code: np.ndarray, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Longest matches of fewer than ``most`` words that start at ``at``, by bisection over their lengths, all together."""
+        good, bad = np.zeros(len(at), np.int64), np.where(code[at] > 0, most, 1)
+        best_low, best_high = np.zeros(len(at), np.int64), np.full(len(at), self.size)
+        while len(open_ := np.flatnonzero(bad - good > 1)):
+            m = (good[open_] + bad[open_]) // 2
+            lo, hi = np.zeros(len(open_), np.int64), np.full(len(open_), self.size)
+            for k in range(int(m.max()) - 1, -1, -1):
+                now = np.flatnonzero((k < m) & (lo < hi))
+                c = code[at[open_[now]] + k]
+                hi[now[c <= 0]] = lo[now[c <= 0]]
+                now, c = now[c > 0], c[c > 0]
+                lo[now], hi[now] = self.step(c, lo[now]), self.step(c, hi[now])
+            fits = lo < hi
+            good[open_[fits]], bad[open_[~fits]] = m[fits], m[~fits]
+            best_low[open_[fits]], best_high[open_[fits]] = lo[fits], hi[fits]
+        return best_low, best_high, good

@@ -4,10 +4,10 @@ Every window of ``window`` words has an anchor, the least hash of its short word
 n-grams (the leftmost, in ties); windows in a row with the same anchor position form
 a segment.  Equal windows have equal anchors, so a repeated window lies in segments
 whose anchor occurs in two documents.  Only those go on.  Equal segments become one,
-with the smallest doc_id.  Segments are dealt to shards by anchor, and each shard
-builds a compressed FM-index of its segments and streams them through backward
-search: the matching statistics at a position name the group of suffixes with the
-same ``window`` words, whose smallest doc_id tells if an earlier document has them.
+with the smallest doc_id.  Segments are dealt to shards by anchor.  Each shard builds an
+FM-index of its earlier documents' segments and streams those of the later ones through
+backward search: where the match reaches ``window`` words, the interval's group of
+suffixes has the smallest doc_id of the earlier documents that hold the window.
 Anchors with very many different segments would make one shard large; their windows
 are compared as rows of an ordinary aggregation.
 """
@@ -105,16 +105,24 @@ RUNS_ARROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("runs"
 
 
 def search_shard(keys: list[tuple[int, int]], first_ids: list[int], sequences: list[np.ndarray], window: int) -> pa.RecordBatch:
-    """Runs of windows of each segment that a segment with a smaller doc_id has too."""
-    index = FMIndex(sequences, window)
-    owner = np.repeat(np.arange(len(sequences)), [len(s) + 1 for s in sequences])
-    ids = np.array(first_ids, np.int64)
-    least = np.minimum.reduceat(ids[owner[index.suffixes]], np.flatnonzero(np.diff(index.groups, prepend=-1)))
-    out = []
-    for (anchor, content), own, (_, groups) in zip(keys, first_ids, index.stream(sequences), strict=True):
-        runs = _runs((groups >= 0) & (least[groups] < own))
-        if runs:
-            out.append({"anchor": anchor, "content": content, "runs": runs})
+    """Runs of windows of each segment that a segment with a smaller doc_id has too.
+
+    Segments stand by anchor and, within one, by doc_id.  The earlier half of each
+    anchor's segments is indexed, and the later half is streamed against it; then both
+    halves are halved in turn, until every pair of one anchor was on the two sides once.
+    """
+    seen = [np.zeros(len(s) - window + 1, bool) for s in sequences]
+    cuts = [0, *(i for i in range(1, len(keys)) if keys[i][0] != keys[i - 1][0]), len(keys)]
+    parts = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
+    while parts:
+        earlier = [i for a, b in parts for i in range(a, (a + b) // 2)]
+        later = [i for a, b in parts for i in range((a + b) // 2, b)]
+        index = FMIndex([sequences[i] for i in earlier], window, [first_ids[i] for i in earlier])
+        for i, (_, groups) in zip(later, index.stream([sequences[i] for i in later]), strict=True):
+            groups = groups[: len(seen[i])]
+            seen[i] |= (groups >= 0) & (index.least[groups] < first_ids[i])
+        parts = [(a, b) for x, y in parts for a, b in ((x, (x + y) // 2), ((x + y) // 2, y)) if b - a > 1]
+    out = [{"anchor": anchor, "content": content, "runs": runs} for (anchor, content), flags in zip(keys, seen, strict=True) if (runs := _runs(flags))]
     return pa.RecordBatch.from_pylist(out, RUNS_ARROW)
 
 
@@ -139,7 +147,7 @@ def indexed_runs(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
         if keys:
             yield search_shard(keys, ids, sequences, window)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "content", "first_id", "words").mapInArrow(run, RUNS)
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "first_id", "content").select("anchor", "content", "first_id", "words").mapInArrow(run, RUNS)
 
 
 def aggregated_runs(rows: DataFrame, window: int) -> DataFrame:
@@ -179,7 +187,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = ANCHOR_WORDS, sha
     spans = found.join(named, (F.col("anchor") == F.col("anchor2")) & (F.col("content").bitwiseXOR(F.lit(1)) == F.col("content2")))
     spans = spans.select("doc_key", "start", F.when(F.col("doc_id") > F.col("first_id"), whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
     placed_runs = F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (window - 1)).alias("b")))
-    return spans.select("doc_key", placed_runs.alias("spans")).groupBy("doc_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.select("doc_key", placed_runs.alias("spans")).groupBy("doc_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, keep: list[str] | None = None, **tuning: int) -> DataFrame:
@@ -187,10 +195,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep: list[str] | None = N
 
     A word is removed if a window of ``window`` words that covers it starts in a
     document with a smaller doc_id too; ``kept`` is what is left, joined by one space.
-    Windows are judged on the input.  Null texts have no words.  Rows with a null doc_id
-    keep all words and are no source; rows that repeat a doc_id are no source to each other.
-    The columns named in ``keep`` are passed on.
+    Windows are judged on the input.  Null and empty texts have no words.  Rows with a null
+    doc_id keep all words and are no source; rows that repeat a doc_id are no source to
+    each other.  The columns named in ``keep`` are passed on, but for those named like an
+    output, which give way to it.  An empty table gives an empty result.
     """
+    keep = [c for c in keep or [] if c not in ("doc_id", "text", "n_words", "n_removed", "kept")]
     others = {f"other_{n}": F.col(c) for n, c in enumerate(keep or [])}
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("doc_key"), F.struct(*[c.alias(n) for n, c in others.items()] or [F.lit(0).alias("none")]).alias("others"))
     spans = repeated_spans(keyed.select("doc_id", "text", "doc_key"), window, **tuning)

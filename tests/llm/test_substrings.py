@@ -88,3 +88,22 @@ def test_anchor_segments_cover_windows():
     words = kernels.mix(np.arange(500, dtype=np.uint64) % np.uint64(37))
     begins, count, _ = substrings.anchors(words, 50, 8)
     assert begins[0] == 0 and (begins[1:] == (begins + count)[:-1]).all() and begins[-1] + count[-1] == 451
+
+
+def test_search_decides(monkeypatch):
+    """The streamed segments are not in the index: without its answers nothing is found."""
+    rng = np.random.default_rng(1)
+    one = kernels.mix(rng.integers(0, 2**60, 30).astype(np.uint64))
+    other = np.concatenate([kernels.mix(rng.integers(0, 2**60, 9).astype(np.uint64)), one[5:25], one[:3]])
+    rows = ([(7, 1), (7, 2), (7, 3), (8, 4), (8, 5)], [3, 8, 9, 1, 1], [one, other, one[2:20], one, other])
+    got = {tuple(r.values())[:2]: r["runs"] for r in substrings.search_shard(*rows, 12).to_pylist()}
+    assert got == {(7, 2): [{"a": 9, "b": 18}], (7, 3): [{"a": 0, "b": 7}]}
+    monkeypatch.setattr(FMIndex, "step", lambda self, code, at: np.zeros_like(at))
+    assert substrings.search_shard(*rows, 12).num_rows == 0
+
+
+def test_repeated_rows_have_distinct_spans(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text), *[(2, text + " own")] * 40]
+    keyed = spark.createDataFrame([(hash(r) % 2**40, *r) for r in rows], "doc_key long, doc_id long, text string")
+    assert [len(r.spans) for r in substrings.repeated_spans(keyed, 12, 3).collect()] == [len({(x.a, x.b) for x in r.spans}) for r in substrings.repeated_spans(keyed, 12, 3).collect()]
