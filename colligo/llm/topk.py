@@ -3,9 +3,9 @@
 Every vector is cut into cells of one byte a dimension.  Phase one scans only those
 cells: each block of queries meets each block of cells, and bounds of the inner
 product tell which vectors of the block can still be among the best k.  Phase two
-keeps what the best k lower bounds over all blocks leave, and joins all of those to
-their exact vectors.  It does not read them in the order of their bounds, so it does not
-stop early: results are exact, but more vectors are read than a stop would leave.
+reads exact vectors in the order of their upper bounds, in rounds of twice as many for
+each query.  The kth exact score so far drops all whose upper bound is below it; a
+query ends when none is left, which makes its kth result certain.
 """
 
 from __future__ import annotations
@@ -112,9 +112,25 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     near = save(met.join(blocks.drop("exact", "dim"), "block").mapInArrow(scan, out), "near")
     best = Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")
     kth = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("kth"), F.count("*").alias("n"))
-    open_ = near.join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).select("query_id", "vec_id")
-    exact = open_.join(kept.select("vec_id", "v"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").where(F.size("v") == F.size("q"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))
+    open_ = near.join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).select("query_id", "vec_id", "upper")
+    left = save(open_.withColumn("place", place), "bounds")
     score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+    exact, read = None, 0
+    while not left.isEmpty():
+        reach = max(2 * k, 2 * read)
+        now = left.where(F.col("place") <= reach).join(kept.select("vec_id", "v"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        scored = save(now.where(F.size("v") == F.size("q")).select("query_id", "vec_id", score.alias("score")), "exact")
+        exact, read = (scored if exact is None else exact.union(scored)), reach
+        rest = left.where(F.col("place") > reach)
+        if rest.isEmpty():
+            break
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        certain = exact.withColumn("nth", nth).where(F.col("nth") == k).select("query_id", F.col("score").alias("least"))
+        # an upper bound that equals the kth score may still win by its smaller id
+        left = save(rest.join(certain, "query_id", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).drop("least"), "bounds")
+    if exact is None:
+        exact = spark.createDataFrame([], "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = exact.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
