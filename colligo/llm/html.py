@@ -85,6 +85,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
 def _scan(page: str, parents: list[int]) -> Iterator[tuple[str, str, bool, bool, int]]:
     """(kind, value, inside a main element, inside an aside element, innermost named block); ``parents`` gets each named block's outer one."""
     stack: list[tuple[str, bool, bool, int]] = []
+    names: Counter = Counter()  # of the stack: an end tag that ends nothing is not searched for
     at, main, aside, block = 0, False, False, 0
     while at < len(page):
         found = TOKEN.match(page, at) or LOOSE.match(page, at)
@@ -103,16 +104,15 @@ def _scan(page: str, parents: list[int]) -> Iterator[tuple[str, str, bool, bool,
             continue
         name = name.lower()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    _, main, aside, block = stack[k]
-                    del stack[k:]
-                    break
+            ended = None
+            while names[name] and ended != name:
+                ended, main, aside, block = stack.pop()
+                names[ended] -= 1
             yield "end", name, main, aside, block
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if not rest.rstrip().endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
             yield "tag", name, main, aside, block
             continue
@@ -120,6 +120,7 @@ def _scan(page: str, parents: list[int]) -> Iterator[tuple[str, str, bool, bool,
             for k in range(len(stack) - 1, -1, -1):  # these end without an end tag
                 if stack[k][0] == name:
                     _, main, aside, block = stack[k]
+                    names.subtract(s[0] for s in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] in BLOCK:
@@ -128,6 +129,7 @@ def _scan(page: str, parents: list[int]) -> Iterator[tuple[str, str, bool, bool,
         if name in VOID:
             continue
         stack.append((name, main, aside, block))
+        names[name] += 1
         main = main or name in MAIN
         aside = aside or (name in ASIDE and not (name == "header" and main))
         if "=" in rest and name not in HOLDS and has_marked_name(rest):
@@ -221,7 +223,12 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of every page; null or empty html gives empty text."""
+    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
+
+    Null or empty html gives empty text, as does a page where nothing scores above 0.
+    Repeated rows give repeated rows; null ids and urls stay null.  Other columns,
+    whatever their names, are not read.  An empty table gives an empty result.
+    """
     weights = learn_weights(pages) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
