@@ -14,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colligo.llm import kernels
 
 BUCKETS = 4096
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -127,7 +128,9 @@ def predict(docs: DataFrame, model: Model, penalty: float = 3.0) -> DataFrame:
 
     lang_pred has the largest proportion, which is the score (ties: the first name).
     Null texts, texts without a letter, and any text under a model without languages
-    are ``und`` with score 0 and an empty mixture.
+    are ``und`` with score 0 and an empty mixture.  Repeated rows get equal answers; null
+    doc_ids stay null.  Other columns, whatever their names, are not read.  An empty
+    table gives an empty result.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
