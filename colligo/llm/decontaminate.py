@@ -8,6 +8,10 @@ already pairs windows with items.  Fingerprints then meet the paired item's thro
 radius + 1 Hamming blocks, which can only drop pairs: two that differ in at most
 ``radius`` bits agree in a block, so none within the radius is dropped.  Candidates are verified by exact weighted
 similarity, the sum of least over the sum of greatest multiplicities.
+
+Blocks alone cannot search at similarity 0.8.  There fingerprints differ in 15 % of their
+bits, so a radius that most similar pairs are within needs blocks of 2.7 bits of 64 (5 of
+1024): unrelated fingerprints agree in one of them more often than not.
 """
 
 from __future__ import annotations
@@ -42,8 +46,12 @@ def simhash(hashes: Column) -> Column:
 
 
 def _numbered(hashes: Column) -> Column:
-    """Each hash with the number of equal ones before it: distinct keys whose intersection is that of the multisets."""
-    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))))
+    """Each hash with the number of equal ones before it: distinct keys whose intersection is that of the multisets.
+
+    In a sorted array that number is the distance to the first equal entry.
+    """
+    ordered = F.array_sort(hashes)
+    return F.transform(ordered, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(ordered, h).cast("int")))
 
 
 def _blocks(fingerprint: Column, radius: int) -> Column:
@@ -72,7 +80,23 @@ def item_table(benchmark: DataFrame, k: int, radius: int) -> DataFrame:
     return out.select("item_id", "m", "n", "width", "item_hashes", _numbered(F.col("item_hashes")).alias("item_keys"), "item_print", _blocks(F.col("item_print"), radius).alias("item_blocks"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5, radius: int = 23) -> DataFrame:
+def _seeds(text: DataFrame, keys: DataFrame, width: int, broadcast: bool) -> DataFrame:
+    """Columns of ``text`` and of ``keys`` for every position whose shingle of ``width`` words is an item's.
+
+    Broadcast items meet the positions where the texts lie.  Otherwise only hashes and
+    positions are shuffled, and of the texts only those that have a hit.
+    """
+    last = F.size("w") - width
+    if broadcast:
+        at = text.select("doc_id", "doc_key", "w", F.posexplode("w").alias("pos", "first_word")).where(F.col("pos") <= last)
+        at = at.withColumn("h", F.xxhash64(F.lit(width), F.col("first_word"), *[F.get("w", F.col("pos") + j) for j in range(1, width)]))
+        return at.join(F.broadcast(keys), "h")
+    at = text.select("doc_key", F.posexplode(_shingles(F.col("w"), F.lit(0), last + 1, width)).alias("pos", "h"))
+    hits = at.join(keys.withColumnRenamed("h", "h2"), F.col("h") == F.col("h2")).drop("h2")
+    return text.dropDuplicates(["doc_key"]).join(hits, "doc_key")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5, radius: int = 23, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """doc_key, doc_id, item_id, start_word, similarity: each pair's best window.
 
     ``doc_key`` is xxhash64(doc_id, text) and tells apart rows that repeat a doc_id.
@@ -85,15 +109,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: in
     """
     items = item_table(benchmark, k, radius).withColumn("item", F.xxhash64("item_id", "item_hashes")).dropDuplicates(["item"]).cache()
     sizes = items.groupBy("width").agg(F.sum("n").alias("n")).collect()  # k rows at most
-    small = sum(r["n"] for r in sizes) <= BROADCAST_SHINGLES
+    small = sum(r["n"] for r in sizes) <= broadcast_shingles
     hint = F.broadcast if small else (lambda df: df)
     text = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), words("text").alias("w"))
     keys = items.select("item", "item_id", "m", "n", "width", F.explode("item_hashes").alias("h")).distinct()
     found = None
     for width in sorted(r["width"] for r in sizes) or [k]:
-        at = text.select("doc_id", "doc_key", "w", F.posexplode("w").alias("pos", "first_word")).where(F.col("pos") + width <= F.size("w"))
-        at = at.withColumn("h", F.xxhash64(F.lit(width), F.col("first_word"), *[F.get("w", F.col("pos") + j) for j in range(1, width)]))
-        seeds = at.join(hint(keys.where(F.col("width") == width).drop("width")), "h")
+        seeds = _seeds(text, keys.where(F.col("width") == width).drop("width"), width, small)
         begin = F.greatest(F.col("pos") - F.col("n") + 1, F.lit(0))
         seeds = seeds.select("doc_id", "doc_key", "item", "item_id", "pos", "m", "n", begin.alias("begin"), F.slice("w", begin + 1, F.col("pos") - begin + F.col("m")).alias("around"))
         order = Window.partitionBy("doc_key", "item").orderBy("pos")
@@ -121,6 +143,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: in
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5, radius: int = 23) -> DataFrame:
-    """The rows of ``docs`` (all columns) without contaminated ones."""
+    """The rows of ``docs`` (all columns, whatever their names) without contaminated ones.
+
+    Repeated rows share their fate.  Null and wordless texts stay.  An empty benchmark
+    takes nothing; an empty table gives an empty result.
+    """
     hits = contaminated(docs, benchmark, percent, k, radius).select("doc_key").distinct()
-    return docs.withColumn("doc_key", F.xxhash64("doc_id", "text")).join(hits, "doc_key", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("document"), F.xxhash64("doc_id", "text").alias("doc_key"))
+    return rows.join(hits, "doc_key", "left_anti").select("document.*")
