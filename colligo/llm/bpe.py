@@ -122,7 +122,11 @@ def word_table(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> pa.Table:
 
 
 def encode(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
-    """doc_id, ids of every row; a null or empty text has no ids."""
+    """doc_id, ids of every row of ``docs`` (doc_id, text); a null or empty text has no ids.
+
+    Repeated rows are encoded alike; null doc_ids stay null.  Other columns, whatever their
+    names, are not read.  An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(word_table(docs, path, most))
     kind = dict(docs.dtypes)["doc_id"]
@@ -150,7 +154,11 @@ def encode(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The columns of ``encoded`` and decoded: pieces joined by one space; ids without a piece are left out."""
+    """The columns of ``encoded`` and decoded: pieces joined by one space; ids without a piece are left out.
+
+    Null ids give an empty text.  A column of ``encoded`` named decoded gives way.
+    """
+    encoded = encoded.drop("decoded")
     columns = encoded.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string"
     table = encoded.sparkSession.sparkContext.broadcast(pa.array(codec(path).pieces, pa.string()))  # as long as the vocabulary

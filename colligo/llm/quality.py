@@ -35,7 +35,7 @@ def text_features(column: pa.Array) -> np.ndarray:
     """features[row]: shares and sizes of the whole text; an empty or null text is all zeros."""
     data, offs = kernels.utf8(column)
     out = np.zeros((len(offs) - 1, len(FEATURES)))
-    for a, b in kernels.chunks(offs):
+    for a, b in kernels.chunks(offs, 1 << 19):
         part, at = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         starts, ends, first = kernels.spans(part, at)
         hashes = kernels.hash_words(kernels.LOWER[part], starts, ends)
@@ -193,7 +193,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int = SAM
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` that the caller selected, with score and predicted; null texts score as empty ones."""
+    """The columns of ``docs`` (text among them) with score and predicted, for every row.
+
+    Null texts score as empty ones.  Columns of ``docs`` named score or predicted give way
+    to the new ones.  Repeated rows score alike.  An empty table gives an empty result.
+    """
+    docs = docs.drop("score", "predicted")
     columns = docs.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double, predicted int"
 
