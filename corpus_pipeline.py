@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colligo.llm import bpe, decontaminate, langid, minhash, quality, substrings
-from colligo.llm.common import read_table, scratch_path
+from colligo.llm.common import read_table, save, scratch_path
 from colligo.llm.queries import tokenizer_path
 
 #: Documents at or above this score are kept.
@@ -21,38 +21,56 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality model rejects; it learns from labels outside the fold."""
+    """Drop documents that the quality model rejects; it learns from labels outside the fold.
+
+    Null and empty texts score as empty ones.  Repeated rows share their fate.  Without
+    labels, the model's constant score decides for all.  Columns of any name are kept.
+    """
     labels = read_table(spark, sf_dir, "labels").where(langid.remainder(F.col("doc_id"), 4) != 2)
     model = quality.boost(*quality.labelled_features(docs, labels))
-    scored = quality.score(docs.select(*docs.columns), model, QUALITY)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.score(docs.select(F.struct("*").alias("document"), "text"), model, QUALITY)
+    return scored.where("predicted = 1").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    groups = minhash.near_duplicates(docs, percent=SIMILAR)
-    drop = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document with the smallest id of each group of near copies, and one of rows that repeat an id and a text.
+
+    Each row is judged by its own text, also where rows share an id.  Null and wordless
+    texts are no copies of others.  Rows without an id stay.  Columns of any name are kept.
+    """
+    groups = minhash.near_duplicates(docs, percent=SIMILAR).groupBy("doc_id", "text_key").agg(F.min("kept").alias("kept"), F.count("*").alias("copies"))
+    told = save(groups.where("doc_id is not null and (not kept or copies > 1)").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "kept"), "verdicts")
+    rows = docs.select(F.struct("*").alias("document"), "doc_id", F.xxhash64("text").alias("text_key"))
+    named = lambda df: (F.col("doc_id") == df["id"]) & (F.col("text_key") == df["key"])
+    drop, repeated = told.where("not kept"), told.where("kept")
+    out = rows.join(drop, named(drop), "left_anti")
+    if not repeated.isEmpty():
+        one = out.join(repeated, named(repeated), "left_semi").dropDuplicates(["doc_id", "text_key"])
+        out = out.join(repeated, named(repeated), "left_anti").union(one)
+    return out.select("document.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove words that long passages of earlier documents already hold; documents left without words go.
 
-    A text that keeps all words is unchanged; a changed text's n_chars is its own.
+    A text that keeps all words is unchanged, null, empty and wordless ones among them; a
+    changed text's n_chars, if there is such a column, is its own.  Rows without an id, or
+    that repeat one, are as the operator defines.  Columns of any name are kept.
     """
-    columns = docs.columns
-    done = substrings.remove_repeats(docs, WINDOW, keep=[c for c in columns if c not in ("doc_id", "text")]).where("n_words > n_removed or n_words = 0")
+    rows = docs.select("doc_id", "text", F.struct("*").alias("document"))
+    done = substrings.remove_repeats(rows, WINDOW, keep=["document"]).where("n_words > n_removed or n_words = 0")
     changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return done.select(*[F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in columns])
+    fields = [F.col(f"document.`{c}`").alias(c) for c in docs.columns]
+    return done.select(*[F.when(F.col("n_removed") > 0, changed[c]).otherwise(f).alias(c) if c in changed else f for c, f in zip(docs.columns, fields, strict=True)])
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item; null, wordless and repeated rows are as the operator defines."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), SIMILAR)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of what is left; the ids decode to ``decoded``."""
+    """doc_id and token ids of what is left, row by row; the ids decode to ``decoded``. Null and empty texts have no ids."""
     path = tokenizer_path()
     return bpe.decode(bpe.encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
