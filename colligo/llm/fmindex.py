@@ -94,13 +94,13 @@ class FMIndex:
         """Row before which the suffixes ``code`` + (rows before ``at``) end."""
         return self.first[code] + self.matrix.descend(code, at) - self.origin[code]
 
-    def stream(self, sequences: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each sequence: (match length, capped at ``length``; group or -1) at every position.
+    def stream(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """For each sequence: the group of the suffixes that match ``length`` words from each position, or -1.
 
         All sequences go from right to left together.  An interval of rows is extended
         by one word; beyond ``length`` words it widens to its group again, so the match
-        keeps that length.  Where no row remains the match is shortened from the right
-        by starting over from the longest suffix that still occurs.
+        keeps that length.  Where no row remains, the sequence leaves this pass: the words
+        that failed are in no match, and windows before their end are searched one by one.
         """
         count = len(sequences)
         sizes = np.array([len(s) for s in sequences])
@@ -108,44 +108,39 @@ class FMIndex:
         flat = np.concatenate(sequences)
         found = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
         code = np.where(self.words[found] == flat, found + 1, -1)
-        lengths, groups = np.zeros(len(flat), np.int32), np.full(len(flat), -1, np.int32)
+        groups = np.full(len(flat), -1, np.int32)
         low, high, have = np.zeros(count, np.int64), np.full(count, self.size), np.zeros(count, np.int64)
+        alive, pending = np.ones(count, bool), []
         order = np.argsort(-sizes, kind="stable")
         for t in range(int(sizes.max())):
             lanes = order[: int(np.searchsorted(-sizes[order], -t, "left"))]
+            lanes = lanes[alive[lanes]]
             at = grid_at[lanes] + sizes[lanes] - 1 - t
-            c = code[at]
-            known = c > 0
-            go = lanes[known]
-            lo, hi = self.step(c[known], low[go]), self.step(c[known], high[go])
-            low[lanes], high[lanes] = 0, 0
-            low[go], high[go] = lo, hi
+            lo, hi, known = low[lanes], high[lanes], code[at] > 0
+            lo[known], hi[known] = self.step(code[at[known]], lo[known]), self.step(code[at[known]], hi[known])
+            lost = ~known | (lo >= hi)
+            alive[lanes[lost]] = False
+            pending += [np.arange(grid_at[i], min(a, a + have[i] - self.length) + 1) for i, a in zip(lanes[lost], at[lost], strict=True)]
+            lanes, at = lanes[~lost], at[~lost]
+            low[lanes], high[lanes] = lo[~lost], hi[~lost]
             have[lanes] += 1
-            lost = low[lanes] >= high[lanes]
-            again = lanes[lost]
-            if len(again):
-                low[again], high[again], have[again] = self._restart(code, at[lost], np.minimum(have[again], self.length))
-            full = lanes[have[lanes] >= self.length]
-            g = np.searchsorted(self.group_first, low[full], "right") - 1
-            low[full], high[full], have[full] = self.group_first[g], self.group_first[g + 1], self.length
-            lengths[at] = have[lanes]
-            groups[grid_at[full] + sizes[full] - 1 - t] = g
-        return [(lengths[a:b], groups[a:b]) for a, b in zip(grid_at, grid_at[1:], strict=False)]
-
-    def _restart(self, code: np.ndarray, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Longest matches of fewer than ``most`` words that start at ``at``, by bisection over their lengths, all together."""
-        good, bad = np.zeros(len(at), np.int64), np.where(code[at] > 0, most, 1)
-        best_low, best_high = np.zeros(len(at), np.int64), np.full(len(at), self.size)
-        while len(open_ := np.flatnonzero(bad - good > 1)):
-            m = (good[open_] + bad[open_]) // 2
-            lo, hi = np.zeros(len(open_), np.int64), np.full(len(open_), self.size)
-            for k in range(int(m.max()) - 1, -1, -1):
-                now = np.flatnonzero((k < m) & (lo < hi))
-                c = code[at[open_[now]] + k]
-                hi[now[c <= 0]] = lo[now[c <= 0]]
-                now, c = now[c > 0], c[c > 0]
-                lo[now], hi[now] = self.step(c, lo[now]), self.step(c, hi[now])
-            fits = lo < hi
-            good[open_[fits]], bad[open_[~fits]] = m[fits], m[~fits]
-            best_low[open_[fits]], best_high[open_[fits]] = lo[fits], hi[fits]
-        return best_low, best_high, good
+            full = have[lanes] >= self.length
+            g, go = np.searchsorted(self.group_first, low[lanes[full]], "right") - 1, lanes[full]
+            low[go], high[go], have[go] = self.group_first[g], self.group_first[g + 1], self.length
+            groups[at[full]] = g
+        starts = np.concatenate(pending) if pending else np.zeros(0, np.int64)
+        for a in range(0, len(starts), 1 << 18):
+            self._windows(code, starts[a : a + (1 << 18)], groups)
+        return [groups[a:b] for a, b in zip(grid_at, grid_at[1:], strict=False)]
+
+    def _windows(self, code: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> None:
+        """Backward search of the windows that begin at ``starts``, all together; their groups go into ``groups``."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size)
+        for j in range(self.length - 1, -1, -1):
+            c = code[starts + j]
+            there = c > 0
+            starts, low, high, c = starts[there], low[there], high[there], c[there]
+            low, high = self.step(c, low), self.step(c, high)
+            there = low < high
+            starts, low, high = starts[there], low[there], high[there]
+        groups[starts] = np.searchsorted(self.group_first, low, "right") - 1

@@ -104,29 +104,44 @@ RUNS = "anchor long, content long, runs array<struct<a:int,b:int>>"
 RUNS_ARROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
 
-def search_shard(keys: list[tuple[int, int]], first_ids: list[int], sequences: list[np.ndarray], window: int) -> pa.RecordBatch:
+def _regions(sequences: list[np.ndarray], grams: np.ndarray, window: int, k: int) -> list[tuple[int, int, np.ndarray]]:
+    """(sequence, first window, words) of the runs of windows whose k-word n-grams are all among ``grams``."""
+    flat, sizes = np.concatenate(sequences), np.array([len(s) for s in sequences])
+    owner, begins = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    count = np.concatenate([[0], np.cumsum(np.isin(kernels.ngrams(flat, k, 23), grams))])
+    width, n = window - k + 1, len(flat) - window + 1
+    whole = (count[width : width + n] - count[:n] == width) & (owner[:n] == owner[window - 1 :])
+    return [(int(owner[r["a"]]), int(r["a"] - begins[owner[r["a"]]]), flat[r["a"] : r["b"] + window - 1]) for r in _runs(whole)]
+
+
+def search_shard(keys: list[tuple[int, int]], first_ids: list[int], sequences: list[np.ndarray], window: int, k: int = ANCHOR_WORDS) -> pa.RecordBatch:
     """Runs of windows of each segment that a segment with a smaller doc_id has too.
 
     Segments stand by anchor and, within one, by doc_id.  The earlier half of each
     anchor's segments is indexed, and the later half is streamed against it; then both
     halves are halved in turn, until every pair of one anchor was on the two sides once.
+    Where a short n-gram is on one side only, no window can be on both: such parts are
+    neither indexed nor streamed.
     """
     seen = [np.zeros(len(s) - window + 1, bool) for s in sequences]
     cuts = [0, *(i for i in range(1, len(keys)) if keys[i][0] != keys[i - 1][0]), len(keys)]
     parts = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
     while parts:
-        earlier = [i for a, b in parts for i in range(a, (a + b) // 2)]
-        later = [i for a, b in parts for i in range((a + b) // 2, b)]
-        index = FMIndex([sequences[i] for i in earlier], window, [first_ids[i] for i in earlier])
-        for i, (_, groups) in zip(later, index.stream([sequences[i] for i in later]), strict=True):
-            groups = groups[: len(seen[i])]
-            seen[i] |= (groups >= 0) & (index.least[groups] < first_ids[i])
+        sides = [[i for a, b in parts for i in range(a, (a + b) // 2)], [i for a, b in parts for i in range((a + b) // 2, b)]]
+        texts = [[sequences[i] for i in side] for side in sides]
+        grams = [np.unique(kernels.ngrams(np.concatenate(t), k, 23)) for t in texts]
+        earlier, later = (_regions(t, g, window, k) for t, g in zip(texts, grams[::-1], strict=True))
+        if earlier and later:
+            index = FMIndex([w for _, _, w in earlier], window, [first_ids[sides[0][i]] for i, _, _ in earlier])
+            for (i, at, words), groups in zip(later, index.stream([w for _, _, w in later]), strict=True):
+                groups = groups[: len(words) - window + 1]
+                seen[sides[1][i]][at : at + len(groups)] |= (groups >= 0) & (index.least[groups] < first_ids[sides[1][i]])
         parts = [(a, b) for x, y in parts for a, b in ((x, (x + y) // 2), ((x + y) // 2, y)) if b - a > 1]
     out = [{"anchor": anchor, "content": content, "runs": runs} for (anchor, content), flags in zip(keys, seen, strict=True) if (runs := _runs(flags))]
     return pa.RecordBatch.from_pylist(out, RUNS_ARROW)
 
 
-def indexed_runs(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
+def indexed_runs(rows: DataFrame, window: int, k: int, shard_words: int) -> DataFrame:
     """Runs of repeated windows from an index per shard; rows of an anchor are in one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +152,7 @@ def indexed_runs(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
         for batch in batches:
             for a, c, i, w in zip(*(batch[n].to_pylist() for n in ("anchor", "content", "first_id", "words")), strict=True):
                 if a != anchor and held >= shard_words:
-                    yield search_shard(keys, ids, sequences, window)
+                    yield search_shard(keys, ids, sequences, window, k)
                     keys, ids, sequences, held = [], [], [], 0
                 anchor = a
                 keys.append((a, c))
@@ -145,7 +160,7 @@ def indexed_runs(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
                 sequences.append(np.frombuffer(w, U64))
                 held += len(sequences[-1])
         if keys:
-            yield search_shard(keys, ids, sequences, window)
+            yield search_shard(keys, ids, sequences, window, k)
 
     return rows.repartition("anchor").sortWithinPartitions("anchor", "first_id", "content").select("anchor", "content", "first_id", "words").mapInArrow(run, RUNS)
 
@@ -181,7 +196,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = ANCHOR_WORDS, sha
     placed = kinds.join(hot.where("kinds > 1"), F.col("anchor").bitwiseXOR(F.lit(1)) == F.col("anchor2"))
     places = placed.groupBy("at.doc_key").agg(F.collect_list(F.struct("at.start", "at.windows", "anchor", "content", "first_id", "hot")).alias("places"))
     rows = save(segment_words(docs, places, window), "words")
-    runs = indexed_runs(rows.where("not hot"), window, shard_words).union(aggregated_runs(rows.where("hot"), window))
+    runs = indexed_runs(rows.where("not hot"), window, k, shard_words).union(aggregated_runs(rows.where("hot"), window))
     named = kinds.join(runs, ["anchor", "content"], "left").select(F.col("anchor").alias("anchor2"), F.col("content").bitwiseXOR(F.lit(1)).alias("content2"), "first_id", "runs")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
     spans = found.join(named, (F.col("anchor") == F.col("anchor2")) & (F.col("content").bitwiseXOR(F.lit(1)) == F.col("content2")))

@@ -74,12 +74,10 @@ def test_index_matching_statistics():
     index = FMIndex(texts, 6)
     inside = {tuple(t[a : a + m]) for t in texts for m in range(1, 7) for a in range(len(t) - m + 1)}
     groups: dict = {}
-    for q, (lengths, group) in zip(asked, index.stream(asked), strict=True):
+    for q, group in zip(asked, index.stream(asked), strict=True):
         for a in range(len(q)):
-            best = max((m for m in range(1, 7) if a + m <= len(q) and tuple(q[a : a + m]) in inside), default=0)
-            assert lengths[a] == best
-            assert (group[a] >= 0) == (best == 6)
-            if best == 6:
+            assert (group[a] >= 0) == (tuple(q[a : a + 6]) in inside and a + 6 <= len(q))
+            if group[a] >= 0:
                 assert groups.setdefault(tuple(q[a : a + 6]), group[a]) == group[a]
     assert len(set(groups.values())) == len(groups)
 
@@ -96,10 +94,10 @@ def test_search_decides(monkeypatch):
     one = kernels.mix(rng.integers(0, 2**60, 30).astype(np.uint64))
     other = np.concatenate([kernels.mix(rng.integers(0, 2**60, 9).astype(np.uint64)), one[5:25], one[:3]])
     rows = ([(7, 1), (7, 2), (7, 3), (8, 4), (8, 5)], [3, 8, 9, 1, 1], [one, other, one[2:20], one, other])
-    got = {tuple(r.values())[:2]: r["runs"] for r in substrings.search_shard(*rows, 12).to_pylist()}
+    got = {tuple(r.values())[:2]: r["runs"] for r in substrings.search_shard(*rows, 12, 3).to_pylist()}
     assert got == {(7, 2): [{"a": 9, "b": 18}], (7, 3): [{"a": 0, "b": 7}]}
     monkeypatch.setattr(FMIndex, "step", lambda self, code, at: np.zeros_like(at))
-    assert substrings.search_shard(*rows, 12).num_rows == 0
+    assert substrings.search_shard(*rows, 12, 3).num_rows == 0
 
 
 def test_repeated_rows_have_distinct_spans(spark):
