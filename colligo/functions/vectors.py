@@ -162,9 +162,27 @@ def residue_sign(v: Column, n: int) -> Column:
 # additive shares and hashing
 
 
+#: The multiplier of both mixing steps, below 2^27 so that products stay below 2^59, and the step between seeds.
+MIX, SEED_STEP = 73244475, 40503
+
+
+def seed_mask(seed: int) -> int:
+    """32 mixed bits of a seed."""
+    x = (seed * SEED_STEP + 1) % 2**32
+    for _ in range(3):
+        x = (x ^ (x >> 16)) * MIX % 2**32
+    return x ^ (x >> 16)
+
+
 def hash32(key: Column, seed: int = 51) -> Column:
-    """A deterministic order of keys that any engine can compute: (key * 2654435761 + seed) mod 2^32."""
-    return F.pmod(F.pmod(key.cast("long"), F.lit(2**31)) * F.lit(2654435761) + F.lit(seed), F.lit(2**32))
+    """32 mixed bits of (key, seed) that any engine can compute; orders under two seeds are independent.
+
+    x = (key mod 2^32) xor mask(seed), then twice x = (x xor x / 2^16) * MIX mod 2^32, and a last xor.
+    """
+    x = F.pmod(key.cast("long"), F.lit(2**32)).bitwiseXOR(F.lit(seed_mask(seed)).cast("long"))
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MIX).cast("long")).bitwiseAND(F.lit(2**32 - 1))
+    return x.bitwiseXOR(F.shiftright(x, 16))
 
 
 def split_shares(value: Column, key: Column, parties: int, seed: int = 51) -> Column:

@@ -76,8 +76,11 @@ def mini_batch(df: DataFrame, key: str, size: int, iteration: int, seed: int = 5
 
 def tree_samples(df: DataFrame, key: str, trees: int, rate: float, seed: int = 51) -> DataFrame:
     """``df`` once for each tree with tree_id, each with exactly floor(rate * rows) rows, without replacement."""
-    n = int(df.count() * rate + 1e-9)
-    parts = [df.where(first_in_hash_order(df, key, n, seed + 104729 * (t + 1))).withColumn("tree_id", F.lit(t)) for t in range(trees)]
+    keys = df.select(key).persist()  # every tree counts hashes of the keys alone
+    n = int(keys.count() * rate + 1e-9)
+    limits = [first_in_hash_order(keys, key, n, seed + 104729 * (t + 1)) for t in range(trees)]
+    keys.unpersist()
+    parts = [df.where(limit).withColumn("tree_id", F.lit(t)) for t, limit in enumerate(limits)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -97,7 +97,7 @@ def _bucket(thresholds: Column, feature: int) -> Column:
 
 def _weighted_impurity(prefix: str, stats: Sequence[str], classes: int) -> Column:
     """n x impurity from statistics: n - sum c^2 / n for class counts, q - s^2 / n for moments."""
-    n, *rest = (F.col(f"{prefix}{s}") for s in stats)
+    n, *rest = (F.col(f"{prefix}{s}") for s in stats if s != "rows")
     if classes:
         squares = rest[0] * rest[0]
         for c in rest[1:]:
@@ -116,12 +116,13 @@ def grow(
     impurity wins, ties to the lower feature and threshold.  A leaf is the most
     frequent class (ties: the lowest) or the mean.
     """
-    df = df if "tree_id" in df.columns else df.withColumn("tree_id", F.lit(0))
+    df = (df if "tree_id" in df.columns else df.withColumn("tree_id", F.lit(0))).persist()
     if splits is None:
         splits = candidate_lists(df, max_bins)
     model = Trees(classes=classes)
     w = F.col(weight) if weight else F.lit(1.0)
     stats = {"n": w} | ({f"c{k}": F.when(F.col(label) == k, w).otherwise(0.0) for k in range(classes)} if classes else {"s": w * F.col(label), "q": w * F.col(label) * F.col(label)})
+    stats["rows"] = F.lit(1)
     names = list(stats)
     limits = F.create_map(*[e for f, ts in splits.items() for e in (F.lit(f), F.array(*[F.lit(float(t)) for t in ts]))])
     features = sorted(splits)
@@ -129,25 +130,28 @@ def grow(
     for depth in range(max_depth + 1):
         at = df.withColumn("node", node).where("node >= 0") if depth else df.withColumn("node", node)
         at = at.select("tree_id", "node", "x", *[v.cast("double").alias(k) for k, v in stats.items()])
-        whole = {(r["tree_id"], r["node"]): r for r in at.groupBy("tree_id", "node").agg(F.count("*").alias("rows"), *[F.sum(k).alias(k) for k in names]).withColumn("wi", _weighted_impurity("", names, classes)).collect()}
-        best = {}
+        totals = F.struct(*[F.col(f"t_{k}").alias(k) for k in names]).alias("whole")
         if depth < max_depth and features:
+            # one job: the nodes' own totals are those of the first feature's cells
             entry = F.array(*[F.struct(F.lit(f).alias("feature"), _bucket(limits[F.lit(f)], f).alias("bucket")) for f in features])
             cells = at.select("tree_id", "node", *names, F.explode(entry).alias("e")).groupBy("tree_id", "node", "e.feature", "e.bucket").agg(*[F.sum(k).alias(k) for k in names])
             group = Window.partitionBy("tree_id", "node", "feature")
             upto = group.orderBy("bucket")
             cells = cells.withColumns({f"l_{k}": F.sum(k).over(upto) for k in names} | {f"t_{k}": F.sum(k).over(group) for k in names}).withColumns({f"r_{k}": F.col(f"t_{k}") - F.col(f"l_{k}") for k in names})
             gain = (_weighted_impurity("t_", names, classes) - _weighted_impurity("l_", names, classes) - _weighted_impurity("r_", names, classes)) / F.col("t_n")
-            real = cells.where(F.col("bucket") < F.size(limits[F.col("feature")])).where((F.col("l_n") >= min_samples_leaf) & (F.col("r_n") >= min_samples_leaf) & (F.col("r_n") > 0))
+            real = (F.col("bucket") < F.size(limits[F.col("feature")])) & (F.col("l_n") >= min_samples_leaf) & (F.col("r_n") >= min_samples_leaf) & (F.col("r_n") > 0)
             # rounding makes equal gains equal whatever the order of summation was
-            pick = real.groupBy("tree_id", "node").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bucket")).alias("b"))).alias("p"))
-            best = {(r["tree_id"], r["node"]): r["p"] for r in pick.collect()}
+            best = F.max(F.when(real, F.struct(F.round(gain, 9).alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bucket")).alias("b")))).alias("p")
+            found = cells.groupBy("tree_id", "node").agg(F.max(F.when(F.col("feature") == features[0], totals)).alias("whole"), best)
+        else:
+            found = at.groupBy("tree_id", "node").agg(*[F.sum(k).alias(f"t_{k}") for k in names]).select("tree_id", "node", totals, F.lit(None).alias("p"))
         opened = False
-        for key, r in whole.items():
+        for row in found.collect():  # a row for each open node
+            key, r, split = (row["tree_id"], row["node"]), row["whole"], row["p"]
             n = r["n"]
+            heap = (n - sum(r[f"c{k}"] ** 2 for k in range(classes)) / n if classes else r["q"] - r["s"] ** 2 / n) if n else 0.0
             value = max(range(classes), key=lambda k: (r[f"c{k}"], -k)) if classes else (r["s"] / n if n else 0.0)
-            item = Node(key[0], key[1], depth, True, None, None, float(value), (r["wi"] or 0.0) / n if n else 0.0, r["rows"])
-            split = best.get(key)
+            item = Node(key[0], key[1], depth, True, None, None, float(value), heap / n if n else 0.0, int(r["rows"]))
             if split and n >= min_samples_split and split["gain"] > max(0.0, min_impurity_decrease) and item.impurity > min_impurity_split:
                 item.is_leaf, item.feature, item.gain = False, -split["f"], split["gain"]
                 item.threshold = splits[item.feature][-split["b"]]
@@ -156,6 +160,7 @@ def grow(
         if not opened:
             break
         node = _open_node(model)
+    df.unpersist()
     return model
 
 

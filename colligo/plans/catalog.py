@@ -77,11 +77,14 @@ def lines_long(s: SparkSession, d: str) -> DataFrame:
 
 
 LONG = "lo as (select l_extendedprice as y, l_quantity as w, unnest([0, 1, 2]) as feature, unnest([l_quantity, l_discount, l_tax]) as v from lineitem)"
-HASH = "((({k}) % 2147483648) * 2654435761 + {s}) % 4294967296"
 
 
 def _hash(key: str, seed: int = 51) -> str:
-    return HASH.format(k=key, s=seed)
+    """hash32 in SQL."""
+    x = f"xor((({key})::bigint % 4294967296), {V.seed_mask(seed)}::bigint)"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * {V.MIX}) & 4294967295)"
+    return f"xor({x}, {x} >> 16)"
 
 
 def r(c, digits: int = 6):

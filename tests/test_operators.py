@@ -158,3 +158,15 @@ def test_stream_scoring(spark, tmp_path):
     q = scoring.windowed_rate(scored, "at").writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("rates").agg(F.sum("requests")).first()[0] == 10
+
+
+def test_samples_under_two_seeds_are_independent(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "row_id")
+    batches = [{r.row_id for r in tables.mini_batch(rows, "row_id", 2000, t).collect()} for t in range(3)]
+    assert all(len(b) == 2000 for b in batches)
+    assert all(abs(len(a & b) - 200) < 60 for i, a in enumerate(batches) for b in batches[:i])
+    trees = {}
+    for r in tables.tree_samples(rows, "row_id", 3, 0.5).collect():
+        trees.setdefault(r.tree_id, set()).add(r.row_id)
+    assert all(len(t) == 10_000 for t in trees.values())
+    assert all(abs(len(trees[i] & trees[j]) - 5000) < 250 for i in trees for j in trees if j < i)
