@@ -33,6 +33,8 @@ from colligo.llm.graph import components
 U64 = kernels.U64
 #: 40 bands of 6: two sets of similarity 0.85 share no band with a chance of 6e-9, of 0.8 with one of 5e-6.
 BANDS, ROWS = 40, 6
+#: Bits of the filter that texts pass before they are shuffled to the classes that need them: 2^19 rows of 64 at most are broadcast, at any size of input.
+FILTER_BITS = 1 << 25
 
 
 def sketch(items: np.ndarray, bins: int, seed: int = 11) -> np.ndarray:
@@ -91,6 +93,16 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return rows_of.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id binary, bands array<long>")
 
 
+def _may_have(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key is not a ``rep`` of ``wanted``; never without one that is."""
+    word = lambda c: F.shiftright(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)), 6)
+    # the hash's low six bits name one of the word's 64 bits
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    bits = wanted.groupBy(word(F.col("rep")).alias("word")).agg(F.bit_or(bit(F.col("rep"))).alias("bits"))
+    near = rows.join(F.broadcast(bits), word(key) == F.col("word"))
+    return near.where(F.col("bits").bitwiseAND(bit(key)) != 0).select(*[rows[c] for c in rows.columns])
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(rep, items) for the classes in ``wanted`` (rep, set_id), from their representatives' texts."""
 
@@ -103,7 +115,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     items.append(one.view(np.int64))
             yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(keep, pa.int64())), _lists(items)], names=["rep", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("rep"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = _may_have(texts, F.col("doc_id"), wanted).join(wanted, F.col("doc_id") == F.col("rep"))
     return texts.select("doc_id", "text", "set_id").mapInArrow(run, "rep long, items array<long>")
 
 
@@ -218,7 +231,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     tried = save(tried, "tried")
     # only members of bands that may hold a link need their sets
     wanted = tried.select(F.col("a").alias("w")).union(tried.select("b")).union(buckets.where("size > 2").select("rep")).distinct()
-    sets = full_sets(docs, fame.join(wanted, F.col("rep") == F.col("w"), "left_semi").select("rep", "set_id"), k)
+    wanted = save(fame.join(wanted, F.col("rep") == F.col("w"), "left_semi").select("rep", "set_id"), "wanted")
+    sets = full_sets(docs, wanted, k)
     if not usable.groupBy("doc_id", "set_id").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates()  # rows that repeat an id and a set
     sets = save(sets, "sets")
