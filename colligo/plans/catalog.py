@@ -234,6 +234,10 @@ def mode_median_mean(s, d):
 
 
 RULE = f"ru as (select row_id, y, amount, case when x0 > 0.9 then 1.0 else 0.0 end as p, x0 * 1.5 as guess from bk)"
+#: The reports of ru (y, p) and of ru (amount, guess).
+CELLS = """c as (select count(*) filter (where p = 1 and y = 1) as tp, count(*) filter (where p = 1 and y = 0) as fp, count(*) filter (where p = 0 and y = 1) as fn, count(*) filter (where p = 0 and y = 0) as tn from ru) select tp, fp, fn, tn
+, round((tp + tn)::double / nullif(tp + fp + fn + tn, 0), 6) as accuracy, round(tp::double / nullif(tp + fn, 0), 6) as sensitivity, round(tn::double / nullif(tn + fp, 0), 6) as specificity, round((tp::double / nullif(tp + fn, 0) + tn::double / nullif(tn + fp, 0)) / 2, 6) as balanced_accuracy, round(tp::double / nullif(tp + fp, 0), 6) as "precision", round(tn::double / nullif(tn + fn, 0), 6) as npv, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1 from c"""
+ERRORS = """select round(avg(pow(guess - amount, 2)), 5) as mse, round(sqrt(avg(pow(guess - amount, 2))), 5) as rmse, round(avg(pow(ln(1 + guess) - ln(1 + amount), 2)), 5) as msle, round(sqrt(avg(pow(ln(1 + guess) - ln(1 + amount), 2))), 5) as rmsle, round(median(abs(guess - amount)), 5) as median_abs_error, round(avg(abs(guess - amount)), 5) as mean_abs_error, round(max(abs(guess - amount)), 5) as max_error from ru"""
 
 
 def ruled(s, d):
@@ -241,7 +245,7 @@ def ruled(s, d):
     return b.select("row_id", "y", "amount", F.when(F.get("x", F.lit(0)) > 0.9, 1.0).otherwise(0.0).alias("prediction"), (F.get("x", F.lit(0)) * 1.5).alias("guess"), F.get("x", F.lit(1)).alias("w"))
 
 
-@query(f"with {BASKETS}, {RULE}, c as (select count(*) filter (where p = 1 and y = 1) as tp, count(*) filter (where p = 1 and y = 0) as fp, count(*) filter (where p = 0 and y = 1) as fn, count(*) filter (where p = 0 and y = 0) as tn from ru) select tp, fp, fn, tn, round((tp + tn)::double / nullif(tp + fp + fn + tn, 0), 6) as accuracy, round(tp::double / nullif(tp + fn, 0), 6) as sensitivity, round(tn::double / nullif(tn + fp, 0), 6) as specificity, round((tp::double / nullif(tp + fn, 0) + tn::double / nullif(tn + fp, 0)) / 2, 6) as balanced_accuracy, round(tp::double / nullif(tp + fp, 0), 6) as \"precision\", round(tn::double / nullif(tn + fn, 0), 6) as npv, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1 from c")
+@query(f"with {BASKETS}, {RULE}, {CELLS}")
 def classification_report(s, d):
     """AGG-18, MET-1/8/9: confusion cells and rates."""
     out = metrics.classification_report(ruled(s, d))
@@ -254,7 +258,7 @@ def confusion_matrix(s, d):
     return metrics.confusion_matrix(ruled(s, d))
 
 
-@query(f"with {BASKETS}, {RULE} select round(avg(pow(guess - amount, 2)), 5) as mse, round(sqrt(avg(pow(guess - amount, 2))), 5) as rmse, round(avg(pow(ln(1 + guess) - ln(1 + amount), 2)), 5) as msle, round(sqrt(avg(pow(ln(1 + guess) - ln(1 + amount), 2))), 5) as rmsle, round(median(abs(guess - amount)), 5) as median_abs_error, round(avg(abs(guess - amount)), 5) as mean_abs_error, round(max(abs(guess - amount)), 5) as max_error from ru")
+@query(f"with {BASKETS}, {RULE} {ERRORS}")
 def regression_report(s, d):
     """AGG-19, MET-2/10, MTH-4/5/6."""
     out = metrics.regression_report(ruled(s, d), "guess", "amount")
@@ -435,16 +439,17 @@ def label_helpers(s, d):
 # training -------------------------------------------------------------------------------------------------
 
 
-def _steps(source: str, features: int, kind: str, steps: int, rate: float, penalty: float = 0.0, weight: str = "1.0", label: str = "y") -> str:
+def _steps(source: str, features: int, kind: str, steps: int, rate: float, penalty: float = 0.0, weight: str = "1.0", label: str = "y", l1: float = 0.0) -> str:
     """Unrolled gradient steps in SQL: one CTE a step."""
     names = [f"w{j}" for j in range(features + 1)]
     inputs = ["1.0"] + [f"x{j}" for j in range(features)]
+    extra = lambda w: f"{l1} * sign({w})" if l1 else f"{2 * penalty} * {w}"
     ctes = ["s0 as (select " + ", ".join(f"0.0::double as {w}" for w in names) + ")"]
     for t in range(steps):
         z = " + ".join(f"{w} * {i}" for w, i in zip(names, inputs, strict=True))
         p = f"1 / (1 + exp(-({z})))" if kind == "logistic" else z
         c = 1.0 if kind == "logistic" else 2.0
-        sums = ", ".join(f"any_value({w}) - {rate} * ({c} * sum({weight} * (({p}) - {label}) * {i}) / count(*) + {2 * penalty} * any_value({w})) as {w}" for w, i in zip(names, inputs, strict=True))
+        sums = ", ".join(f"any_value({w}) - {rate} * ({c} * sum({weight} * (({p}) - {label}) * {i}) / count(*) + {extra(f"any_value({w})")}) as {w}" for w, i in zip(names, inputs, strict=True))
         ctes.append(f"s{t + 1} as (select {sums} from {source}, s{t})")
     return ", ".join(ctes)
 
@@ -462,6 +467,18 @@ def linear_regression(s, d):
     return linear.fit(b, "linear", 3, 4, 0.1).table(s).select("global_idx", r("w").alias("w"))
 
 
+@query(f"with {BASKETS}, {_steps('bk', 3, 'logistic', 4, 0.5, label='y', l1=0.02)} " + " union all ".join(f"select {j}::int as global_idx, round(w{j}, 6) as w from s4" for j in range(4)))
+def logistic_l1(s, d):
+    """TRN-3, UDF-8: four full steps with an L1 penalty."""
+    return linear.fit(baskets(s, d), "logistic", 3, 4, 0.5, "l1", 0.02).table(s).select("global_idx", r("w").alias("w"))
+
+
+@query(f"with {BASKETS}, {_steps('bk', 3, 'linear', 4, 0.1, label='amount', l1=0.02)} " + " union all ".join(f"select {j}::int as global_idx, round(w{j}, 6) as w from s4" for j in range(4)))
+def linear_l1(s, d):
+    """TRN-10, UDF-9: the same for squared loss."""
+    return linear.fit(baskets(s, d).withColumn("y", F.col("amount")), "linear", 3, 4, 0.1, "l1", 0.02).table(s).select("global_idx", r("w").alias("w"))
+
+
 @query(f"with {BASKETS}, {_steps('bk', 3, 'linear', 3, 0.05, weight='x1', label='amount')} select " + " union all select ".join(f"{j}::int as global_idx, round(w{j}, 6) as w from s3" for j in range(4)))
 def weighted_linear_regression(s, d):
     """TRN-9/11/12: sample weights."""
@@ -495,14 +512,78 @@ def flagship_order_value(s, d):
     return metrics.classification_report(scored).select("tp", "fp", "fn", "tn", r("accuracy").alias("accuracy"))
 
 
-def _stump(value: str, kind: str) -> str:
-    """Best first split over quantile candidates, in SQL."""
-    bins = 8
-    cand = (
+def _candidates(bins: int = 8) -> str:
+    """q (f, t): the quantile candidates of every feature of bk."""
+    return (
         "k as (select unnest([0, 1, 2]) as f, unnest([x0, x1, x2]) as v from bk), dn as (select f, list_sort(list(v)) as o, count(distinct v) as d, count(*) as n from k group by f), "
-        f"q as (select distinct f, (o[least((j + 1) * (n // {bins}), n - 1) + 1] + o[least((j + 1) * (n // {bins}) + 1, n - 1) + 1]) / 2 as t from dn, range({bins - 1}) g(j) where d >= {bins} "
+        f"q as materialized (select distinct f, (o[least((j + 1) * (n // {bins}), n - 1) + 1] + o[least((j + 1) * (n // {bins}) + 1, n - 1) + 1]) / 2 as t from dn, range({bins - 1}) g(j) where d >= {bins} "
         f"union select k.f, k.v from k join dn using (f) where dn.d < {bins} and k.v < dn.o[dn.n])"
     )
+
+
+def _tree(p: str, source: str, value: str, kind: str, depth: int, used: str = "true") -> str:
+    """CTEs of a tree that grows on the rows of ``source`` (row_id, x0..x2, value) where ``used`` holds.
+
+    {p}nodes (node, depth, n, s, q, f, t, gain) are its nodes; {p}leaf are all rows with their leaf's node and mean.
+    """
+    whole = lambda n, s, q: f"({n} - ({s} * {s} + ({n} - {s}) * ({n} - {s})) / {n})" if kind == "gini" else f"({q} - {s} * {s} / {n})"
+    right = whole("(t.n - l.n)", "(t.s - l.s)", "(t.q - l.q)")
+    sums = f"count(*)::double as n, sum({value})::double as s, sum({value} * {value})::double as q"
+    out = [f"{p}a0 as materialized (select *, 0 as node from {source})"]
+    for d in range(depth + 1):
+        out.append(f"{p}t{d} as materialized (select node, {sums} from {p}a{d} where {used} group by node)")
+        if d == depth:
+            out.append(f"{p}b{d} as (select 0 as node, 0 as f, 0.0::double as t, 0.0::double as gain where false)")
+            break
+        each = f"(select node, {value}, unnest([0, 1, 2]) as f, unnest([x0, x1, x2]) as x from {p}a{d} where {used})"
+        out += [
+            f"{p}l{d} as (select z.node, c.f, c.t, {sums} from {each} z join q c on z.f = c.f and z.x <= c.t group by z.node, c.f, c.t)",
+            f"{p}g{d} as (select l.node, l.f, l.t, round(({whole('t.n', 't.s', 't.q')} - {whole('l.n', 'l.s', 'l.q')} - {right}) / t.n, 9) as gain from {p}l{d} l join {p}t{d} t on t.node = l.node where l.n < t.n)",
+            f"{p}b{d} as materialized (select node, f, t, gain from {p}g{d} where gain > 0 qualify row_number() over (partition by node order by gain desc, f, t) = 1)",
+            f"{p}a{d + 1} as materialized (select a.* exclude (node), 2 * a.node + case when (case b.f when 0 then a.x0 when 1 then a.x1 else a.x2 end) <= b.t then 1 else 2 end as node from {p}a{d} a join {p}b{d} b on a.node = b.node)",
+        ]
+    levels = range(depth + 1)
+    out.append(f"{p}nodes as (" + " union all ".join(f"select t.*, {d} as depth, b.f, b.t, b.gain from {p}t{d} t left join {p}b{d} b on t.node = b.node" for d in levels) + ")")
+    out.append(f"{p}leaf as materialized (" + " union all ".join(f"select a.*, t.s / t.n as mean from {p}a{d} a join {p}t{d} t on a.node = t.node where a.node not in (select node from {p}b{d})" for d in levels) + ")")
+    return ", ".join(out)
+
+
+def _boost(label: str, classes: int, rounds: int, rate: float, depth: int) -> str:
+    """CTEs of gradient boosting on bk; ``fin`` (y, raw0, ...) has the raw outputs. Squared loss if ``classes`` is 0."""
+    outputs = range(classes if classes > 2 else 1)
+    clip = lambda v: f"least(greatest({v}, 1e-3), 1 - 1e-3)"
+    is_class = lambda k: f"(y = {k})::int::double" if classes > 2 else "y"
+    share = lambda k: f"avg({is_class(k)}) over ()"
+    prior = {0: lambda k: share(k), 2: lambda k: f"ln({clip(share(k))} / (1 - {clip(share(k))}))"}.get(classes, lambda k: f"ln({clip(share(k))})")
+    total = " + ".join(f"exp(raw{k})" for k in outputs)
+    fitted = {0: lambda k: f"raw{k}", 2: lambda k: f"1 / (1 + exp(-raw{k}))"}.get(classes, lambda k: f"exp(raw{k}) / ({total})")
+    out = [f"m0 as materialized (select *, {', '.join(f'{prior(k)} as raw{k}' for k in outputs)} from (select row_id, x0, x1, x2, {label} as y from bk))"]
+    for i in range(rounds):
+        out.append(f"e{i} as materialized (select *, {', '.join(f'{is_class(k)} - {fitted(k)} as r{k}' for k in outputs)} from m{i})")
+        for k in outputs:
+            p = f"s{i}_{k}_"
+            newton = f"coalesce(sum(r{k}) over n / nullif(sum(({is_class(k)} - r{k}) * (1 - {is_class(k)} + r{k})) over n, 0), 0) * {1.0 if classes == 2 else (classes - 1) / max(classes, 1)}"
+            out += [_tree(p, f"e{i}", f"r{k}", "variance", depth), f"{p}v as materialized (select row_id, {newton if classes else 'mean'} as v from {p}leaf window n as (partition by node))"]
+        joins = " ".join(f"join s{i}_{k}_v v{k} on v{k}.row_id = e.row_id" for k in outputs)
+        out.append(f"m{i + 1} as materialized (select e.row_id, x0, x1, x2, y, {', '.join(f'raw{k} + {rate} * v{k}.v as raw{k}' for k in outputs)} from e{i} e {joins})")
+    return ", ".join([*out, f"fin as (select * from m{rounds})"])
+
+
+def _forest(trees: int, rate: float, depth: int) -> str:
+    """CTEs of a forest's votes on bk: ru (y, p)."""
+    flags = ", ".join(f"row_number() over (order by {_hash('row_id', 51 + 104729 * (t + 1))}, row_id) <= floor({rate}::double * count(*) over ()) as u{t}" for t in range(trees))
+    grown = ", ".join(_tree(f"t{t}_", "sb", "y", "gini", depth, f"u{t}") for t in range(trees))
+    votes = " union all ".join(f"select row_id, y, (mean > 0.5)::int as v from t{t}_leaf" for t in range(trees))
+    return f"sb as materialized (select *, {flags} from bk), {grown}, ru as (select y, (2 * sum(v) > {trees})::int as p from ({votes}) group by row_id, y)"
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[r(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _stump(value: str, kind: str) -> str:
+    """Best first split over quantile candidates, in SQL."""
+    cand = _candidates()
     w = "n - (s * s + (n - s) * (n - s)) / n" if kind == "gini" else "q - s * s / n"
     f = lambda p: w.replace("n", f"{p}n").replace("s", f"{p}s").replace("q", f"{p}q")
     return f"""with {BASKETS}, {cand},
@@ -526,45 +607,45 @@ def best_split_variance(s, d):
     return s.createDataFrame([(root.feature, root.threshold, root.gain)], "feature int, threshold double, gain double").select("feature", r("threshold").alias("threshold"), r("gain").alias("gain"))
 
 
-@query()
+@query(f"with {BASKETS}, {_candidates()}, {_tree('d_', 'bk', 'y', 'gini', 3)} select 0 as tree_id, node::bigint as node_id, depth, f is null as is_leaf, coalesce(f, -1)::int as feature, round(coalesce(t, 0), 6) as threshold, case when s > n - s then 1.0::double else 0.0::double end as label, round(1 - (s * s + (n - s) * (n - s)) / (n * n), 6) as impurity, n::bigint as n, round(coalesce(gain, 0), 6) as gain from d_nodes")
 def decision_tree(s, d):
-    """TRN-15/17/20, PRD-6..8, MET-4: the node table of a tree of depth three."""
-    return tree.grow(baskets(s, d), 2, 3, 8).table(s)
+    """TRN-15/17/20, PRD-6..8, MET-4: the node table of a tree of depth three; a leaf has feature -1 and threshold 0."""
+    return _rounded(tree.grow(baskets(s, d), 2, 3, 8).table(s).fillna({"feature": -1, "threshold": 0.0}))
 
 
-@query()
+@query(f"with {BASKETS}, {_candidates()}, {_tree('d_', 'bk', 'y', 'gini', 3)} select f::int as feature, round(sum(n * gain) / sum(sum(n * gain)) over (), 6) as importance from d_nodes where f is not null group by f")
 def tree_importance(s, d):
     """AGG-29."""
-    return tree.grow(baskets(s, d), 2, 3, 8).importance(s)
+    return _rounded(tree.grow(baskets(s, d), 2, 3, 8).importance(s))
 
 
-@query()
+@query(f"with {BASKETS}, {_candidates()}, {_forest(5, 0.7, 3)}, {CELLS}")
 def random_forest(s, d):
     """TRN-23/48, PRD-9, MET-5: a forest's report."""
     b = baskets(s, d)
     model = tree.forest(b, 5, 0.7, classes=2, max_depth=3)
-    return metrics.classification_report(b.withColumn("prediction", model.predict()))
+    return _rounded(metrics.classification_report(b.withColumn("prediction", model.predict())))
 
 
-@query()
+@query(f"with {BASKETS}, {_candidates()}, {_boost('amount', 0, 3, 0.3, 3)}, ru as (select y as amount, raw0 as guess from fin) {ERRORS}")
 def gbdt_regression(s, d):
     """TRN-25/28/29/33, PRD-10."""
     b = baskets(s, d).withColumn("y", F.col("amount"))
-    return metrics.regression_report(b.withColumn("prediction", tree.boost(b, "ls", rounds=3, rate=0.3).predict()))
+    return _rounded(metrics.regression_report(b.withColumn("prediction", tree.boost(b, "ls", rounds=3, rate=0.3).predict())), 5)
 
 
-@query()
+@query(f"with {BASKETS}, {_candidates()}, {_boost('y', 2, 2, 0.3, 3)}, ru as (select y, (1 / (1 + exp(-raw0)) > 0.5)::int as p from fin), {CELLS}")
 def gbdt_binary(s, d):
     """TRN-26/30/32/34, MET-6."""
     b = baskets(s, d)
-    return metrics.classification_report(b.withColumn("prediction", tree.boost(b, "deviance", 2, rounds=2, rate=0.3).predict()))
+    return _rounded(metrics.classification_report(b.withColumn("prediction", tree.boost(b, "deviance", 2, rounds=2, rate=0.3).predict())))
 
 
-@query()
+@query(f"with {BASKETS}, {_candidates()}, {_boost('least(floor(amount / 1.2), 2.0)', 3, 2, 0.3, 2)} select round(avg((list_position([raw0, raw1, raw2], greatest(raw0, raw1, raw2)) - 1 = y)::int), 6) as accuracy from fin")
 def gbdt_multiclass(s, d):
     """TRN-26/31, PRD-11: three classes of revenue."""
     b = baskets(s, d).withColumn("y", F.least(F.floor(F.col("amount") / 1.2), F.lit(2)).cast("double"))
-    return metrics.accuracy(b.withColumn("prediction", tree.boost(b, "deviance", 3, rounds=2, rate=0.3, max_depth=2).predict()))
+    return _rounded(metrics.accuracy(b.withColumn("prediction", tree.boost(b, "deviance", 3, rounds=2, rate=0.3, max_depth=2).predict())))
 
 
 @query()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from colligo.functions.vectors import decode_fixed
 from colligo.operators.linear import LinearModel
-from colligo.operators.tree import Trees
+from colligo.operators.mlp import Mlp
+from colligo.operators.tree import NODE, Boosted, Node, Trees
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +46,13 @@ def write_fixed(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def read_fixed(spark: SparkSession, path: str, decode: bool = False) -> DataFrame:
+    """What ``write_fixed`` wrote; with ``decode``, fixed-point columns as doubles."""
+    df = spark.read.parquet(path)
+    fixed = [f.name for f in df.schema if isinstance(f.dataType, StructType) and set(f.dataType.names) == {"mantissa", "exponent"}]
+    return df.withColumns({c: decode_fixed(F.col(c)) for c in fixed}) if decode and fixed else df
+
+
 def save_linear(spark: SparkSession, model: LinearModel, path: str) -> None:
     model.table(spark).select("global_idx", "w", F.lit(model.kind).alias("kind"), F.lit(model.bias).alias("bias")).write.mode("overwrite").parquet(path)
 
@@ -59,3 +69,32 @@ def save_trees(spark: SparkSession, model: Trees, path: str) -> None:
 def load_trees(spark: SparkSession, path: str) -> Trees:
     df = spark.read.parquet(path)
     return Trees.of_table(df.drop("classes"), df.first()["classes"])
+
+
+def save_boosted(spark: SparkSession, model: Boosted, path: str) -> None:
+    """Two tables: the loss with its rate and priors, and the nodes of all trees by round and output."""
+    spark.createDataFrame([(model.loss, model.rate, model.prior)], "loss string, rate double, prior array<double>").write.mode("overwrite").parquet(f"{path}/model")
+    nodes = [(i, k, *vars(n).values()) for i, stage in enumerate(model.trees) for k, t in enumerate(stage) for n in t.nodes.values()]
+    spark.createDataFrame(nodes, f"round int, output int, {NODE}").write.mode("overwrite").parquet(f"{path}/trees")
+
+
+def load_boosted(spark: SparkSession, path: str) -> Boosted:
+    head = spark.read.parquet(f"{path}/model").first()
+    model = Boosted(head["loss"], head["rate"], list(head["prior"]))
+    for r in spark.read.parquet(f"{path}/trees").orderBy("round", "output", "node_id").collect():  # a row for each node
+        at = r.asDict()
+        i, k = at.pop("round"), at.pop("output")
+        while len(model.trees) <= i:
+            model.trees.append([Trees() for _ in model.prior])
+        model.trees[i][k].nodes[at["tree_id"], at["node_id"]] = Node(**at)
+    return model
+
+
+def save_mlp(spark: SparkSession, model: Mlp, path: str) -> None:
+    rows = [(i, w.tolist(), b.tolist(), a) for i, (w, b, a) in enumerate(zip(model.weights, model.biases, model.activations, strict=True))]
+    spark.createDataFrame(rows, "layer int, weights array<array<double>>, biases array<double>, activation string").write.mode("overwrite").parquet(path)
+
+
+def load_mlp(spark: SparkSession, path: str) -> Mlp:
+    rows = spark.read.parquet(path).orderBy("layer").collect()  # a row for each layer
+    return Mlp([np.array(r["weights"]) for r in rows], [np.array(r["biases"]) for r in rows], [r["activation"] for r in rows])

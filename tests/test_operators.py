@@ -120,6 +120,36 @@ def test_mlp_expressions_match_numpy(learnable):
     assert np.allclose([r.out for r in rows], model.forward(np.array([r.x for r in rows]))[-1])
 
 
+def test_mlp_steps_match_numpy(learnable):
+    start = mlp.Mlp.initial([3, 4, 1], ["logistic", "logistic"])
+    got = mlp.fit(learnable, start, 3, 0.7, alpha=0.1)
+    rows = learnable.collect()
+    x, y = np.array([r.x for r in rows]), np.array([[r.y] for r in rows])
+    (w1, w2), (b1, b2) = [w.copy() for w in start.weights], [b.copy() for b in start.biases]
+    for _ in range(3):
+        hidden = 1 / (1 + np.exp(-(x @ w1 + b1)))
+        out = 1 / (1 + np.exp(-(hidden @ w2 + b2)))
+        d2 = (out - y) / len(x)
+        d1 = d2 @ w2.T * hidden * (1 - hidden)
+        w1, w2 = w1 - 0.7 * (x.T @ d1 + 0.1 / len(x) * w1), w2 - 0.7 * (hidden.T @ d2 + 0.1 / len(x) * w2)
+        b1, b2 = b1 - 0.7 * d1.sum(axis=0), b2 - 0.7 * d2.sum(axis=0)
+    assert all(np.allclose(a, b) for a, b in zip([*got.weights, *got.biases], [w1, w2, b1, b2], strict=True))
+
+
+def test_saved_models_and_tables(spark, learnable, tmp_path):
+    for model in (tree.boost(learnable, "deviance", 2, rounds=2, max_depth=2), tree.Boosted("ls", 0.1, [0.5])):
+        io.save_boosted(spark, model, str(tmp_path / "b"))
+        assert io.load_boosted(spark, str(tmp_path / "b")) == model
+    net = mlp.Mlp.initial([3, 4, 2], ["relu", "softmax"])
+    io.save_mlp(spark, net, str(tmp_path / "n"))
+    again = io.load_mlp(spark, str(tmp_path / "n"))
+    assert again.activations == net.activations and all(np.array_equal(a, b) for a, b in zip([*again.weights, *again.biases], [*net.weights, *net.biases], strict=True))
+    fixed = spark.range(20).select("id", V.encode_fixed(F.col("id") * 0.37 - 3).alias("v"))
+    io.write_fixed(fixed, str(tmp_path / "f"))
+    assert sorted(io.read_fixed(spark, str(tmp_path / "f")).collect()) == sorted(fixed.collect())
+    assert all(abs(r.v - (r.id * 0.37 - 3)) < 2**-16 for r in io.read_fixed(spark, str(tmp_path / "f"), decode=True).collect())
+
+
 def test_explanations(spark):
     row = [0.5, 0.5, 0.5]
     s = explain.distance_weights(explain.gaussian_samples(spark, row, [0.2] * 3, 800), row).withColumn("y", 3 * F.get("x", F.lit(1)) - F.get("x", F.lit(2))).cache()
