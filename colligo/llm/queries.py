@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.llm import bpe, decontaminate, html, langid, minhash, ngram_lm, quality, substrings, topk, warc
+from colligo.llm import bpe, decontaminate, filter_audit, html, langid, merkle, minhash, ngram_lm, quality, substrings, topk, warc
 from colligo.llm.common import read_table, scratch_path
 
 
@@ -88,6 +88,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders over all documents, for each language."""
+    return filter_audit.audit(filter_audit.failures(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; every path is checked against a row that may be tampered with."""
+    docs = read_table(spark, sf_dir, "documents")
+    of = lambda n: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    tampered = langid.remainder(F.col("doc_id"), 7) == 0
+    rows = docs.select("doc_id", "lang", of(F.col("n_chars")).alias("leaf"), F.when(tampered, of(F.try_add("n_chars", F.lit(1).cast("long")))).alias("tampered"))
+    done = merkle.manifest(rows, "lang", "doc_id").withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return done.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
@@ -99,8 +114,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op6_ngram_lm": ngram_lm.oracle_sql(),
+    "op11_filter_audit": filter_audit.oracle_sql(),
+    "op13_merkle": merkle.oracle_sql(),
 }
