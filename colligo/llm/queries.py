@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.llm import bpe, decontaminate, filter_audit, html, langid, merkle, minhash, ngram_lm, quality, substrings, topk, warc
+from colligo.llm import bpe, decontaminate, filter_audit, html, jaccard, langid, merkle, minhash, ngram_lm, quality, substrings, topk, warc
 from colligo.llm.common import read_table, scratch_path
 
 
@@ -93,6 +93,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failures(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingles have a Jaccard similarity of 0.85."""
+    return jaccard.join(read_table(spark, sf_dir, "documents"), 85).drop("text_key")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of all documents; every path is checked against a row that may be tampered with."""
     docs = read_table(spark, sf_dir, "documents")
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op12_jaccard": op12_jaccard,
     "op13_merkle": op13_merkle,
 }
 
