@@ -6,13 +6,15 @@ each, so only these are indexed.
 
 * Sets that are equal are one class.  Every list of an n-gram has a leading class, and
   the others are compared with it; those that are similar enough are of its component.
-* What is left must link different components.  A list becomes blocks of one component,
-  one size band and the bounds of sizes and positions in it.  Blocks of other bands are
+* What is left must link different components.  In a list of many components, what is near the
+  leading set is left to the last step.  The rest becomes blocks of one component, one
+  size band and the bounds of sizes and positions in it.  Blocks of other bands are
   never met, and a pair of blocks is skipped if its positions leave too few n-grams
   for a similar pair, or if its components share too few indexed n-grams in all.
 * Components that stay open against each other are compared by their members: few of
-  them one by one; of many, each member's answers come from what its set differs in from
-  a leading one, as pairs in which both differ too much elsewhere cannot be similar.
+  them one by one.  Of many, and of sets near a leading one, each member's answers come from
+  what its set differs in from that set, as pairs in which both differ too much elsewhere
+  cannot be similar.
 
 Every bound is exact: no link is lost, whatever the order of n-grams.
 """
@@ -39,6 +41,10 @@ BUCKET_BITS = 20
 PIECE = 1 << 16
 #: Pairs of components with more pairs of members than this are compared by differences.
 FEW = 64
+#: Lists of more components than this are split by how near their sets are to the leading one.
+MANY = 16
+#: Hundredths of a set that a leading set must hold for it to be near.
+NEAR = 60
 
 
 def _bucket(items: np.ndarray) -> np.ndarray:
@@ -153,7 +159,35 @@ def _open_components(lists: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("c1", "c2").agg(F.count("*").alias("shared"), F.max("first").alias("first"), F.min("need").alias("need")).where("first and shared >= need").select("c1", "c2")
 
 
-def join(docs: DataFrame, percent: int = 80, k: int = 4, few: int = FEW) -> DataFrame:
+def _split_lists(named: DataFrame, fame: DataFrame, overlaps, percent: int, many: int) -> tuple[DataFrame, DataFrame | None]:
+    """Entries whose pairs are still to be met, and (lead, rep, n, c): members near the leading set of a list of over ``many`` components.
+
+    Let f be the share of a set that the lead holds.  A set similar to it has a share of
+    percent / 100 * f at least, if f is over 1 / (1 + percent / 100).  So of a similar pair either both
+    shares reach that bound of ``NEAR``, and both are members, or both are below ``NEAR``, and both stay entries.
+    """
+    high = max(NEAR, 10000 // (100 + percent) + 2)
+    crowded = named.select("gram", "c").distinct().groupBy("gram").agg(F.count("*").alias("parts")).where(F.col("parts") > many)
+    crowded = save(crowded.select("gram"), "crowded")
+    if crowded.isEmpty():
+        return named, None
+    of = crowded.select(other_key("gram").alias("g2"))
+    hot = save(named.join(of, other_key("gram") == F.col("g2"), "left_semi"), "crowded")
+    famous = hot.join(fame.select(other_key("rep").alias("r2"), "fame"), other_key("rep") == F.col("r2"))
+    leads = famous.groupBy("gram").agg(F.max(F.struct("fame", (-F.col("rep")).alias("r"))).alias("l")).select(other_key("gram").alias("g2"), (-F.col("l.r")).alias("lead"))
+    hot = save(hot.join(leads, other_key("gram") == F.col("g2")).drop("g2").where("rep != lead"), "crowded")
+    told = overlaps(hot.select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
+    # an id may stand for two sets; it is near if one of them is, and no longer met only if both are
+    share = told.groupBy("a", "b").agg(F.max(10000 * (F.col("both") + 1) - high * percent * F.col("n")).alias("most"), F.min(100 * F.col("both") - high * F.col("n")).alias("least"))
+    share = save(share, "shares")
+    pair = lambda df: (F.col("rep") == df["a"]) & (F.col("lead") == df["b"])
+    near, gone = share.where("most >= 0"), share.where("least >= 0")
+    group = hot.select("lead", "rep", "n", "c").distinct().join(near, pair(near), "left_semi")
+    rest = named.join(of, other_key("gram") == F.col("g2"), "left_anti").union(hot.join(gone, pair(gone), "left_anti").drop("lead"))
+    return save(rest, "named"), save(group, "members")
+
+
+def join(docs: DataFrame, percent: int = 80, k: int = 4, few: int = FEW, many: int = MANY) -> DataFrame:
     """doc_id, n_shingles, component_id, text_key of every row of ``docs`` (doc_id, text).
 
     Two documents link if 100 * |intersection| >= percent * |union| of their sets of k-word
@@ -223,9 +257,17 @@ def join(docs: DataFrame, percent: int = 80, k: int = 4, few: int = FEW) -> Data
     named = save(named, "named")
     mixed = named.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
     named = save(named.join(mixed.select(other_key("gram").alias("g2")), other_key("gram") == F.col("g2"), "left_semi"), "named")
-    open_ = save(_open_components(named, percent), "open")
+
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        pairs = save(pairs, "tried")
+        read_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")))
+        return with_sets(pairs).select("a", "b", F.size("x").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+
+    rest, group = _split_lists(named, fame, overlaps, percent, many)
+    open_ = save(_open_components(rest, percent), "open")
+    more = None
     if not open_.isEmpty():
-        member = save(named.select("c", "rep", "n").distinct(), "members")
+        member = save(rest.select("c", "rep", "n").distinct(), "members")
         most = member.join(fame, "rep").groupBy("c").agg(F.count("*").alias("m"), F.max(F.struct("fame", (-F.col("rep")).alias("r"))).alias("l")).select("c", "m", (-F.col("l.r")).alias("head"))
         one, two = (most.select(F.col("c").alias(f"k{i}"), F.col("m").alias(f"m{i}"), F.col("head").alias(f"head{i}")) for i in (1, 2))
         open_ = save(open_.join(one, F.col("c1") == F.col("k1")).join(two, F.col("c2") == F.col("k2")), "open")
@@ -235,14 +277,16 @@ def join(docs: DataFrame, percent: int = 80, k: int = 4, few: int = FEW) -> Data
         pairs = save(screened(pairs), "tried")
         large = open_.where(F.col("m1") * F.col("m2") > few).withColumn("lead", F.when(F.col("m1") >= F.col("m2"), F.col("head1")).otherwise(F.col("head2")))
         sides = large.select("lead", F.col("c1").alias("k")).union(large.select("lead", "c2")).distinct()
-        group = save(sides.join(member, F.col("k") == F.col("c")).where("rep != lead").select("lead", "rep", "n", "c"), "members")
+        wide = sides.join(member, F.col("k") == F.col("c")).where("rep != lead").select("lead", "rep", "n", "c")
+        group = save(wide if group is None else wide.union(group).distinct(), "members")
         read_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(group.select("rep")).union(group.select("lead")))
         more = verified(pairs)
+    if group is not None and not group.isEmpty():
         # a centre is a member too, and meets the other components by itself
-        heads = group.select("lead", F.col("rep").alias("b")).select(F.col("lead").alias("a"), "b").distinct()
-        more = more.union(verified(screened(heads)))
-        if not group.isEmpty():
-            more = more.union(links_by_difference(group, with_sets, percent))
+        heads = verified(screened(group.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()))
+        found = heads.union(links_by_difference(group, with_sets, percent))
+        more = found if more is None else more.union(found)
+    if more is not None:
         more = save(more, "links")
         if not more.isEmpty():
             groups = components(links.union(more))

@@ -66,8 +66,8 @@ def edited(rnd, w, edits):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-@pytest.mark.parametrize("few", [0, jaccard.FEW])
-def test_families_chains_and_passages(spark, percent, few):
+@pytest.mark.parametrize("few, many", [(0, 10**9), (jaccard.FEW, 2), (jaccard.FEW, jaccard.MANY)])
+def test_families_chains_and_passages(spark, percent, few, many):
     rnd = random.Random(percent)
     rows = []
     for size, edits in ((60, 2), (40, 5), (40, 6)):  # families around the threshold
@@ -83,7 +83,7 @@ def test_families_chains_and_passages(spark, percent, few):
     rows += [" ".join(words(rnd, n)) for n in (1, 2, 3, 4, 5, 6, 7)] + ["a b c d e", "a b c d e f", "A b C d", "a b c d", "a b", "a B"]
     ids = rnd.sample(range(10**6), len(rows))
     rows = list(zip(ids, rows, strict=True))
-    assert joined(spark, rows, percent, few=few) == sorted(brute(rows, percent), key=repr)
+    assert joined(spark, rows, percent, few=few, many=many) == sorted(brute(rows, percent), key=repr)
 
 
 def test_odd_rows(spark):
@@ -109,6 +109,16 @@ def test_indexed_grams_suffice():
                     assert least > max(n - jaccard.prefix_size(n, percent), m - jaccard.prefix_size(m, percent))
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_shares_of_similar_sets_are_near(percent):
+    high = max(jaccard.NEAR, 10000 // (100 + percent) + 2)
+    for n in range(1, 120):
+        for m in range(-(-percent * n // 100), 100 * n // percent + 1):
+            both = -(-percent * (n + m) // (100 + percent))
+            for held in range(-(-high * n // 100), n + 1):  # the lead holds this much of the first
+                assert 10000 * (max(0, held - (n - both)) + 1) >= high * percent * m
+
+
 def test_levels_grow_with_counts():
     got = jaccard._level(np.array([0, 1, 2, 3, 100, 10**9]))
     assert got[0] == 0 and (np.diff(got.astype(int)) > 0).all()
