@@ -1,15 +1,25 @@
-"""Explanations of single predictions by locally weighted surrogate models."""
+"""Explanations of predictions: locally weighted surrogate models and Shapley values.
+
+Many rows are explained at once: their samples, scores and weights are columns of one table,
+a row's samples become its sums of products, and tasks solve them row by row.
+"""
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
-from collections.abc import Sequence
+import random
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.functions.vectors import kernel_shap_weight
+from colligo.functions.vectors import hash32, kernel_shap_weight
 from colligo.operators import linear, stats, tree
+from colligo.operators.ensemble import dense_rows
 from colligo.operators.tables import to_long
 
 
@@ -70,3 +80,184 @@ def explain(samples: DataFrame, features: Sequence[int], surrogate: str = "linea
     importance = tree.grow(chosen, 0, max_depth, weight="w").importance(spark)
     names = spark.createDataFrame([(i, int(f)) for i, f in enumerate(features)], "feature int, name int")
     return names.join(importance, "feature", "left").select(F.col("name").alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
+# many rows at once ----------------------------------------------------------------------------------------
+
+
+#: Fixed value: the step between a row's cells, odd so that they differ below 2^32.
+CELL_STEP = 2654435761
+
+
+def _cell_noise(start: Column, place: Column, seed: int) -> Column:
+    """A standard normal number of a row's hash and a place in the row, from hashes that any engine can compute."""
+    cell = start + place.cast("long") * F.lit(CELL_STEP)
+    u, v = ((hash32(cell, seed + k) + 1) / F.lit(4294967297.0) for k in (0, 1))
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+
+
+def samples_around(rows: DataFrame, deviation: Sequence[float], n: int, seed: int = 51, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(row_id, sample, around, x): sample 0 of each row (row_id, x) is the row, the n - 1 others add normal noise, kept within [low, high]."""
+    cells = []
+    for j, s in enumerate(deviation):
+        v = F.get("around", F.lit(j)) + F.lit(float(s)) * _cell_noise(F.col("start"), F.col("sample") * len(deviation) + j, seed)
+        v = v if low is None else F.greatest(v, F.lit(float(low)))
+        cells.append(v if high is None else F.least(v, F.lit(float(high))))
+    spread = rows.select("row_id", F.col("x").alias("around"), hash32(F.col("row_id"), seed - 2).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
+    return spread.select("row_id", "sample", "around", F.when(F.col("sample") == 0, F.col("around")).otherwise(F.array(*cells)).alias("x"))
+
+
+def weigh_samples(samples: DataFrame, kernel_width: float | None = None, features: int | None = None) -> DataFrame:
+    """``samples`` with w = sqrt(exp(-d^2 / k^2)) of the distance d to their row; k is 0.75 sqrt(features) unless given."""
+    k2 = F.lit(kernel_width * kernel_width) if kernel_width else 0.5625 * (F.lit(features) if features else F.size("around"))
+    d2 = F.aggregate(F.zip_with("x", "around", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, e: t + e)
+    return samples.withColumn("w", F.sqrt(F.exp(-d2 / k2)))
+
+
+def _products(samples: DataFrame, features: int, outputs: int) -> DataFrame:
+    """(row_id, parts): for each row the weighted products of [1, x - around, y], as one flat matrix a partition that holds its samples."""
+    m = 1 + features + outputs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def told() -> pa.RecordBatch:
+            ids, sums = pa.array(list(held), pa.int64()), pa.array([g.ravel() for g in held.values()], pa.list_(pa.float64()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([ids, sums], names=["row_id", "part"])
+
+        for b in batches:
+            x, y, w = dense_rows(b["x"], features)[:, :features] - dense_rows(b["around"], features)[:, :features], dense_rows(b["y"], outputs)[:, :outputs], b["w"].to_numpy(zero_copy_only=False)
+            z = np.concatenate([np.ones((len(w), 1)), x, y], axis=1)
+            whole = ~np.isnan(z).any(axis=1) & ~np.isnan(w)
+            ids = np.array(b["row_id"].to_numpy(zero_copy_only=False))
+            edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True]) if len(ids) else []
+            for s, e in itertools.pairwise(edges):
+                part = z[s:e][whole[s:e]]
+                g = (part * w[s:e][whole[s:e], None]).T @ part
+                held[int(ids[s])] = held[int(ids[s])] + g if int(ids[s]) in held else g
+            if len(held) * m * m > 1 << 20:
+                yield told()
+        yield told()
+
+    rows = samples.select(F.col("row_id").cast("long").alias("row_id"), "x", "around", F.col("y").cast("array<double>").alias("y"), F.col("w").cast("double").alias("w")).where("row_id is not null")
+    parts = rows.mapInArrow(run, "row_id long, part array<double>")
+    return parts.groupBy("row_id").agg(F.collect_list("part").alias("parts"))  # as many as partitions hold samples of the row
+
+
+def _best(g: np.ndarray, features: int, y: int, k: int) -> list[int]:
+    """The k features with the largest absolute weighted correlation with column y, ties to the lower one."""
+    w = g[0, 0]
+    cov = g - np.outer(g[0], g[0]) / w if w else g * 0.0
+    spread = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = np.abs(cov[1 : 1 + features, y]) / (spread[1 : 1 + features] * spread[y])
+    return sorted(range(features), key=lambda j: (-(-1.0 if math.isnan(c[j]) else round(float(c[j]), 9)), j))[:k]
+
+
+def local_surrogates(samples: DataFrame, features: int, outputs: int, k: int | None = None, ridge: float = 0.0) -> DataFrame:
+    """row_id, output, feature, importance, intercept: a weighted linear model of every output around every row.
+
+    ``samples``: (row_id, around, x, w, y), y ARRAY with an entry for each output.  A model has the k
+    features (all) that correlate most with its output among the row's samples.  Null or
+    NaN samples are left out.  All rows and outputs are solved by one job: a task adds
+    up a row's products, one shuffle brings partial sums together, and tasks solve them.
+    The intercept is the surrogate's value at the row.
+    """
+    m, k = 1 + features + outputs, features if k is None else k
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row_id", "output", "feature", "importance", "intercept"]
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for row_id, parts in zip(b["row_id"].to_pylist(), b["parts"], strict=True):
+                g = np.sum([p.values.to_numpy(zero_copy_only=False) for p in parts.values], axis=0).reshape(m, m)
+                for o in range(outputs):
+                    chosen = _best(g, features, 1 + features + o, k)
+                    at = [0, *[1 + j for j in chosen]]
+                    a = g[np.ix_(at, at)] + ridge * np.diag([0.0, *[1.0] * len(chosen)])
+                    solved = np.linalg.lstsq(a, g[at, 1 + features + o], rcond=None)[0]
+                    for j, v in zip(chosen, solved[1:], strict=True):
+                        for column, value in zip(out, (row_id, o, j, float(v), float(solved[0])), strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+
+    return _products(samples, features, outputs).mapInArrow(solve, "row_id long, output int, feature int, importance double, intercept double")
+
+
+# Shapley values -----------------------------------------------------------------------------------------------
+
+
+def coalition_plan(features: int, budget: int = 2048, seed: int = 51) -> tuple[list[int], np.ndarray]:
+    """(bit masks, kernel weights) of coalitions, empty and full ones left out.
+
+    Sizes are taken from both ends, a coalition always with its complement, while all of a size
+    fit into ``budget``; what is left of it draws pairs of the next sizes, which share the
+    weight of all sizes that are not complete.
+    """
+    d, masks, weights = features, [], []
+    full = (1 << d) - 1
+    sizes = [(s, math.comb(d, s) if 2 * s == d else 2 * math.comb(d, s)) for s in range(1, d // 2 + 1)]
+    mass = {s: (d - 1) / (s * (d - s)) * (1 if 2 * s == d else 2) for s, _ in sizes}
+    left = budget
+    while sizes and sizes[0][1] <= left:
+        s, n = sizes.pop(0)
+        both = {m for c in itertools.combinations(range(d), s) for m in (sum(1 << j for j in c), full ^ sum(1 << j for j in c))}
+        masks += sorted(both)
+        weights += [mass[s] / n] * n
+        left -= n
+    if sizes and left >= 2:
+        rnd, drawn = random.Random(seed), set()
+        while len(drawn) < left - 1:
+            s = rnd.choices([s for s, _ in sizes], [mass[s] for s, _ in sizes])[0]
+            m = sum(1 << j for j in rnd.sample(range(d), s))
+            drawn |= {m, full ^ m}
+        masks += sorted(drawn)
+        weights += [sum(mass[s] for s, _ in sizes) / len(drawn)] * len(drawn)
+    return masks, np.array(weights)
+
+
+def _shap_matrix(features: int, masks: Sequence[int], weights: np.ndarray) -> np.ndarray:
+    """Row z, the empty and the full coalition last, says what the prediction under z adds to each feature's value.
+
+    It is weighted least squares under the constraint that the values sum to the full
+    prediction minus the empty one, which removes the last feature.
+    """
+    d = features
+    if d == 1:
+        return np.array([[-1.0], [1.0]])
+    z = np.array([[m >> j & 1 for j in range(d)] for m in masks], float).reshape(len(masks), d)
+    free = z[:, :-1] - z[:, -1:]
+    solve = np.linalg.pinv((free * weights[:, None]).T @ free) @ (free * weights[:, None]).T
+    last = z[:, -1]
+    head = np.concatenate([solve.T, [-solve.sum(axis=1) + solve @ last], [-solve @ last]])
+    whole = np.zeros(len(masks) + 2)
+    whole[-2:] = -1, 1
+    return np.concatenate([head, (whole - head.sum(axis=1))[:, None]], axis=1)
+
+
+def shap_values(rows: DataFrame, background: Sequence[Sequence[float]], score: Callable[[str], Column], features: int, outputs: int = 1, budget: int = 2048) -> DataFrame:
+    """row_id, output, base, prediction, values ARRAY: KernelSHAP of every row (row_id, x).
+
+    ``score(x)`` is the model's ARRAY of outputs for a vector column.  A feature outside a
+    coalition takes the values of ``background``, a bounded list of rows whose scores are
+    averaged.  Values sum to prediction - base, and equal the Shapley values if all
+    coalitions fit into ``budget``.  Values are linear in the scores, so a row takes one
+    aggregation over its coalitions and background rows; the plan holds both as constants.
+    """
+    masks, weights = coalition_plan(features, budget)
+    told = _shap_matrix(features, masks, weights)
+    plan = [{"mask": m, "adds": a} for m, a in zip([*masks, 0, (1 << features) - 1], told.tolist(), strict=True)]
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    each = rows.select("row_id", "x", F.explode(constant(plan, "array<struct<mask: bigint, adds: array<double>>>")).alias("c"))
+    each = each.select("row_id", "x", "c.mask", "c.adds", F.explode(constant([list(map(float, b)) for b in background], "array<array<double>>")).alias("b"))
+    mixed = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << j)) != 0, F.get("x", F.lit(j))).otherwise(F.get("b", F.lit(j))) for j in range(features)])
+    scored = each.select("row_id", "mask", "adds", mixed.alias("x")).select("row_id", "mask", "adds", score("x").alias("y"))
+    share, full = 1.0 / len(background), (1 << features) - 1
+    y = lambda o: F.get("y", F.lit(o)) * share
+    sums = [F.struct(
+        F.lit(o).alias("output"), F.sum(F.when(F.col("mask") == 0, y(o)).otherwise(0.0)).alias("base"), F.sum(F.when(F.col("mask") == full, y(o)).otherwise(0.0)).alias("prediction"),
+        F.array(*[F.sum(F.get("adds", F.lit(j)) * y(o)) for j in range(features)]).alias("values"),
+    ) for o in range(outputs)]
+    return scored.groupBy("row_id").agg(F.array(*sums).alias("all")).select("row_id", F.inline("all"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -9,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colligo.functions.vectors import LOG_LOSS_EPSILON, logistic
-from colligo.operators.tables import mini_batch
+from colligo.operators.moments import moments
+from colligo.operators.tables import batch_conditions
 
 
 @dataclass(frozen=True)
@@ -62,39 +65,41 @@ def fit(
     df: DataFrame, kind: str, features: int, iterations: int = 10, rate: float = 0.1, penalty: str | None = None, alpha: float = 0.0, bias: bool = True,
     batch: int | None = None, key: str = "row_id", weight: str | None = None, initial: Sequence[float] | None = None,
 ) -> LinearModel:
-    """Exactly ``iterations`` steps from ``initial`` (zeros), on all rows or on a batch of its own hash order each."""
+    """Exactly ``iterations`` steps from ``initial`` (zeros), on all rows or on a batch of its own hash order each.
+
+    The batches of all iterations are planned by the same few counts; a step is then one job.
+    """
     if kind not in ("linear", "logistic"):
         raise ValueError(f"unknown model {kind}")
     model = LinearModel(kind, tuple(initial or [0.0] * (features + bias)), bias)
-    df = df.persist()
+    mine = not df.is_cached
+    if mine:
+        df = df.persist()
     try:
-        for t in range(iterations):
-            rows, sums = gradient(mini_batch(df, key, batch, t) if batch else df, model, weight=weight)
+        batches = batch_conditions(df, key, batch, range(iterations)) if batch else [None] * iterations
+        for condition in batches:
+            rows, sums = gradient(df if condition is None else df.where(condition), model, weight=weight)
             model = step(model, rows, sums, rate, penalty, alpha)
     finally:
-        df.unpersist()
+        if mine:
+            df.unpersist()
     return model
 
 
-def gram(df: DataFrame, features: int, weight: str | None = None) -> DataFrame:
-    """One row with all sums of products of [1, x, y]: what exact least squares needs, in one pass."""
-    terms = [F.lit(1.0), *[F.get("x", F.lit(j)) for j in range(features)], F.col("y")]
-    w = F.col(weight) if weight else F.lit(1.0)
-    return df.agg(*[F.sum(w * terms[i] * terms[j]).alias(f"g_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))])
+def uniform_start(features: int, bias: bool = True, seed: int = 51) -> list[float]:
+    """Seeded weights from the uniform distribution on [-sqrt(2 / n), sqrt(2 / n)], n the number of weights."""
+    n = features + bias
+    rnd = random.Random(seed)
+    return [rnd.uniform(-math.sqrt(2 / n), math.sqrt(2 / n)) for _ in range(n)]
 
 
 def least_squares(df: DataFrame, features: int, weight: str | None = None, ridge: float = 0.0) -> LinearModel:
-    """Exact (weighted) least squares with bias, from the normal equations."""
-    import numpy as np
-
-    n = features + 2
-    row = gram(df, features, weight).first()
-    full = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i, n):
-            full[i, j] = full[j, i] = row[f"g_{i}_{j}"] or 0.0
-    a = full[:-1, :-1] + ridge * np.eye(n - 1)
-    return LinearModel("linear", tuple(np.linalg.lstsq(a, full[:-1, -1], rcond=None)[0].tolist()), True)
+    """Exact (weighted) least squares with bias, from the moments of (x, y); as few operators for many features as for one."""
+    told = moments(df, F.concat(F.slice("x", 1, features), F.array(F.col("y").cast("double"))), weight)
+    if not told.rows:
+        return LinearModel("linear", (0.0,) * (features + 1), True)
+    intercept, slopes = told.regression(range(features), features, ridge)
+    return LinearModel("linear", (intercept, *slopes.tolist()), True)
 
 
 def loss(df: DataFrame, model: LinearModel, alpha: float = 0.0) -> DataFrame:

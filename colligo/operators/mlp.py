@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colligo.functions.vectors import affine, softmax
-from colligo.operators.tables import mini_batch
+from colligo.operators.tables import batch_conditions
 
 ACTIVATIONS = {"logistic": (lambda z: 1 / (1 + np.exp(-z)), lambda a: a * (1 - a)), "relu": (lambda z: np.maximum(z, 0), lambda a: (a > 0).astype(float)), "identity": (lambda z: z, np.ones_like)}
 
@@ -97,10 +97,14 @@ def gradients(df: DataFrame, model: Mlp) -> tuple[int, list[np.ndarray], list[np
 
 def fit(df: DataFrame, model: Mlp, iterations: int, rate: float, alpha: float = 0.0, batch: int | None = None) -> Mlp:
     """Gradient steps of mean loss plus alpha / B W per step."""
-    df = df.persist()
-    for t in range(iterations):
-        rows, gw, gb = gradients(mini_batch(df, "row_id", batch, t) if batch else df, model)
+    mine = not df.is_cached
+    if mine:
+        df = df.persist()
+    batches = batch_conditions(df, "row_id", batch, range(iterations)) if batch else [None] * iterations
+    for condition in batches:
+        rows, gw, gb = gradients(df if condition is None else df.where(condition), model)
         rows = max(rows, 1)
         model = Mlp([w - rate / rows * (g + alpha * w) for w, g in zip(model.weights, gw, strict=True)], [b - rate / rows * g for b, g in zip(model.biases, gb, strict=True)], model.activations)
-    df.unpersist()
+    if mine:
+        df.unpersist()
     return model

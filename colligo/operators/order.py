@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from colligo.functions.vectors import hash32
+from colligo.operators import quantiles
 from colligo.sources.scratch import materialize
 
 
@@ -24,33 +29,44 @@ def with_global_rank(df: DataFrame, *order: Column | str, name: str = "rank") ->
     return ranged.join(F.broadcast(start), part).withColumn(name, F.col("__start") + own).drop(place, part, "__start")
 
 
-def hash_limit(df: DataFrame, key: str, n: int, seed: int = 51) -> tuple[int, int] | None:
-    """(hash, key) of the n-th row in hash order: radix selection, three narrow counts and no sort of the table."""
+def _hash(df: DataFrame, key: str, seed: int) -> Column:
+    """hash32 of a whole-number key; keys of other types are hashed to one first."""
+    c = F.col(key)
+    return hash32(c if isinstance(df.schema[key].dataType, IntegralType) else F.xxhash64(c), seed)
+
+
+def hash_limits(df: DataFrame, key: str, n: int, seeds: Sequence[int]) -> list[tuple[int, Any] | None]:
+    """For each seed, (hash, key) of the n-th row in its hash order; None for n <= 0, (2^32, None) beyond the last row.
+
+    A radix search over the hashes of all seeds at once: three narrow counts, and one more
+    pass for rows that share the limit's hash.  The jobs do not grow with the seeds.
+    """
     if n <= 0:
-        return None
-    hashed = df.select(hash32(F.col(key), seed).alias("h"), F.col(key).cast("long").alias("k"))
-    low, left = 0, n
-    for shift in (20, 8, 0):
-        width = 1 << shift
-        for bucket, count in sorted(hashed.groupBy(F.floor((F.col("h") - low) / width).alias("b")).count().collect()):
-            if left <= count:
-                low += bucket * width
-                hashed = hashed.where((F.col("h") >= low) & (F.col("h") < low + width))
-                break
-            left -= count
-        else:
-            return (2**32, 2**63 - 1)
-    ties = hashed.orderBy("k").limit(left).collect()  # rows of one 32-bit hash
-    return low, ties[-1]["k"]
+        return [None] * len(seeds)
+    order = df.select(F.col(key).alias("k"), F.posexplode(F.array(*[_hash(df, key, s) for s in seeds])).alias("feature", "v"))
+    found = quantiles.select_ranks(order, [(i, n - 1) for i in range(len(seeds))], whole=(20, 8, 0))
+    limits = df.sparkSession.createDataFrame([(i, int(h)) for (i, _), h in found.items()], "f2 int, h long")
+    near = order.join(F.broadcast(limits), (F.col("feature") == F.col("f2")) & (F.col("v") <= F.col("h")))
+    ties = F.sort_array(F.collect_list(F.when(F.col("v") == F.col("h"), F.col("k"))))  # rows of one 32-bit hash
+    told = {r["feature"]: r for r in near.groupBy("feature").agg(F.count_if(F.col("v") < F.col("h")).alias("less"), ties.alias("ties")).collect()}
+    return [(int(found[i, n - 1]), told[i]["ties"][n - told[i]["less"] - 1]) if (i, n - 1) in found else (2**32, None) for i in range(len(seeds))]
+
+
+def hash_limit(df: DataFrame, key: str, n: int, seed: int = 51) -> tuple[int, Any] | None:
+    return hash_limits(df, key, n, [seed])[0]
+
+
+def first_in_hash_orders(df: DataFrame, key: str, n: int, seeds: Sequence[int]) -> list[Column]:
+    """For each seed, a condition that holds for exactly the first n rows of ``df`` in its hash order (distinct keys)."""
+    out = []
+    for seed, limit in zip(seeds, hash_limits(df, key, n, seeds), strict=True):
+        h = _hash(df, key, seed)
+        out.append(F.lit(False) if limit is None else F.lit(True) if limit[1] is None else (h < limit[0]) | ((h == limit[0]) & (F.col(key) <= F.lit(limit[1]))))
+    return out
 
 
 def first_in_hash_order(df: DataFrame, key: str, n: int, seed: int = 51) -> Column:
-    """A condition that holds for exactly the first n rows of ``df`` in hash order (distinct keys)."""
-    limit = hash_limit(df, key, n, seed)
-    if limit is None:
-        return F.lit(False)
-    h = hash32(F.col(key), seed)
-    return (h < limit[0]) | ((h == limit[0]) & (F.col(key) <= limit[1]))
+    return first_in_hash_orders(df, key, n, [seed])[0]
 
 
 def split_train_test(df: DataFrame, key: str, fraction: float = 0.8, seed: int = 51) -> DataFrame:

@@ -5,31 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colligo.operators.moments import moments
 from colligo.operators.order import with_global_rank
+from colligo.operators.quantiles import quantile_midpoints
 
 
 def weighted_mean(x: str, w: str) -> Column:
     return F.try_divide(F.sum(F.col(w) * F.col(x)), F.sum(w))
 
 
-def weighted_variance(x: str, w: str) -> Column:
-    """From weighted moments in one pass."""
-    mean = weighted_mean(x, w)
-    return F.try_divide(F.sum(F.col(w) * F.col(x) * F.col(x)), F.sum(w)) - mean * mean
+def weighted_moments(long: DataFrame, label: str = "y", weight: str = "w") -> DataFrame:
+    """feature, mean, variance, covariance with the label, label_variance; all weighted.
 
-
-def weighted_covariance(x: str, y: str, w: str) -> Column:
-    return F.try_divide(F.sum(F.col(w) * F.col(x) * F.col(y)), F.sum(w)) - weighted_mean(x, w) * weighted_mean(y, w)
+    Deviations are taken from each feature's own means, found by a first pass, so that large
+    means cancel nothing.  Features are few: their means are broadcast.
+    """
+    known = long.where(F.col("v").isNotNull() & F.col(label).isNotNull() & F.col(weight).isNotNull())
+    means = known.groupBy("feature").agg(weighted_mean("v", weight).alias("mean"), weighted_mean(label, weight).alias("label_mean"))
+    means = means.select(F.col("feature").alias("f2"), "mean", "label_mean")
+    w, a, b = F.col(weight), F.col("v") - F.col("mean"), F.col(label) - F.col("label_mean")
+    near = known.join(F.broadcast(means), F.col("feature").eqNullSafe(F.col("f2")))
+    return near.groupBy("feature").agg(
+        F.first("mean").alias("mean"), F.try_divide(F.sum(w * a * a), F.sum(w)).alias("variance"), F.try_divide(F.sum(w * a * b), F.sum(w)).alias("covariance"), F.try_divide(F.sum(w * b * b), F.sum(w)).alias("label_variance"),
+    )
 
 
-def weighted_pearson(x: str, y: str, w: str) -> Column:
-    """Weighted correlation; null where either side is constant."""
-    return F.try_divide(weighted_covariance(x, y, w), F.sqrt(F.greatest(weighted_variance(x, w), F.lit(0.0))) * F.sqrt(F.greatest(weighted_variance(y, w), F.lit(0.0))))
+def feature_correlations(long: DataFrame, label: str = "y", weight: str = "w") -> DataFrame:
+    """feature, corr: absolute weighted correlation of every feature with the label; null where either is constant."""
+    return weighted_moments(long, label, weight).select("feature", F.abs(F.try_divide(F.col("covariance"), F.sqrt("variance") * F.sqrt("label_variance"))).alias("corr"))
 
 
-def feature_correlations(long: DataFrame, label: str = "y", weight: str = "w") -> DataFrame:
-    """feature, corr: absolute weighted correlation of every feature with the label, in one pass."""
-    return long.groupBy("feature").agg(F.abs(weighted_pearson("v", label, weight)).alias("corr"))
+def vector_correlations(df: DataFrame, x: str = "x", label: str = "y", weight: str | None = None) -> DataFrame:
+    """feature, corr of every entry of a vector column with the label, from one pass and without unfolding it."""
+    told = moments(df, F.concat(F.transform(x, lambda v: v.cast("double")), F.array(F.col(label).cast("double"))), weight)
+    c = told.correlations()[:-1, -1] if told.rows else []
+    return df.sparkSession.createDataFrame([(j, None if v != v else abs(float(v))) for j, v in enumerate(c)], "feature int, corr double")
 
 
 def top_features(scores: DataFrame, k: int, score: str = "corr") -> DataFrame:
@@ -40,9 +50,8 @@ def top_features(scores: DataFrame, k: int, score: str = "corr") -> DataFrame:
 def impurity(df: DataFrame, label: str, classification: bool, weight: str | None = None) -> DataFrame:
     """One row: Gini, or the (weighted) variance, of the label."""
     if not classification:
-        w = F.col(weight) if weight else F.lit(1.0)
-        mean = F.sum(w * F.col(label)) / F.sum(w)
-        return df.agg((F.sum(w * F.col(label) * F.col(label)) / F.sum(w) - mean * mean).alias("impurity"))
+        one = df.select(F.lit(0).alias("feature"), F.col(label).alias("v"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
+        return weighted_moments(one, "v").select(F.col("variance").alias("impurity"))
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     total = F.sum("n")
     return counts.agg((1 - F.sum(F.col("n") * F.col("n")) / (total * total)).alias("impurity"))
@@ -81,31 +90,10 @@ def split_candidates(long: DataFrame, max_bins: int) -> DataFrame:
 
     With max_bins distinct values or more: max_bins - 1 midpoints of neighbours at equal
     rank steps b = floor(n / max_bins).  Else every distinct value but the last; one
-    distinct value is its own candidate.  Ranks come from one distributed sort.
+    distinct value is its own candidate.  Ranks are found by a radix search, without a sort.
     """
-    kinds = long.groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct("v").alias("distinct"))
-    sizes = kinds.collect()  # a row for each feature
-    start, starts = 0, []
-    for r in sorted(sizes, key=lambda r: r["feature"]):
-        starts.append((r["feature"], start, r["n"], r["distinct"]))
-        start += r["n"]
-    many = [(f, s, n) for f, s, n, d in starts if d >= max_bins]
-    few = [f for f, _, _, d in starts if d < max_bins]
-    spark = long.sparkSession
-    parts = []
-    if many:
-        wanted = [(f, i, s + min((i + 1) * (n // max_bins) + side, n - 1)) for f, s, n in many for i in range(max_bins - 1) for side in (0, 1)]
-        ranks = spark.createDataFrame(wanted, "feature int, split_id int, rank long")
-        ranked = with_global_rank(long.select("feature", "v"), "feature", "v")
-        found = ranked.select("rank", "v").join(F.broadcast(ranks), "rank")
-        parts.append(found.groupBy("feature", "split_id").agg(F.avg("v").alias("threshold")))
-    if few:
-        values = long.where(F.col("feature").isin(few)).select("feature", "v").distinct()  # fewer than max_bins a feature
-        order = Window.partitionBy("feature").orderBy("v")
-        numbered = values.withColumns({"split_id": F.row_number().over(order) - 1, "last": F.lead("v").over(order).isNull()})
-        parts.append(numbered.where(~F.col("last") | (F.col("split_id") == 0)).select("feature", "split_id", F.col("v").alias("threshold")))
-    out = parts[0] if parts else spark.createDataFrame([], "feature int, split_id int, threshold double")
-    return out.union(parts[1]) if len(parts) > 1 else out
+    rows = [(f, i, t) for f, ts in quantile_midpoints(long, max_bins).items() for i, t in enumerate(ts)]
+    return long.sparkSession.createDataFrame(rows, "feature int, split_id int, threshold double")
 
 
 def bucketize(long: DataFrame, splits: DataFrame) -> DataFrame:

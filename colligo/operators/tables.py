@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colligo.functions.vectors import hash32
-from colligo.operators.order import first_in_hash_order
+from colligo.operators.order import first_in_hash_orders, with_global_rank
 
 
 def align(parties: Sequence[DataFrame], key: str = "row_id") -> DataFrame:
@@ -69,22 +69,28 @@ def importance_split(scores: DataFrame, parties: int) -> DataFrame:
     return scores.withColumn("party", ((rank - 1) % parties).cast("int"))
 
 
+def batch_conditions(df: DataFrame, key: str, size: int, iterations: Sequence[int], seed: int = 51) -> list[Column]:
+    """For each iteration, a condition that holds for its batch: the first ``size`` rows of a hash order of its own.
+
+    The limits of all iterations come from the same few counts; a batch is then a filter.
+    """
+    return first_in_hash_orders(df, key, size, [seed + 7919 * (t + 1) for t in iterations])
+
+
 def mini_batch(df: DataFrame, key: str, size: int, iteration: int, seed: int = 51) -> DataFrame:
-    """The iteration's batch: the first ``size`` rows of a hash order of its own."""
-    return df.where(first_in_hash_order(df, key, size, seed + 7919 * (iteration + 1)))
+    return df.where(batch_conditions(df, key, size, [iteration], seed)[0])
 
 
 def tree_samples(df: DataFrame, key: str, trees: int, rate: float, seed: int = 51) -> DataFrame:
-    """``df`` once for each tree with tree_id, each with exactly floor(rate * rows) rows, without replacement."""
-    keys = df.select(key).persist()  # every tree counts hashes of the keys alone
+    """``df`` once for each tree with tree_id, each with exactly floor(rate * rows) rows, without replacement.
+
+    A row is repeated for the trees that it belongs to, from one scan.
+    """
+    keys = df.select(key)
     n = int(keys.count() * rate + 1e-9)
-    limits = [first_in_hash_order(keys, key, n, seed + 104729 * (t + 1)) for t in range(trees)]
-    keys.unpersist()
-    parts = [df.where(limit).withColumn("tree_id", F.lit(t)) for t, limit in enumerate(limits)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    limits = first_in_hash_orders(keys, key, n, [seed + 104729 * (t + 1) for t in range(trees)])
+    mine = F.filter(F.array(*[F.when(c, F.lit(t)) for t, c in enumerate(limits)]), lambda t: t.isNotNull())
+    return df.select("*", F.explode(mine).alias("tree_id"))
 
 
 def bootstrap(df: DataFrame, rank: str, rows: int, size: int, seed: int = 51) -> DataFrame:
@@ -98,10 +104,22 @@ def random_label(key: Column, seed: int = 51) -> Column:
 
 
 def even_partition(position: Column, n: int, parts: int) -> Column:
-    """Partition of a position when n are cut into contiguous chunks of ceil(n / parts)."""
+    """Partition of a position, from 0, when n are cut into contiguous chunks of ceil(n / parts)."""
     return F.floor(position / (-(-n // parts))).cast("int")
 
 
+def partition_by_rank(df: DataFrame, parts: int, *order: Column | str) -> DataFrame:
+    """``df`` with part: rows in a total order, cut into contiguous chunks of ceil(rows / parts)."""
+    ranked = with_global_rank(df, *order, name="__rank")
+    return ranked.withColumn("part", even_partition(F.col("__rank"), ranked.count(), parts)).drop("__rank")
+
+
+def subset_with_first(df: DataFrame, key: str, first, n: int, seed: int = 51) -> DataFrame:
+    """The row whose key is ``first``, and exactly n others (all, if fewer) in hash order."""
+    others = df.where(F.col(key) != F.lit(first))
+    return df.where((F.col(key) == F.lit(first)) | ((F.col(key) != F.lit(first)) & first_in_hash_orders(others, key, n, [seed])[0]))
+
+
 def balanced_partition(dimension: DataFrame, parts: int) -> DataFrame:
     """Each party's features over all partitions in contiguous chunks of ceil(size / parts)."""
     sizes = dimension.groupBy("party").agg(F.count("*").alias("size"))

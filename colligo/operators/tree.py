@@ -1,8 +1,9 @@
 """Decision trees, forests and gradient boosting, grown level by level.
 
-One aggregation per level serves all open nodes of all trees.  A model is a small list
-of nodes on the driver; rows find their node through a CASE expression built from it,
-so no lineage grows from level to level or from tree to tree.
+One aggregation per level serves all open nodes of all trees, and all outputs of a boosting
+round.  A model is a small list of nodes on the driver.  While trees grow, rows find their
+node through a CASE expression of that tree; finished ensembles are walked as arrays
+(``ensemble``).  No lineage grows from level to level or from tree to tree.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colligo.functions.vectors import softmax
-from colligo.operators.stats import split_candidates
+from colligo.functions.vectors import argmax, softmax
+from colligo.operators.ensemble import Ensemble
+from colligo.operators.quantiles import quantile_midpoints
 from colligo.operators.tables import to_long, tree_samples
+from colligo.sources.scratch import materialize
 
 NODE = "tree_id int, node_id long, depth int, is_leaf boolean, feature int, threshold double, label double, impurity double, n long, gain double"
 
@@ -57,21 +60,27 @@ class Trees:
     def predict_tree(self, tree: int, x: str = "x") -> Column:
         return self._walk(tree, 0, x, lambda n: F.lit(float(n.label)))
 
+    def ensemble(self) -> Ensemble:
+        """The trees as arrays; outputs are the votes for each class, or the sum of all values."""
+        trees = [[n for (t2, _), n in sorted(self.nodes.items()) if t2 == t] for t in self.tree_ids()]
+        return Ensemble.of_nodes(trees, [0.0] * max(self.classes, 1), lambda _, n: (int(n.label), 1.0) if self.classes else (0, n.label))
+
     def votes(self, x: str = "x") -> Column:
-        return F.array(*[self.predict_tree(t, x) for t in self.tree_ids()])
+        """Each tree's own value."""
+        trees = [[n for (t2, _), n in sorted(self.nodes.items()) if t2 == t] for t in self.tree_ids()]
+        return Ensemble.of_nodes(trees, [0.0], lambda _, n: (0, n.label)).votes(x)
 
     def predict(self, x: str = "x") -> Column:
         """One tree's value; of several, the most frequent class (ties: the lowest) or the mean."""
-        votes = self.votes(x)
-        if self.classes:
-            counts = [_votes_for(votes, c) for c in range(self.classes)]
-            most = F.greatest(*counts) if len(counts) > 1 else counts[0]
-            return F.array_position(F.array(*counts), most).cast("double") - 1
-        return F.aggregate(votes, F.lit(0.0), lambda a, e: a + e) / len(self.tree_ids())
+        trees = self.tree_ids()
+        if len(trees) == 1:
+            return self.predict_tree(trees[0], x)
+        out = self.ensemble().scores(x, "mean")
+        return argmax(out).cast("double") if self.classes else F.get(out, F.lit(0))
 
     def probabilities(self, x: str = "x") -> Column:
-        votes = self.votes(x)
-        return F.array(*[_votes_for(votes, c) / len(self.tree_ids()) for c in range(self.classes)])
+        """Share of the trees that vote for each class."""
+        return self.ensemble().scores(x, "mean")
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [tuple(vars(n).values()) for _, n in sorted(self.nodes.items())]
@@ -87,17 +96,13 @@ class Trees:
         return inner.select("feature", F.try_divide(F.col("g"), F.sum("g").over(Window.partitionBy(F.lit(0)))).alias("importance"))
 
 
-def _votes_for(votes: Column, c: int) -> Column:
-    return F.size(F.filter(votes, lambda v: v == c))
-
-
 def _bucket(thresholds: Column, feature: int) -> Column:
     return F.size(F.filter(thresholds, lambda t: t < F.get("x", F.lit(feature))))
 
 
 def _weighted_impurity(prefix: str, stats: Sequence[str], classes: int) -> Column:
     """n x impurity from statistics: n - sum c^2 / n for class counts, q - s^2 / n for moments."""
-    n, *rest = (F.col(f"{prefix}{s}") for s in stats if s != "rows")
+    n, *rest = (F.col(f"{prefix}{s}") for s in stats if s not in ("rows", "h"))
     if classes:
         squares = rest[0] * rest[0]
         for c in rest[1:]:
@@ -108,21 +113,27 @@ def _weighted_impurity(prefix: str, stats: Sequence[str], classes: int) -> Colum
 
 def grow(
     df: DataFrame, classes: int = 0, max_depth: int = 3, max_bins: int = 8, min_samples_split: float = 2, min_samples_leaf: float = 1, min_impurity_decrease: float = 0.0,
-    min_impurity_split: float = 0.0, label: str = "y", weight: str | None = None, splits: dict[int, list[float]] | None = None,
+    min_impurity_split: float = 0.0, label: str = "y", weight: str | None = None, splits: dict[int, list[float]] | None = None, curvature: str | None = None,
 ) -> Trees:
     """Trees for ``df`` (row_id, x, label, optionally tree_id): Gini of ``classes`` classes, or variance if 0.
 
     A split is x <= threshold over the quantile candidates; the largest decrease of
     impurity wins, ties to the lower feature and threshold.  A leaf is the most
-    frequent class (ties: the lowest) or the mean.
+    frequent class (ties: the lowest) or the mean; with ``curvature``, the sum of the label
+    over the sum of that column, 0 for 0 / 0, from the same aggregation.
     """
-    df = (df if "tree_id" in df.columns else df.withColumn("tree_id", F.lit(0))).persist()
+    df = df if "tree_id" in df.columns else df.withColumn("tree_id", F.lit(0))
+    mine = not df.is_cached
+    if mine:
+        df = df.persist()
     if splits is None:
         splits = candidate_lists(df, max_bins)
     model = Trees(classes=classes)
     w = F.col(weight) if weight else F.lit(1.0)
     stats = {"n": w} | ({f"c{k}": F.when(F.col(label) == k, w).otherwise(0.0) for k in range(classes)} if classes else {"s": w * F.col(label), "q": w * F.col(label) * F.col(label)})
     stats["rows"] = F.lit(1)
+    if curvature:
+        stats["h"] = F.col(curvature)
     names = list(stats)
     limits = F.create_map(*[e for f, ts in splits.items() for e in (F.lit(f), F.array(*[F.lit(float(t)) for t in ts]))])
     features = sorted(splits)
@@ -151,6 +162,8 @@ def grow(
             n = r["n"]
             heap = (n - sum(r[f"c{k}"] ** 2 for k in range(classes)) / n if classes else r["q"] - r["s"] ** 2 / n) if n else 0.0
             value = max(range(classes), key=lambda k: (r[f"c{k}"], -k)) if classes else (r["s"] / n if n else 0.0)
+            if curvature:
+                value = r["s"] / r["h"] if r["h"] else 0.0
             item = Node(key[0], key[1], depth, True, None, None, float(value), heap / n if n else 0.0, int(r["rows"]))
             if split and n >= min_samples_split and split["gain"] > max(0.0, min_impurity_decrease) and item.impurity > min_impurity_split:
                 item.is_leaf, item.feature, item.gain = False, -split["f"], split["gain"]
@@ -160,7 +173,8 @@ def grow(
         if not opened:
             break
         node = _open_node(model)
-    df.unpersist()
+    if mine:
+        df.unpersist()
     return model
 
 
@@ -183,10 +197,7 @@ def _open_node(model: Trees) -> Column:
 
 def candidate_lists(df: DataFrame, max_bins: int) -> dict[int, list[float]]:
     """Thresholds of every feature; as many as features times bins."""
-    out: dict[int, list[float]] = {}
-    for r in split_candidates(to_long(df.select("row_id", "x")), max_bins).collect():
-        out.setdefault(r["feature"], []).append(r["threshold"])
-    return {f: sorted(set(t)) for f, t in sorted(out.items())}
+    return {f: sorted(set(t)) for f, t in quantile_midpoints(to_long(df.select("row_id", "x")), max_bins).items()}
 
 
 def forest(df: DataFrame, trees: int, rate: float = 0.8, seed: int = 51, **how) -> Trees:
@@ -204,65 +215,62 @@ class Boosted:
     prior: list[float]
     trees: list[list[Trees]] = field(default_factory=list)
 
-    def raw(self, x: str = "x") -> list[Column]:
-        out = []
-        for k, p in enumerate(self.prior):
-            total = F.lit(float(p))
-            for stage in self.trees:
-                total = total + F.lit(self.rate) * stage[k].predict_tree(0, x)
-            out.append(total)
-        return out
+    def ensemble(self) -> Ensemble:
+        trees = [[n for _, n in sorted(t.nodes.items())] for stage in self.trees for t in stage]
+        outputs = [k for stage in self.trees for k in range(len(stage))]
+        return Ensemble.of_nodes(trees, self.prior, lambda t, n: (outputs[t], self.rate * n.label))
+
+    def raw(self, x: str = "x") -> Column:
+        """ARRAY<DOUBLE>: the raw outputs."""
+        return self.ensemble().scores(x)
 
     def probabilities(self, x: str = "x") -> Column:
-        raw = self.raw(x)
-        if len(raw) == 1:
-            p = 1 / (1 + F.exp(-raw[0]))
-            return F.array(1 - p, p)
-        return softmax(F.array(*raw))
+        return self.ensemble().scores(x, "expit" if len(self.prior) == 1 else "softmax")
 
     def predict(self, x: str = "x") -> Column:
         """The value; or the class, 1 for probabilities strictly above 0.5, or the first largest."""
         if self.loss == "ls":
-            return self.raw(x)[0]
+            return F.get(self.raw(x), F.lit(0))
         p = self.probabilities(x)
-        if len(self.prior) == 1:
-            return F.when(F.get(p, F.lit(1)) > 0.5, 1.0).otherwise(0.0)
-        return F.array_position(p, F.array_max(p)).cast("double") - 1
+        return F.when(F.get(p, F.lit(1)) > 0.5, 1.0).otherwise(0.0) if len(self.prior) == 1 else argmax(p).cast("double")
 
 
 def boost(df: DataFrame, loss: str = "ls", classes: int = 2, rounds: int = 8, rate: float = 0.1, max_depth: int = 3, max_bins: int = 8) -> Boosted:
-    """Gradient boosting: ``ls`` for values, ``deviance`` for two or more classes."""
-    splits = candidate_lists(df, max_bins)
+    """Gradient boosting: ``ls`` for values, ``deviance`` for two or more classes.
+
+    All outputs of a round grow together: a row stands once for each output in the same
+    aggregations, which also sum what re-estimates the leaves, so a round takes as many jobs
+    as its trees have levels, and one that saves the raw scores.  Only the round's own
+    trees are evaluated, so a round costs the same however many came before.
+    """
     clip = lambda p: min(max(p, 1e-3), 1 - 1e-3)
+    several = loss != "ls" and classes > 2
+    shares = df.agg(*[F.avg((F.col("y") == k).cast("double")) for k in range(classes)] if several else [F.avg("y")]).first()
     if loss == "ls":
-        model = Boosted(loss, rate, [df.agg(F.avg("y")).first()[0] or 0.0])
-    elif classes == 2:
-        p = clip(df.agg(F.avg("y")).first()[0] or 0.0)
-        model = Boosted(loss, rate, [math.log(p / (1 - p))])
+        prior = [shares[0] or 0.0]
+    elif several:
+        prior = [math.log(clip(s or 0.0)) for s in shares]
     else:
-        shares = df.agg(*[F.avg((F.col("y") == k).cast("double")) for k in range(classes)]).first()
-        model = Boosted(loss, rate, [math.log(clip(s or 0.0)) for s in shares])
-    df = df.select("row_id", "x", "y").persist()
+        p = clip(shares[0] or 0.0)
+        prior = [math.log(p / (1 - p))]
+    model = Boosted(loss, rate, prior)
+    splits = candidate_lists(df, max_bins)
+    state = materialize(df.select("row_id", "x", "y", F.array(*map(F.lit, prior)).alias("raw")), "scores")
+    factor = (classes - 1) / classes if several else 1.0
     for _ in range(rounds):
-        raw = model.raw()
-        if loss == "ls":
-            parts = [F.col("y") - raw[0]]
-        elif classes == 2:
-            parts = [F.col("y") - 1 / (1 + F.exp(-raw[0]))]
-        else:
-            shares = softmax(F.array(*raw))
-            parts = [F.when(F.col("y") == k, 1.0).otherwise(0.0) - F.get(shares, F.lit(k)) for k in range(classes)]
-        stage = []
-        for k, r in enumerate(parts):
-            rows = df.withColumn("r", r)
-            tree = grow(rows, 0, max_depth, label="r", splits=splits)
-            if loss != "ls":
-                y = F.col("y") if classes == 2 else F.when(F.col("y") == k, 1.0).otherwise(0.0)
-                top, bottom = F.sum("r"), F.sum((y - F.col("r")) * (1 - y + F.col("r")))
-                factor = 1.0 if classes == 2 else (classes - 1) / classes
-                for leaf in rows.groupBy(tree.leaf(0).alias("leaf")).agg((F.coalesce(F.try_divide(top, bottom), F.lit(0.0)) * factor).alias("v")).collect():
-                    tree.nodes[0, leaf["leaf"]].label = leaf["v"]
-            stage.append(tree)
+        outputs = []
+        fitted = softmax(F.col("raw")) if several else None
+        for k in range(len(prior)):
+            y = F.when(F.col("y") == k, 1.0).otherwise(0.0) if several else F.col("y")
+            raw = F.get("raw", F.lit(k))
+            r = y - (raw if loss == "ls" else F.get(fitted, F.lit(k)) if several else 1 / (1 + F.exp(-raw)))
+            outputs.append(F.struct(F.lit(k).alias("tree_id"), r.alias("r"), ((y - r) * (1 - y + r)).alias("h")))
+        grown = grow(state.select("row_id", "x", F.inline(F.array(*outputs))), 0, max_depth, label="r", splits=splits, curvature=None if loss == "ls" else "h")
+        stage = [Trees({(0, n): node for (t, n), node in grown.nodes.items() if t == k}) for k in range(len(prior))]
+        for t in stage:
+            for node in t.nodes.values():
+                node.tree_id = 0
+                node.label *= factor if node.is_leaf else 1.0
         model.trees.append(stage)
-    df.unpersist()
+        state = materialize(state.withColumn("raw", F.array(*[F.get("raw", F.lit(k)) + F.lit(rate) * t.predict_tree(0) for k, t in enumerate(stage)])), "scores")
     return model

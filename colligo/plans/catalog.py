@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colligo.functions import vectors as V
-from colligo.operators import explain, linear, metrics, mlp, order, stats, tables, tree
+from colligo.operators import explain, linear, matrix, metrics, mlp, moments, order, quantiles, stats, tables, tree
 from colligo.plans import jobs
 from colligo.sources.io import read_table
 from colligo.sources.scratch import materialize
@@ -111,8 +111,8 @@ def split_with_bias(s, d):
 def mini_batches(s, d):
     """PRJ-3/4: a batch of 64 of its own order for each of three iterations."""
     o = read_table(s, d, "orders").select(F.col("o_orderkey").alias("row_id"))
-    parts = [tables.mini_batch(o, "row_id", 64, t).select(F.lit(t).alias("iteration"), "row_id") for t in range(3)]
-    return parts[0].union(parts[1]).union(parts[2])
+    batches = F.array(*[F.when(c, F.lit(t)) for t, c in enumerate(tables.batch_conditions(o, "row_id", 64, range(3)))])
+    return o.select(F.explode(F.filter(batches, lambda t: t.isNotNull())).alias("iteration"), "row_id")
 
 
 @query(" union all ".join(f"select {t}::int as tree_id, o_orderkey as row_id from (select *, row_number() over (order by {_hash('o_orderkey', 51 + 104729 * (t + 1))}, o_orderkey) as n from orders) where n <= floor(0.6 * (select count(*) from orders))" for t in range(3)))
@@ -160,17 +160,29 @@ def random_labels(s, d):
     return read_table(s, d, "orders").select("o_orderkey", tables.random_label(F.col("o_orderkey")).cast("long").alias("label"))
 
 
-@query("select o_orderkey, cast(floor(o_orderkey / ceil((select count(*) from orders) / 7.0)) as int) as part from orders")
+@query("select o_orderkey, cast(floor((row_number() over (order by o_totalprice, o_orderkey) - 1) / ceil((select count(*) from orders) / 7.0)) as int) as part from orders")
 def even_partition(s, d):
-    """PRJ-14: contiguous chunks."""
-    o = read_table(s, d, "orders")
-    return o.select("o_orderkey", tables.even_partition(F.col("o_orderkey"), o.count(), 7).alias("part"))
+    """PRJ-14: contiguous chunks of a total order."""
+    return tables.partition_by_rank(read_table(s, d, "orders").select("o_orderkey", "o_totalprice"), 7, "o_totalprice", "o_orderkey").select("o_orderkey", "part")
+
+
+@query(f"select o_orderkey as row_id from orders where o_orderkey = (select min(o_orderkey) from orders) union all select o_orderkey from (select o_orderkey, row_number() over (order by {_hash('o_orderkey')}, o_orderkey) as n from orders where o_orderkey > (select min(o_orderkey) from orders)) where n <= 100")
+def sample_with_first(s, d):
+    """PRJ-6: the first row, and exactly 100 others."""
+    o = read_table(s, d, "orders").select(F.col("o_orderkey").alias("row_id"))
+    return tables.subset_with_first(o, "row_id", o.agg(F.min("row_id")).first()[0], 100)
 
 
-@query("with f as (select unnest([0,0,0,0,0,0,0,0,0,0,0,1,1,1,1,1,1,1,1,1,1,2,2,2,2,2,2,2,2,2]) as party, unnest(range(30)) as g), l as (select g::int as global_idx, party::int as party, (row_number() over (partition by party order by g) - 1)::int as local_idx, count(*) over (partition by party) as n from f) select global_idx, party, local_idx, cast(floor(local_idx / ceil(n / 2.0)) as int) as part from l")
+def supplier_dimension(s: SparkSession, d: str) -> DataFrame:
+    """(global_idx, party, local_idx): suppliers as features that their nations own."""
+    own = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    return read_table(s, d, "supplier").select(F.col("s_suppkey").alias("global_idx"), F.col("s_nationkey").alias("party"), (F.row_number().over(own) - 1).alias("local_idx"))
+
+
+@query("with l as (select s_suppkey as global_idx, s_nationkey as party, (row_number() over (partition by s_nationkey order by s_suppkey) - 1)::int as local_idx, count(*) over (partition by s_nationkey) as n from supplier) select global_idx, party, local_idx, cast(floor(local_idx / ceil(n / 3.0)) as int) as part from l")
 def balanced_partition(s, d):
-    """PRJ-15: every party's features over both partitions."""
-    return tables.balanced_partition(tables.feature_dimension(s, [11, 10, 9]), 2).select("global_idx", "party", "local_idx", "part")
+    """PRJ-15: every party's features over all partitions, in contiguous chunks."""
+    return tables.balanced_partition(supplier_dimension(s, d), 3).select("global_idx", "party", "local_idx", "part")
 
 
 # joins ---------------------------------------------------------------------------------------------
@@ -182,17 +194,16 @@ def align_parties(s, d):
     return aligned(s, d).select("row_id", *[r(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(4)], "y")
 
 
-@query("with z as (select unnest([0, 1, 2]) as party, unnest([11, 10, 9]) as size) select party::int as party, size::bigint as size, cast(coalesce(sum(size) over (order by party rows between unbounded preceding and 1 preceding), 0) as bigint) as start from z")
+@query("with z as (select s_nationkey as party, count(*) as size from supplier group by 1) select party, size, cast(coalesce(sum(size) over (order by party rows between unbounded preceding and 1 preceding), 0) as bigint) as start from z")
 def party_offsets(s, d):
-    """JOIN-3/4/5: global offsets of party-local features."""
-    sizes = tables.feature_dimension(s, [11, 10, 9]).groupBy("party").agg(F.count("*").alias("size"))
-    return tables.party_offsets(sizes).select("party", "size", "start")
+    """JOIN-3/4: global offsets of party-local features."""
+    return tables.party_offsets(supplier_dimension(s, d).groupBy("party").agg(F.count("*").alias("size"))).select("party", "size", "start")
 
 
-@query(f"with {LONG}, t as (select feature, v as threshold from (select distinct feature, v, lead(v) over (partition by feature order by v) as nx from (select distinct feature, v from lo)) where nx is not null and feature > 0) select t.feature::int as feature, round(threshold, 6) as threshold, count(*) filter (where v <= threshold) as n_left, count(*) filter (where v > threshold) as n_right from t join lo on lo.feature = t.feature group by t.feature, threshold")
+@query(f"with {LONG}, t as (select feature, v as threshold from (select distinct feature, v, lead(v) over (partition by feature order by v) as nx from (select distinct feature, v from lo)) where nx is not null) select t.feature::int as feature, round(threshold, 6) as threshold, count(*) filter (where v <= threshold) as n_left, count(*) filter (where v > threshold) as n_right from t join lo on lo.feature = t.feature group by t.feature, threshold")
 def split_indicators(s, d):
     """JOIN-7: rows at or below each candidate, by buckets and prefix sums instead of a range join."""
-    long = lines_long(s, d).where("feature > 0").withColumn("node", F.lit(0))
+    long = lines_long(s, d).withColumn("node", F.lit(0))
     splits = stats.split_candidates(long, 64)
     out = stats.split_statistics(stats.bucketize(long, splits), splits)
     return out.select("feature", r("threshold").alias("threshold"), F.col("left_n").alias("n_left"), F.col("right_n").alias("n_right"))
@@ -212,7 +223,7 @@ def impurities(s, d):
 @query(f"with {LONG}, m as (select feature, sum(w*v)/sum(w) as mv, sum(w*y)/sum(w) as my from lo group by feature) select l.feature::int as feature, round(any_value(mv), 6) as mean, round(sum(w*(v-mv)*(v-mv))/sum(w), 6) as variance, round(sum(w*(v-mv)*(y-my))/sum(w), 3) as covariance from lo l join m using (feature) group by l.feature")
 def weighted_moments(s, d):
     """AGG-6/11/12/13."""
-    return lines_long(s, d).groupBy("feature").agg(r(stats.weighted_mean("v", "w")).alias("mean"), r(stats.weighted_variance("v", "w")).alias("variance"), r(stats.weighted_covariance("v", "y", "w"), 3).alias("covariance"))
+    return stats.weighted_moments(lines_long(s, d)).select("feature", r("mean").alias("mean"), r("variance").alias("variance"), r("covariance", 3).alias("covariance"))
 
 
 @query(f"with {LONG}, m as (select feature, sum(w*v)/sum(w) as mv, sum(w*y)/sum(w) as my from lo group by feature) select l.feature::int as feature, round(abs(sum(w*(v-mv)*(y-my))/sqrt(sum(w*(v-mv)*(v-mv)))/sqrt(sum(w*(y-my)*(y-my)))), 6) as corr from lo l join m using (feature) group by l.feature")
@@ -230,7 +241,10 @@ def pearson(s, d):
 @query("with c as (select l_linestatus, l_linenumber, count(*) as n from lineitem group by 1, 2), m as (select l_linestatus, l_linenumber, row_number() over (partition by l_linestatus order by n desc, l_linenumber) as k from c) select l.l_linestatus, any_value(m.l_linenumber) as most, round(median(l_quantity), 6) as middle, round(avg(l_quantity), 6) as mean, max(l_quantity) as largest from lineitem l join m on m.l_linestatus = l.l_linestatus and m.k = 1 group by l.l_linestatus")
 def mode_median_mean(s, d):
     """AGG-14/15/16: the lowest of equal modes, and the mean of two middles."""
-    return read_table(s, d, "lineitem").groupBy("l_linestatus").agg(F.mode("l_linenumber", True).alias("most"), r(F.median("l_quantity")).alias("middle"), r(F.avg("l_quantity")).alias("mean"), F.max("l_quantity").alias("largest"))
+    li = read_table(s, d, "lineitem")
+    means = li.groupBy("l_linestatus").agg(r(F.avg("l_quantity")).alias("mean"), F.max("l_quantity").alias("largest"))
+    middles = quantiles.with_medians(li, ["l_linestatus"], "l_quantity", "middle").withColumn("middle", r("middle"))
+    return means.join(middles, "l_linestatus").join(quantiles.mode(li, ["l_linestatus"], "l_linenumber", "most"), "l_linestatus")
 
 
 RULE = f"ru as (select row_id, y, amount, case when x0 > 0.9 then 1.0 else 0.0 end as p, x0 * 1.5 as guess from bk)"
@@ -366,11 +380,11 @@ def vector_algebra(s, d):
     return e.select("vec_id", r(V.dot(v, v), 5).alias("dot"), r(V.vector_sum(v), 5).alias("total"), r(V.squared_distance(v, V.add(v, v)), 5).alias("distance"), r(first(V.softmax(v))).alias("soft"), r(first(V.sum_normalize(v)), 3).alias("share"))
 
 
-@query("with n as (select unnest(range(1, 31)) as d), z as (select d, unnest(range(0, d + 1)) as z from n), c as (select d, z, factorial(d::int) / (factorial(z::int) * factorial((d - z)::int)) as c from z) select d::bigint as d, z::bigint as z, round(case when z in (0, d) then 1e-6 else greatest(1e-6, (d - 1) / (c * z * (d - z))::double) end, 9) as w from c where d <= 15")
+@query("with n as (select l_linenumber + 4 as d, cast(l_quantity as bigint) % (l_linenumber + 5) as z, count(*) as n from lineitem group by 1, 2) select d::int as d, z::bigint as z, n, round(case when z in (0, d) then 1e-6 else greatest(1e-6, (d - 1) / ((factorial(d::int) / (factorial(z::int) * factorial((d - z)::int))) * z * (d - z))::double) end, 9) as w from n")
 def kernel_shap_weights(s, d):
-    """MTH-8/9."""
-    n = s.range(1, 16).select(F.col("id").alias("d")).select("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d"))).alias("z"))
-    return n.select("d", "z", r(V.kernel_shap_weight(F.col("d"), F.col("z")), 9).alias("w"))
+    """MTH-8/9: coalitions by feature count and size, with their kernel weights."""
+    n = read_table(s, d, "lineitem").groupBy((F.col("l_linenumber") + 4).alias("d"), F.pmod(F.col("l_quantity").cast("long"), F.col("l_linenumber") + 5).alias("z")).agg(F.count("*").alias("n"))
+    return n.select("d", "z", "n", r(V.kernel_shap_weight(F.col("d"), F.col("z")), 9).alias("w"))
 
 
 @query("select event_id, cast(trunc(value * 65536) as double) as mantissa, round(trunc(value * 65536) / 65536, 6) as decoded, cast(trunc(trunc(value * 65536) / 256) as double) as shorter, round(2 * trunc(value * 65536) / 65536, 6) as doubled from events")
@@ -396,13 +410,62 @@ def additive_shares(s, d):
 
 @query("with a as (select l_returnflag, l_linestatus, sum(l_quantity) as v from lineitem group by 1, 2), b as (select l_linestatus, l_linenumber, sum(l_quantity) as v from lineitem group by 1, 2) select l_returnflag, l_linenumber, round(sum(a.v * b.v), 2) as v from a join b using (l_linestatus) group by 1, 2")
 def matrix_product(s, d):
-    """LA-13/14/15/18: a product of coordinate matrices."""
+    """LA-14/18: a product of small coordinate matrices, by a join."""
     li = read_table(s, d, "lineitem")
     a = li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("a"))
     b = li.groupBy("l_linestatus", "l_linenumber").agg(F.sum("l_quantity").alias("b"))
     return a.join(b, "l_linestatus").groupBy("l_returnflag", "l_linenumber").agg(r(F.sum(F.col("a") * F.col("b")), 2).alias("v"))
 
 
+#: Parts by suppliers, and suppliers by ship months; inner index 0 holds all first lines.
+SPARSE = """a as (select l_partkey as i, case when l_linenumber = 1 then 0 else l_suppkey + 1 end as j, sum(l_quantity) as v from lineitem group by 1, 2),
+b as (select case when l_linenumber = 1 then 0 else l_suppkey + 1 end as i, month(l_shipdate) + 12 * (l_partkey % 40) as j, sum(l_quantity) as v from lineitem group by 1, 2)"""
+
+
+def sparse_matrices(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    li = read_table(s, d, "lineitem").withColumn("k", F.when(F.col("l_linenumber") == 1, F.lit(0)).otherwise(F.col("l_suppkey") + 1))
+    a = li.select(F.col("l_partkey").alias("i"), F.col("k").alias("j"), F.col("l_quantity").alias("v"))
+    return a, li.select(F.col("k").alias("i"), (F.month("l_shipdate") + 12 * (F.col("l_partkey") % 40)).alias("j"), F.col("l_quantity").alias("v"))
+
+
+@query(f"with {SPARSE} select a.i::bigint as i, b.j::bigint as j, round(sum(a.v * b.v), 2) as v from a join b on a.j = b.i group by 1, 2")
+def tile_product(s, d):
+    """LA-14/18: a product of sparse matrices by tiles; a third of the entries share an inner index."""
+    return matrix.product(*sparse_matrices(s, d)).select("i", "j", r("v", 2).alias("v"))
+
+
+@query(f"with {SPARSE}, x as (select * from a where j % 2 = 0), y as (select i, j, 2 * v as v from a where j % 3 = 0) select coalesce(x.i, y.i)::bigint as i, coalesce(x.j, y.j)::bigint as j, round(coalesce(x.v, 0) + coalesce(y.v, 0), 2) as total, round(x.v * y.v, 2) as product from x full join y on x.i = y.i and x.j = y.j")
+def elementwise_algebra(s, d):
+    """LA-13/15: sum and product of two sparse matrices, entry by entry."""
+    a, _ = sparse_matrices(s, d)
+    x, y = matrix.entries(a.where("j % 2 = 0")), matrix.scale(matrix.entries(a.where("j % 3 = 0")), 2.0)
+    both = matrix.multiply_elements(x, y).select(F.col("i").alias("i2"), F.col("j").alias("j2"), r("v", 2).alias("product"))
+    total = matrix.add(x, y)
+    return total.join(both, (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")), "left").select("i", "j", r("v", 2).alias("total"), "product")
+
+
+_PRODUCTS = """e as (select vec_id, label::double as y, (label + 1)::double as w, unnest(list_append(embedding::double[], label::double)) as v, unnest(range(65)) as i from embeddings),
+m as (select i, sum(w * v) / sum(w) as m from e group by i), z as (select vec_id, e.i, w, v - m as d from e join m using (i)),
+p as materialized (select a.i, b.i as j, sum(a.w * a.d * b.d) as s from z a join z b on a.vec_id = b.vec_id group by 1, 2)"""
+
+
+@query(f"with {_PRODUCTS} select p.i::int as feature_i, p.j::int as feature_j, round(p.s / sqrt(x.s * y.s), 6) as corr from p join p x on x.i = p.i and x.j = p.i join p y on y.i = p.j and y.j = p.j where p.i < p.j and p.j < 64")
+def embedding_correlations(s, d):
+    """AGG-7/9, PRE-5: weighted correlations of all pairs of 64 features, from one pass."""
+    return moments.correlation_table(read_table(s, d, "embeddings"), "embedding", F.col("label") + 1).select("feature_i", "feature_j", r("corr").alias("corr"))
+
+
+@query(f"""with recursive {_PRODUCTS}, g as (select 0 as k, i, j, s as v from p where i < 64 union all
+ select k + 1, i, j, case when i = k then v / piv else v - beside * above / piv end from (select k, i, j, v, max(case when i = k and j = k then v end) over () as piv,
+ max(case when j = k then v end) over (partition by i) as beside, max(case when i = k then v end) over (partition by j) as above from g where k < 64)),
+b as (select i, v from g where k = 64 and j = 64)
+select (i + 1)::int as global_idx, round(v, 5) as w from b union all select 0::int, round((select m from m where i = 64) - (select sum(v * m) from b join m using (i)), 5)""")
+def embedding_least_squares(s, d):
+    """TRN-7/54, LIM-12: exact weighted least squares over 64 features; the SQL eliminates column by column."""
+    e = read_table(s, d, "embeddings").select(F.col("embedding").alias("x"), F.col("label").cast("double").alias("y"), (F.col("label") + 1).alias("w"))
+    return linear.least_squares(e, 64, "w").table(s).select("global_idx", r("w", 5).alias("w"))
+
+
 @query("select vec_id, round(embedding[1]::double, 6) as a, round(embedding[9]::double, 6) as b, round(0.5 * embedding[1]::double - embedding[2]::double + 0.25, 6) as z, 8 as width from embeddings")
 def reshape_and_affine(s, d):
     """MTH-10, LA-17, LA-27: rows of eight, transposed, and an affine layer."""
@@ -486,6 +549,24 @@ def weighted_linear_regression(s, d):
     return linear.fit(b, "linear", 3, 3, 0.05, weight="w").table(s).select("global_idx", r("w").alias("w"))
 
 
+def _batch_steps(steps: int, rate: float, size: int) -> str:
+    """Unrolled logistic steps on bk (three features), each on a batch of its own hash order."""
+    names, inputs = [f"w{j}" for j in range(4)], ["1.0", "x0", "x1", "x2"]
+    z = " + ".join(f"{w} * {i}" for w, i in zip(names, inputs, strict=True))
+    ctes = ["s0 as (select " + ", ".join(f"0.0::double as {w}" for w in names) + ")"]
+    for t in range(steps):
+        batch = f"(select * from bk qualify row_number() over (order by {_hash('row_id', 51 + 7919 * (t + 1))}, row_id) <= {size})"
+        sums = ", ".join(f"any_value({w}) - {rate} * (sum((1 / (1 + exp(-({z}))) - y) * {i}) / count(*)) as {w}" for w, i in zip(names, inputs, strict=True))
+        ctes.append(f"s{t + 1} as materialized (select {sums} from {batch}, s{t})")
+    return ", ".join(ctes)
+
+
+@query(f"with {BASKETS.replace('bk as', 'bk as materialized')}, {_batch_steps(20, 0.5, 256)} " + " union all ".join(f"select {j}::int as global_idx, round(w{j}, 6) as w from s20" for j in range(4)))
+def stochastic_logistic(s, d):
+    """TRN-1/53, PRJ-3: twenty steps on batches of 256, all planned by the same few counts."""
+    return linear.fit(baskets(s, d), "logistic", 3, 20, 0.5, batch=256).table(s).select("global_idx", r("w").alias("w"))
+
+
 @query(f"with {BASKETS} select round(regr_slope(amount, x0), 5) as slope, round(regr_intercept(amount, x0), 5) as intercept from bk")
 def least_squares(s, d):
     """TRN-7/54: one pass over products, solved on the driver."""
@@ -521,24 +602,25 @@ def _candidates(bins: int = 8) -> str:
     )
 
 
-def _tree(p: str, source: str, value: str, kind: str, depth: int, used: str = "true") -> str:
+def _tree(p: str, source: str, value: str, kind: str, depth: int, used: str = "true", weight: str = "1") -> str:
     """CTEs of a tree that grows on the rows of ``source`` (row_id, x0..x2, value) where ``used`` holds.
 
     {p}nodes (node, depth, n, s, q, f, t, gain) are its nodes; {p}leaf are all rows with their leaf's node and mean.
     """
     whole = lambda n, s, q: f"({n} - ({s} * {s} + ({n} - {s}) * ({n} - {s})) / {n})" if kind == "gini" else f"({q} - {s} * {s} / {n})"
     right = whole("(t.n - l.n)", "(t.s - l.s)", "(t.q - l.q)")
-    sums = f"count(*)::double as n, sum({value})::double as s, sum({value} * {value})::double as q"
+    sums = f"sum({weight})::double as n, sum({weight} * {value})::double as s, sum({weight} * {value} * {value})::double as q, count(*) as c"
+    also = "" if weight == "1" else f"{weight}, "
     out = [f"{p}a0 as materialized (select *, 0 as node from {source})"]
     for d in range(depth + 1):
         out.append(f"{p}t{d} as materialized (select node, {sums} from {p}a{d} where {used} group by node)")
         if d == depth:
             out.append(f"{p}b{d} as (select 0 as node, 0 as f, 0.0::double as t, 0.0::double as gain where false)")
             break
-        each = f"(select node, {value}, unnest([0, 1, 2]) as f, unnest([x0, x1, x2]) as x from {p}a{d} where {used})"
+        each = f"(select node, {also}{value}, unnest([0, 1, 2]) as f, unnest([x0, x1, x2]) as x from {p}a{d} where {used})"
         out += [
             f"{p}l{d} as (select z.node, c.f, c.t, {sums} from {each} z join q c on z.f = c.f and z.x <= c.t group by z.node, c.f, c.t)",
-            f"{p}g{d} as (select l.node, l.f, l.t, round(({whole('t.n', 't.s', 't.q')} - {whole('l.n', 'l.s', 'l.q')} - {right}) / t.n, 9) as gain from {p}l{d} l join {p}t{d} t on t.node = l.node where l.n < t.n)",
+            f"{p}g{d} as (select l.node, l.f, l.t, round(({whole('t.n', 't.s', 't.q')} - {whole('l.n', 'l.s', 'l.q')} - {right}) / t.n, 9) as gain from {p}l{d} l join {p}t{d} t on t.node = l.node where l.c < t.c)",
             f"{p}b{d} as materialized (select node, f, t, gain from {p}g{d} where gain > 0 qualify row_number() over (partition by node order by gain desc, f, t) = 1)",
             f"{p}a{d + 1} as materialized (select a.* exclude (node), 2 * a.node + case when (case b.f when 0 then a.x0 when 1 then a.x1 else a.x2 end) <= b.t then 1 else 2 end as node from {p}a{d} a join {p}b{d} b on a.node = b.node)",
         ]
@@ -648,6 +730,58 @@ def gbdt_multiclass(s, d):
     return _rounded(metrics.accuracy(b.withColumn("prediction", tree.boost(b, "deviance", 3, rounds=2, rate=0.3, max_depth=2).predict())))
 
 
+@query(f"with {BASKETS}, {_candidates()}, {_forest(5, 0.7, 3).replace('select y, (2 * sum(v) > 5)::int as p', 'select row_id, y, sum(v) / 5.0::double as p')} select row_id, round(p, 6) as p1, round(1 - p, 6) as p0 from ru")
+def forest_probabilities(s, d):
+    """PRD-9, AGG-20: each row's share of a forest's votes, from trees as arrays."""
+    b = baskets(s, d)
+    p = b.select("row_id", tree.forest(b, 5, 0.7, classes=2, max_depth=3).probabilities().alias("p"))
+    return p.select("row_id", r(F.get("p", F.lit(1))).alias("p1"), r(F.get("p", F.lit(0))).alias("p0"))
+
+
+@query(f"with {BASKETS}, {_candidates()}, {_boost('least(floor(amount / 1.2), 2.0)', 3, 2, 0.3, 2)} select row_id, round(raw0, 5) as raw0, round(raw1, 5) as raw1, round(raw2, 5) as raw2, round(exp(raw0) / (exp(raw0) + exp(raw1) + exp(raw2)), 5) as p0 from fin")
+def boosted_scores(s, d):
+    """PRD-10/11: each row's raw outputs and share of the first class under a boosted model."""
+    b = baskets(s, d).withColumn("y", F.least(F.floor(F.col("amount") / 1.2), F.lit(2)).cast("double"))
+    model = tree.boost(b, "deviance", 3, rounds=2, rate=0.3, max_depth=2)
+    out = b.select("row_id", model.raw().alias("raw"), model.probabilities().alias("p"))
+    return out.select("row_id", *[r(F.get("raw", F.lit(k)), 5).alias(f"raw{k}") for k in range(3)], r(F.get("p", F.lit(0)), 5).alias("p0"))
+
+
+@query(f"with {BASKETS}, {_candidates()}, {_forest(5, 0.7, 3)}, {_tree('d_', 'bk', 'y', 'gini', 3)} select (select round(avg((y = p)::int), 6) from ru) as forest, (select round(avg((y = (mean > 0.5)::int)::int), 6) from d_leaf) as tree")
+def tree_accuracies(s, d):
+    """MET-4/5: accuracy of a tree by equality, and of a forest within a tolerance."""
+    b = baskets(s, d)
+    one = metrics.accuracy(b.withColumn("prediction", tree.grow(b, 2, 3, 8).predict())).first()[0]
+    return metrics.accuracy(b.withColumn("prediction", tree.forest(b, 5, 0.7, classes=2, max_depth=3).predict()), tolerance=True).select(r("accuracy").alias("forest"), r(F.lit(one)).alias("tree"))
+
+
+_NET = mlp.Mlp.initial([3, 2, 1], ["logistic", "logistic"])
+
+
+def _mlp_steps(steps: int, rate: float, alpha: float) -> str:
+    """Unrolled full steps of a 3-2-1 perceptron on bk."""
+    (w1, w2), (b1, b2) = _NET.weights, _NET.biases
+    start = {f"u{i}{h}": w1[i][h] for i in range(3) for h in range(2)} | {f"c{h}": b1[h] for h in range(2)} | {f"v{h}": w2[h][0] for h in range(2)} | {"k": b2[0]}
+    ctes = ["n0 as (select " + ", ".join(f"{float(v)!r}::double as {name}" for name, v in start.items()) + ")"]
+    for t in range(steps):
+        hidden = ", ".join(f"1 / (1 + exp(-({' + '.join(f'u{i}{h} * x{i}' for i in range(3))} + c{h}))) as h{h}" for h in range(2))
+        out = f"(select *, 1 / (1 + exp(-(v0 * h0 + v1 * h1 + k))) - y as e from (select *, {hidden} from bk, n{t}))"
+        back = lambda h: f"e * v{h} * h{h} * (1 - h{h})"
+        grads = {f"u{i}{h}": f"{back(h)} * x{i}" for i in range(3) for h in range(2)} | {f"c{h}": back(h) for h in range(2)} | {f"v{h}": f"e * h{h}" for h in range(2)} | {"k": "e"}
+        decay = lambda name: f" + {alpha} * any_value({name})" if name[0] in "uv" else ""
+        ctes.append(f"n{t + 1} as (select " + ", ".join(f"any_value({name}) - {rate} / count(*) * (sum({g}){decay(name)}) as {name}" for name, g in grads.items()) + f" from {out})")
+    return ", ".join(ctes) + " " + " union all ".join(f"select '{name}' as name, round({name}, 6) as w from n{steps}" for name in start)
+
+
+@query(f"with {BASKETS}, {_mlp_steps(3, 0.7, 0.1)}")
+def mlp_steps(s, d):
+    """TRN-35..42, PRD-14: three full steps of a perceptron with two hidden units, all its weights."""
+    m = mlp.fit(baskets(s, d), _NET, 3, 0.7, alpha=0.1)
+    (w1, w2), (b1, b2) = m.weights, m.biases
+    rows = [(f"u{i}{h}", float(w1[i][h])) for i in range(3) for h in range(2)] + [(f"c{h}", float(b1[h])) for h in range(2)] + [(f"v{h}", float(w2[h][0])) for h in range(2)] + [("k", float(b2[0]))]
+    return s.createDataFrame(rows, "name string, w double").select("name", r("w").alias("w"))
+
+
 @query()
 def mlp_classifier(s, d):
     """TRN-35..42, PRD-12..14, MET-7."""
@@ -659,21 +793,76 @@ def mlp_classifier(s, d):
 # explanations ---------------------------------------------------------------------------------------------
 
 
-@query()
+_SAMPLES, _DEVIATION = 24, 0.2
+
+
+def _noise_sql(j: int) -> str:
+    """explain's noise of feature j in SQL."""
+    cell = f"(({_hash('row_id', 49)}) + (sample * 3 + {j}) * {explain.CELL_STEP})"
+    u, v = (f"((({_hash(cell, 51 + k)}) + 1) / 4294967297.0::double)" for k in (0, 1))
+    return f"(sqrt(-2 * ln({u})) * cos(2 * pi() * {v}))"
+
+
+def _local_sql() -> str:
+    """Weighted linear surrogates of both class probabilities around every row, on the two features that correlate most."""
+    cells = ", ".join(f"case when sample = 0 then x{j} else x{j} + {_DEVIATION} * {_noise_sql(j)} end as a{j}" for j in range(3))
+    z = "w0 + w1 * a0 + w2 * a1 + w3 * a2"
+    moments_ = [f"sum(w * d{i}) / sum(w) as m{i}, sum(w * d{i} * p) as p{i}, " + ", ".join(f"sum(w * d{i} * d{j}) as q{i}{j}" for j in range(i, 3)) for i in range(3)]
+    picks = " union all ".join(f"select row_id, output, {i} as f, c{i} as c from cr" for i in range(3))
+    pair = lambda name: f"case when f = 0 and g = 1 then {name}01 when f = 0 then {name}02 else {name}12 end"
+    of = lambda name, f: f"case {f} when 0 then {name}0 when 1 then {name}1 else {name}2 end"
+    diag = lambda f: f"case {f} when 0 then s00 when 1 then s11 else s22 end"
+    return f"""with {BASKETS}, {_steps('bk', 3, 'logistic', 3, 0.5)},
+sa as materialized (select row_id, x0, x1, x2, sample, {cells} from bk, range({_SAMPLES}) t(sample)),
+sw as (select row_id, a0 - x0 as d0, a1 - x1 as d1, a2 - x2 as d2, sqrt(exp(-(pow(a0 - x0, 2) + pow(a1 - x1, 2) + pow(a2 - x2, 2)) / (0.5625 * 3))) as w, 1 / (1 + exp(-({z}))) as p1 from sa, s3),
+so as (select *, o as output, case when o = 1 then p1 else 1 - p1 end as p from sw, range(2) t(o)),
+mo as (select row_id, output, sum(w) as w, sum(w * p) / sum(w) as mp, sum(w * p * p) - sum(w * p) * sum(w * p) / sum(w) as spp, {', '.join(moments_)} from so group by 1, 2),
+ce as (select row_id, output, w, mp, spp, m0, m1, m2, {', '.join(f'p{i} - w * m{i} * mp as t{i}' for i in range(3))}, {', '.join(f'q{i}{j} - w * m{i} * m{j} as s{i}{j}' for i in range(3) for j in range(i, 3))} from mo),
+cr as materialized (select *, {', '.join(f'round(abs(t{i} / sqrt(s{i}{i} * spp)), 9) as c{i}' for i in range(3))} from ce),
+rk as (select row_id, output, f, row_number() over (partition by row_id, output order by c desc, f) as n from ({picks})),
+ch as (select row_id, output, min(f) as f, max(f) as g from rk where n <= 2 group by 1, 2),
+sy as (select row_id, output, f, g, mp, {of('t', 'f')} as tf, {of('t', 'g')} as tg, {of('m', 'f')} as mf, {of('m', 'g')} as mg, {diag('f')} as a, {diag('g')} as b, {pair('s')} as c from cr join ch using (row_id, output)),
+be as (select *, (tf * b - tg * c) / (a * b - c * c) as wf, (tg * a - tf * c) / (a * b - c * c) as wg from sy)
+select row_id, output::int as output, f::int as feature, round(wf, 5) as importance, round(mp - wf * mf - wg * mg, 5) as intercept from be
+union all select row_id, output::int, g::int, round(wg, 5), round(mp - wf * mf - wg * mg, 5) from be"""
+
+
+@query(_local_sql())
 def lime_explanation(s, d):
-    """LIM-1..13: samples around a row, scored, weighted, selected and fitted."""
+    """LIM-1..4/6/7/9..13/15: every row is explained for both classes, in one job: samples, scores, weights, selection and surrogates."""
     b = baskets(s, d)
-    model = linear.fit(b, "logistic", 3, 4, 0.5)
-    row = [0.4, 0.5, 0.5]
-    samples = explain.distance_weights(explain.gaussian_samples(s, row, [0.2] * 3, 2000), row).withColumn("y", model.predict())
-    samples = materialize(samples, "samples")
-    return explain.explain(samples, explain.select_features(samples, 2))
+    model = linear.fit(b, "logistic", 3, 3, 0.5)
+    samples = explain.weigh_samples(explain.samples_around(b.select("row_id", "x"), [_DEVIATION] * 3, _SAMPLES), features=3)
+    out = explain.local_surrogates(samples.withColumn("y", model.probabilities()), 3, 2, 2)
+    return out.select("row_id", "output", "feature", r("importance", 5).alias("importance"), r("intercept", 5).alias("intercept"))
 
 
-@query()
+def _shap_sql(background: int) -> str:
+    """Shapley values of three features by all subsets, against the first rows in hash order."""
+    pick = lambda m, j: f"x.x{j}" if m >> j & 1 else f"b.x{j}"
+    v = [f"avg(1 / (1 + exp(-(w0 + w1 * {pick(m, 0)} + w2 * {pick(m, 1)} + w3 * {pick(m, 2)})))) as v{m}" for m in range(8)]
+    value = lambda j: " + ".join(f"(v{m | 1 << j} - v{m}) * {1 / 3 if bin(m).count('1') in (0, 2) else 1 / 6}" for m in range(8) if not m >> j & 1)
+    return f"""with {BASKETS}, {_steps('bk', 3, 'logistic', 3, 0.5)}, bg as materialized (select * from bk qualify row_number() over (order by {_hash('row_id')}, row_id) <= {background}),
+v as (select x.row_id, {', '.join(v)} from bk x, bg b, s3 group by x.row_id)
+select row_id, round(v0, 6) as base, round(v7, 6) as prediction, {', '.join(f'round({value(j)}, 6) as value{j}' for j in range(3))} from v"""
+
+
+@query(_shap_sql(8))
+def shap_values(s, d):
+    """LIM-1/8, MTH-9, UDF-6: KernelSHAP values of every row against background rows of the table."""
+    b = baskets(s, d)
+    model = linear.fit(b, "logistic", 3, 3, 0.5)
+    background = [row["x"] for row in b.where(order.first_in_hash_order(b, "row_id", 8)).select("x").collect()]
+    out = explain.shap_values(b.select("row_id", "x"), background, lambda x: F.array(model.predict(x)), 3)
+    return out.select("row_id", r("base").alias("base"), r("prediction").alias("prediction"), *[r(F.get("values", F.lit(j))).alias(f"value{j}") for j in range(3)])
+
+
+@query("with z as (select o_orderkey as row_id, (o_totalprice > 250000)::int + (month(o_orderdate) > 6)::int + (o_orderstatus = 'F')::int + (substr(o_orderpriority, 1, 1) = '1')::int as z from orders) select row_id, round(case when z in (0, 4) then 1e-6 else 3 / ((factorial(4) / (factorial(z) * factorial(4 - z))) * z * (4 - z))::double end, 9) as w from z")
 def shap_weights(s, d):
-    """LIM-1/8: coalitions with kernel weights."""
-    return explain.coalition_weights(explain.coalition_samples(s, [0.1, 0.2, 0.3, 0.4], [0.5] * 4, 500), 4)
+    """LIM-8: rows of four flags as coalitions, with their kernel weights."""
+    flags = [F.col("o_totalprice") > 250000, F.month("o_orderdate") > 6, F.col("o_orderstatus") == "F", F.substring("o_orderpriority", 1, 1) == "1"]
+    z = read_table(s, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.array(*[f.cast("int") for f in flags]).alias("z"))
+    return explain.coalition_weights(z, 4).select("row_id", r("w", 9).alias("w"))
 
 
 @query(f"with {BASKETS} select row_id, round(sqrt(exp(-(pow(x0 - 0.4, 2) + pow(x1 - 0.5, 2) + pow(x2 - 0.5, 2)) / pow(0.75 * sqrt(3), 2))), 6) as w from bk")
@@ -682,12 +871,12 @@ def distance_weights(s, d):
     return explain.distance_weights(baskets(s, d), [0.4, 0.5, 0.5]).select("row_id", r("w").alias("w"))
 
 
-@query()
+@query(f"with {BASKETS}, bw as (select row_id, x0, x1, x2, amount, sqrt(exp(-(pow(x0 - 0.4, 2) + pow(x1 - 0.5, 2) + pow(x2 - 0.5, 2)) / pow(0.75 * sqrt(3), 2))) as w from bk), {_candidates()}, {_tree('d_', 'bw', 'amount', 'variance', 3, weight='w')}, im as (select f, sum(c * gain) as g from d_nodes where f is not null group by f) select t.f::int as feature, round(coalesce(g / sum(g) over (), 0), 6) as importance from range(3) t(f) left join im on im.f = t.f")
 def tree_surrogate(s, d):
     """LIM-12/14: importance of a weighted regression tree."""
     row = [0.4, 0.5, 0.5]
     samples = explain.distance_weights(baskets(s, d), row).select("row_id", "x", "w", F.col("amount").alias("y"))
-    return explain.explain(samples, [0, 1, 2], "tree")
+    return _rounded(explain.explain(samples, [0, 1, 2], "tree"))
 
 
 @query()
