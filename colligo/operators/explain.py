@@ -21,6 +21,7 @@ from colligo.functions.vectors import hash32, kernel_shap_weight
 from colligo.operators import linear, stats, tree
 from colligo.operators.ensemble import dense_rows
 from colligo.operators.tables import to_long
+from colligo.sources.scratch import materialize
 
 
 def _noise(cell: Column, seed: int) -> Column:
@@ -155,35 +156,67 @@ def _best(g: np.ndarray, features: int, y: int, k: int) -> list[int]:
     return sorted(range(features), key=lambda j: (-(-1.0 if math.isnan(c[j]) else round(float(c[j]), 9)), j))[:k]
 
 
-def local_surrogates(samples: DataFrame, features: int, outputs: int, k: int | None = None, ridge: float = 0.0) -> DataFrame:
-    """row_id, output, feature, importance, intercept: a weighted linear model of every output around every row.
+def local_products(samples: DataFrame, features: int, outputs: int) -> DataFrame:
+    """(row_id, products): each row's weighted products of [1, x - around, y] as one flat matrix; all that selection and surrogates need.
+
+    ``samples``: (row_id, around, x, w, y), y ARRAY with an entry for each output; null or NaN
+    samples are left out.  A task adds up what it has of a row, and one shuffle brings the
+    partial sums together.
+    """
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [np.sum([p.values.to_numpy(zero_copy_only=False) for p in parts.values], axis=0) for parts in b["parts"]]
+            yield pa.RecordBatch.from_arrays([b["row_id"], pa.array(sums, pa.list_(pa.float64()))], names=["row_id", "products"])
+
+    return _products(samples, features, outputs).mapInArrow(total, "row_id long, products array<double>")
+
+
+def _by_row(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[int, np.ndarray]]]]:
+    for b in batches:
+        yield b, ((i, p.values.to_numpy(zero_copy_only=False).reshape(m, m)) for i, p in zip(b["row_id"].to_pylist(), b["products"], strict=True))
+
+
+def local_selection(products: DataFrame, features: int, outputs: int, k: int) -> DataFrame:
+    """row_id, output, chosen ARRAY: the k features that correlate most with each output among a row's samples, best first."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_row(batches, 1 + features + outputs):
+            out = [(i, o, _best(g, features, 1 + features + o, k)) for i, g in rows for o in range(outputs)]
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["row_id", "output", "chosen"])
+
+    return products.mapInArrow(choose, "row_id long, output int, chosen array<int>")
+
+
+def local_models(products: DataFrame, selected: DataFrame, features: int, outputs: int, ridge: float = 0.0) -> DataFrame:
+    """row_id, output, feature, importance, intercept: a weighted linear model of each output around each row, over the selected features.
 
-    ``samples``: (row_id, around, x, w, y), y ARRAY with an entry for each output.  A model has the k
-    features (all) that correlate most with its output among the row's samples.  Null or
-    NaN samples are left out.  All rows and outputs are solved by one job: a task adds
-    up a row's products, one shuffle brings partial sums together, and tasks solve them.
     The intercept is the surrogate's value at the row.
     """
-    m, k = 1 + features + outputs, features if k is None else k
+    m = 1 + features + outputs
+    chosen = selected.groupBy("row_id").agg(F.collect_list(F.struct("output", "chosen")).alias("selected")).select(F.col("row_id").alias("r2"), "selected")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row_id", "output", "feature", "importance", "intercept"]
-        for b in batches:
-            out: list[list] = [[] for _ in names]
-            for row_id, parts in zip(b["row_id"].to_pylist(), b["parts"], strict=True):
-                g = np.sum([p.values.to_numpy(zero_copy_only=False) for p in parts.values], axis=0).reshape(m, m)
-                for o in range(outputs):
-                    chosen = _best(g, features, 1 + features + o, k)
-                    at = [0, *[1 + j for j in chosen]]
-                    a = g[np.ix_(at, at)] + ridge * np.diag([0.0, *[1.0] * len(chosen)])
-                    solved = np.linalg.lstsq(a, g[at, 1 + features + o], rcond=None)[0]
-                    for j, v in zip(chosen, solved[1:], strict=True):
-                        for column, value in zip(out, (row_id, o, j, float(v), float(solved[0])), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
-
-    return _products(samples, features, outputs).mapInArrow(solve, "row_id long, output int, feature int, importance double, intercept double")
+        names, kinds = ["row_id", "output", "feature", "importance", "intercept"], (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+        for b, rows in _by_row(batches, m):
+            out = []
+            for (i, g), picks in zip(rows, b["selected"].to_pylist(), strict=True):
+                for pick in picks:
+                    at, y = [0, *[1 + j for j in pick["chosen"]]], 1 + features + pick["output"]
+                    a = g[np.ix_(at, at)] + ridge * np.diag([0.0, *[1.0] * (len(at) - 1)])
+                    solved = np.linalg.lstsq(a, g[at, y], rcond=None)[0]
+                    out += [(i, pick["output"], j, float(v), float(solved[0])) for j, v in zip(pick["chosen"], solved[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=names)
+
+    both = products.join(chosen, F.col("row_id") == F.col("r2")).select("row_id", "products", "selected")
+    return both.mapInArrow(solve, "row_id long, output int, feature int, importance double, intercept double")
+
+
+def local_surrogates(samples: DataFrame, features: int, outputs: int, k: int | None = None, ridge: float = 0.0) -> DataFrame:
+    """Selection and models of every row and output, see ``local_products``, ``local_selection`` and ``local_models``."""
+    products = materialize(local_products(samples, features, outputs), "products")
+    return local_models(products, local_selection(products, features, outputs, features if k is None else k), features, outputs, ridge)
 
 
 # Shapley values -----------------------------------------------------------------------------------------------

@@ -21,6 +21,20 @@ def align(parties: Sequence[DataFrame], key: str = "row_id") -> DataFrame:
     return out.withColumn("x", F.concat(*xs)).drop(*xs)
 
 
+def check_sizes(parties: Sequence[DataFrame]) -> int:
+    """The number of rows that all tables have; ValueError if they differ."""
+    sizes = [p.count() for p in parties]
+    if len(set(sizes)) > 1:
+        raise ValueError(f"parties have {', '.join(map(str, sizes))} rows")
+    return sizes[0] if sizes else 0
+
+
+def align_by_position(parties: Sequence[DataFrame], key: str = "row_id") -> DataFrame:
+    """Parties whose ``key`` is the row's position: none may have more rows than another, so that none is dropped."""
+    check_sizes(parties)
+    return align(parties, key)
+
+
 def to_vector(df: DataFrame, features: Sequence[str], key: str, label: str | None = None) -> DataFrame:
     columns = [F.col(key).alias("row_id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")]
     return df.select(*columns, *([F.col(label).cast("double").alias("y")] if label else []))

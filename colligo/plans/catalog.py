@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colligo.functions import vectors as V
 from colligo.operators import explain, linear, matrix, metrics, mlp, moments, order, quantiles, stats, tables, tree
-from colligo.plans import jobs
+from colligo.plans import jobs, stages
+from colligo.sources import io
 from colligo.sources.io import read_table
-from colligo.sources.scratch import materialize
+from colligo.sources.scratch import materialize, scratch_path
+from colligo.streaming import users
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,6 +197,21 @@ def align_parties(s, d):
     return aligned(s, d).select("row_id", *[r(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(4)], "y")
 
 
+@query(f"with {ALIGNED}, z as (select n_name, o.o_orderkey from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey) select row_number() over (order by row_id) - 1 as row_id, round(x0, 4) as x0, round(x1, 4) as x1, round(x2, 4) as x2, round(x3, 4) as x3, length(n_name)::double as x4, y from al join z on z.o_orderkey = al.row_id")
+def align_party_files(s, d):
+    """JOIN-1, SRC-1/2/11: three parties' files without keys or headers, written in one order and aligned by position."""
+    o, c, n = (read_table(s, d, t) for t in ("orders", "customer", "nation"))
+    third = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(F.col("o_orderkey").alias("row_id"), F.length("n_name").cast("double").alias("c0"))
+    flat = lambda t, *more: t.select("row_id", F.get("x", F.lit(0)).alias("c0"), F.get("x", F.lit(1)).alias("c1"), *more)
+    parties = []
+    for i, (t, columns) in enumerate(((flat(order_party(s, d), "y"), 3), (flat(customer_party(s, d)), 2), (third, 1))):
+        path = scratch_path(s, f"party{i}")
+        io.write_csv_in_order(t, path, "row_id", digits=None)
+        parties.append(io.read_csv_party(s, path, columns, i == 0))
+    rows = tables.align_by_position(parties)
+    return rows.select("row_id", *[r(F.get("x", F.lit(i)), 4).alias(f"x{i}") for i in range(5)], "y")
+
+
 @query("with z as (select s_nationkey as party, count(*) as size from supplier group by 1) select party, size, cast(coalesce(sum(size) over (order by party rows between unbounded preceding and 1 preceding), 0) as bigint) as start from z")
 def party_offsets(s, d):
     """JOIN-3/4: global offsets of party-local features."""
@@ -587,7 +605,7 @@ def logistic_scores(s, d):
 @query(f"with {ALIGNED}, tr as (select *, row_number() over (order by {_hash('row_id')}, row_id) <= floor(0.8 * count(*) over ()) as is_train from al), tt as (select * from tr where is_train), {_steps('tt', 4, 'logistic', 5, 0.5)}, p as (select y, case when 1 / (1 + exp(-(w0 + w1 * x0 + w2 * x1 + w3 * x2 + w4 * x3))) >= 0.5 then 1.0 else 0.0 end as p from tr, s5 where not is_train), c as (select count(*) filter (where p = 1 and y = 1) as tp, count(*) filter (where p = 1 and y = 0) as fp, count(*) filter (where p = 0 and y = 1) as fn, count(*) filter (where p = 0 and y = 0) as tn from p) select tp, fp, fn, tn, round((tp + tn)::double / (tp + fp + fn + tn), 6) as accuracy from c")
 def flagship_order_value(s, d):
     """Align two parties, split, train logistic regression, and evaluate on the held-out rows."""
-    rows = order.split_train_test(aligned(s, d), "row_id").persist()
+    rows = order.split_train_test(materialize(aligned(s, d), "aligned"), "row_id")
     model = linear.fit(rows.where("is_train"), "logistic", 4, 5, 0.5)
     scored = rows.where("not is_train").withColumn("prediction", model.label())
     return metrics.classification_report(scored).select("tp", "fp", "fn", "tn", r("accuracy").alias("accuracy"))
@@ -879,10 +897,33 @@ def tree_surrogate(s, d):
     return _rounded(explain.explain(samples, [0, 1, 2], "tree"))
 
 
+@query(_local_sql())
+def explanation_job(s, d):
+    """API-1/4, TRN-49, LIM-4/9/11/15: selection, training, sampling, prediction, weighting, local selection and surrogates as stages of one job."""
+    spec = {"name": "orders", "stages": [
+        {"task": "selection", "params": {"features": 3}}, {"task": "training", "params": {"algorithm": "logistic_regression", "train_fraction": 1.0, "params": {"iterations": 3, "rate": 0.5}}},
+        {"task": "sampling", "params": {"samples": _SAMPLES, "deviation": _DEVIATION}}, {"task": "prediction"}, {"task": "weighting"}, {"task": "local_selection", "params": {"features": 2}}, {"task": "surrogate"},
+    ]}
+    out = stages.run(spec, materialize(baskets(s, d).select("row_id", "x", "y"), "rows"), scratch_path(s, "job"))
+    return out.select("row_id", "output", "feature", r("importance", 5).alias("importance"), r("intercept", 5).alias("intercept"))
+
+
+@query("select user_id, count(*) as n, round(sum(value), 4) as total, round(avg(1 / (1 + exp(-(value - 10) / 5))), 6) as score, max(ts) as last from events group by user_id")
+def stream_user_scores(s, d):
+    """SRC-14, PRD-15..18: every event as a stream, then all of them sent again to the restarted query; each counts once."""
+    e = read_table(s, d, "events").select("event_id", "user_id", "ts", "value")
+    source, out, checkpoint = (scratch_path(s, n) for n in ("events", "scores", "checkpoint"))
+    for _ in range(2):
+        e.write.mode("append").parquet(source)
+        stream = s.readStream.schema(e.schema).parquet(source)
+        users.write_updates(users.user_scores(stream, lambda v: 1 / (1 + np.exp(-(v - 10) / 5))), out, checkpoint).awaitTermination()
+    return users.latest(s, out).select("user_id", "n", r("total", 4).alias("total"), r("score").alias("score"), F.col("last").cast("timestamp_ntz").alias("last"))
+
+
 @query()
 def job_run(s, d):
     """Jobs: a declarative specification over two parties, with a report for both halves."""
-    spec = {"name": "orders", "algorithm": "logistic_regression", "params": {"iterations": 3, "rate": 0.5, "convergence_threshold": 1e-4}}
+    spec = {"name": "orders", "algorithm": "logistic_regression", "params": {"iterations": 3, "rate": 0.5}}
     return jobs.run(jobs.Job.parse(spec), [order_party(s, d), customer_party(s, d)])[1]
 
 

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from colligo.operators import linear, metrics, mlp, tree
 from colligo.operators.order import split_train_test
 from colligo.operators.tables import align
+from colligo.sources.scratch import materialize
 
-#: Job keys that other job files spell differently.
-ALIASES = {"convergence_threshold": "converge_threshold"}
+#: Keys of other job files, in both spellings, that no trainer follows.
+UNUSED = ("converge_threshold", "convergence_threshold")
 ALGORITHMS = ("logistic_regression", "linear_regression", "decision_tree", "random_forest", "gbdt", "mlp")
 
 
@@ -37,14 +38,15 @@ class Job:
 
     @classmethod
     def parse(cls, spec: Mapping[str, Any]) -> Job:
-        params = {ALIASES.get(k, k): v for k, v in spec.get("params", {}).items()}
+        params = dict(spec.get("params", {}))
+        if set(params) & set(UNUSED):
+            raise ValueError(f"training always runs all its iterations: {sorted(set(params) & set(UNUSED))} would not be used")
         return cls(spec["name"], spec["algorithm"], spec.get("task", "classification"), spec.get("train_fraction", 0.8), spec.get("seed", 51), params)
 
 
 def train(job: Job, rows: DataFrame):
     """The fitted model of a job over (row_id, x, y); parameters that no trainer reads raise."""
     p = dict(job.params)
-    p.pop("converge_threshold", None)  # accepted: training always runs all its iterations
     features = len(rows.select("x").first()["x"])
     if job.algorithm in ("logistic_regression", "linear_regression"):
         return linear.fit(rows, job.algorithm.split("_")[0], features, **p)
@@ -70,9 +72,9 @@ def predict(job: Job, model, rows: DataFrame) -> DataFrame:
     return rows.withColumn("prediction", model.predict())
 
 
-def run(job: Job, parties: list[DataFrame]) -> tuple[Any, DataFrame]:
-    """(model, report): align, split, train, and evaluate both halves; the report has a row for each."""
-    rows = split_train_test(align(parties), "row_id", job.train_fraction, job.seed).persist()
+def fit_and_report(job: Job, rows: DataFrame) -> tuple[Any, DataFrame]:
+    """(model, report) of (row_id, x, y): split, train, and evaluate both halves; the report has a row for each half."""
+    rows = materialize(split_train_test(rows, "row_id", job.train_fraction, job.seed), "split")
     model = train(job, rows.where("is_train"))
     report = None
     for part, condition in (("train", "is_train"), ("test", "not is_train")):
@@ -81,3 +83,8 @@ def run(job: Job, parties: list[DataFrame]) -> tuple[Any, DataFrame]:
         one = one.withColumn("part", F.lit(part))
         report = one if report is None else report.union(one)
     return model, report
+
+
+def run(job: Job, parties: list[DataFrame]) -> tuple[Any, DataFrame]:
+    """Parties are aligned once, and the aligned rows saved: the split counts them, and all steps read them."""
+    return fit_and_report(job, materialize(align(parties), "aligned"))

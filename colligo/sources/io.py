@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from colligo.functions.vectors import decode_fixed
 from colligo.operators.linear import LinearModel
 from colligo.operators.mlp import Mlp
+from colligo.operators.order import split_train_test
 from colligo.operators.tree import NODE, Boosted, Node, Trees
+from colligo.sources.scratch import materialize
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +30,46 @@ def read_csv_matrix(spark: SparkSession, path: str, columns: int, delimiter: str
     return df.select(*[F.coalesce(F.expr(f"try_cast({n} as double)"), F.lit(0.0)).alias(n) for n in names]) if lenient else df
 
 
+def number_rows(df: DataFrame) -> DataFrame:
+    """``df``, straight from files, with row_id: positions from 0 in the order of file names and of rows in them.
+
+    A split of a file is read by one task in its order.  So rows are saved with their split and
+    place, splits are counted, and a split's rows start where the ones before it end.  The
+    numbers do not depend on how files are cut into splits, or splits dealt to tasks.
+    """
+    where = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__place": F.monotonically_increasing_id()}
+    rows = materialize(df.select("*", *[c.alias(n) for n, c in where.items()]), "lines")
+    splits = rows.groupBy("__file", "__block").agg(F.min("__place").alias("__first"), F.count("*").alias("__n"))
+    before = Window.orderBy("__f2", "__b2").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = splits.select(F.col("__file").alias("__f2"), F.col("__block").alias("__b2"), "__first", "__n").withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    found = rows.join(splits, (F.col("__file") == F.col("__f2")) & (F.col("__block") == F.col("__b2")))
+    return found.select((F.col("__start") + F.col("__place") - F.col("__first")).alias("row_id"), *df.columns)
+
+
+def read_csv_party(spark: SparkSession, path: str, columns: int, has_label: bool, delimiter: str = ",", lenient: bool = False) -> DataFrame:
+    """(row_id, x, y) of a header-less file or folder whose rows have no key: a row is known by its position."""
+    return party_table(number_rows(read_csv_matrix(spark, path, columns, delimiter, lenient)), "row_id", has_label)
+
+
+def write_csv_in_order(df: DataFrame, path: str, *order: str, digits: int | None = 6) -> None:
+    """Files without header or key, whose rows are in a total order: ``order`` columns are left out."""
+    rows = df.sort(*order)
+    write_csv(rows.drop(*order), path, digits=digits)
+
+
+def read_csv_split(spark: SparkSession, path: str, columns: int, fraction: float = 0.8, seed: int = 51) -> DataFrame:
+    """A party file with its label in the last column, and is_train for exactly floor(fraction * rows) of its rows."""
+    return split_train_test(read_csv_party(spark, path, columns, True), "row_id", fraction, seed)
+
+
+def save_report(report: DataFrame, path: str) -> None:
+    """A report of two parts as one file of lines ``part measure: value``, training first."""
+    parts = [c for c in report.columns if c != "part"]
+    order = F.when(F.col("part") == "train", 0).otherwise(1)
+    line = F.concat_ws(" ", F.when(F.col("part") == "train", F.lit("training")).otherwise(F.lit("test")), F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in parts]))
+    report.select(line.alias("value"), order.alias("o")).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)  # two rows
+
+
 def party_table(matrix: DataFrame, row_id: str, has_label: bool) -> DataFrame:
     """(row_id, x, y): of the party that owns the label, the last column is the label."""
     names = [c for c in matrix.columns if c != row_id]
