@@ -1,12 +1,14 @@
 """Main text of web pages: the contiguous region with the largest score.
 
-A page is a sequence of words and tags.  Words score positive, tags negative; the
+A page is a sequence of words and tags.  Words score positive, start tags negative; the
 weights come from labelled pages, which are pages whose own markup names the main
 part (one article or main element).  One linear scan finds the region with the
-largest sum.  Words in menus, forms and the like, and in blocks with a name as of
-notices or adverts, lose their positive score and so bound the region.  Names are a
-guess: words of a named block inside the region stay, and a block that holds most of
-the text is not taken for one.  Menus and forms inside the region are left out.
+largest sum.  Where a page has a main part, words outside it score negative and tags inside
+it next to nothing.  Elsewhere a block's tag costs a word at most and an inline tag a quarter, so
+that no tag outweighs the text that it holds.  Words in menus, forms and the like, and in
+blocks with a name as of notices or adverts, lose their positive score and so bound the
+region.  Names are a guess: words of a named block inside the region stay, and a block that
+holds most of the text is not taken for one.  Menus and forms inside the region are left out.
 """
 
 from __future__ import annotations
@@ -138,16 +140,14 @@ def _scan(page: str, parents: list[int]) -> Iterator[tuple[str, str, bool, bool,
 
 
 def features(page: str) -> Iterator[tuple[str, int, bool]]:
-    """(feature, how often, inside the main element): words, words in marked blocks, and tags by name."""
+    """(feature, how often, inside the main element): words, words in marked blocks, and start tags by name."""
     for kind, value, main, marked, _ in tokens(page):
         if kind == "text":
             n = len(entities.unescape(value).split())
             if n:
                 yield ("marked word" if marked else "word"), n, main
-        elif value in BLOCK or value in VOID or value in RAW or value in ("a", "b", "i", "em", "strong", "span"):
-            yield f"<{value}>", 1, main
-        else:
-            yield "<other>", 1, main
+        elif kind == "tag":
+            yield f"<{value}>" if value in BLOCK or value in VOID or value in RAW or value in ("a", "b", "i", "em", "strong", "span") else "<other>", 1, main
 
 
 def count_features(pages: DataFrame) -> DataFrame:
@@ -167,48 +167,66 @@ def count_features(pages: DataFrame) -> DataFrame:
     return pages.select("html").mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n"))
 
 
-def learn_weights(pages: DataFrame, least_tag: float = 0.2, most: float = 60.0) -> dict[str, float]:
-    """Weight of each feature name: log odds of main part against the rest.
+def learn_weights(pages: DataFrame, least: float = 0.02, block: float = 1.0, inline: float = 0.25) -> dict[str, float]:
+    """Weight of each feature name: smoothed log odds of main part against the rest, bounded.
 
-    Word weights are made positive and tag weights negative, as the scan assumes.
-    Names that occur in the main part alone keep the least tag weight; names that only
-    occur outside get a large negative one.  Without labelled pages the weights are 1
-    for words, -1 for words in marked blocks and -1 for tags.
+    Word weights are made positive and tag weights negative, as the scan assumes.  A tag costs
+    ``least`` words at least, and ``block`` or ``inline`` words at most; one that was not
+    seen costs half a block's most, or the least.  Without labelled pages a word has weight 1.
     """
     counts: dict[str, list[int]] = {}
     for row in count_features(pages).collect():  # bounded by the feature names above
         counts.setdefault(row["feature"], [0, 0])[row["inside"]] = row["n"]
     totals = [sum(c[k] for c in counts.values()) for k in (0, 1)]
-    if not totals[1]:
-        return {"word": 1.0, "marked word": -1.0, "": -1.0}
-    odds = {f: math.log((i + 0.5) / (totals[1] + 1)) - math.log((o + 0.5) / (totals[0] + 1)) for f, (o, i) in counts.items()}
-    out = {f: max(-most, min(-least_tag, x if i else 8 * x - 20)) for f, x in odds.items() if "word" not in f for o, i in [counts[f]]}
-    return out | {"word": max(0.5, odds.get("word", 1.0)), "marked word": min(-0.5, odds.get("marked word", -1.0)), "": -1.0}
+    odds = {f: math.log((i + 0.5) / (totals[1] + 1)) - math.log((o + 0.5) / (totals[0] + 1)) for f, (o, i) in counts.items()} if totals[1] else {}
+    word = min(3.0, max(0.5, odds.get("word", 1.0)))
+    out = {f: word * max(-(block if f[1:-1] in BLOCK else inline), min(-least, x)) for f, x in odds.items() if "word" not in f}
+    return out | {"word": word, "marked word": max(-word, min(-0.5, odds.get("marked word", -word))), "outside word": -word, "inside tag": -least * word, "<block>": -0.5 * block * word, "": -least * word}
+
+
+def gains(parts: list[tuple[str, str, bool, bool, bool]], weights: dict[str, float]) -> list[float]:
+    """What every token adds to a region's score."""
+    held = any(main and kind == "text" and not marked and value.strip() for kind, value, main, marked, _ in parts)
+    out = []
+    for kind, value, main, marked, _ in parts:
+        if kind == "text":
+            name = "marked word" if marked else "outside word" if held and not main else "word"
+            out.append(len(value.split()) * weights.get(name, weights["word"]))
+        elif kind == "end":
+            out.append(0.0)
+        elif held and main:
+            out.append(weights.get("inside tag", weights[""]))
+        else:
+            out.append(weights.get(f"<{value}>", weights.get("<block>" if value in BLOCK else "", weights[""])))
+    return out
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous region with the largest sum, (0, 0) if none is above 0; one linear scan.
+
+    Of equal sums the one that ends first wins; it has no beginning whose sum is 0 or less.
+    """
+    best, at, total, start = 0.0, (0, 0), 0.0, 0
+    for k, gain in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, k
+        total += gain
+        if total > best:
+            best, at = total, (start, k + 1)
+    return at
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """Blocks of the best region, joined by two line feeds; empty where nothing scores above 0.
 
-    Ties go to the earlier and then to the shorter region.
+    Pages of any length are scanned whole, in time and memory in proportion to their tokens.
     """
-    best, best_at, score, start = 0.0, (0, 0), 0.0, 0
-    parts: list[tuple[str, str, bool]] = []
-    for kind, value, _, marked, aside in tokens(page or ""):
-        if kind == "text":
-            n = len(value.split())
-            gain = n * weights["marked word" if marked else "word"]
-        else:
-            name = f"<{value}>"
-            gain = weights.get(name, weights.get("<other>", weights[""]))
-        parts.append((kind, value, aside))
-        if score <= 0:
-            score, start = 0.0, len(parts) - 1
-        score += gain
-        if score > best:
-            best, best_at = score, (start, len(parts))
+    told = list(tokens(page or ""))
+    start, end = best_region(gains(told, weights))
+    parts = [(kind, value, aside) for kind, value, _, _, aside in told]
     blocks: list[str] = []
     held: list[str] = []
-    for kind, value, aside in parts[best_at[0] : best_at[1]]:
+    for kind, value, aside in parts[start:end]:
         if kind == "text":
             if not aside:
                 held.append(value)

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import html as entities
 import math
+import random
 import re
 
 import pytest
@@ -168,6 +169,56 @@ def test_html_names_only_lower_scores(page):
     assert sum(n for f, n, _ in html.features(page) if f == "word") >= 11
 
 
+VARIANTS = {
+    "heading": (lambda a: a.replace("<h1>", "<h1><em>", 1).replace("</h1>", "</em></h1>", 1), None),
+    "list": (lambda a: a.replace("</article>", "<ul><li>ab cd</li><li>ef gh</li></ul></article>"), "\n\nab cd\n\nef gh"),
+    "code": (lambda a: a.replace("</article>", "<p>Run <code>make</code> twice.</p></article>"), "\n\nRun make twice."),
+    "table": (lambda a: a.replace("</article>", "<table><tr><td>ab</td><td>cd</td></tr></table></article>"), "\n\nab\n\ncd"),
+    "quote": (lambda a: a.replace("<article>", "<article><blockquote>As they said.</blockquote>"), ("As they said.\n\n",)),
+    "names": (lambda a: re.sub(r' (?:class|id|role)="[^"]*"', "", a), None),
+}
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    pages = read_table(spark, "/root/testdata/sf0.01", "pages")
+    return html.learn_weights(pages), pages.collect()
+
+
+@pytest.mark.parametrize("name", sorted(VARIANTS))
+def test_html_keeps_ordinary_markup(learned, name):
+    weights, pages = learned
+    change, more = VARIANTS[name]
+    for p in pages:
+        plain = article(p.html)
+        want = plain if more is None else more[0] + plain if isinstance(more, tuple) else plain + more
+        assert html.extract(change(p.html), weights) == want.strip()
+
+
+def test_html_without_main_elements(learned):
+    """The same pages with a plain block around the text: names and tags bound it, and none of its text is lost."""
+    weights, pages = learned
+    exact = 0
+    for p in pages:
+        got, want = html.extract(re.sub(r"<(/?)article>", r"<\1div>", p.html), weights), article(p.html)
+        exact += got == want
+        assert want in got
+    assert exact >= 0.98 * len(pages)
+
+
+def test_html_best_region_is_the_best():
+    rnd = random.Random(4)
+    for _ in range(400):
+        scores = [rnd.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rnd.randrange(14))]
+        every = [(sum(scores[a:b]), -b, -a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        a, b = html.best_region(scores)
+        top = max((e[0] for e in every), default=0.0)
+        if top <= 0:
+            assert (a, b) == (0, 0)
+        else:
+            assert sum(scores[a:b]) == top and b == -max(e for e in every if e[0] == top)[1]
+
+
 def test_html_many_nested_names():
     page = "<div class=ad>" * 20000 + "x " * 30000 + "</div>" * 20000
     assert html.extract(page, {"word": 1.0, "marked word": -1.0, "": -1.0}) == " ".join(["x"] * 30000)
