@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,7 +254,40 @@ def test_topk_ties_nulls_and_copies(spark):
     bad = [(60, None, 0), (61, [1.0, None, 0.0], 0), (62, [float("nan"), 0.0, 0.0], 0), (63, [float("inf"), 0.0, 0.0], 0), (None, [1.0, 1.0, 1.0], 0), (64, [1.0], 0), (65, [], 0)]
     table = spark.createDataFrame(raw + bad + raw[:3], schema)
     vectors = topk.integer_vectors(table, "vec_id", "embedding")
-    got = {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 10 == 0, 4).collect()}
+    got = {tuple(r)[:4] for r in topk.top_k(vectors, F.col("vec_id") % 10 == 0, 4).collect()}
     rows = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in raw + bad[5:]]
     assert got == brute(rows, lambda q: q % 10 == 0, 4)
     assert topk.top_k(topk.integer_vectors(spark.createDataFrame([], schema), "vec_id", "embedding"), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("size", [2e7, 1e17, 1e200])
+def test_topk_of_large_components(spark, size):
+    rnd = random.Random(6)
+    raw = [(i, [rnd.choice([-1.0, 1.0, 0.0, rnd.uniform(-1, 1), 1e-9]) * size for _ in range(6)]) for i in range(120)] + [(120 + i, [rnd.uniform(-2, 2) for _ in range(6)]) for i in range(60)]
+    table = spark.createDataFrame(raw, "vec_id long, embedding array<double>")
+    rows = [(i, [math.floor(256 * x) for x in v]) for i, v in raw]
+    got = topk.top_k(topk.integer_vectors(table, "vec_id", "embedding"), F.col("vec_id") % 7 == 0, 5).collect()
+    want = brute(rows, lambda q: q % 7 == 0, 5)
+    assert {(r.query_id, r["rank"], r.vec_id, int(r.exact_score)) for r in got} == want
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    assert {(r.query_id, r["rank"], r.score) for r in got} == {(q, n, held(s)) for q, n, _, s in want}
+
+
+def test_topk_bounds_hold():
+    rng = np.random.default_rng(8)
+    v, q = np.floor(rng.normal(size=(500, 9)) * 10.0 ** rng.integers(0, 15, 9)), np.floor(rng.normal(size=(20, 9)) * 1000)
+    low = v.min(axis=0)
+    width = (v.max(axis=0) - low) / 256
+    lower, upper = topk.bounds(q, low, width, np.clip(np.floor((v - low) / width), 0, 255).astype(np.uint8))
+    exact = [[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in v] for x in q]
+    assert all(lower[i, j] <= exact[i][j] <= upper[i, j] for i in range(20) for j in range(500))
+
+
+def test_topk_keeps_few_bounds(spark, sf, monkeypatch):
+    """Groups and blocks of any size give the same rows; candidates do not grow with the blocks of a group."""
+    vectors = topk.integer_vectors(read_table(spark, sf, "embeddings"), "vec_id", "embedding")
+    want = {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 50 == 0).collect()}
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 16)
+    monkeypatch.setattr(topk, "BLOCK_GROUP", 4)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 3)
+    assert {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 50 == 0).collect()} == want
