@@ -218,7 +218,7 @@ def manifest(rows: DataFrame, group: str, order: str, digest: str = "leaf", leve
     return out.select("keep.*", F.col("pos"), "subroot", F.col("top").alias("root"), "path")
 
 
-def _crc32(text: str) -> str:
+def crc32_sql(text: str) -> str:
     """crc32 of an ASCII text in SQL."""
     byte = "list_reduce(list_prepend(xor(c, b), range(8)::ubigint[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
     return f"xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({text}, ''), lambda s: ascii(s)::ubigint)), lambda c, b: {byte}), 4294967295::ubigint)"
@@ -227,7 +227,7 @@ def _crc32(text: str) -> str:
 def oracle_sql() -> str:
     f = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
     line = lambda n: f"sha256({f('doc_id')} || {f('source')} || {f('lang')} || {n} || {f('text')})"
-    tampered = f"case when ({_crc32('doc_id::varchar')}) % 7 = 0 then {f('(n_chars + 1)')} else {f('n_chars')} end"
+    tampered = f"case when ({crc32_sql('doc_id::varchar')}) % 7 = 0 then {f('(n_chars + 1)')} else {f('n_chars')} end"
     tree = lambda name, source: f"""{name} as (select 0 as level, g, pos, n, digest from {source} union all
  select level + 1, g, pos // 2, any_value(n + 1) // 2, sha256(string_agg(digest, '' order by pos)) from {name} where n > 1 group by level, g, pos // 2)"""
     path = lambda name, tree: f"""{name} as (select a.g, a.pos, list({{'node': s.digest, 'left': s.pos < b.pos}} order by b.level) as path from {tree} a join {tree} b on a.level = 0 and b.n > 1 and b.g = a.g and b.pos = a.pos >> b.level

@@ -299,3 +299,20 @@ s as (select p.r, case when p.v is null then ln(a.c / n.n) when p.u is null then
 d as (select r, sum(s) as s from s group by r)
 select t.doc_id, cast(len(t.w) as bigint) as n_words, round(coalesce(d.s, 0.0), 3) as log_score, round(d.s / nullif(len(t.w), 0), 3) as mean_log_score
 from t left join d on d.r = t.r"""
+
+
+def backoff_sql(learned: str) -> str:
+    """Order 3 under the counts of the documents for which ``learned`` holds; a word that they lack counts as seen once."""
+    return rf"""
+with t as (select row_number() over (order by doc_id) as r, doc_id, {learned} as learned, coalesce(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) as w from documents),
+e as (select r, learned, unnest(w) as w, generate_subscripts(w, 1) as i from t),
+p as (select r, learned, i, w, lag(w) over (partition by r order by i) as v, lag(w, 2) over (partition by r order by i) as u from e),
+c1 as (select w, count(*) as c from e where learned group by w), c2 as (select v, w, count(*) as c from p where learned and v is not null group by v, w),
+c3 as (select u, v, w, count(*) as c from p where learned and u is not null group by u, v, w), n as (select greatest(count(*), 1) as n from e where learned),
+s as (select p.r, case when g.c is not null then ln(g.c / k.c) when b.c is not null then ln(b.c / h.c) + (case when p.u is null then 0 else ln({BACKOFF}) end)
+      else ln(coalesce(a.c, 1) / n.n) + (case when p.v is null then 0 when p.u is null then 1 else 2 end) * ln({BACKOFF}) end as s
+      from p cross join n left join c1 a on a.w = p.w left join c1 h on h.w = p.v left join c2 b on b.v = p.v and b.w = p.w
+      left join c2 k on k.v = p.u and k.w = p.v left join c3 g on g.u = p.u and g.v = p.v and g.w = p.w),
+d as (select r, sum(s) as s from s group by r)
+select t.doc_id, cast(len(t.w) as bigint) as n_words, round(coalesce(d.s, 0.0), 3) as log_score, round(d.s / nullif(len(t.w), 0), 3) as mean_log_score
+from t left join d on d.r = t.r"""

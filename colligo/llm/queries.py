@@ -53,6 +53,13 @@ def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 3).alias("mean_log_score"))
 
 
+def op6_ngram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under counts of the documents whose crc32 of the id, modulo 5, is not 0: a fifth of the documents backs off."""
+    docs = read_table(spark, sf_dir, "documents")
+    done = ngram_lm.score(docs, docs.where(langid.remainder(F.col("doc_id"), 5) != 0))
+    return done.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 3).alias("mean_log_score"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -122,10 +129,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_filter_audit": op11_filter_audit,
     "op12_jaccard": op12_jaccard,
     "op13_merkle": op13_merkle,
+    "op6_ngram_backoff": op6_ngram_backoff,
 }
 
 ORACLES: dict[str, str] = {
     "op6_ngram_lm": ngram_lm.oracle_sql(),
+    "op6_ngram_backoff": ngram_lm.backoff_sql(f"({merkle.crc32_sql('doc_id::varchar')}) % 5 <> 0"),
     "op11_filter_audit": filter_audit.oracle_sql(),
     "op13_merkle": merkle.oracle_sql(),
 }

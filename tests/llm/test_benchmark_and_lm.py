@@ -121,3 +121,12 @@ def test_lm_whole_table(spark, sf):
     for r in got:
         n, s, m = want[r.doc_id]
         assert r.n_words == n and abs(r.log_score - s) < 2e-3 and abs(r.mean_log_score - m) < 2e-3
+
+
+def test_decontaminate_branches_and_radius(spark, sf):
+    """A benchmark that is not broadcast gives the same rows, and the radius loses no pair of the table."""
+    docs, items = (read_table(spark, sf, name) for name in ("documents", "benchmark"))
+    rows = lambda **how: sorted(map(tuple, decontaminate.contaminated(docs, items, **how).collect()))
+    want = rows()
+    assert want and rows(broadcast_shingles=0) == want
+    assert rows(radius=63) == want

@@ -65,8 +65,7 @@ def edited(rnd, w, edits):
     return w
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-@pytest.mark.parametrize("few, many", [(0, 10**9), (jaccard.FEW, 2), (jaccard.FEW, jaccard.MANY)])
+@pytest.mark.parametrize("percent, few, many", [(80, jaccard.FEW, 2), (85, 0, 10**9), (85, jaccard.FEW, jaccard.MANY)])
 def test_families_chains_and_passages(spark, percent, few, many):
     rnd = random.Random(percent)
     rows = []
