@@ -30,7 +30,7 @@ def _softmax(raw: np.ndarray, _: int) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-LINKS = {"identity": lambda raw, _: raw, "mean": lambda raw, trees: raw / trees, "expit": _expit, "softmax": _softmax}
+LINKS = {"identity": lambda raw, _: raw, "mean": lambda raw, trees: raw / trees, "exp": lambda raw, _: np.exp(raw), "expit": _expit, "softmax": _softmax}
 
 
 @dataclass(frozen=True)

@@ -115,6 +115,12 @@ def weigh_samples(samples: DataFrame, kernel_width: float | None = None, feature
     return samples.withColumn("w", F.sqrt(F.exp(-d2 / k2)))
 
 
+def flat_samples(samples: DataFrame, features: int, outputs: int) -> DataFrame:
+    """row_id, sample, x0.., y0..: samples and their predictions side by side, as a plain table to be written."""
+    cells = [F.get(c, F.lit(i)).alias(f"{c}{i}") for c, n in (("x", features), ("y", outputs)) for i in range(n)]
+    return samples.select("row_id", "sample", *cells)
+
+
 def _products(samples: DataFrame, features: int, outputs: int) -> DataFrame:
     """(row_id, parts): for each row the weighted products of [1, x - around, y], as one flat matrix a partition that holds its samples."""
     m = 1 + features + outputs

@@ -69,6 +69,11 @@ def first_in_hash_order(df: DataFrame, key: str, n: int, seed: int = 51) -> Colu
     return first_in_hash_orders(df, key, n, [seed])[0]
 
 
+def shuffled(df: DataFrame, key: str, seed: int = 51) -> DataFrame:
+    """(key, place): every row's place, from 0, in the hash order that samples and splits of this seed are taken from."""
+    return with_global_rank(df.select(key, _hash(df, key, seed).alias("__hash")), "__hash", key, name="place").select(key, "place")
+
+
 def split_train_test(df: DataFrame, key: str, fraction: float = 0.8, seed: int = 51) -> DataFrame:
     """``df`` with is_train: exactly floor(fraction * rows) rows, the same ones for every party that holds the keys."""
     n = int(df.count() * fraction + 1e-9)

@@ -9,7 +9,7 @@ node through a CASE expression of that tree; finished ensembles are walked as ar
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,6 +90,19 @@ class Trees:
     def of_table(cls, df: DataFrame, classes: int) -> Trees:
         return cls({(r["tree_id"], r["node_id"]): Node(**r.asDict()) for r in df.collect()}, classes)
 
+    def display(self, spark: SparkSession) -> DataFrame:
+        """tree_id, node_id, text: each node as a line, indented by its depth, in the order of a walk that goes left first."""
+
+        def line(n: Node) -> str:
+            what = f"leaf {n.label:.6f}" if n.is_leaf else f"x[{n.feature}] <= {n.threshold:.6f}"
+            return "  " * n.depth + f"{what} (n {n.n}, impurity {n.impurity:.6f})"
+
+        def walk(tree: int, node: int) -> list[int]:
+            return [node] + ([] if self.nodes[tree, node].is_leaf else walk(tree, 2 * node + 1) + walk(tree, 2 * node + 2))
+
+        rows = [(t, place, i, line(self.nodes[t, i])) for t in self.tree_ids() for place, i in enumerate(walk(t, 0))]
+        return spark.createDataFrame(rows, "tree_id int, place int, node_id long, text string")
+
     def importance(self, spark: SparkSession) -> DataFrame:
         """feature, importance: summed n x gain over inner nodes, normalised to 1."""
         inner = self.table(spark).where("not is_leaf").groupBy("feature").agg(F.sum(F.col("n") * F.col("gain")).alias("g"))
@@ -206,6 +219,56 @@ def forest(df: DataFrame, trees: int, rate: float = 0.8, seed: int = 51, **how)
     return grow(tree_samples(df, "row_id", trees, rate, seed), splits=splits, **how)
 
 
+@dataclass(frozen=True)
+class Loss:
+    """What boosting needs of a loss; ``k`` is the number of outputs, columns are raw ARRAY and y.
+
+    ``prior(shares, k)``: start of each output from ``shares``, the means of the columns ``summary(y, k)``.
+    ``gradient(raw, y, k)``: (residual, curvature) of each output; without curvature a leaf is
+    the mean residual, else residuals over curvatures, times ``factor(k)``.  ``link`` turns raw
+    outputs into predictions, see ``ensemble.LINKS``.
+    """
+
+    summary: Callable[[Column, int], list[Column]]
+    prior: Callable[[Sequence[float], int], list[float]]
+    gradient: Callable[[Column, Column, int], list[tuple[Column, Column | None]]]
+    link: str = "identity"
+    factor: Callable[[int], float] = lambda k: 1.0
+
+
+def _clip(p: float) -> float:
+    return min(max(p, 1e-3), 1 - 1e-3)
+
+
+def _is(y: Column, k: int) -> Column:
+    return F.when(y == k, 1.0).otherwise(0.0)
+
+
+def _binomial(raw: Column, y: Column, _: int) -> list[tuple[Column, Column | None]]:
+    r = y - 1 / (1 + F.exp(-F.get(raw, F.lit(0))))
+    return [(r, (y - r) * (1 - y + r))]
+
+
+def _multinomial(raw: Column, y: Column, k: int) -> list[tuple[Column, Column | None]]:
+    shares = softmax(raw)
+    r = [_is(y, c) - F.get(shares, F.lit(c)) for c in range(k)]
+    return [(r[c], (_is(y, c) - r[c]) * (1 - _is(y, c) + r[c])) for c in range(k)]
+
+
+def _poisson(raw: Column, y: Column, _: int) -> list[tuple[Column, Column | None]]:
+    rate = F.exp(F.get(raw, F.lit(0)))
+    return [(y - rate, rate)]
+
+
+#: Losses by name; others are added here, or passed to ``boost`` as they are.
+LOSSES = {
+    "ls": Loss(lambda y, k: [y], lambda m, k: [m[0]], lambda raw, y, k: [(y - F.get(raw, F.lit(0)), None)]),
+    "binomial": Loss(lambda y, k: [y], lambda m, k: [math.log(_clip(m[0]) / (1 - _clip(m[0])))], _binomial, "expit"),
+    "multinomial": Loss(lambda y, k: [_is(y, c) for c in range(k)], lambda m, k: [math.log(_clip(s)) for s in m], _multinomial, "softmax", lambda k: (k - 1) / k),
+    "poisson": Loss(lambda y, k: [y], lambda m, k: [math.log(max(m[0], 1e-9))], _poisson, "exp"),
+}
+
+
 @dataclass
 class Boosted:
     """prior[k] + rate * sum of trees for each of the raw outputs k; trees[round][k]."""
@@ -224,53 +287,51 @@ class Boosted:
         """ARRAY<DOUBLE>: the raw outputs."""
         return self.ensemble().scores(x)
 
+    def fitted(self, x: str = "x") -> Column:
+        """ARRAY<DOUBLE>: the outputs on the scale of the labels."""
+        return self.ensemble().scores(x, LOSSES[self.loss].link)
+
     def probabilities(self, x: str = "x") -> Column:
-        return self.ensemble().scores(x, "expit" if len(self.prior) == 1 else "softmax")
+        if LOSSES[self.loss].link not in ("expit", "softmax"):
+            raise ValueError(f"{self.loss} has no classes")
+        return self.fitted(x)
 
     def predict(self, x: str = "x") -> Column:
         """The value; or the class, 1 for probabilities strictly above 0.5, or the first largest."""
-        if self.loss == "ls":
-            return F.get(self.raw(x), F.lit(0))
-        p = self.probabilities(x)
-        return F.when(F.get(p, F.lit(1)) > 0.5, 1.0).otherwise(0.0) if len(self.prior) == 1 else argmax(p).cast("double")
+        p, link = self.fitted(x), LOSSES[self.loss].link
+        if link == "expit":
+            return F.when(F.get(p, F.lit(1)) > 0.5, 1.0).otherwise(0.0)
+        return argmax(p).cast("double") if link == "softmax" else F.get(p, F.lit(0))
 
 
 def boost(df: DataFrame, loss: str = "ls", classes: int = 2, rounds: int = 8, rate: float = 0.1, max_depth: int = 3, max_bins: int = 8) -> Boosted:
-    """Gradient boosting: ``ls`` for values, ``deviance`` for two or more classes.
+    """Gradient boosting with a loss of ``LOSSES``; ``deviance`` is binomial for two classes and multinomial for more.
 
     All outputs of a round grow together: a row stands once for each output in the same
     aggregations, which also sum what re-estimates the leaves, so a round takes as many jobs
     as its trees have levels, and one that saves the raw scores.  Only the round's own
     trees are evaluated, so a round costs the same however many came before.
     """
-    clip = lambda p: min(max(p, 1e-3), 1 - 1e-3)
-    several = loss != "ls" and classes > 2
-    shares = df.agg(*[F.avg((F.col("y") == k).cast("double")) for k in range(classes)] if several else [F.avg("y")]).first()
-    if loss == "ls":
-        prior = [shares[0] or 0.0]
-    elif several:
-        prior = [math.log(clip(s or 0.0)) for s in shares]
-    else:
-        p = clip(shares[0] or 0.0)
-        prior = [math.log(p / (1 - p))]
-    model = Boosted(loss, rate, prior)
+    name = {"deviance": "binomial" if classes == 2 else "multinomial"}.get(loss, loss)
+    if name not in LOSSES:
+        raise ValueError(f"unknown loss {loss}")
+    how = LOSSES[name]
+    k = classes if name == "multinomial" else 1
+    means = df.agg(*[F.avg(c) for c in how.summary(F.col("y"), k)]).first()
+    prior = how.prior([m or 0.0 for m in means], k)
+    model = Boosted(name, rate, prior)
     splits = candidate_lists(df, max_bins)
     state = materialize(df.select("row_id", "x", "y", F.array(*map(F.lit, prior)).alias("raw")), "scores")
-    factor = (classes - 1) / classes if several else 1.0
     for _ in range(rounds):
-        outputs = []
-        fitted = softmax(F.col("raw")) if several else None
-        for k in range(len(prior)):
-            y = F.when(F.col("y") == k, 1.0).otherwise(0.0) if several else F.col("y")
-            raw = F.get("raw", F.lit(k))
-            r = y - (raw if loss == "ls" else F.get(fitted, F.lit(k)) if several else 1 / (1 + F.exp(-raw)))
-            outputs.append(F.struct(F.lit(k).alias("tree_id"), r.alias("r"), ((y - r) * (1 - y + r)).alias("h")))
-        grown = grow(state.select("row_id", "x", F.inline(F.array(*outputs))), 0, max_depth, label="r", splits=splits, curvature=None if loss == "ls" else "h")
-        stage = [Trees({(0, n): node for (t, n), node in grown.nodes.items() if t == k}) for k in range(len(prior))]
+        parts = how.gradient(F.col("raw"), F.col("y"), k)
+        curved = parts[0][1] is not None
+        outputs = [F.struct(F.lit(c).alias("tree_id"), r.alias("r"), (h if curved else F.lit(1.0)).alias("h")) for c, (r, h) in enumerate(parts)]
+        grown = grow(state.select("row_id", "x", F.inline(F.array(*outputs))), 0, max_depth, label="r", splits=splits, curvature="h" if curved else None)
+        stage = [Trees({(0, n): node for (t, n), node in grown.nodes.items() if t == c}) for c in range(len(prior))]
         for t in stage:
             for node in t.nodes.values():
                 node.tree_id = 0
-                node.label *= factor if node.is_leaf else 1.0
+                node.label *= how.factor(k) if node.is_leaf else 1.0
         model.trees.append(stage)
-        state = materialize(state.withColumn("raw", F.array(*[F.get("raw", F.lit(k)) + F.lit(rate) * t.predict_tree(0) for k, t in enumerate(stage)])), "scores")
+        state = materialize(state.withColumn("raw", F.array(*[F.get("raw", F.lit(c)) + F.lit(rate) * t.predict_tree(0) for c, t in enumerate(stage)])), "scores")
     return model

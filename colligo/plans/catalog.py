@@ -169,6 +169,25 @@ def even_partition(s, d):
     return tables.partition_by_rank(read_table(s, d, "orders").select("o_orderkey", "o_totalprice"), 7, "o_totalprice", "o_orderkey").select("o_orderkey", "part")
 
 
+@query(f"select o_orderkey, row_number() over (order by {_hash('o_orderkey')}, o_orderkey) - 1 as place from orders")
+def shuffled_order(s, d):
+    """SRC-4: the order that splits and samples are taken from, written and read again."""
+    path = scratch_path(s, "order")
+    order.shuffled(read_table(s, d, "orders").select("o_orderkey"), "o_orderkey").write.parquet(path)
+    return s.read.parquet(path)
+
+
+@query("with m as (select min(o_totalprice) as a, max(o_totalprice) as b, min(month(o_orderdate)) as c, max(month(o_orderdate)) as d from orders) select row_number() over (order by o_orderkey) - 1 as row_id, round((o_totalprice - a + 0.5) / (b - a + 0.5), 6) as x0, round((month(o_orderdate) - c + 0.5) / (d - c + 0.5), 6) as x1, (o_orderstatus = 'F')::int::double as y from orders, m")
+def normalized_file(s, d):
+    """SRC-15, PRE-2: a file without keys is scaled to another one, rows in their order, the label as it is."""
+    source, target = scratch_path(s, "raw"), scratch_path(s, "scaled")
+    o = read_table(s, d, "orders").select("o_orderkey", "o_totalprice", _month("o_orderdate").alias("m"), (F.col("o_orderstatus") == "F").cast("double").alias("y"))
+    io.write_csv_in_order(o, source, "o_orderkey", digits=None)
+    io.normalize_csv(s, source, target, 3, 0.5, 1)
+    rows = io.read_csv_party(s, target, 3, True)
+    return rows.select("row_id", r(F.get("x", F.lit(0))).alias("x0"), r(F.get("x", F.lit(1))).alias("x1"), "y")
+
+
 @query(f"select o_orderkey as row_id from orders where o_orderkey = (select min(o_orderkey) from orders) union all select o_orderkey from (select o_orderkey, row_number() over (order by {_hash('o_orderkey')}, o_orderkey) as n from orders where o_orderkey > (select min(o_orderkey) from orders)) where n <= 100")
 def sample_with_first(s, d):
     """PRJ-6: the first row, and exactly 100 others."""
@@ -649,20 +668,22 @@ def _tree(p: str, source: str, value: str, kind: str, depth: int, used: str = "t
 
 
 def _boost(label: str, classes: int, rounds: int, rate: float, depth: int) -> str:
-    """CTEs of gradient boosting on bk; ``fin`` (y, raw0, ...) has the raw outputs. Squared loss if ``classes`` is 0."""
+    """CTEs of gradient boosting on bk; ``fin`` (row_id, y, raw0, ...) has the raw outputs. Squared loss if ``classes`` is 0, Poisson if it is -1."""
     outputs = range(classes if classes > 2 else 1)
     clip = lambda v: f"least(greatest({v}, 1e-3), 1 - 1e-3)"
     is_class = lambda k: f"(y = {k})::int::double" if classes > 2 else "y"
     share = lambda k: f"avg({is_class(k)}) over ()"
-    prior = {0: lambda k: share(k), 2: lambda k: f"ln({clip(share(k))} / (1 - {clip(share(k))}))"}.get(classes, lambda k: f"ln({clip(share(k))})")
+    prior = {-1: lambda k: f"ln({share(k)})", 0: lambda k: share(k), 2: lambda k: f"ln({clip(share(k))} / (1 - {clip(share(k))}))"}.get(classes, lambda k: f"ln({clip(share(k))})")
     total = " + ".join(f"exp(raw{k})" for k in outputs)
-    fitted = {0: lambda k: f"raw{k}", 2: lambda k: f"1 / (1 + exp(-raw{k}))"}.get(classes, lambda k: f"exp(raw{k}) / ({total})")
+    fitted = {-1: lambda k: f"exp(raw{k})", 0: lambda k: f"raw{k}", 2: lambda k: f"1 / (1 + exp(-raw{k}))"}.get(classes, lambda k: f"exp(raw{k}) / ({total})")
     out = [f"m0 as materialized (select *, {', '.join(f'{prior(k)} as raw{k}' for k in outputs)} from (select row_id, x0, x1, x2, {label} as y from bk))"]
     for i in range(rounds):
         out.append(f"e{i} as materialized (select *, {', '.join(f'{is_class(k)} - {fitted(k)} as r{k}' for k in outputs)} from m{i})")
         for k in outputs:
             p = f"s{i}_{k}_"
             newton = f"coalesce(sum(r{k}) over n / nullif(sum(({is_class(k)} - r{k}) * (1 - {is_class(k)} + r{k})) over n, 0), 0) * {1.0 if classes == 2 else (classes - 1) / max(classes, 1)}"
+            if classes < 0:
+                newton = f"coalesce(sum(r{k}) over n / nullif(sum(exp(raw{k})) over n, 0), 0)"
             out += [_tree(p, f"e{i}", f"r{k}", "variance", depth), f"{p}v as materialized (select row_id, {newton if classes else 'mean'} as v from {p}leaf window n as (partition by node))"]
         joins = " ".join(f"join s{i}_{k}_v v{k} on v{k}.row_id = e.row_id" for k in outputs)
         out.append(f"m{i + 1} as materialized (select e.row_id, x0, x1, x2, y, {', '.join(f'raw{k} + {rate} * v{k}.v as raw{k}' for k in outputs)} from e{i} e {joins})")
@@ -756,6 +777,19 @@ def forest_probabilities(s, d):
     return p.select("row_id", r(F.get("p", F.lit(1))).alias("p1"), r(F.get("p", F.lit(0))).alias("p0"))
 
 
+@query(f"with {BASKETS}, {_candidates()}, {_boost('x1 * 4', -1, 3, 0.5, 2)} select row_id, round(exp(raw0), 5) as rate from fin")
+def boosted_counts(s, d):
+    """UDF-1/3/4: a loss from the registry that is neither squared nor a deviance: Poisson rates of the lines of an order."""
+    b = baskets(s, d).withColumn("y", F.get("x", F.lit(1)) * 4)
+    return b.select("row_id", r(tree.boost(b, "poisson", rounds=3, rate=0.5, max_depth=2).predict(), 5).alias("rate"))
+
+
+@query(f"with {BASKETS}, {_candidates()}, {_tree('d_', 'bk', 'y', 'gini', 2)} select node::bigint as node_id, repeat('  ', depth) || (case when f is null then 'leaf ' || format('{{:.6f}}', (s > n - s)::int::double) else 'x[' || f || '] <= ' || format('{{:.6f}}', t) end) || ' (n ' || c || ', impurity ' || format('{{:.6f}}', 1 - (s * s + (n - s) * (n - s)) / (n * n)) || ')' as text from d_nodes")
+def tree_display(s, d):
+    """MET-14: a tree as lines of text."""
+    return tree.grow(baskets(s, d), 2, 2, 8).display(s).select("node_id", "text")
+
+
 @query(f"with {BASKETS}, {_candidates()}, {_boost('least(floor(amount / 1.2), 2.0)', 3, 2, 0.3, 2)} select row_id, round(raw0, 5) as raw0, round(raw1, 5) as raw1, round(raw2, 5) as raw2, round(exp(raw0) / (exp(raw0) + exp(raw1) + exp(raw2)), 5) as p0 from fin")
 def boosted_scores(s, d):
     """PRD-10/11: each row's raw outputs and share of the first class under a boosted model."""
@@ -855,6 +889,15 @@ def lime_explanation(s, d):
     return out.select("row_id", "output", "feature", r("importance", 5).alias("importance"), r("intercept", 5).alias("intercept"))
 
 
+@query(_local_sql().split("sw as (select")[0].rstrip(",\n ") + " select row_id, sample::int as sample, round(a0, 6) as x0, round(a1, 6) as x1, round(a2, 6) as x2, round(1 - 1 / (1 + exp(-(w0 + w1 * a0 + w2 * a1 + w3 * a2))), 6) as y0, round(1 / (1 + exp(-(w0 + w1 * a0 + w2 * a1 + w3 * a2))), 6) as y1 from sa, s3")
+def sample_dump(s, d):
+    """LIM-16: all samples with the model's outputs, side by side."""
+    b = baskets(s, d)
+    model = linear.fit(b, "logistic", 3, 3, 0.5)
+    samples = explain.samples_around(b.select("row_id", "x"), [_DEVIATION] * 3, _SAMPLES).withColumn("y", model.probabilities())
+    return _rounded(explain.flat_samples(samples, 3, 2))
+
+
 def _shap_sql(background: int) -> str:
     """Shapley values of three features by all subsets, against the first rows in hash order."""
     pick = lambda m, j: f"x.x{j}" if m >> j & 1 else f"b.x{j}"
@@ -908,6 +951,23 @@ def explanation_job(s, d):
     return out.select("row_id", "output", "feature", r("importance", 5).alias("importance"), r("intercept", 5).alias("intercept"))
 
 
+_VOTES = _forest(5, 0.7, 3).replace("select y, (2 * sum(v) > 5)::int as p", "select row_id, y, sum(v) / 5.0::double as p")
+
+
+@query(f"with {BASKETS}, {_candidates()}, {_steps('bk', 3, 'logistic', 3, 0.5)}, {_VOTES}, {_boost('y', 2, 2, 0.3, 3)} select b.row_id, round(1 / (1 + exp(-(w0 + w1 * b.x0 + w2 * b.x1 + w3 * b.x2))), 5) as logistic, round(ru.p, 5) as forest, round(1 / (1 + exp(-fin.raw0)), 5) as boosted from bk b join ru on ru.row_id = b.row_id join fin on fin.row_id = b.row_id, s3")
+def stream_inference(s, d):
+    """PRD-15..18: requests for orders as a stream, answered by a logistic model, a forest and a boosted model."""
+    b = materialize(baskets(s, d), "features")
+    models = {"logistic": linear.fit(b, "logistic", 3, 3, 0.5), "forest": tree.forest(b, 5, 0.7, classes=2, max_depth=3), "boosted": tree.boost(b, "deviance", 2, rounds=2, rate=0.3)}
+    requests = read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("row_id")).distinct()
+    source, out, checkpoint = (scratch_path(s, n) for n in ("requests", "answers", "checkpoint"))
+    requests.write.parquet(source)
+    scored = s.readStream.schema(requests.schema).parquet(source).join(b.select("row_id", "x"), "row_id")
+    answers = scored.select("row_id", *[F.get(m.probabilities(), F.lit(1)).alias(name) for name, m in models.items()])
+    users.write_updates(answers, out, checkpoint).awaitTermination()
+    return _rounded(s.read.parquet(out).drop("batch"), 5)
+
+
 @query("select user_id, count(*) as n, round(sum(value), 4) as total, round(avg(1 / (1 + exp(-(value - 10) / 5))), 6) as score, max(ts) as last from events group by user_id")
 def stream_user_scores(s, d):
     """SRC-14, PRD-15..18: every event as a stream, then all of them sent again to the restarted query; each counts once."""
@@ -920,11 +980,14 @@ def stream_user_scores(s, d):
     return users.latest(s, out).select("user_id", "n", r("total", 4).alias("total"), r("score").alias("score"), F.col("last").cast("timestamp_ntz").alias("last"))
 
 
-@query()
+_PARTS = CELLS.replace("c as (select ", "c as (select part, ").replace("from ru)", "from ru group by part)").replace("select tp, fp, fn, tn", "select part, tp, fp, fn, tn")
+
+
+@query(f"with {ALIGNED}, tr as (select *, row_number() over (order by {_hash('row_id')}, row_id) <= floor(0.8 * count(*) over ()) as is_train from al), tt as (select * from tr where is_train), {_steps('tt', 4, 'logistic', 3, 0.5)}, ru as (select case when is_train then 'train' else 'test' end as part, y, case when 1 / (1 + exp(-(w0 + w1 * x0 + w2 * x1 + w3 * x2 + w4 * x3))) >= 0.5 then 1.0 else 0.0 end as p from tr, s3), {_PARTS}")
 def job_run(s, d):
-    """Jobs: a declarative specification over two parties, with a report for both halves."""
+    """API-1/2/3/9, TRN-49: a declarative specification over two parties, with a report for both halves."""
     spec = {"name": "orders", "algorithm": "logistic_regression", "params": {"iterations": 3, "rate": 0.5}}
-    return jobs.run(jobs.Job.parse(spec), [order_party(s, d), customer_party(s, d)])[1]
+    return _rounded(jobs.run(jobs.Job.parse(spec), [order_party(s, d), customer_party(s, d)])[1])
 
 
 @query("select round(avg(pow(a.value - b.value, 2)), 4) as mse from events a join events b on b.event_id = (a.event_id + 1) % (select count(*) from events)")

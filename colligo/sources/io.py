@@ -62,6 +62,18 @@ def read_csv_split(spark: SparkSession, path: str, columns: int, fraction: float
     return split_train_test(read_csv_party(spark, path, columns, True), "row_id", fraction, seed)
 
 
+def normalize_csv(spark: SparkSession, source: str, target: str, columns: int, smoother: float = 0.0, labels: int = 0) -> None:
+    """A header-less file with every column scaled to (v - min + s) / (max - min + s), the last ``labels`` left as they are; row order is kept.
+
+    A constant column without a smoother becomes empty.
+    """
+    rows = number_rows(read_csv_matrix(spark, source, columns))
+    names = [f"c{i}" for i in range(columns - labels)]
+    ends = rows.agg(*[f(n).alias(f"{k}{n}") for n in names for k, f in (("low", F.min), ("high", F.max))]).first()
+    scaled = {n: F.try_divide(F.col(n) - F.lit(ends[f"low{n}"]) + F.lit(float(smoother)), F.lit(ends[f"high{n}"]) - F.lit(ends[f"low{n}"]) + F.lit(float(smoother))) for n in names if ends[f"low{n}"] is not None}
+    write_csv_in_order(rows.withColumns(scaled), target, "row_id", digits=None)
+
+
 def save_report(report: DataFrame, path: str) -> None:
     """A report of two parts as one file of lines ``part measure: value``, training first."""
     parts = [c for c in report.columns if c != "part"]

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-RESULT = "user_id long, n long, total double, score double, last timestamp"
-STATE = "n long, total double, score double, last timestamp, ids array<long>, times array<timestamp>"
+#: Times are microseconds, so that no time zone plays a part.
+RESULT = "user_id long, n long, total double, score double, last long"
+STATE = "n long, total double, score double, last long, ids array<long>, times array<long>"
 
 
 def user_scores(events: DataFrame, score: Callable[[np.ndarray], np.ndarray], late: str = "1 hour") -> DataFrame:
@@ -26,20 +27,21 @@ def user_scores(events: DataFrame, score: Callable[[np.ndarray], np.ndarray], la
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total, points, last, ids, times = state.get if state.exists else (0, 0.0, 0.0, None, [], [])
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        seen = dict(zip(ids, map(pd.Timestamp, times), strict=True))
+        mark, seen = state.getCurrentWatermarkMs() * 1000, dict(zip(ids, times, strict=True))
         for b in batches:
-            b = b[(b.ts > mark) & ~b.event_id.isin(seen.keys())].drop_duplicates("event_id")
+            b = b[(b["at"] > mark) & ~b["event_id"].isin(seen.keys())].drop_duplicates("event_id")
             if len(b):
-                n, total, points = n + len(b), total + float(b.value.sum()), points + float(score(b.value.to_numpy()).sum())
-                last = max(filter(None, (last, b.ts.max().to_pydatetime())))
-                seen.update(zip(b.event_id.tolist(), b.ts, strict=True))
+                n, total, points = n + len(b), total + float(b["value"].sum()), points + float(score(b["value"].to_numpy()).sum())
+                last = max(int(b["at"].max()), last if last is not None else int(b["at"].max()))
+                seen.update(zip(b["event_id"].tolist(), b["at"].tolist(), strict=True))
         seen = {i: t for i, t in seen.items() if t > mark}
-        state.update((n, total, points, last, list(seen), [t.to_pydatetime() for t in seen.values()]))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "score": [points / n if n else None], "last": [last]})
+        state.update((n, total, points, last, list(seen), list(seen.values())))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "score": [points / n if n else None], "last": pd.array([last], "Int64")})
 
-    rows = events.where("event_id is not null and user_id is not null and ts is not null").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    return rows.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(update, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = events.where("event_id is not null and user_id is not null and ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.select("event_id", "user_id", "ts", F.unix_micros("ts").alias("at"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    found = rows.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(update, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return found.withColumn("last", F.timestamp_micros("last"))
 
 
 def write_updates(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

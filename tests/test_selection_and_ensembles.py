@@ -235,3 +235,36 @@ def test_starts_and_subsets(spark):
     assert len(got) == 11 and 7 in got
     with pytest.raises(ValueError):
         tables.check_sizes([df, df.limit(3)])
+
+
+def test_losses_are_a_registry(spark, rows):
+    rng = np.random.default_rng(17)
+    x = rng.random((400, 2))
+    y = rng.poisson(np.exp(1 + 2 * x[:, 0]))
+    df = spark.createDataFrame([(i, [float(v) for v in a], float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "row_id long, x array<double>, y double")
+    model = tree.boost(df, "poisson", rounds=4, rate=0.5, max_depth=2)
+    got = np.array([r.p for r in df.orderBy("row_id").select(model.predict().alias("p")).collect()])
+    deviance = lambda rate: 2 * np.mean(np.where(y > 0, y * np.log(np.maximum(y, 1) / rate), 0) - (y - rate))
+    assert (got > 0).all() and deviance(got) < 0.5 * deviance(np.full(400, y.mean()))
+    with pytest.raises(ValueError):
+        tree.boost(df, "other")
+    with pytest.raises(ValueError):
+        model.probabilities()
+    # a loss of one's own: absolute errors, by their signs
+    tree.LOSSES["signs"] = tree.Loss(lambda y, k: [y], lambda m, k: [m[0]], lambda raw, y, k: [(F.signum(y - F.get(raw, F.lit(0))), None)])
+    try:
+        own = tree.boost(df, "signs", rounds=6, rate=2.0, max_depth=2)
+        errors = [df.agg(F.avg(F.abs(F.col("y") - p))).first()[0] for p in (F.lit(float(y.mean())),)] + [df.withColumn("p", own.predict()).agg(F.avg(F.abs(F.col("y") - F.col("p")))).first()[0]]
+        assert errors[1] < errors[0]
+    finally:
+        del tree.LOSSES["signs"]
+
+
+def test_displays_walk_left_first(spark, rows):
+    model = tree.grow(rows, 3, 2, 4)
+    lines = [r.text for r in model.display(spark).orderBy("place").collect()]
+    assert lines[0].startswith("x[") and len(lines) == len(model.nodes)
+    for (_, i), n in model.nodes.items():
+        if not n.is_leaf:
+            texts = [r.node_id for r in model.display(spark).orderBy("place").collect()]
+            assert texts.index(2 * i + 1) == texts.index(i) + 1 < texts.index(2 * i + 2)
