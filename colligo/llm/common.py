@@ -44,3 +44,9 @@ def other_key(column: str):
     expression makes Spark shuffle both sides for the join, and hot keys are split.
     """
     return F.col(column).bitwiseXOR(F.lit(1))
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bound the rows that the JVM and a Python worker hold at once; whole texts are long, and both sides copy a batch."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
