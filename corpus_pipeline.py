@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colligo.llm import bpe, decontaminate, langid, minhash, quality, substrings
-from colligo.llm.common import read_table, save, scratch_path
+from colligo.llm.common import read_table, save, scratch_path, small_batches
 from colligo.llm.queries import tokenizer_path
 
 #: Documents at or above this score are kept.
@@ -26,10 +26,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts score as empty ones.  Repeated rows share their fate.  Without
     labels, the model's constant score decides for all.  Columns of any name are kept.
     """
+    small_batches(spark)
     labels = read_table(spark, sf_dir, "labels").where(langid.remainder(F.col("doc_id"), 4) != 2)
     model = quality.boost(*quality.labelled_features(docs, labels))
-    scored = quality.score(docs.select(F.struct("*").alias("document"), "text"), model, QUALITY)
-    return scored.where("predicted = 1").select("document.*")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("document")
+    scored = quality.score(docs.select(others, "text"), model, QUALITY).where("predicted = 1")
+    return scored.select(*[F.col("text") if c == "text" else F.col(f"document.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Each row is judged by its own text, also where rows share an id.  Null and wordless
     texts are no copies of others.  Rows without an id stay.  Columns of any name are kept.
     """
+    small_batches(spark)
     groups = minhash.near_duplicates(docs, percent=SIMILAR).groupBy("doc_id", "text_key").agg(F.min("kept").alias("kept"), F.count("*").alias("copies"))
     told = save(groups.where("doc_id is not null and (not kept or copies > 1)").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "kept"), "verdicts")
     rows = docs.select(F.struct("*").alias("document"), "doc_id", F.xxhash64("text").alias("text_key"))
@@ -57,6 +60,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     changed text's n_chars, if there is such a column, is its own.  Rows without an id, or
     that repeat one, are as the operator defines.  Columns of any name are kept.
     """
+    small_batches(spark)
     rows = docs.select("doc_id", "text", F.struct("*").alias("document"))
     done = substrings.remove_repeats(rows, WINDOW, keep=["document"]).where("n_words > n_removed or n_words = 0")
     changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
@@ -71,6 +75,7 @@ def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and token ids of what is left, row by row; the ids decode to ``decoded``. Null and empty texts have no ids."""
+    small_batches(spark)
     path = tokenizer_path()
     return bpe.decode(bpe.encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
