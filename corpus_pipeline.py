@@ -74,10 +74,14 @@ def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of what is left, row by row; the ids decode to ``decoded``. Null and empty texts have no ids."""
+    """doc_id and token ids of what is left, row by row; the ids decode to ``decoded``. Null and empty texts have no ids.
+
+    The ids are a table of their own, so that no task holds the encoder's and the decoder's Python worker at once.
+    """
     small_batches(spark)
     path = tokenizer_path()
-    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    encoded = save(bpe.encode(docs, path), "ids")
+    return bpe.decode(encoded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES: list[tuple[str, Stage]] = [
