@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colligo.functions import vectors as V
-from colligo.operators import explain, linear, metrics, mlp, order, stats, tables, tree
+from colligo.operators import explain, linear, matrix, metrics, mlp, order, stats, tables, tree
 from colligo.plans import jobs
 from colligo.sources import io
 from colligo.streaming import scoring
@@ -200,3 +200,20 @@ def test_samples_under_two_seeds_are_independent(spark):
         trees.setdefault(r.tree_id, set()).add(r.row_id)
     assert all(len(t) == 10_000 for t in trees.values())
     assert all(abs(len(trees[i] & trees[j]) - 5000) < 250 for i in trees for j in trees if j < i)
+
+
+def test_parties_are_never_broadcast(spark):
+    parties = [spark.range(5).select(F.col("id").alias("row_id"), F.array(F.col("id") * k).alias("x")) for k in (1, 2, 3)]
+    plan = tables.align(parties)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and tables.align(parties).count() == 5
+
+
+def test_product_of_elements_is_one_aggregation_and_of_blocks_shuffles_no_products(spark):
+    m = spark.createDataFrame([(0, 1, 2.0), (0, 1, 1.0), (5, 7, -1.0)], "i long, j long, v double")
+    both = matrix.beside(m, matrix.scale(m.where("i = 0"), 2.0))
+    assert {tuple(r) for r in both.collect()} == {(0, 1, 3.0, 6.0), (5, 7, -1.0, None)} and "Join" not in both._jdf.queryExecution().toString()
+    a = spark.createDataFrame([(-3, 0, -1.0), (10**12, 0, 0.0), (10**12, 4, 1.0), (10**12, 5, -1.0)], "i long, j long, v double")
+    b = spark.createDataFrame([(0, 9, 0.0), (0, -600, 2.0), (4, 9, 1.0), (5, 9, 1.0)], "i long, j long, v double")
+    out = matrix.product(a, b)
+    assert {tuple(r) for r in out.collect()} == {(-3, 9, 0.0), (-3, -600, -2.0), (10**12, 9, 0.0), (10**12, -600, 0.0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().split("\n")[0].startswith("MapInArrow")
