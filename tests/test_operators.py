@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colligo.functions import vectors as V
-from colligo.operators import explain, linear, matrix, metrics, mlp, order, stats, tables, tree
+from colligo.operators import explain, linear, matrix, metrics, mlp, order, quantiles, stats, tables, tree
 from colligo.plans import jobs
 from colligo.sources import io
 from colligo.streaming import scoring
@@ -217,3 +217,41 @@ def test_product_of_elements_is_one_aggregation_and_of_blocks_shuffles_no_produc
     out = matrix.product(a, b)
     assert {tuple(r) for r in out.collect()} == {(-3, 9, 0.0), (-3, -600, -2.0), (10**12, 9, 0.0), (10**12, -600, 0.0)}
     assert out._jdf.queryExecution().optimizedPlan().toString().split("\n")[0].startswith("MapInArrow")
+
+
+def test_keys_and_hashes_of_batches_are_those_of_columns(spark):
+    values = [0.0, -0.0, 1.5, -1.5, 5e-324, -1e308, float("inf"), float("-inf"), float("nan"), 0.1]
+    want = [r.k for r in spark.createDataFrame([(v,) for v in values], "v double").select(quantiles.order_key(F.col("v")).alias("k")).collect()]
+    assert quantiles._keys(np.array(values)).tolist() == want
+    assert [repr(quantiles._value(k)) for k in want] == [repr(v + 0.0) for v in values]
+    keys = [0, 1, -1, 2**40 + 3, 12345]
+    assert V.hashed(np.array(keys), 77).tolist() == [r.h for r in spark.createDataFrame([(k,) for k in keys], "k long").select(V.hash32(F.col("k"), 77).alias("h")).collect()]
+
+
+def test_a_limit_is_searched_in_a_narrow_window(spark):
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    room = order._near(df, "k", [51, 52], 2**31, 2**31 + 2**24)
+    assert 0 < room.where("v is not null").count() < 400
+    same = spark.createDataFrame([(7,)] * 300, "k long")  # no even spread: all rows are searched
+    assert order.hash_limits(same, "k", 100, [51])[0][1] == 7
+
+
+def test_buckets_without_a_join(spark):
+    long = spark.createDataFrame([(0, 1.0), (0, 1.5), (0, float("nan")), (0, None), (1, 5.0), (2, 1.0)], "feature int, v double")
+    out = stats.bucketize(long, spark.createDataFrame([(0, 2.0), (0, 1.0), (1, 5.0)], "feature int, threshold double"))
+    assert [r.bucket for r in out.collect()] == [0, 1, 2, 0, 0] and "Join" not in out._jdf.queryExecution().toString()
+
+
+def test_rows_between_thresholds_are_summed_before_trees_grow(spark):
+    df = spark.range(1000).select(F.lit(0).alias("tree_id"), F.array((F.col("id") % 10).cast("double"), F.when(F.col("id") % 7 > 0, F.lit(float("nan")))).alias("x"))
+    got = {tuple(r.x): r.n for r in tree._combined(df, {0: [2.0, 5.0], 1: [1.0]}, {"n": F.lit(1.0)}).collect()}
+    assert len(got) == 6 and sum(got.values()) == 1000 and {x[0] for x in got} == {2.0, 5.0, math.inf} and {x[1] for x in got} == {math.inf, None}
+
+
+def test_samples_that_are_together_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(i, [0.1 * i, 1.0]) for i in range(30)], "row_id long, x array<double>").repartition(3)
+    samples = explain.weigh_samples(explain.samples_around(rows, [0.2, 0.2], 700), features=2).withColumn("y", F.array(F.get("x", F.lit(0)) * 2))
+    plan = explain.local_surrogates(samples, 2, 1, together=True)._jdf.queryExecution().toString()
+    assert plan.count("Exchange") == explain.samples_around(rows, [0.2, 0.2], 700)._jdf.queryExecution().toString().count("Exchange")
+    both = [sorted((r.row_id, r.feature, round(r.importance, 7)) for r in explain.local_surrogates(samples, 2, 1, together=t).collect()) for t in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == 60
