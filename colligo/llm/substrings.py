@@ -8,6 +8,9 @@ with the smallest doc_id.  Segments are dealt to shards by anchor.  Each shard b
 FM-index of its earlier documents' segments and streams those of the later ones through
 backward search: where the match reaches ``window`` words, the interval's group of
 suffixes has the smallest doc_id of the earlier documents that hold the window.
+A segment of which the same task has an equal one with a smaller doc_id is repeated as a
+whole, and no window's earliest holder.  So it is settled where it is made, one row for those
+in a row, and a common passage goes on once a task, not once a document.
 Anchors with very many different segments would make one shard large; their windows
 are compared as rows of an ordinary aggregation.
 """
@@ -29,6 +32,9 @@ U64 = kernels.U64
 ANCHOR_WORDS = 8
 #: Words that a shard's index holds before it is searched and dropped, and segments of one anchor beyond which windows are aggregated.
 SHARD_WORDS, ANCHOR_SEGMENTS = 1_500_000, 5_000
+#: Segments that a task holds to find equal ones among them.
+HELD_SEGMENTS = 200_000
+#: A row without an anchor stands for windows that an earlier document of the same task has too.
 SEGMENT = "doc_key long, doc_id long, start int, windows int, anchor long, content long"
 
 
@@ -53,24 +59,45 @@ def content_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> n
     return kernels.mix((prefix[ends] - prefix[begins]) * inverse[begins] ^ kernels.mix((ends - begins).astype(U64)))
 
 
-def segments(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """Segments of all rows of ``docs`` (doc_key, doc_id, text)."""
+def settled(key: np.ndarray, ids: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> pa.RecordBatch:
+    """``SEGMENT`` rows: segments with a smaller doc_id's equal one among them become rows without an anchor, those in a row one."""
+    by = np.lexsort((ids, anchor, content))
+    new = np.flatnonzero(np.concatenate([[True], (content[by][1:] != content[by][:-1]) | (anchor[by][1:] != anchor[by][:-1])])) if len(by) else by
+    least = np.empty(len(ids), np.int64)
+    least[by] = np.repeat(ids[by][new], np.diff(np.append(new, len(by))))
+    copied, stays = np.flatnonzero(ids > least), np.flatnonzero(ids <= least)
+    end = start + windows
+    head = np.ones(len(copied), bool)
+    head[1:] = (np.diff(copied) != 1) | (key[copied][1:] != key[copied][:-1]) | (start[copied][1:] != end[copied][:-1])
+    first, last = copied[head], copied[np.append(head[1:], True)] if len(copied) else copied
+    rows = np.concatenate([stays, first])
+    gone = np.arange(len(rows)) >= len(stays)
+    size = np.concatenate([windows[stays], end[last] - start[first]])
+    columns = [pa.array(key[rows]), pa.array(ids[rows]), pa.array(start[rows], pa.int32()), pa.array(size, pa.int32()), *(pa.array(x[rows].view(np.int64), mask=gone) for x in (anchor, content))]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SEGMENT.split(", ")])
+
+
+def segments(docs: DataFrame, window: int, k: int, held_segments: int = HELD_SEGMENTS) -> DataFrame:
+    """Segments of all rows of ``docs`` (doc_key, doc_id, text), see ``settled``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SEGMENT.split(", ")]
+        held: list[list[np.ndarray]] = [[] for _ in range(6)]
+        size = 0
         for batch in batches:
             key, ids = batch["doc_key"].to_numpy(), batch["doc_id"].to_numpy()
             for a, b, words, first in kernels.documents(batch["text"]):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for r in range(b - a):
                     mine = words[first[r] : first[r + 1]]
                     begins, count, anchor = anchors(mine, window, k)
-                    for have, new in zip(out, (np.full(len(begins), a + r), begins, count, anchor, content_hashes(mine, begins, begins + count + window - 1)), strict=True):
+                    size += len(begins)
+                    row = (np.full(len(begins), key[a + r]), np.full(len(begins), ids[a + r]), begins, count, anchor, content_hashes(mine, begins, begins + count + window - 1))
+                    for have, new in zip(held, row, strict=True):
                         have.append(new)
-                row, begins, count, anchor, content = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[row]), pa.array(ids[row]), pa.array(begins, pa.int32()), pa.array(count, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], names=names
-                )
+                if size >= held_segments:
+                    yield settled(*map(np.concatenate, held))
+                    held, size = [[] for _ in range(6)], 0
+        if size:
+            yield settled(*map(np.concatenate, held))
 
     return docs.where("doc_id is not null").select("doc_key", "doc_id", "text").mapInArrow(run, SEGMENT)
 
@@ -187,7 +214,9 @@ def aggregated_runs(rows: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = 50, k: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS, anchor_segments: int = ANCHOR_SEGMENTS) -> DataFrame:
     """(doc_key, spans array<struct<a,b>>): words [a, b) of a row that repeated windows cover. ``docs``: (doc_key, doc_id, text)."""
-    found = save(segments(docs, window, k), "segments")
+    made = save(segments(docs, window, k), "segments")
+    copies = made.where("anchor is null").select("doc_key", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (window - 1)).alias("b"))).alias("spans"))
+    found = made.where("anchor is not null")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     found = save(found.join(shared.select(F.col("anchor").bitwiseXOR(F.lit(1)).alias("anchor2")), F.col("anchor").bitwiseXOR(F.lit(1)) == F.col("anchor2"), "left_semi"), "segments")
     kinds = save(found.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_key", "start", "windows")).alias("at")), "segments")
@@ -202,7 +231,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = ANCHOR_WORDS, sha
     spans = found.join(named, (F.col("anchor") == F.col("anchor2")) & (F.col("content").bitwiseXOR(F.lit(1)) == F.col("content2")))
     spans = spans.select("doc_key", "start", F.when(F.col("doc_id") > F.col("first_id"), whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
     placed_runs = F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (window - 1)).alias("b")))
-    return spans.select("doc_key", placed_runs.alias("spans")).groupBy("doc_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return spans.select("doc_key", placed_runs.alias("spans")).union(copies).groupBy("doc_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, keep: list[str] | None = None, **tuning: int) -> DataFrame:

@@ -82,6 +82,21 @@ def test_index_matching_statistics():
     assert len(set(groups.values())) == len(groups)
 
 
+def test_a_common_passage_goes_on_once_a_task(spark):
+    """Its segments in later documents are settled where they are made, one row for all in a row, and are no rows of the join."""
+    passage = " ".join(f"w{j}" for j in range(400))
+    rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "doc_id as doc_key").coalesce(1)
+    made = substrings.segments(docs, 50, 8).collect()
+    one = len(substrings.anchors(np.arange(400, dtype=np.uint64) * kernels.BASE, 50, 8)[0])
+    assert one > 3 and sum(r.anchor is None for r in made) == 39 and len(made) < 40 * one / 2
+    for held in (1, 30, 200_000):
+        parts = substrings.segments(docs, 50, 8, held).collect()
+        assert sum(r.windows for r in parts) == 40 * (403 - 49)
+    got = substrings.remove_repeats(docs.select("doc_id", "text")).collect()
+    assert by_id(tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept")) for r in got) == by_id(brute(rows, 50))
+
+
 def test_anchor_segments_cover_windows():
     words = kernels.mix(np.arange(500, dtype=np.uint64) % np.uint64(37))
     begins, count, _ = substrings.anchors(words, 50, 8)
