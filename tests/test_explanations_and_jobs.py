@@ -194,3 +194,18 @@ def test_reports_as_text(spark, tmp_path):
     report = spark.createDataFrame([("test", 0.5, None), ("train", 0.75, 1.0)], "part string, accuracy double, f1 double")
     io.save_report(report, str(tmp_path / "r"))
     assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["training accuracy: 0.75, f1: 1.0", "test accuracy: 0.5, f1: -"]
+
+
+def test_stream_inference_searches_and_saves_once(spark, sf, monkeypatch):
+    """Thresholds are searched once for both kinds of trees, features are saved once, and no scores that nothing reads."""
+    from colligo.operators import tree
+    from colligo.plans import catalog
+
+    calls = []
+    search, save = tree.candidate_lists, tree.materialize
+    monkeypatch.setattr(tree, "candidate_lists", lambda *a: calls.append("search") or search(*a))
+    for module in (tree, catalog):
+        monkeypatch.setattr(module, "materialize", lambda df, name="table": calls.append(name) or save(df, name))
+    assert catalog.QUERIES["stream_inference"](spark, sf).count() > 0
+    assert calls.count("search") == 1 and calls.count("scores") == 2
+    assert calls.count("baskets") + calls.count("features") == 1
