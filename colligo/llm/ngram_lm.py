@@ -12,6 +12,9 @@ the head's hash.  There lie all rows of a head and of its n-grams: the counts ar
 over the partition, they join the rows where both lie, and the logarithms are summed per
 document.  A document's last head, which begins no n-gram, is a row too, so that
 count(head) is whole.  A row whose two counts are equal adds nothing and goes no further.
+These rows are several times the input.  So heads are dealt by their hash to ``PASSES``
+passes, and a pass takes the rows of its heads, all of them, and leaves a sum per document;
+its shuffle files are deleted before the next pass writes its own.  Passes read the texts again.
 
 Documents scored under another corpus back off.  As an n-gram is never seen more often
 than its parts, a seen x1..xk changes the score by the same amount wherever it stands:
@@ -40,11 +43,12 @@ from colligo.llm import kernels
 from colligo.llm.common import other_key, save
 
 U64 = kernels.U64
-BACKOFF, HEAVY = 0.4, 512
-#: What a row of the exploded table stands for: an n-gram under its head, a last head, a first head, an n-gram of a frequent head, a document.
-GRAM, LAST, FIRST, ALONE, DOCUMENT = range(5)
+BACKOFF, HEAVY, PASSES = 0.4, 512, 4
+#: What a row of the exploded table stands for: an n-gram under its head, a last head, a first head, an n-gram of a frequent head.
+GRAM, LAST, FIRST, ALONE = range(4)
 COUNTED = "key long, n long, head long, tail long, inner long"
-EXPLODED = "row long, head long, gram long, n int, kind int, doc_id long, n_words long, base double, short long"
+EXPLODED = "row long, head long, gram long, n int, kind int"
+DOCUMENTS = "row long, doc_id long, n_words long, base double, short long"
 Table = tuple[np.ndarray, np.ndarray]
 
 
@@ -131,8 +135,11 @@ def frequent(docs: DataFrame, counts: DataFrame, total: int, order: int) -> dict
     return tables
 
 
-def exploded(docs: DataFrame, order: int, total: int, known: dict[int, Table]) -> DataFrame:
-    """The rows of ``EXPLODED`` for ``docs`` (row, doc_id, text); ``base`` is what needs no count from other rows."""
+def _documents(docs: DataFrame, order: int, total: int, known: dict[int, Table]) -> DataFrame:
+    """The columns of ``DOCUMENTS``, and ``copies``, once for each row name of ``docs`` (row, doc_id, text).
+
+    ``base`` is what needs no count from other rows, ``short`` names a text that is shorter than a head.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((known[order - 1], known[order]))
     h = order - 1
 
@@ -142,39 +149,59 @@ def exploded(docs: DataFrame, order: int, total: int, known: dict[int, Table]) -
             names = batch["row"].to_numpy()
             for a, words, first, at, owner in _blocks(batch["text"], order):
                 size = np.diff(first)
-                row = names[a : a + len(size)]
-                heads, grams = _hashes(words, h), _hashes(words, order)
-                base = np.where(size > 0, -np.log(max(total, 1)), 0.0)
-                by = np.lexsort((grams[at], owner))
-                at, owner = at[by], owner[by]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (grams[at][1:] != grams[at][:-1])])) if len(at) else by
-                n = np.diff(np.append(new, len(at)))
-                head, gram, owner = heads[at[new]], grams[at[new]], owner[new]
-                of_head, of_gram = _find(often, head), _find(often_grams, gram)
+                heads = _hashes(words, h)
+                of_head = _find(often, heads)
                 # an n-gram as frequent has a head as frequent
-                np.add.at(base, owner, n * (np.log(np.maximum(of_gram, 1)) - np.log(np.maximum(of_head, 1))))
-                plain, alone = of_head == 0, (of_head > 0) & (of_gram == 0)
+                at, owner = at[of_head[at] > 0], owner[of_head[at] > 0]
+                of_gram = _find(often_grams, _hashes(words, order)[at])
+                base = np.where(size > 0, -np.log(max(total, 1)), 0.0)
+                base += np.bincount(owner, np.log(np.maximum(of_gram, 1)) - np.log(of_head[at]), len(size))
                 whole = np.flatnonzero(size >= h)
-                start, end = heads[first[whole]], heads[first[whole + 1] - h]
-                of_start = _find(often, start)
-                base[whole] += np.log(np.maximum(of_start, 1))
-                starts, ends = of_start == 0, _find(often, end) == 0
+                base[whole] += np.log(np.maximum(of_head[first[whole]], 1))
                 short = np.zeros(len(size), U64)
                 for r in np.flatnonzero((size > 0) & (size < h)):
                     short[r] = _hashes(words[first[r] : first[r + 1]], int(size[r]))[0]
-                yield _batch(
-                    EXPLODED, len(row), row=row, head=kernels.mix(row.view(U64)), n=np.zeros(len(row), np.int32), kind=np.full(len(row), DOCUMENT),
-                    doc_id=batch["doc_id"].slice(a, len(row)), n_words=size, base=base, short=short,
-                )
+                yield _batch(DOCUMENTS, len(size), row=names[a : a + len(size)], doc_id=batch["doc_id"].slice(a, len(size)), n_words=size, base=base, short=short)
+
+    rows = docs.mapInArrow(run, DOCUMENTS)
+    return rows.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_words", "base", "short")), F.count("*").alias("copies"))
+
+
+def exploded(docs: DataFrame, order: int, known: dict[int, Table], turn: int, turns: int) -> DataFrame:
+    """The rows of ``EXPLODED`` for ``docs`` (row, text) whose head leaves ``turn`` when divided by ``turns``."""
+    shared = docs.sparkSession.sparkContext.broadcast((known[order - 1], known[order]))
+    h = order - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, often_grams = shared.value
+        mine = lambda keys: keys % U64(turns) == U64(turn)
+        for batch in batches:
+            names = batch["row"].to_numpy()
+            for a, words, first, at, owner in _blocks(batch["text"], order):
+                size = np.diff(first)
+                row = names[a : a + len(size)]
+                heads, grams = _hashes(words, h), _hashes(words, order)
+                alone = _find(often, heads)[at] > 0
+                key = np.where(alone, grams[at], heads[at])
+                taken = mine(key)
+                taken[alone] &= _find(often_grams, key[alone]) == 0
+                at, owner, key, alone = at[taken], owner[taken], key[taken], alone[taken]
+                gram = grams[at]
+                by = np.lexsort((gram, owner))
+                owner, key, gram, alone = owner[by], key[by], gram[by], alone[by]
+                new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])])) if len(by) else by
+                whole = np.flatnonzero(size >= h)
+                start, end = heads[first[whole]], heads[first[whole + 1] - h]
+                starts, ends = (mine(x) & (_find(often, x) == 0) for x in (start, end))
                 parts = [
-                    (row[owner[plain]], head[plain], gram[plain], n[plain], GRAM), (row[owner[alone]], gram[alone], gram[alone], n[alone], ALONE),
-                    (row[whole[starts]], start[starts], start[starts], np.zeros(int(starts.sum()), np.int64), FIRST), (row[whole[ends]], end[ends], end[ends], np.ones(int(ends.sum()), np.int64), LAST),
+                    (row[owner[new]], key[new], gram[new], np.diff(np.append(new, len(by))), np.where(alone[new], ALONE, GRAM)),
+                    (row[whole[starts]], start[starts], start[starts], np.zeros(int(starts.sum()), np.int64), np.full(int(starts.sum()), FIRST)),
+                    (row[whole[ends]], end[ends], end[ends], np.ones(int(ends.sum()), np.int64), np.full(int(ends.sum()), LAST)),
                 ]
-                columns = [np.concatenate([p[j] for p in parts]) for j in range(4)]
-                kinds = np.repeat([p[4] for p in parts], [len(p[0]) for p in parts])
-                yield _batch(EXPLODED, len(kinds), row=columns[0], head=columns[1], gram=columns[2], n=columns[3], kind=kinds)
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                yield _batch(EXPLODED, len(columns[0]), **dict(zip(("row", "head", "gram", "n", "kind"), columns, strict=True)))
 
-    return docs.mapInArrow(run, EXPLODED)
+    return docs.select("row", "text").mapInArrow(run, EXPLODED)
 
 
 def gram_counts(docs: DataFrame, k: int) -> DataFrame:
@@ -194,19 +221,24 @@ def gram_counts(docs: DataFrame, k: int) -> DataFrame:
 
 def _own_scores(keyed: DataFrame, order: int) -> DataFrame:
     """row, doc_id, n_words, log_score, copies: documents under their own counts."""
-    counts = save(word_counts(keyed), "words")
+    counts = save(word_counts(keyed), "words", release=True)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = exploded(keyed, order, total, frequent(keyed, counts, total, order)).repartition("head")
-    of_head = F.sum("n").over(Window.partitionBy("head"))
-    of_gram = F.sum("n").over(Window.partitionBy("head", "gram"))
+    known = frequent(keyed, counts, total, order)
+    own = save(_documents(keyed, order, total, known), "documents", release=True)
     part = F.when(F.col("kind") == GRAM, F.col("n") * (F.log("of_gram") - F.log("of_head"))).when(F.col("kind") == ALONE, F.col("n") * F.log("of_head"))
     # a first head counts in its last or its n-grams' rows, so of_head is 1 at least
-    part = part.when(F.col("kind") == FIRST, F.log("of_head")).when(F.col("kind") == DOCUMENT, F.col("base")).otherwise(0.0)
-    rows = rows.withColumns({"of_gram": of_gram, "of_head": of_head}).withColumn("part", part).where((F.col("part") != 0) | (F.col("kind") == DOCUMENT))
-    done = rows.groupBy("row").agg(
-        F.sum("part").alias("log_score"), F.max("n_words").alias("n_words"), F.max("doc_id").alias("doc_id"), F.max("short").alias("short"), F.count_if(F.col("kind") == DOCUMENT).alias("copies"),
-    )
-    done = save(done.withColumn("log_score", F.col("log_score") / F.col("copies")), "scores")
+    part = part.when(F.col("kind") == FIRST, F.log("of_head")).otherwise(0.0)
+    sums = []
+    for turn in range(PASSES):
+        rows = exploded(keyed, order, known, turn, PASSES).repartition("head")
+        # in this order one sort serves both windows
+        rows = rows.withColumn("of_gram", F.sum("n").over(Window.partitionBy("head", "gram"))).withColumn("of_head", F.sum("n").over(Window.partitionBy("head")))
+        # sums within the tasks of heads would hardly meet two rows of a document, so rows cross as they are
+        rows = rows.select("row", part.alias("part")).where("part != 0").repartition("row")
+        sums.append(save(rows.groupBy("row").agg(F.sum("part").alias("part")), f"sums{turn}", release=True))
+    summed = functools.reduce(DataFrame.union, sums).groupBy("row").agg(F.sum("part").alias("part"))
+    done = own.join(summed, "row", "left").withColumn("log_score", F.col("base") + F.coalesce(F.col("part") / F.col("copies"), F.lit(0.0)))
+    done = save(done.select("row", "log_score", "n_words", "doc_id", "short", "copies"), "scores", release=True)
     out = done.where(f"n_words = 0 or n_words >= {order - 1}").drop("short")
     for m in range(1, order - 1):  # texts shorter than a head are one m-gram
         table = (counts if m == 1 else gram_counts(keyed, m)).select(F.col("key").alias("short"), "n")

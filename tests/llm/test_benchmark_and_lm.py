@@ -1,12 +1,13 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
 
 from colligo.llm import decontaminate, ngram_lm, queries
-from colligo.llm.common import read_table
+from colligo.llm.common import CLEANUP, read_table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, item_id int, h string, n int"
@@ -103,6 +104,25 @@ def test_lm_scores_under_own_counts(spark, monkeypatch, order, heavy):
     assert ngram_lm.score(spark.createDataFrame([], DOCS), order=order).count() == 0
 
 
+def test_lm_passes_share_the_rows_and_leave_no_shuffle_files(spark, sf):
+    docs = read_table(spark, sf, "documents").selectExpr("doc_id as row", "doc_id", "text")
+    counts = ngram_lm.word_counts(docs)
+    known = ngram_lm.frequent(docs, counts, counts.agg({"n": "sum"}).first()[0], 3)
+    rows = lambda turn, turns: Counter(tuple(r) for r in ngram_lm.exploded(docs, 3, known, turn, turns).collect())
+    whole, passes = rows(0, 1), [rows(turn, 4) for turn in range(4)]
+    assert sum(passes, Counter()) == whole and max(p.total() for p in passes) < 0.3 * whole.total()
+    assert all(len({r[1] for r in p} & {r[1] for r in q}) == 0 for p, q in zip(passes, passes[1:], strict=False))
+
+    # no setting of the session stays changed, and the passes' files, at least 16 bytes a row, are gone
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [f.getPath() for f in disk.localDirs()]
+    left = lambda: sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data"))
+    before, setting = left(), spark.conf.get(CLEANUP)
+    done = ngram_lm.score(docs)
+    assert left() - before < 4 * whole.total() and spark.conf.get(CLEANUP) == setting
+    assert done.count() == docs.count()
+
+
 @pytest.mark.parametrize("order", [3])
 def test_lm_backs_off_under_another_corpus(spark, order):
     corpus = ["the cat sat on a mat", "a dog sat", None, "the dog", "x y x z"]
