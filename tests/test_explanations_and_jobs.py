@@ -138,6 +138,50 @@ def test_a_job_goes_on_where_it_stopped(spark, rows, tmp_path):
         stages.run(SPEC | {"name": "another"}, rows, str(tmp_path / "whole"))
 
 
+QUICK = {"task": "training", "params": {"algorithm": "logistic_regression", "params": {"iterations": 2, "rate": 0.5}}}
+
+
+def test_no_table_of_a_job_grows_with_its_samples(spark, rows, tmp_path):
+    """Samples were saved by two stages, and products shuffled by two."""
+    many = {"name": "j", "stages": [SPEC["stages"][0], QUICK, {"task": "sampling", "params": {"samples": 500, "deviation": 0.2}}, *SPEC["stages"][3:]]}
+    stages.run(many, rows, str(tmp_path))
+    held = {p.parent.name: spark.read.parquet(str(p)).count() for p in tmp_path.glob("*/table")}
+    assert held == {"0-selection": 3, "1-training": 2, "2-sampling": 40, "5-local_selection": 40, "6-surrogate": 40 * 2 * 2}
+    job = stages.Run(many, rows, str(tmp_path))
+    for task in ("local_selection", "surrogate"):
+        assert "hashpartitioning" not in getattr(job, task)(job.stages[task])._jdf.queryExecution().toString()
+
+
+def test_a_job_may_end_with_any_stage(spark, rows, tmp_path):
+    upto = lambda task: {"name": "j", "stages": [SPEC["stages"][0], QUICK, *SPEC["stages"][2 : list(stages.STAGES).index(task) + 1]]}
+    got = {task: stages.run(upto(task), rows, str(tmp_path / task)) for task in ("sampling", "prediction", "weighting", "local_selection")}
+    assert {t: df.columns for t, df in got.items()} == {
+        "sampling": ["row_id", "sample", "around", "x"], "prediction": ["row_id", "sample", "around", "x", "y"], "weighting": ["row_id", "products"], "local_selection": ["row_id", "output", "chosen"],
+    }
+    samples = {(r.row_id, r.sample): r.x for r in got["sampling"].collect()}
+    predicted = {(r.row_id, r.sample): (r.x, r.y) for r in got["prediction"].collect()}
+    assert len(samples) == 40 * 30 and {k: x for k, (x, _) in predicted.items()} == samples
+    for r in got["weighting"].collect():
+        around = np.array(samples[r.row_id, 0])
+        x, y = (np.array([predicted[r.row_id, s][c] for s in range(30)]) for c in (0, 1))
+        z, w = np.column_stack([np.ones(30), x - around, y]), np.sqrt(np.exp(-((x - around) ** 2).sum(axis=1) / (0.5625 * 3)))
+        assert np.allclose(np.reshape(r.products, (6, 6)), (z * w[:, None]).T @ z)
+    chosen = {(r.row_id, r.output): set(r.chosen) for r in got["local_selection"].collect()}
+    assert set(chosen) == {(i, o) for i in range(40) for o in range(2)} and all(len(c) == 2 and c <= {0, 1, 2} for c in chosen.values())
+
+
+@pytest.mark.parametrize("k", [1, 2, 4, 9])
+def test_selection_holds_what_models_need(spark, rows, k):
+    """Outputs that choose different features: models from the selection are those from all products."""
+    y = F.array(F.get("x", F.lit(0)) * 2, F.get("x", F.lit(3)) - F.get("x", F.lit(1)) * F.get("x", F.lit(1)), F.get("x", F.lit(2)) * F.get("x", F.lit(0)))
+    samples = explain.weigh_samples(explain.samples_around(rows, [0.3] * 4, 60), features=4).withColumn("y", y)
+    selected = explain.local_selection(explain.local_products(samples, 4, 3, together=True), 4, 3, k)
+    got, want = (sorted(df.collect()) for df in (explain.local_models(selected, 3, 1e-6), explain.local_surrogates(samples, 4, 3, k, 1e-6, together=True)))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(got) == 40 * 3 * min(k, 4)
+    assert np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=1e-9)
+    assert len({tuple(map(tuple, r.chosen)) for r in selected.collect()}) > 1
+
+
 @pytest.mark.parametrize("change", [
     lambda s: s["stages"][0]["params"].update(more=1), lambda s: s["stages"][0]["params"].clear(), lambda s: s["stages"][3].update(task="other"), lambda s: s["stages"].pop(2),
     lambda s: s.update(more=1), lambda s: s["stages"][1].update(extra=1),
